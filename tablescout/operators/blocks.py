@@ -9,12 +9,13 @@ holds a third of all rows therefore becomes many equal groups instead of one hot
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablescout import fixed_values as V
 from tablescout.functions import geo
@@ -25,6 +26,9 @@ REQUEST_BLOCK = 2048
 PLACE_BLOCK = 4096
 #: The cell directory (five integers per cell) is broadcast up to this many rows.
 BROADCAST_CELLS = 1_000_000
+#: Scored pairs per task (about ten seconds of work), and the most tasks asked for.
+TASK_PAIRS = 2e8
+MAX_TASKS = 100_000
 #: Request rows scored at once inside a group.
 _CHUNK = 256
 
@@ -47,19 +51,38 @@ def prepare_requests(requests: DataFrame, with_vectors: bool, *extra: str) -> Da
     )
 
 
-def prepare_places(places: DataFrame, with_vectors: bool, *extra: str) -> DataFrame:
-    """Place columns the join needs (and ``extra`` ones); a null rating or price is coded so that an active filter fails it."""
+def _place_columns(places: DataFrame, vector: Column, for_distance: bool, *extra: str) -> DataFrame:
+    """Place columns the join needs; a null rating or price is coded so that an active filter fails it."""
     lat, lon, rating = F.col("latitude"), F.col("longitude"), F.col("overall_rating")
-    vector = F.col("embedding") if with_vectors else F.lit(None).cast("array<float>")
     infinity = F.lit(float("inf"))
     return places.where((F.abs(lat) < 1e9) & (F.abs(lon) < 1e9)).select(
         F.col("id").cast("long").alias("id"), lat.alias("p_lat"), lon.alias("p_lon"),
         F.when(rating.isNull(), -infinity).when(F.isnan(rating), infinity).otherwise(rating).alias("rating"),
         F.coalesce(F.col("price_range").cast("double"), infinity).alias("price"),
-        vector.alias("embedding"), *extra,
+        vector.alias("embedding"), F.lit(for_distance).alias("for_distance"), *extra,
     )
 
 
+def vector_places(places: DataFrame, *extra: str) -> DataFrame:
+    """Places as vector hits."""
+    return _place_columns(places.where(F.col("embedding").isNotNull()), F.col("embedding"), False, *extra)
+
+
+def distance_places(places: DataFrame, limit: int) -> DataFrame:
+    """Places as distance hits, without their vectors and without those no answer can contain.
+
+    Places at one point are equally far from every request, and those of one price and one whole
+    star pass the same filters: only the ``limit`` lowest ids of such a group can be among the
+    ``limit`` nearest. The group is reduced before it is shuffled. The table is five numbers per
+    place and is read several times, so it is written once.
+    """
+    rows = _place_columns(places, F.lit(None).cast("array<float>"), True)
+    twins = Window.partitionBy("p_lat", "p_lon", F.floor("rating"), "price").orderBy("id")
+    kept = rows.withColumn("_n", F.row_number().over(twins)).where(F.col("_n") <= limit)
+    return materialize(kept.drop("_n", "embedding", "for_distance"), "distance-places").withColumns(
+        {"embedding": F.lit(None).cast("array<float>"), "for_distance": F.lit(True)})
+
+
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy()
 
@@ -106,18 +129,19 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
         q = {n: _numbers(requests, n) for n in
              ("q_lat", "q_lon", "lat_min", "lat_max", "lon_min", "lon_max", "min_rating", "max_price")}
         p_lat, p_lon, rating, price = (_numbers(places, n) for n in ("p_lat", "p_lon", "rating", "price"))
+        near = np.flatnonzero(places["for_distance"].to_numpy())
         q_dims, q_vectors = _vectors(requests, "query_vector")
         p_dims, p_vectors = _vectors(places, "embedding")
 
         found_q, found_p, found_cos, found_semantic = [], [], [], []
         by_distance = np.ones(len(q_dims), dtype=bool)
 
-        def eligible(rows: np.ndarray) -> np.ndarray:
+        def eligible(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
             one = {n: values[rows, None] for n, values in q.items()}
-            inside = (p_lat >= one["lat_min"]) & (p_lat <= one["lat_max"])
-            inside &= (p_lon >= one["lon_min"]) & (p_lon <= one["lon_max"])
-            inside &= (one["min_rating"] <= 0) | (rating >= one["min_rating"])
-            return inside & ((one["max_price"] < 0) | (price <= one["max_price"]))
+            inside = (p_lat[cols] >= one["lat_min"]) & (p_lat[cols] <= one["lat_max"])
+            inside &= (p_lon[cols] >= one["lon_min"]) & (p_lon[cols] <= one["lon_max"])
+            inside &= (one["min_rating"] <= 0) | (rating[cols] >= one["min_rating"])
+            return inside & ((one["max_price"] < 0) | (price[cols] <= one["max_price"]))
 
         for dim in np.unique(q_dims[q_dims > 0]) if mode != DISTANCE else ():
             p_rows, p_units = _unit_rows(p_vectors, np.flatnonzero(p_dims == dim), dim)
@@ -126,7 +150,7 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
                 rows = q_rows[start : start + _CHUNK]
                 # Rounded so that equal vectors tie in every block, whatever its shape.
                 distances = np.round(1.0 - q_units[start : start + _CHUNK] @ p_units.T, 12)
-                distances[~eligible(rows)[:, p_rows]] = np.inf
+                distances[~eligible(rows, p_rows)] = np.inf
                 at, cols = _smallest(distances, limit)
                 found_q.append(rows[at])
                 found_p.append(p_rows[cols])
@@ -135,15 +159,16 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
                 by_distance[rows[at]] = False
 
         leftover = np.flatnonzero(by_distance) if mode != VECTOR else np.empty(0, dtype=int)
-        for start in range(0, len(leftover), _CHUNK):
+        for start in range(0, len(leftover) if len(near) else 0, _CHUNK):
             rows = leftover[start : start + _CHUNK]
-            mask = eligible(rows)
+            mask = eligible(rows, near)
             at, cols = np.nonzero(mask)
             distances = np.full(mask.shape, np.inf)
-            distances[at, cols] = _kilometres(q["q_lat"][rows[at]], q["q_lon"][rows[at]], p_lat[cols], p_lon[cols])
+            distances[at, cols] = _kilometres(
+                q["q_lat"][rows[at]], q["q_lon"][rows[at]], p_lat[near[cols]], p_lon[near[cols]])
             at, cols = _smallest(distances, limit)
             found_q.append(rows[at])
-            found_p.append(cols)
+            found_p.append(near[cols])
             found_cos.append(np.full(len(at), np.nan))
             found_semantic.append(np.zeros(len(at), dtype=bool))
 
@@ -187,20 +212,27 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
     cell. The directory of cells occupied on both sides is written once; it decides how
     many blocks a cell needs and is broadcast only when its row count allows it.
     """
-    def counted(rows: DataFrame, cells: Column, name: str, size: int) -> DataFrame:
+    def counted(rows: DataFrame, cells: Column, name: str) -> DataFrame:
         cell_rows = rows.select(cells.alias("cell")).select("cell.*")
-        return cell_rows.groupBy(*cell_rows.columns).agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("long").alias(name))
+        return cell_rows.groupBy(*cell_rows.columns).agg(F.count(F.lit(1)).alias(name))
 
-    request_counts = counted(requests, request_cells, "request_blocks", request_block)
-    place_counts = counted(places, place_cells, "place_blocks", place_block)
+    request_counts = counted(requests, request_cells, "n_requests")
+    place_counts = counted(places, place_cells, "n_places")
     keys = request_counts.columns[:-1]
     directory = materialize(request_counts.join(place_counts, keys), "cells")
-    small = directory.count() <= broadcast_cells
+    size = directory.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("n_requests") * F.col("n_places").cast("double")).alias("pairs")).first()
+    small = size["cells"] <= broadcast_cells
+    directory = directory.select(
+        *keys, F.ceil(F.col("n_requests") / F.lit(request_block)).alias("request_blocks"),
+        F.ceil(F.col("n_places") / F.lit(place_block)).alias("place_blocks"))
+    # Tasks are sized by the pairs they score, not by their bytes, which say little here.
+    tasks = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                min(math.ceil((size["pairs"] or 0.0) / TASK_PAIRS), MAX_TASKS))
 
     left = _in_blocks(requests, request_cells, "request", "request", "place", directory, "qid", small)
     right = _in_blocks(places, place_cells, "place", "place", "request", directory, "id", small)
     group = [*keys, "request_block", "place_block"]
+    left, right = (side.repartition(tasks, *group) for side in (left, right))
     qid_type = requests.schema["qid"].dataType.simpleString()
     schema = (f"qid {qid_type}, q_lat double, q_lon double, max_km double, id bigint, "
               "p_lat double, p_lon double, cos_dist double, semantic boolean")

@@ -1,8 +1,8 @@
 """Grid cells for the request-place join.
 
 Ten grids with cells of 2^-10 to 256 degrees, each four times coarser than the one before. A
-request uses the grid on which its box spans at most four cell widths, so 0.5 km and
-500 km requests never share one; a place has one cell on every grid in use.
+request uses a grid that fits its box, so 0.5 km and 500 km requests never share one; a place
+has one cell on every grid in use.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from tablescout import fixed_values as V
 from tablescout.session import materialize
 
 LEVELS = 10
-_CELLS_PER_BOX = 4.0
+#: Widest box per cell width. Scoring vectors is the dear part, so their cells follow the box
+#: closely; distances are cheap, so fewer cells and fewer groups win.
+_VECTOR_CELLS, _DISTANCE_CELLS = 4.0, 2.0
 #: Grids on which qualifying places are counted when a distance search is narrowed.
 _COUNT_LEVELS = 7
 _RATINGS = range(V.MAX_RATING + 1)
@@ -25,9 +27,10 @@ def cell_size(level: int) -> float:
 
 
 def box_level() -> Column:
-    """The finest grid on which the box spans at most four cells per axis."""
+    """The finest grid whose cells are not too small for the box."""
     width = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"))
-    fits = [F.when(width <= F.lit(_CELLS_PER_BOX * cell_size(j)), F.lit(j)) for j in range(LEVELS)]
+    cells = F.when(F.col("query_vector").isNull(), F.lit(_DISTANCE_CELLS)).otherwise(F.lit(_VECTOR_CELLS))
+    fits = [F.when(width <= cells * F.lit(cell_size(j)), F.lit(j)) for j in range(LEVELS)]
     return F.coalesce(*fits, F.lit(LEVELS - 1))
 
 
@@ -36,7 +39,7 @@ def _cell(level: Column, cy: Column, cx: Column) -> Column:
 
 
 def box_cells() -> Column:
-    """Explodes to the cells the request box touches (at most five per axis below the last grid)."""
+    """Explodes to the cells the request box touches (two to five per axis below the last grid)."""
     size = F.element_at(F.array(*(F.lit(cell_size(j)) for j in range(LEVELS))), F.col("level") + 1)
     rows = F.sequence(F.floor(F.col("lat_min") / size), F.floor(F.col("lat_max") / size))
     columns = F.sequence(F.floor(F.col("lon_min") / size), F.floor(F.col("lon_max") / size))
@@ -51,30 +54,19 @@ def place_cells(levels: list[int]) -> Column:
     return F.explode(F.array(*cells))
 
 
-def levels_in_use(requests: DataFrame) -> list[int]:
-    """At most ten numbers."""
-    found = requests.agg(F.collect_set("level").alias("levels")).first()["levels"]
-    return sorted(found) or [0]
-
-
 def _dense_cells(places: DataFrame, need: int) -> DataFrame:
     """Cells with at least ``need`` places, with one bit per (rating, price) filter that still leaves ``need``."""
-    passing = [
-        (F.lit(r == 0) | (F.col("rating") >= r)) & (F.lit(p < 0) | (F.col("price") <= p))
-        for r in _RATINGS for p in _PRICES
-    ]
+    filters = [(r, p) for r in _RATINGS for p in _PRICES]
     cells = places.select("rating", "price", place_cells(list(range(_COUNT_LEVELS))).alias("cell"))
-    counts = cells.groupBy("cell.level", "cell.cy", "cell.cx").agg(
-        *(F.count_if(condition).alias(f"n{i}") for i, condition in enumerate(passing)))
-    bits = [F.when(F.col(f"n{i}") >= need, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(passing))]
-    mask = bits[0]
-    for bit in bits[1:]:
-        mask = mask.bitwiseOR(bit)
-    return counts.where(F.col("n0") >= need).select("level", "cy", "cx", mask.cast("long").alias("enough"))
+    counts = cells.groupBy("cell.level", "cell.cy", "cell.cx").agg(*(
+        F.expr(f"count_if(({r} = 0 or rating >= {r}) and ({p} < 0 or price <= {p})) as n{i}")
+        for i, (r, p) in enumerate(filters)))
+    bits = " | ".join(f"if(n{i} >= {need}, {1 << i}L, 0L)" for i in range(len(filters)))
+    return counts.where(F.col("n0") >= need).select("level", "cy", "cx", F.expr(bits).alias("enough"))
 
 
 def narrow_boxes(requests: DataFrame, places: DataFrame, need: int) -> DataFrame:
-    """Shrink the boxes of distance searches without changing their answers.
+    """Shrink the boxes of requests without a vector; their distance answers stay the same.
 
     If the request's own cell on some grid lies inside its box and holds ``need`` qualifying
     places, the ``need`` nearest are no farther than the cell's far corner, and only that
@@ -84,7 +76,7 @@ def narrow_boxes(requests: DataFrame, places: DataFrame, need: int) -> DataFrame
     filter_index = F.greatest(F.col("min_rating"), F.lit(0)) * len(_PRICES) + F.greatest(F.col("max_price"), F.lit(0))
     sizes = F.array(*(F.lit(cell_size(j)) for j in range(_COUNT_LEVELS)))
     probes = (
-        requests.where((F.col("min_rating") <= V.MAX_RATING) & (F.col("max_price") <= V.MAX_PRICE)
+        requests.where(F.col("query_vector").isNull() & (F.col("min_rating") <= V.MAX_RATING) & (F.col("max_price") <= V.MAX_PRICE)
                        & (F.abs("q_lat") < 89.0))
         .select("qid", "q_lat", "q_lon", "lat_min", "lat_max", "lon_min", "lon_max",
                 filter_index.alias("filter_index"), F.posexplode(sizes).alias("level", "size"))
@@ -122,7 +114,7 @@ def narrow_boxes(requests: DataFrame, places: DataFrame, need: int) -> DataFrame
         "lon_max": F.least(F.col("lon_max"), F.col("q_lon") + half_lon),
     }
     joined = requests.join(finest, "qid", "left")
-    known = F.col("own_level").isNotNull() & F.col("query_vector").isNull()
+    known = F.col("own_level").isNotNull()
     return joined.withColumns(
         {name: F.when(known, edge).otherwise(F.col(name)) for name, edge in edges.items()}
     ).drop("own_level")

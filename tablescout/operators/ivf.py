@@ -62,7 +62,7 @@ def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int =
     asked = requests.where(F.col("query_vector").isNotNull())
     probes = _probes(asked, "qid", "query_vector", index.centroids, n_probe)
     q = blocks.prepare_requests(asked.join(probes, "qid"), True, "clusters")
-    p = blocks.prepare_places(index.places, True, "cluster")
+    p = blocks.vector_places(index.places, "cluster")
     request_cells = F.explode(F.transform("clusters", lambda c: F.struct(c.alias("cell_id"))))
     place_cells = F.explode(F.array(F.struct(F.col("cluster").alias("cell_id"))))
     found = best_hits(blocks.blocked_hits(q, p, request_cells, place_cells, mode=blocks.VECTOR, limit=limit,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablescout import fixed_values as V
@@ -9,25 +12,73 @@ from tablescout.functions import geo
 from tablescout.operators import blocks, geocells
 
 
-def _nearest(requests: DataFrame, places: DataFrame, mode: str, limit: int, **block_options: int) -> DataFrame:
+#: What a search depends on; requests equal in all of these are copies.
+_CONTENT = ("latitude", "longitude", "max_distance_km", "minimum_rating", "preferred_price_range", "query_vector")
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What the request table looks like: a few numbers, whatever its size."""
+
+    levels: list[int]
+    without_vector: bool
+    many_copies: bool
+
+
+def profile(requests: DataFrame, with_vectors: bool = True) -> Profile:
+    """Grids in use, whether any request lacks a vector, and whether at least half are copies."""
+    q = blocks.prepare_requests(requests, with_vectors)
+    spots = F.approx_count_distinct(F.xxhash64("q_lat", "q_lon", "max_km", "min_rating", "max_price"))
+    seen = q.agg(
+        F.collect_set(geocells.box_level()).alias("levels"), F.count(F.lit(1)).alias("n"), spots.alias("spots"),
+        F.count_if(F.col("query_vector").isNull()).alias("without_vector")).first()
+    return Profile(sorted(seen["levels"]), seen["without_vector"] > 0, 2 * seen["spots"] < seen["n"])
+
+
+def answer_copies_once(requests: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``search`` on one request of every group of copies and hand its rows to the others.
+
+    Groups are known by a digest; the lowest qid of a group stands for it. The last join, where a
+    digest may be very common, is split by the adaptive skew join.
+    """
+    digest = F.sha2(F.to_json(F.struct(*(c for c in _CONTENT if c in requests.columns))), 256)
+    members = requests.select("qid", digest.alias("digest"))
+    leaders = members.groupBy("digest").agg(F.min("qid").alias("qid"))
+    found = search(requests.join(leaders.select("qid"), "qid", "left_semi"))
+    columns = found.columns
+    found = found.join(leaders, "qid").drop("qid")
+    return members.join(found, "digest").select(*columns)
+
+
+def _nearest(requests: DataFrame, places: DataFrame, mode: str, limit: int, seen: Profile, **block_options: int) -> DataFrame:
     """The ``limit`` best hits per request before the radius filter, ordered by ``rn``."""
-    with_vectors = mode != blocks.DISTANCE
+    q = blocks.prepare_requests(requests, mode != blocks.DISTANCE)
+    levels = seen.levels
     if mode == blocks.VECTOR:
-        requests = requests.where(F.col("query_vector").isNotNull())
-        places = places.where(F.col("embedding").isNotNull())
-    q = blocks.prepare_requests(requests, with_vectors)
-    p = blocks.prepare_places(places, with_vectors)
-    if mode != blocks.VECTOR:
-        by_distance = q.where(F.col("query_vector").isNull())
-        narrowed = geocells.narrow_boxes(by_distance, p, limit)
-        q = narrowed if mode == blocks.DISTANCE else q.where(F.col("query_vector").isNotNull()).unionByName(narrowed)
+        q = q.where(F.col("query_vector").isNotNull())
+        p = blocks.vector_places(places)
+    else:
+        near = blocks.distance_places(places, limit)
+        if seen.without_vector:
+            q = geocells.narrow_boxes(q, near, limit)
+            levels = list(range(max(levels) + 1))  # a narrowed box uses a finer grid
+        p = near if mode == blocks.DISTANCE else blocks.vector_places(places).unionByName(near)
     q = q.withColumn("level", geocells.box_level())
-    levels = geocells.levels_in_use(q)
-    found = blocks.blocked_hits(q, p, geocells.box_cells(), geocells.place_cells(levels),
+    found = blocks.blocked_hits(q, p, geocells.box_cells(), geocells.place_cells(levels or [0]),
                                 mode=mode, limit=limit, **block_options)
     return best_hits(found, limit)
 
 
+def _search(requests: DataFrame, places: DataFrame, mode: str, limit: int, finish: Callable[[DataFrame], DataFrame],
+            **block_options: int) -> DataFrame:
+    seen = profile(requests, mode != blocks.DISTANCE)
+
+    def answer(asked: DataFrame) -> DataFrame:
+        return finish(_nearest(asked, places, mode, limit, seen, **block_options))
+
+    return answer_copies_once(requests, answer) if seen.many_copies else answer(requests)
+
+
 def best_hits(found: DataFrame, limit: int) -> DataFrame:
     """Merge the hits of all blocks: a request with any vector hit keeps only vector hits."""
     dist_km = geo.acos_km(F.col("q_lat"), F.col("q_lon"), F.col("p_lat"), F.col("p_lon"))
@@ -45,19 +96,19 @@ def best_hits(found: DataFrame, limit: int) -> DataFrame:
 def vector_hits(requests: DataFrame, places: DataFrame, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
                 **block_options: int) -> DataFrame:
     """Nearest places by cosine distance inside the box and filters; the radius is not applied."""
-    return _nearest(requests, places, blocks.VECTOR, limit, **block_options)
+    return _search(requests, places, blocks.VECTOR, limit, lambda hits: hits, **block_options)
 
 
 def distance_hits(requests: DataFrame, places: DataFrame, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
                   **block_options: int) -> DataFrame:
     """Nearest places by kilometres inside the box and filters; the radius is not applied."""
-    return _nearest(requests, places, blocks.DISTANCE, limit, **block_options)
+    return _search(requests, places, blocks.DISTANCE, limit, lambda hits: hits, **block_options)
 
 
 def hybrid_hits(requests: DataFrame, places: DataFrame, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
                 **block_options: int) -> DataFrame:
     """Vector hits where there are any, else distance hits, decided before the radius filter."""
-    return _nearest(requests, places, blocks.HYBRID, limit, **block_options)
+    return _search(requests, places, blocks.HYBRID, limit, lambda hits: hits, **block_options)
 
 
 def rerank(hits: DataFrame, k: int = V.RESULT_LIMIT, w_sem: float = V.SEMANTIC_WEIGHT,
@@ -78,7 +129,7 @@ def rerank(hits: DataFrame, k: int = V.RESULT_LIMIT, w_sem: float = V.SEMANTIC_W
 def retrieve(requests: DataFrame, places: DataFrame, k: int = V.RESULT_LIMIT, overfetch: int = V.OVERFETCH,
              **block_options: int) -> DataFrame:
     """Ranked answers of every request: ``qid, rank, id, dist_km, cos_dist, score, semantic``."""
-    return rerank(hybrid_hits(requests, places, k * overfetch, **block_options), k)
+    return _search(requests, places, blocks.HYBRID, k * overfetch, lambda hits: rerank(hits, k), **block_options)
 
 
 def attach_places(ranked: DataFrame, places: DataFrame) -> DataFrame:

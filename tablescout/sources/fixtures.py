@@ -6,13 +6,19 @@ constructor differs and is written ``{list}``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
 
+#: Table schemas by path, read from the files once.
+_SCHEMAS: dict[str, StructType] = {}
+
 VIEWS = {
     "places": """
 select p.p_partkey as id, p.p_name as name, d.text as description,
@@ -147,11 +153,17 @@ def duckdb_text(name: str) -> str:
     return _text(name, list="list_value", string="varchar")
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
+def _register(spark: SparkSession, sf_dir: str, text: str) -> None:
+    """Make the tables a text mentions available under their names."""
     for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        if re.search(rf"(from|join) {table}\b", text):
+            path = f"{sf_dir}/{table}.parquet"
+            if path not in _SCHEMAS:
+                _SCHEMAS[path] = spark.read.parquet(path).schema
+            spark.read.schema(_SCHEMAS[path]).parquet(path).createOrReplaceTempView(table)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register_tables(spark, sf_dir)
-    return spark.sql(spark_text(name))
+    text = spark_text(name)
+    _register(spark, sf_dir, text)
+    return spark.sql(text)
