@@ -185,8 +185,8 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
     return score
 
 
-def _in_blocks(rows: DataFrame, cells: Column, salt: str, own: str, other: str, directory: DataFrame,
-               light_key: str, broadcast: bool) -> DataFrame:
+def _in_blocks(rows: DataFrame, cells: Column, own: str, other: str, directory: DataFrame,
+               row_key: list[str], broadcast: bool) -> DataFrame:
     """Key every row by cell and block, once per block of the other side."""
     keys = [c for c in directory.columns if not c.endswith("_blocks")]
 
@@ -197,8 +197,8 @@ def _in_blocks(rows: DataFrame, cells: Column, salt: str, own: str, other: str,
         placed = in_cells([c for c in rows.columns if c not in keys]).join(F.broadcast(directory), keys)
     else:
         # Too many cells to broadcast: look the cells up with bare keys, then fetch the rows.
-        placed = rows.drop(*keys).join(in_cells([light_key]).join(directory, keys), light_key)
-    placed = placed.withColumn(f"{own}_block", F.pmod(F.xxhash64(F.lit(salt), light_key), f"{own}_blocks"))
+        placed = rows.drop(*keys).join(in_cells(row_key).join(directory, keys), row_key)
+    placed = placed.withColumn(f"{own}_block", F.pmod(F.xxhash64(F.lit(own), *row_key), f"{own}_blocks"))
     replicas = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))
     return placed.withColumn(f"{other}_block", replicas).drop("request_blocks", "place_blocks")
 
@@ -229,8 +229,8 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
     tasks = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 min(math.ceil((size["pairs"] or 0.0) / TASK_PAIRS), MAX_TASKS))
 
-    left = _in_blocks(requests, request_cells, "request", "request", "place", directory, "qid", small)
-    right = _in_blocks(places, place_cells, "place", "place", "request", directory, "id", small)
+    left = _in_blocks(requests, request_cells, "request", "place", directory, ["qid"], small)
+    right = _in_blocks(places, place_cells, "place", "request", directory, ["id", "for_distance"], small)
     group = [*keys, "request_block", "place_block"]
     left, right = (side.repartition(tasks, *group) for side in (left, right))
     qid_type = requests.schema["qid"].dataType.simpleString()

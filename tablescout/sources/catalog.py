@@ -76,6 +76,6 @@ def write_places(df: DataFrame, path: str, cell_deg: float = 0.25) -> None:
 def save_places(df: DataFrame, root: str, cell_deg: float = 0.25) -> str:
     """Publish a new version; readers see the old one until the write has committed."""
     version = f"{root}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    columns = [F.col(f.name).cast(f.dataType) for f in schemas.PLACES.fields]
+    columns = [F.col(f.name).cast(f.dataType.simpleString()) for f in schemas.PLACES.fields]
     write_places(df.select(*columns), version, cell_deg)
     return version
