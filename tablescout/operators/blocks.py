@@ -21,9 +21,12 @@ from tablescout import fixed_values as V
 from tablescout.functions import geo
 from tablescout.session import materialize
 
-#: Rows per block; a group of 2048 x 4096 with 768-float vectors is about 20 MB.
-REQUEST_BLOCK = 2048
-PLACE_BLOCK = 4096
+#: Rows per block: the size used in ordinary cells, and the most a crowded cell uses. Larger blocks
+#: mean fewer copies of each row; 16384 vectors of 768 floats are 50 MB.
+REQUEST_BLOCK = (2048, 16384)
+PLACE_BLOCK = (4096, 16384)
+#: Blocks of the ordinary size a cell is cut into before its blocks grow.
+_BLOCKS_PER_CELL = 64
 #: The cell directory (five integers per cell) is broadcast up to this many rows.
 BROADCAST_CELLS = 1_000_000
 #: Scored pairs per task (about ten seconds of work), and the most tasks asked for.
@@ -203,9 +206,14 @@ def _in_blocks(rows: DataFrame, cells: Column, own: str, other: str, directory:
     return placed.withColumn(f"{other}_block", replicas).drop("request_blocks", "place_blocks")
 
 
+def _block_count(rows: Column, sizes: tuple[int, int]) -> Column:
+    size = F.least(F.greatest(rows / F.lit(_BLOCKS_PER_CELL), F.lit(float(sizes[0]))), F.lit(float(sizes[1])))
+    return F.ceil(rows / size)
+
+
 def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column, place_cells: Column, *,
-                 mode: str, limit: int, request_block: int = REQUEST_BLOCK, place_block: int = PLACE_BLOCK,
-                 broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+                 mode: str, limit: int, request_block: tuple[int, int] = REQUEST_BLOCK,
+                 place_block: tuple[int, int] = PLACE_BLOCK, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Hits per request and block pair: at most ``limit`` rows of each pair.
 
     ``request_cells`` and ``place_cells`` are exploding expressions that yield one struct per
@@ -223,8 +231,8 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
     size = directory.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("n_requests") * F.col("n_places").cast("double")).alias("pairs")).first()
     small = size["cells"] <= broadcast_cells
     directory = directory.select(
-        *keys, F.ceil(F.col("n_requests") / F.lit(request_block)).alias("request_blocks"),
-        F.ceil(F.col("n_places") / F.lit(place_block)).alias("place_blocks"))
+        *keys, _block_count(F.col("n_requests"), request_block).alias("request_blocks"),
+        _block_count(F.col("n_places"), place_block).alias("place_blocks"))
     # Tasks are sized by the pairs they score, not by their bytes, which say little here.
     tasks = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 min(math.ceil((size["pairs"] or 0.0) / TASK_PAIRS), MAX_TASKS))

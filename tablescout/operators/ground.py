@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablescout import fixed_values as V
 from tablescout import schemas
 from tablescout.functions import text
 
+#: Candidate columns the answers are made of; long texts stay out of what is stored per answer.
+CANDIDATE_COLUMNS = ("qid", "rank", "id", "name", "cuisines", "overall_rating", "price_range", "latitude",
+                     "longitude", "dist_km")
+
 #: Columns of a recommendation besides ``qid`` and ``position``.
 _FIELDS = ("id", "restaurant_name", "justification", "distance", "overall_rating", "price_range",
            "cuisines", "latitude", "longitude")
@@ -71,6 +78,22 @@ def recommendations(candidates: DataFrame, generated: DataFrame | None = None) -
     return rows.select("qid", position.alias("position"), *_FIELDS, "generated")
 
 
+def generate_responses(prompts: DataFrame, generator: Callable[[str], str | None]) -> DataFrame:
+    """``(qid, body)`` from a text generator; a prompt that fails has a NULL body and gets template rows."""
+    def respond(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def body(prompt: str) -> str | None:
+            try:
+                return generator(prompt)
+            except Exception:
+                return None
+
+        for frame in frames:
+            yield pd.DataFrame({"qid": frame["qid"], "body": [body(p) for p in frame["prompt"]]})
+
+    qid_type = prompts.schema["qid"].dataType.simpleString()
+    return prompts.select("qid", "prompt").mapInPandas(respond, f"qid {qid_type}, body string")
+
+
 def build_prompts(requests: DataFrame, candidates: DataFrame, max_results: int = V.RESULT_LIMIT) -> DataFrame:
     """One prompt per request that has candidates; at most ``k`` lines meet in a group."""
     lines = candidates.select("qid", F.struct("rank", text.candidate_line(F.col("dist_km")).alias("line")).alias("entry"))

@@ -8,48 +8,51 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablescout import fixed_values as V
 from tablescout.operators import blocks
 from tablescout.operators.retrieve import best_hits, vector_hits
 from tablescout.session import materialize
 
+_REQUEST_COLUMNS = ("qid", "latitude", "longitude", "max_distance_km", "minimum_rating", "preferred_price_range",
+                    "query_vector")
+
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """Places with their cluster, and the ``n_cells`` unit centroids."""
+    """Search columns of the places with their cluster, and the ``n_cells`` unit centroids."""
 
     places: DataFrame
     centroids: np.ndarray
 
 
-def _probes(df: DataFrame, key: str, vector: str, centroids: np.ndarray, count: int) -> DataFrame:
-    """``(key, clusters)``: the ``count`` clusters of highest cosine, best first."""
+def _with_clusters(df: DataFrame, vector: str, centroids: np.ndarray, count: int) -> DataFrame:
+    """Add ``clusters``: the ``count`` clusters of highest cosine, best first. Vectors of another size drop out."""
     def nearest(batches):
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False)
             scores = flat.reshape(batch.num_rows, -1).astype(np.float64) @ centroids.T
             best = np.argsort(-scores, axis=1, kind="stable")[:, :count].astype(np.int32)
-            clusters = pa.ListArray.from_arrays(
-                pa.array(np.arange(batch.num_rows + 1) * best.shape[1], type=pa.int32()), pa.array(best.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), clusters], names=[key, "clusters"])
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * best.shape[1]
+            clusters = pa.ListArray.from_arrays(pa.array(offsets), pa.array(best.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, clusters], names=[*batch.schema.names, "clusters"])
 
-    key_type = df.schema[key].dataType.simpleString()
-    fitting = df.where(F.size(vector) == centroids.shape[1]).select(key, vector)
-    return fitting.mapInArrow(nearest, f"{key} {key_type}, clusters array<int>")
+    fitting = df.where(F.size(vector) == centroids.shape[1])
+    schema = T.StructType(fitting.schema.fields + [T.StructField("clusters", T.ArrayType(T.IntegerType()))])
+    return fitting.mapInArrow(nearest, schema)
 
 
 def build_ivf(places: DataFrame, n_cells: int, max_iter: int = 10, seed: int = V.SAMPLE_SEED) -> VectorIndex:
     """Cluster the places that have a vector by cosine; ``n_cells`` bounds what tasks receive."""
-    embedded = places.where(F.col("embedding").isNotNull())
+    embedded = places.where(F.col("embedding").isNotNull()).select(
+        "id", "latitude", "longitude", "overall_rating", "price_range", "embedding")
     features = embedded.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=n_cells, distanceMeasure="cosine", maxIter=max_iter, seed=seed).fit(features)
     centers = np.array(model.clusterCenters())
     centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
-    nearest = _probes(embedded, "id", "embedding", centers, 1)
-    assigned = embedded.join(nearest.select("id", F.col("clusters")[0].alias("cluster")), "id")
-    return VectorIndex(assigned, centers)
+    assigned = _with_clusters(embedded, "embedding", centers, 1)
+    return VectorIndex(assigned.withColumn("cluster", F.col("clusters")[0]).drop("clusters"), centers)
 
 
 def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
@@ -60,8 +63,8 @@ def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int =
     is short because its filters left too little in the probed clusters.
     """
     asked = requests.where(F.col("query_vector").isNotNull())
-    probes = _probes(asked, "qid", "query_vector", index.centroids, n_probe)
-    q = blocks.prepare_requests(asked.join(probes, "qid"), True, "clusters")
+    probed = _with_clusters(asked.select(*_REQUEST_COLUMNS), "query_vector", index.centroids, n_probe)
+    q = blocks.prepare_requests(probed, True, "clusters")
     p = blocks.vector_places(index.places, "cluster")
     request_cells = F.explode(F.transform("clusters", lambda c: F.struct(c.alias("cell_id"))))
     place_cells = F.explode(F.array(F.struct(F.col("cluster").alias("cell_id"))))

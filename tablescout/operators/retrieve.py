@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablescout import fixed_values as V
-from tablescout.functions import geo
+from tablescout.functions import geo, vectors
 from tablescout.operators import blocks, geocells
 
 
@@ -145,14 +145,24 @@ def single_box(places: DataFrame, lat: float, lon: float, max_km: float) -> Data
     return places.where(geo.box_condition(F.col("latitude"), F.col("longitude"), bounds))
 
 
+def _single(places: DataFrame, lat: float, lon: float, max_km: float, min_rating: int, price: int) -> DataFrame:
+    dist_km = geo.acos_km(F.lit(float(lat)), F.lit(float(lon)), F.col("latitude"), F.col("longitude"))
+    wanted = geo.attribute_condition(
+        F.col("overall_rating"), F.col("price_range"), F.lit(min_rating), F.lit(-1 if price <= 0 else price))
+    return single_box(places, lat, lon, max_km).where(wanted).withColumn("dist_km", dist_km)
+
+
+def single_vector(places: DataFrame, vector: Sequence[float], lat: float, lon: float, max_km: float,
+                  min_rating: int = 0, price: int = 0, limit: int = V.RESULT_LIMIT * V.OVERFETCH) -> DataFrame:
+    """Nearest places of one request by cosine distance, before the radius filter."""
+    query = F.array(*(F.lit(float(x)) for x in vector))
+    found = _single(places, lat, lon, max_km, min_rating, price).where(F.size("embedding") == len(vector))
+    scored = found.withColumn("cos_dist", F.round(vectors.cosine_distance(query, F.col("embedding")), 12))
+    return scored.where(F.col("cos_dist").isNotNull()).orderBy("cos_dist", "id").limit(limit)
+
+
 def single_distance(places: DataFrame, lat: float, lon: float, max_km: float, min_rating: int = 0,
                     price: int = 0, k: int = V.RESULT_LIMIT, overfetch: int = V.OVERFETCH) -> DataFrame:
     """Nearest places of one request: limit ``k * overfetch``, radius filter, limit ``k``."""
-    max_price = -1 if price <= 0 else price
-    dist_km = geo.acos_km(F.lit(float(lat)), F.lit(float(lon)), F.col("latitude"), F.col("longitude"))
-    wanted = geo.attribute_condition(F.col("overall_rating"), F.col("price_range"), F.lit(min_rating), F.lit(max_price))
-    nearest = (
-        single_box(places, lat, lon, max_km).where(wanted)
-        .withColumn("dist_km", dist_km).orderBy("dist_km", "id").limit(k * overfetch)
-    )
+    nearest = _single(places, lat, lon, max_km, min_rating, price).orderBy("dist_km", "id").limit(k * overfetch)
     return nearest.where(F.col("dist_km") <= max_km).orderBy("dist_km", "id").limit(k)

@@ -24,12 +24,11 @@ def densest_metro(places: DataFrame, position: str = "id") -> DataFrame:
 
 
 def centroid(places: DataFrame, position: str = "id") -> DataFrame:
-    """Mean position of the densest metro. The other side of the join is one row."""
-    top = F.broadcast(densest_metro(places, position).select(F.col("city").alias("top_city"), F.col("state").alias("top_state"), "n"))
-    inside = F.col("city").eqNullSafe(F.col("top_city")) & F.col("state").eqNullSafe(F.col("top_state"))
-    return places.join(top, inside).groupBy("top_city", "top_state", "n").agg(
-        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude")
-    ).withColumnsRenamed({"top_city": "city", "top_state": "state"})
+    """Mean position of the densest metro, from one pass over the places."""
+    return places.groupBy("city", "state").agg(
+        F.count(F.lit(1)).alias("n"), F.min(position).alias("first_pos"),
+        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"),
+    ).orderBy(F.desc("n"), F.asc("first_pos")).limit(1).drop("first_pos")
 
 
 def sample_catalog(places: DataFrame, size: int = V.SAMPLE_SIZE, seed: int = V.SAMPLE_SEED,

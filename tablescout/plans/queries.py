@@ -44,7 +44,7 @@ def _generated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    found = materialize(_candidates(spark, sf), "candidates")
+    found = materialize(_candidates(spark, sf).select(*ground.CANDIDATE_COLUMNS), "candidates")
     return ground.recommendations(found, _generated(spark, sf))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tablescout import fixed_values as V
+from tablescout.functions import text
 from tablescout.operators import backfill, ground
 from tablescout.operators.requests import validate_requests
 from tablescout.operators.retrieve import attach_places, retrieve
@@ -13,7 +14,7 @@ from tablescout.session import materialize
 
 def candidates(requests: DataFrame, places: DataFrame, embedder: backfill.Embedder | None = None,
                k: int = V.RESULT_LIMIT, **options) -> DataFrame:
-    """Ranked catalog rows of every valid request.
+    """Ranked catalog rows of every valid request, with descriptions as a prompt shows them.
 
     With an embedder the query vectors are computed from the request texts; otherwise the
     ``query_vector`` column is used as it is.
@@ -21,7 +22,9 @@ def candidates(requests: DataFrame, places: DataFrame, embedder: backfill.Embedd
     accepted, _ = validate_requests(requests)
     if embedder is not None:
         accepted = backfill.embed_distinct(accepted, embedder, **options)
-    return attach_places(retrieve(accepted, places, k), places)
+    # Descriptions are cut to prompt size once per place, before they are copied to every answer.
+    shown = places.withColumn("description", text.short_description(F.col("description")))
+    return attach_places(retrieve(accepted, places, k), shown)
 
 
 def recommend(requests: DataFrame, places: DataFrame, responses: DataFrame | None = None,
@@ -33,7 +36,7 @@ def recommend(requests: DataFrame, places: DataFrame, responses: DataFrame | Non
     found = candidates(requests, places, embedder, k)
     if responses is None:
         return ground.recommendations(found)
-    found = materialize(found, "candidates")
+    found = materialize(found.select(*ground.CANDIDATE_COLUMNS), "candidates")
     return ground.recommendations(found, ground.parse_generated(responses))
 
 

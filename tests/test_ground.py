@@ -1,5 +1,7 @@
 import json
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tablescout.operators import ground
@@ -7,6 +9,8 @@ from tablescout.plans import recommend as jobs
 
 from helpers import places_df, requests_df
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CANDIDATES = ("qid long, rank int, id long, name string, description string, cuisines array<string>, overall_rating double, "
               "price_range int, latitude double, longitude double, dist_km double")
 
@@ -93,6 +97,19 @@ def test_whole_job_with_responses(spark, tmp_path):
         (1, 2, "Best."), (2, 1, "Zen, about 0.0 km away."), (2, 2, "Tony, about 0.0 km away.")]
 
 
+def test_generator_failures_leave_no_body(spark):
+    prompts = spark.createDataFrame([(1, "good"), (2, "bad")], "qid long, prompt string")
+
+    def generator(prompt):
+        if prompt == "bad":
+            raise RuntimeError("quota")
+        return body('[{"name":"A","justification":"ok"}]')
+
+    responses = ground.generate_responses(prompts, generator)
+    assert {r["qid"]: r["body"] is None for r in responses.collect()} == {1: False, 2: True}
+    assert ground.recommendations(candidates(spark, "A"), ground.parse_generated(responses)).first()["justification"] == "ok"
+
+
 def test_candidates_are_ranked_by_struct_order(spark):
     shuffled = candidates(spark, *"ABCDEFGHIJK").orderBy(F.desc("rank"))
     asked = spark.createDataFrame([(1, "x", 0, 0)], "qid long, preferred_cuisine string, minimum_rating int, preferred_price_range int")
