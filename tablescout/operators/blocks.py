@@ -10,7 +10,7 @@ holds a third of all rows therefore becomes many equal groups instead of one hot
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,9 @@ BROADCAST_CELLS = 1_000_000
 #: Scored pairs per task (about ten seconds of work), and the most tasks asked for.
 TASK_PAIRS = 2e8
 MAX_TASKS = 100_000
-#: Request rows scored at once inside a group.
+#: Request rows scored at once inside a group, and the pairs from which a group is split by filter.
 _CHUNK = 256
+_SPLIT_BY_FILTER = 1_000_000
 
 VECTOR = "vector"  # vector hits only
 DISTANCE = "distance"  # distance hits only
@@ -131,58 +132,76 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
         places = places.sort_by("id")  # column order is then the tie-break
         q = {n: _numbers(requests, n) for n in
              ("q_lat", "q_lon", "lat_min", "lat_max", "lon_min", "lon_max", "min_rating", "max_price")}
-        p_lat, p_lon, rating, price = (_numbers(places, n) for n in ("p_lat", "p_lon", "rating", "price"))
+        p = {n: _numbers(places, n) for n in ("p_lat", "p_lon", "rating", "price")}
         near = np.flatnonzero(places["for_distance"].to_numpy())
         q_dims, q_vectors = _vectors(requests, "query_vector")
         p_dims, p_vectors = _vectors(places, "embedding")
-
-        found_q, found_p, found_cos, found_semantic = [], [], [], []
+        found = []  # (request rows, place rows, cosine distances, semantic)
         by_distance = np.ones(len(q_dims), dtype=bool)
 
         def eligible(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-            one = {n: values[rows, None] for n, values in q.items()}
-            inside = (p_lat[cols] >= one["lat_min"]) & (p_lat[cols] <= one["lat_max"])
-            inside &= (p_lon[cols] >= one["lon_min"]) & (p_lon[cols] <= one["lon_max"])
-            inside &= (one["min_rating"] <= 0) | (rating[cols] >= one["min_rating"])
-            return inside & ((one["max_price"] < 0) | (price[cols] <= one["max_price"]))
+            """Box and filters; a condition that all these rows and columns meet is not spelled out."""
+            mask = np.ones((len(rows), len(cols)), dtype=bool)
+            for name, low, high in (("p_lat", "lat_min", "lat_max"), ("p_lon", "lon_min", "lon_max")):
+                values = p[name][cols]
+                if q[low][rows].max() > values.min():
+                    mask &= values >= q[low][rows, None]
+                if q[high][rows].min() < values.max():
+                    mask &= values <= q[high][rows, None]
+            least, most = q["min_rating"][rows, None], q["max_price"][rows, None]
+            rating, price = p["rating"][cols], p["price"][cols]
+            if least.max() > 0 and least.max() > rating.min():
+                mask &= (least <= 0) | (rating >= least)
+            if most.max() >= 0 and most[most >= 0].min() < price.max():
+                mask &= (most < 0) | (price <= most)
+            return mask
+
+        def batches(rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Positions in ``rows`` and ``cols`` to score together. A large group goes filter by filter,
+            so that places a filter drops are not scored at all."""
+            parts = [(np.arange(len(rows)), np.arange(len(cols)))]
+            if len(rows) * len(cols) > _SPLIT_BY_FILTER:
+                limits = np.stack([np.maximum(q["min_rating"][rows], 0), q["max_price"][rows]], axis=1)
+                kinds, kind = np.unique(limits, axis=0, return_inverse=True)
+                parts = [
+                    (np.flatnonzero(kind == i), np.flatnonzero(
+                        ((least <= 0) | (p["rating"][cols] >= least)) & ((most < 0) | (p["price"][cols] <= most))))
+                    for i, (least, most) in enumerate(kinds)
+                ]
+            for some_rows, some_cols in parts:
+                if len(some_cols):
+                    for start in range(0, len(some_rows), _CHUNK):
+                        yield some_rows[start : start + _CHUNK], some_cols
 
         for dim in np.unique(q_dims[q_dims > 0]) if mode != DISTANCE else ():
             p_rows, p_units = _unit_rows(p_vectors, np.flatnonzero(p_dims == dim), dim)
             q_rows, q_units = _unit_rows(q_vectors, np.flatnonzero(q_dims == dim), dim)
-            for start in range(0, len(q_rows) if len(p_rows) else 0, _CHUNK):
-                rows = q_rows[start : start + _CHUNK]
+            for i, j in batches(q_rows, p_rows):
+                units = p_units if len(j) == len(p_units) else p_units[j]
                 # Rounded so that equal vectors tie in every block, whatever its shape.
-                distances = np.round(1.0 - q_units[start : start + _CHUNK] @ p_units.T, 12)
-                distances[~eligible(rows, p_rows)] = np.inf
+                distances = np.round(1.0 - q_units[i] @ units.T, 12)
+                distances[~eligible(q_rows[i], p_rows[j])] = np.inf
                 at, cols = _smallest(distances, limit)
-                found_q.append(rows[at])
-                found_p.append(p_rows[cols])
-                found_cos.append(distances[at, cols])
-                found_semantic.append(np.ones(len(at), dtype=bool))
-                by_distance[rows[at]] = False
+                found.append((q_rows[i[at]], p_rows[j[cols]], distances[at, cols], np.ones(len(at), dtype=bool)))
+                by_distance[q_rows[i[at]]] = False
 
         leftover = np.flatnonzero(by_distance) if mode != VECTOR else np.empty(0, dtype=int)
-        for start in range(0, len(leftover) if len(near) else 0, _CHUNK):
-            rows = leftover[start : start + _CHUNK]
-            mask = eligible(rows, near)
+        for i, j in batches(leftover, near):
+            rows, columns = leftover[i], near[j]
+            mask = eligible(rows, columns)
             at, cols = np.nonzero(mask)
             distances = np.full(mask.shape, np.inf)
             distances[at, cols] = _kilometres(
-                q["q_lat"][rows[at]], q["q_lon"][rows[at]], p_lat[near[cols]], p_lon[near[cols]])
+                q["q_lat"][rows[at]], q["q_lon"][rows[at]], p["p_lat"][columns[cols]], p["p_lon"][columns[cols]])
             at, cols = _smallest(distances, limit)
-            found_q.append(rows[at])
-            found_p.append(near[cols])
-            found_cos.append(np.full(len(at), np.nan))
-            found_semantic.append(np.zeros(len(at), dtype=bool))
-
-        def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
-            return np.concatenate(parts).astype(kind) if parts else np.empty(0, dtype=kind)
-
-        q_index, p_index = pa.array(joined(found_q, np.int64)), pa.array(joined(found_p, np.int64))
-        columns = {name: requests[name].take(q_index) for name in ("qid", "q_lat", "q_lon", "max_km")}
-        columns |= {name: places[name].take(p_index) for name in ("id", "p_lat", "p_lon")}
-        columns["cos_dist"] = pa.array(joined(found_cos, np.float64), from_pandas=True)
-        columns["semantic"] = pa.array(joined(found_semantic, np.bool_))
+            found.append((rows[at], columns[cols], np.full(len(at), np.nan), np.zeros(len(at), dtype=bool)))
+
+        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64), np.empty(0, np.bool_))
+        q_index, p_index, cosines, semantic = (np.concatenate(part) for part in zip(empty, *found))
+        columns = {name: requests[name].take(pa.array(q_index)) for name in ("qid", "q_lat", "q_lon", "max_km")}
+        columns |= {name: places[name].take(pa.array(p_index)) for name in ("id", "p_lat", "p_lon")}
+        columns["cos_dist"] = pa.array(cosines, from_pandas=True)
+        columns["semantic"] = pa.array(semantic)
         return pa.table(columns)
 
     return score

@@ -1,6 +1,6 @@
 """Grid cells for the request-place join.
 
-Ten grids with cells of 2^-10 to 256 degrees, each four times coarser than the one before. A
+Twelve grids with cells of 2^-14 to 256 degrees, each four times coarser than the one before. A
 request uses a grid that fits its box, so 0.5 km and 500 km requests never share one; a place
 has one cell on every grid in use.
 """
@@ -12,18 +12,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablescout import fixed_values as V
 from tablescout.session import materialize
 
-LEVELS = 10
+LEVELS = 12
 #: Widest box per cell width. Scoring vectors is the dear part, so their cells follow the box
 #: closely; distances are cheap, so fewer cells and fewer groups win.
 _VECTOR_CELLS, _DISTANCE_CELLS = 4.0, 2.0
 #: Grids on which qualifying places are counted when a distance search is narrowed.
-_COUNT_LEVELS = 7
+_COUNT_LEVELS = 9
 _RATINGS = range(V.MAX_RATING + 1)
 _PRICES = (-1, *range(1, V.MAX_PRICE + 1))
 
 
 def cell_size(level: int) -> float:
-    return 2.0 ** (2 * level - 10)
+    return 2.0 ** (2 * level - 14)
 
 
 def box_level() -> Column:

@@ -26,13 +26,13 @@ class Profile:
 
 
 def profile(requests: DataFrame, with_vectors: bool = True) -> Profile:
-    """Grids in use, whether any request lacks a vector, and whether at least half are copies."""
+    """Grids in use, whether any request lacks a vector, and whether at least a quarter are copies."""
     q = blocks.prepare_requests(requests, with_vectors)
     spots = F.approx_count_distinct(F.xxhash64("q_lat", "q_lon", "max_km", "min_rating", "max_price"))
     seen = q.agg(
         F.collect_set(geocells.box_level()).alias("levels"), F.count(F.lit(1)).alias("n"), spots.alias("spots"),
         F.count_if(F.col("query_vector").isNull()).alias("without_vector")).first()
-    return Profile(sorted(seen["levels"]), seen["without_vector"] > 0, 2 * seen["spots"] < seen["n"])
+    return Profile(sorted(seen["levels"]), seen["without_vector"] > 0, seen["spots"] < 0.75 * seen["n"])
 
 
 def answer_copies_once(requests: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
