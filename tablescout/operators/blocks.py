@@ -26,7 +26,7 @@ from tablescout.session import materialize
 REQUEST_BLOCK = (2048, 16384)
 PLACE_BLOCK = (4096, 16384)
 #: Blocks of the ordinary size a cell is cut into before its blocks grow.
-_BLOCKS_PER_CELL = 64
+_BLOCKS_PER_CELL = 8
 #: The cell directory (five integers per cell) is broadcast up to this many rows.
 BROADCAST_CELLS = 1_000_000
 #: Scored pairs per task (about ten seconds of work), and the most tasks asked for.
@@ -36,11 +36,26 @@ MAX_TASKS = 100_000
 _CHUNK = 256
 _SPLIT_BY_FILTER = 1_000_000
 
+#: The filters a valid request can set: whole stars, and a highest price or none.
+FILTERS = [(r, p) for r in range(V.MAX_RATING + 1) for p in (-1, *range(1, V.MAX_PRICE + 1))]
+
 VECTOR = "vector"  # vector hits only
 DISTANCE = "distance"  # distance hits only
 HYBRID = "hybrid"  # vector hits, and distance hits where a request has none in the group
 
 
+def filter_number(min_rating: Column, max_price: Column) -> Column:
+    """Position of a request's filter in ``FILTERS``; NULL for a filter outside the valid range."""
+    number = F.greatest(min_rating, F.lit(0)) * (V.MAX_PRICE + 1) + F.greatest(max_price, F.lit(0))
+    return F.when((min_rating <= V.MAX_RATING) & (max_price <= V.MAX_PRICE), number)
+
+
+def passed_filters() -> Column:
+    """One bit per entry of ``FILTERS`` that a place passes."""
+    return F.expr(" | ".join(
+        f"if(({r} = 0 or rating >= {r}) and ({p} < 0 or price <= {p}), {1 << i}L, 0L)" for i, (r, p) in enumerate(FILTERS)))
+
+
 def prepare_requests(requests: DataFrame, with_vectors: bool, *extra: str) -> DataFrame:
     """Numeric request columns the join needs (and ``extra`` ones); positions that match nothing are dropped."""
     lat, lon = F.col("latitude"), F.col("longitude")
@@ -50,6 +65,8 @@ def prepare_requests(requests: DataFrame, with_vectors: bool, *extra: str) -> Da
         F.col("max_distance_km").cast("double").alias("max_km"),
         F.col("minimum_rating").cast("int").alias("min_rating"),
         geo.price_limit(F.col("preferred_price_range").cast("int")).alias("max_price"),
+        filter_number(F.col("minimum_rating").cast("int"), geo.price_limit(F.col("preferred_price_range").cast("int")))
+        .alias("filter_number"),
         vector.alias("query_vector"), *extra,
         *(edge.alias(name) for name, edge in geo.box_bounds(lat, lon, F.col("max_distance_km").cast("double")).items()),
     )
@@ -97,9 +114,9 @@ def _vectors(table: pa.Table, name: str) -> tuple[np.ndarray, pa.Array]:
     return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), column
 
 
-def _unit_rows(column: pa.Array, rows: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _unit_rows(column: pa.Array, rows: np.ndarray, dim: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Unit-length matrix of the given rows; rows of zero length have no direction and are left out."""
-    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+    flat = column.take(pa.array(rows if order is None else order[rows])).flatten().to_numpy(zero_copy_only=False)
     matrix = flat.reshape(len(rows), dim).astype(np.float64)
     lengths = np.sqrt((matrix * matrix).sum(axis=1))
     kept = lengths > 0.0
@@ -129,11 +146,11 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
     """The scoring of one (request block, place block) group."""
 
     def score(requests: pa.Table, places: pa.Table) -> pa.Table:
-        places = places.sort_by("id")  # column order is then the tie-break
         q = {n: _numbers(requests, n) for n in
              ("q_lat", "q_lon", "lat_min", "lat_max", "lon_min", "lon_max", "min_rating", "max_price")}
-        p = {n: _numbers(places, n) for n in ("p_lat", "p_lon", "rating", "price")}
-        near = np.flatnonzero(places["for_distance"].to_numpy())
+        by_id = np.argsort(_numbers(places, "id"))  # column order is then the tie-break
+        p = {n: _numbers(places, n)[by_id] for n in ("p_lat", "p_lon", "rating", "price")}
+        near = np.flatnonzero(places["for_distance"].to_numpy()[by_id])
         q_dims, q_vectors = _vectors(requests, "query_vector")
         p_dims, p_vectors = _vectors(places, "embedding")
         found = []  # (request rows, place rows, cosine distances, semantic)
@@ -174,7 +191,7 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
                         yield some_rows[start : start + _CHUNK], some_cols
 
         for dim in np.unique(q_dims[q_dims > 0]) if mode != DISTANCE else ():
-            p_rows, p_units = _unit_rows(p_vectors, np.flatnonzero(p_dims == dim), dim)
+            p_rows, p_units = _unit_rows(p_vectors, np.flatnonzero(p_dims[by_id] == dim), dim, by_id)
             q_rows, q_units = _unit_rows(q_vectors, np.flatnonzero(q_dims == dim), dim)
             for i, j in batches(q_rows, p_rows):
                 units = p_units if len(j) == len(p_units) else p_units[j]
@@ -199,7 +216,7 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
         empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64), np.empty(0, np.bool_))
         q_index, p_index, cosines, semantic = (np.concatenate(part) for part in zip(empty, *found))
         columns = {name: requests[name].take(pa.array(q_index)) for name in ("qid", "q_lat", "q_lon", "max_km")}
-        columns |= {name: places[name].take(pa.array(p_index)) for name in ("id", "p_lat", "p_lon")}
+        columns |= {name: places[name].take(pa.array(by_id[p_index])) for name in ("id", "p_lat", "p_lon")}
         columns["cos_dist"] = pa.array(cosines, from_pandas=True)
         columns["semantic"] = pa.array(semantic)
         return pa.table(columns)
@@ -210,7 +227,7 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
 def _in_blocks(rows: DataFrame, cells: Column, own: str, other: str, directory: DataFrame,
                row_key: list[str], broadcast: bool) -> DataFrame:
     """Key every row by cell and block, once per block of the other side."""
-    keys = [c for c in directory.columns if not c.endswith("_blocks")]
+    keys = [c for c in directory.columns if not c.endswith("_blocks") and c != "passed"]
 
     def in_cells(columns: list[str]) -> DataFrame:
         return rows.select(*columns, cells.alias("cell")).select(*columns, "cell.*")
@@ -237,27 +254,29 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
 
     ``request_cells`` and ``place_cells`` are exploding expressions that yield one struct per
     cell. The directory of cells occupied on both sides is written once; it decides how
-    many blocks a cell needs and is broadcast only when its row count allows it.
+    many blocks a cell needs, drops the cells in which no place passes a request's filter, and is
+    broadcast only when its row count allows it.
     """
-    def counted(rows: DataFrame, cells: Column, name: str) -> DataFrame:
-        cell_rows = rows.select(cells.alias("cell")).select("cell.*")
-        return cell_rows.groupBy(*cell_rows.columns).agg(F.count(F.lit(1)).alias(name))
-
-    request_counts = counted(requests, request_cells, "n_requests")
-    place_counts = counted(places, place_cells, "n_places")
-    keys = request_counts.columns[:-1]
+    cell_requests = requests.select(request_cells.alias("cell")).select("cell.*")
+    keys = cell_requests.columns
+    request_counts = cell_requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_requests"))
+    cell_places = places.withColumn("passed", passed_filters()).select("passed", place_cells.alias("cell"))
+    place_counts = cell_places.select("passed", "cell.*").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_places"), F.bit_or("passed").alias("passed"))
     directory = materialize(request_counts.join(place_counts, keys), "cells")
     size = directory.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("n_requests") * F.col("n_places").cast("double")).alias("pairs")).first()
     small = size["cells"] <= broadcast_cells
     directory = directory.select(
-        *keys, _block_count(F.col("n_requests"), request_block).alias("request_blocks"),
+        *keys, "passed", _block_count(F.col("n_requests"), request_block).alias("request_blocks"),
         _block_count(F.col("n_places"), place_block).alias("place_blocks"))
     # Tasks are sized by the pairs they score, not by their bytes, which say little here.
     tasks = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 min(math.ceil((size["pairs"] or 0.0) / TASK_PAIRS), MAX_TASKS))
 
     left = _in_blocks(requests, request_cells, "request", "place", directory, ["qid"], small)
-    right = _in_blocks(places, place_cells, "place", "request", directory, ["id", "for_distance"], small)
+    possible = F.col("filter_number").isNull() | (F.getbit("passed", F.coalesce("filter_number", F.lit(0))) == 1)
+    left = left.where(possible).drop("passed", "filter_number")
+    right = _in_blocks(places, place_cells, "place", "request", directory.drop("passed"), ["id", "for_distance"], small)
     group = [*keys, "request_block", "place_block"]
     left, right = (side.repartition(tasks, *group) for side in (left, right))
     qid_type = requests.schema["qid"].dataType.simpleString()

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablescout import fixed_values as V
+from tablescout.operators.blocks import FILTERS
 from tablescout.session import materialize
 
 LEVELS = 12
@@ -18,8 +19,6 @@ LEVELS = 12
 _VECTOR_CELLS, _DISTANCE_CELLS = 4.0, 2.0
 #: Grids on which qualifying places are counted when a distance search is narrowed.
 _COUNT_LEVELS = 9
-_RATINGS = range(V.MAX_RATING + 1)
-_PRICES = (-1, *range(1, V.MAX_PRICE + 1))
 
 
 def cell_size(level: int) -> float:
@@ -56,12 +55,11 @@ def place_cells(levels: list[int]) -> Column:
 
 def _dense_cells(places: DataFrame, need: int) -> DataFrame:
     """Cells with at least ``need`` places, with one bit per (rating, price) filter that still leaves ``need``."""
-    filters = [(r, p) for r in _RATINGS for p in _PRICES]
     cells = places.select("rating", "price", place_cells(list(range(_COUNT_LEVELS))).alias("cell"))
     counts = cells.groupBy("cell.level", "cell.cy", "cell.cx").agg(*(
         F.expr(f"count_if(({r} = 0 or rating >= {r}) and ({p} < 0 or price <= {p})) as n{i}")
-        for i, (r, p) in enumerate(filters)))
-    bits = " | ".join(f"if(n{i} >= {need}, {1 << i}L, 0L)" for i in range(len(filters)))
+        for i, (r, p) in enumerate(FILTERS)))
+    bits = " | ".join(f"if(n{i} >= {need}, {1 << i}L, 0L)" for i in range(len(FILTERS)))
     return counts.where(F.col("n0") >= need).select("level", "cy", "cx", F.expr(bits).alias("enough"))
 
 
@@ -73,22 +71,20 @@ def narrow_boxes(requests: DataFrame, places: DataFrame, need: int) -> DataFrame
     surrounding has to be searched. The finest such grid wins; other requests keep their box.
     Bounds are rounded outwards by a metre, ten times the resolution of the distance formula.
     """
-    filter_index = F.greatest(F.col("min_rating"), F.lit(0)) * len(_PRICES) + F.greatest(F.col("max_price"), F.lit(0))
     sizes = F.array(*(F.lit(cell_size(j)) for j in range(_COUNT_LEVELS)))
     probes = (
-        requests.where(F.col("query_vector").isNull() & (F.col("min_rating") <= V.MAX_RATING) & (F.col("max_price") <= V.MAX_PRICE)
-                       & (F.abs("q_lat") < 89.0))
+        requests.where(F.col("query_vector").isNull() & F.col("filter_number").isNotNull() & (F.abs("q_lat") < 89.0))
         .select("qid", "q_lat", "q_lon", "lat_min", "lat_max", "lon_min", "lon_max",
-                filter_index.alias("filter_index"), F.posexplode(sizes).alias("level", "size"))
+                "filter_number", F.posexplode(sizes).alias("level", "size"))
         .withColumn("cy", F.floor(F.col("q_lat") / F.col("size")))
         .withColumn("cx", F.floor(F.col("q_lon") / F.col("size")))
         .where((F.col("cy") * F.col("size") >= F.col("lat_min"))
                & ((F.col("cy") + 1) * F.col("size") <= F.col("lat_max"))
                & (F.col("cx") * F.col("size") >= F.col("lon_min"))
                & ((F.col("cx") + 1) * F.col("size") <= F.col("lon_max")))
-        .select("qid", "level", "cy", "cx", "filter_index")
+        .select("qid", "level", "cy", "cx", "filter_number")
     )
-    enough = F.getbit("enough", "filter_index") == 1
+    enough = F.getbit("enough", "filter_number") == 1
     finest = (
         probes.join(_dense_cells(places, need), ["level", "cy", "cx"]).where(enough)
         .groupBy("qid").agg(F.min("level").alias("own_level"))
@@ -100,8 +96,12 @@ def narrow_boxes(requests: DataFrame, places: DataFrame, need: int) -> DataFrame
     west = F.floor(F.col("q_lon") / size) * size
     up = F.radians(F.greatest(F.col("q_lat") - south, south + size - F.col("q_lat")))
     across = F.radians(F.greatest(F.col("q_lon") - west, west + size - F.col("q_lon")))
-    # Along the parallel, then along the meridian: never shorter than the great circle.
-    reach = F.lit(V.EARTH_RADIUS_KM) * (up + F.cos(F.radians("q_lat")) * across) * (1 + 1e-9) + 1e-3
+    # Haversine to the far corner, taken at the latitude of the cell where a degree is longest.
+    nearest_equator = F.when(south * (south + size) <= 0, F.lit(0.0)).otherwise(
+        F.least(F.abs(south), F.abs(south + size)))
+    widest = F.cos(F.radians("q_lat")) * F.cos(F.radians(nearest_equator))
+    chord = F.pow(F.sin(up / 2), F.lit(2)) + widest * F.pow(F.sin(across / 2), F.lit(2))
+    reach = F.lit(2 * V.EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), chord))) * (1 + 1e-9) + 1e-3
     angle = reach / F.lit(V.EARTH_RADIUS_KM)
     half_lat = F.degrees(angle) + 1e-9
     half_lon = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(angle) / F.cos(F.radians("q_lat"))))) + 1e-9

@@ -65,6 +65,7 @@ def pick_address() -> dict[str, Column]:
 def flatten_merchants(df: DataFrame) -> DataFrame:
     """Raw merchant rows in the flat JSON shape; coordinates come as longitude, latitude."""
     address = pick_address()
+    position = [c for c in df.columns if c == "input_pos"]
     return df.select(
         F.col("_id").alias("id"), text.strip(F.col("name")).alias("name"),
         text.strip(F.col("description")).alias("description"),
@@ -73,6 +74,7 @@ def flatten_merchants(df: DataFrame) -> DataFrame:
         F.col("geoLocation.coordinates")[1].alias("latitude"), F.col("geoLocation.coordinates")[0].alias("longitude"),
         *(column.alias(name) for name, column in address.items()),
         "phone", "websiteUrl", flatten_features(F.col("features")).alias("features"),
+        *position,
     )
 
 

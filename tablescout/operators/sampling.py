@@ -45,7 +45,7 @@ def sample_catalog(places: DataFrame, size: int = V.SAMPLE_SIZE, seed: int = V.S
     n_rest = max(size - n_top, 0)
 
     def code(purpose: str):
-        return F.md5(F.concat(F.lit(f"{seed}-{purpose}-"), F.col("id").cast("string")))
+        return F.md5(F.concat(F.lit(f"{seed}-{purpose}-"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
 
     in_top = F.col("city").eqNullSafe(F.lit(top["city"])) & F.col("state").eqNullSafe(F.lit(top["state"]))
     strata = [

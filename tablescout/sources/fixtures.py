@@ -109,7 +109,7 @@ select p_partkey + case when p_partkey % 10 = 0 then 10000000 else 0 end as id,
        cast(-74.05 as double) + cast(p_partkey * 91 % 1000 as double) / cast(8000 as double) as longitude,
        n_name as city, cast(null as {string}) as state,
        cast(n_nationkey * 100000000 as bigint) + p_partkey as input_pos
-from part join nation on n_nationkey < 1 + p_partkey % 3 where p_partkey % 5 <> 1""",
+from part join nation on n_nationkey < 1 + p_partkey % 3""",
     # Flat catalog records with every kind of defect.
     "flat_catalog": """
 select case when p_partkey % 23 = 0 then null else p_partkey end as id,

@@ -5,6 +5,7 @@ import pytest
 
 from tablescout.operators import evaluate
 from tablescout.operators.orderstats import order_statistics
+from tablescout.plans import evaluation
 
 RECS = ("qid long, position int, restaurant_name string, justification string, distance double, overall_rating double, "
         "price_range int, cuisines array<string>")
@@ -75,6 +76,15 @@ def test_metrics_count_successful_runs_only(spark):
                      "latency_p50_ms": "PASS", "latency_p90_ms": "PASS"}
 
 
+def test_evaluation_job(spark):
+    recs = spark.createDataFrame([(1, 1, "Zen", "Zen is 1 km away", 1.0, 5.0, 2, ["Sushi"])], RECS)
+    asked = spark.createDataFrame([(1, 5.0, 4, 2, ["sushi"])], ASKED)
+    report = evaluation.evaluate_recommendations(recs, asked, spark.createDataFrame([(1, 200, 5.0)], RUNS))
+    assert {r["status"] for r in report.gates.collect()} == {"PASS"}
+    assert report.scores.count() == report.samples.count() == 1
+    assert report.metrics.first()["semantic_relevance_pct"] == 100.0
+
+
 def test_metrics_of_no_runs(spark):
     row = evaluate.eval_metrics(spark.createDataFrame([], SCORES), spark.createDataFrame([], RUNS)).first().asDict()
     assert row == {

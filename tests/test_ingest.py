@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescout import schemas
+from tablescout.functions.vectors import HashingEmbedder
 from tablescout.operators import ingest, sampling
+from tablescout.plans import catalog as jobs
 from tablescout.sources import catalog
 
 from helpers import places_df
@@ -49,6 +51,17 @@ def test_json_lines_of_the_export_read_the_same(spark, export, tmp_path):
     assert sampling.pool_sizes(lines).first()["usable"] == 2
 
 
+def test_catalog_jobs(spark, export, tmp_path):
+    centre = jobs.sample_export(spark, export, str(tmp_path / "sample"), size=10)
+    assert (centre.first()["city"], centre.first()["latitude"]) == ("Outer", 40.7)
+    sample = catalog.read_catalog(spark, str(tmp_path / "sample"), multi_line=False)
+    assert sorted(r["id"] for r in sample.collect()) == [1, 5]
+    root = str(tmp_path / "places")
+    assert [r["embedding"] for r in jobs.refresh(spark, str(tmp_path / "sample"), root, multi_line=False).collect()] == [None, None]
+    places = jobs.refresh(spark, str(tmp_path / "sample"), root, HashingEmbedder(8), multi_line=False)
+    assert [len(r["embedding"]) for r in places.collect()] == [8, 8]
+
+
 def test_features_are_capped(spark):
     types = [f"t{i}" for i in range(40)] + ["t0"]
     df = spark.createDataFrame([([(types,)],)], "features array<struct<types:array<string>>>")
