@@ -12,6 +12,9 @@ from tablescout.functions import geo, vectors
 from tablescout.operators import blocks, geocells
 
 
+#: Distance searches are narrowed when they could score more pairs than this; below, counting costs more than it saves.
+NARROW_PAIRS = 5e8
+
 #: What a search depends on; requests equal in all of these are copies.
 _CONTENT = ("latitude", "longitude", "max_distance_km", "minimum_rating", "preferred_price_range", "query_vector")
 
@@ -21,18 +24,18 @@ class Profile:
     """What the request table looks like: a few numbers, whatever its size."""
 
     levels: list[int]
-    without_vector: bool
+    without_vector: int
     many_copies: bool
 
 
 def profile(requests: DataFrame, with_vectors: bool = True) -> Profile:
-    """Grids in use, whether any request lacks a vector, and whether at least a quarter are copies."""
+    """Grids in use, how many requests lack a vector, and whether at least a quarter are copies."""
     q = blocks.prepare_requests(requests, with_vectors)
     spots = F.approx_count_distinct(F.xxhash64("q_lat", "q_lon", "max_km", "min_rating", "max_price"))
     seen = q.agg(
         F.collect_set(geocells.box_level()).alias("levels"), F.count(F.lit(1)).alias("n"), spots.alias("spots"),
         F.count_if(F.col("query_vector").isNull()).alias("without_vector")).first()
-    return Profile(sorted(seen["levels"]), seen["without_vector"] > 0, seen["spots"] < 0.75 * seen["n"])
+    return Profile(sorted(seen["levels"]), seen["without_vector"], seen["spots"] < 0.75 * seen["n"])
 
 
 def answer_copies_once(requests: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -50,7 +53,8 @@ def answer_copies_once(requests: DataFrame, search: Callable[[DataFrame], DataFr
     return members.join(found, "digest").select(*columns)
 
 
-def _nearest(requests: DataFrame, places: DataFrame, mode: str, limit: int, seen: Profile, **block_options: int) -> DataFrame:
+def _nearest(requests: DataFrame, places: DataFrame, mode: str, limit: int, seen: Profile,
+             narrow_pairs: float = NARROW_PAIRS, **block_options) -> DataFrame:
     """The ``limit`` best hits per request before the radius filter, ordered by ``rn``."""
     q = blocks.prepare_requests(requests, mode != blocks.DISTANCE)
     levels = seen.levels
@@ -59,7 +63,7 @@ def _nearest(requests: DataFrame, places: DataFrame, mode: str, limit: int, seen
         p = blocks.vector_places(places)
     else:
         near = blocks.distance_places(places, limit)
-        if seen.without_vector:
+        if seen.without_vector and seen.without_vector * near.count() > narrow_pairs:
             q = geocells.narrow_boxes(q, near, limit)
             levels = list(range(max(levels) + 1))  # a narrowed box uses a finer grid
         p = near if mode == blocks.DISTANCE else blocks.vector_places(places).unionByName(near)
@@ -70,11 +74,11 @@ def _nearest(requests: DataFrame, places: DataFrame, mode: str, limit: int, seen
 
 
 def _search(requests: DataFrame, places: DataFrame, mode: str, limit: int, finish: Callable[[DataFrame], DataFrame],
-            **block_options: int) -> DataFrame:
+            **options) -> DataFrame:
     seen = profile(requests, mode != blocks.DISTANCE)
 
     def answer(asked: DataFrame) -> DataFrame:
-        return finish(_nearest(asked, places, mode, limit, seen, **block_options))
+        return finish(_nearest(asked, places, mode, limit, seen, **options))
 
     return answer_copies_once(requests, answer) if seen.many_copies else answer(requests)
 
@@ -94,21 +98,21 @@ def best_hits(found: DataFrame, limit: int) -> DataFrame:
 
 
 def vector_hits(requests: DataFrame, places: DataFrame, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
-                **block_options: int) -> DataFrame:
+                **options) -> DataFrame:
     """Nearest places by cosine distance inside the box and filters; the radius is not applied."""
-    return _search(requests, places, blocks.VECTOR, limit, lambda hits: hits, **block_options)
+    return _search(requests, places, blocks.VECTOR, limit, lambda hits: hits, **options)
 
 
 def distance_hits(requests: DataFrame, places: DataFrame, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
-                  **block_options: int) -> DataFrame:
+                  **options) -> DataFrame:
     """Nearest places by kilometres inside the box and filters; the radius is not applied."""
-    return _search(requests, places, blocks.DISTANCE, limit, lambda hits: hits, **block_options)
+    return _search(requests, places, blocks.DISTANCE, limit, lambda hits: hits, **options)
 
 
 def hybrid_hits(requests: DataFrame, places: DataFrame, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
-                **block_options: int) -> DataFrame:
+                **options) -> DataFrame:
     """Vector hits where there are any, else distance hits, decided before the radius filter."""
-    return _search(requests, places, blocks.HYBRID, limit, lambda hits: hits, **block_options)
+    return _search(requests, places, blocks.HYBRID, limit, lambda hits: hits, **options)
 
 
 def rerank(hits: DataFrame, k: int = V.RESULT_LIMIT, w_sem: float = V.SEMANTIC_WEIGHT,
@@ -127,9 +131,9 @@ def rerank(hits: DataFrame, k: int = V.RESULT_LIMIT, w_sem: float = V.SEMANTIC_W
 
 
 def retrieve(requests: DataFrame, places: DataFrame, k: int = V.RESULT_LIMIT, overfetch: int = V.OVERFETCH,
-             **block_options: int) -> DataFrame:
+             **options) -> DataFrame:
     """Ranked answers of every request: ``qid, rank, id, dist_km, cos_dist, score, semantic``."""
-    return _search(requests, places, blocks.HYBRID, k * overfetch, lambda hits: rerank(hits, k), **block_options)
+    return _search(requests, places, blocks.HYBRID, k * overfetch, lambda hits: rerank(hits, k), **options)
 
 
 def attach_places(ranked: DataFrame, places: DataFrame) -> DataFrame:
