@@ -75,6 +75,8 @@ def _nearest(requests: DataFrame, places: DataFrame, mode: str, limit: int, seen
 
 def _search(requests: DataFrame, places: DataFrame, mode: str, limit: int, finish: Callable[[DataFrame], DataFrame],
             **options) -> DataFrame:
+    if mode == blocks.HYBRID and places.where(F.col("embedding").isNotNull()).isEmpty():
+        mode = blocks.DISTANCE  # nothing to compare vectors with, so every box can be narrowed
     seen = profile(requests, mode != blocks.DISTANCE)
 
     def answer(asked: DataFrame) -> DataFrame:
