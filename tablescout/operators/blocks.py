@@ -264,7 +264,8 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
     place_counts = cell_places.select("passed", "cell.*").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_places"), F.bit_or("passed").alias("passed"))
     directory = materialize(request_counts.join(place_counts, keys), "cells")
-    size = directory.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("n_requests") * F.col("n_places").cast("double")).alias("pairs")).first()
+    pairs = F.col("n_requests") * F.col("n_places").cast("double")
+    size = directory.agg(F.count(F.lit(1)).alias("cells"), F.sum(pairs).alias("pairs")).first()
     small = size["cells"] <= broadcast_cells
     directory = directory.select(
         *keys, "passed", _block_count(F.col("n_requests"), request_block).alias("request_blocks"),
@@ -282,5 +283,4 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
     qid_type = requests.schema["qid"].dataType.simpleString()
     schema = (f"qid {qid_type}, q_lat double, q_lon double, max_km double, id bigint, "
               "p_lat double, p_lon double, cos_dist double, semantic boolean")
-    pairs = left.groupBy(*group).cogroup(right.groupBy(*group))
-    return pairs.applyInArrow(group_kernel(mode, limit), schema)
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(group_kernel(mode, limit), schema)

@@ -41,11 +41,12 @@ def score_recommendations(recs: DataFrame, requests: DataFrame) -> DataFrame:
     answered = F.col("position").isNotNull()
     distance = F.coalesce("distance", F.lit(0.0))
     rating = F.coalesce("overall_rating", F.lit(0.0))
+    wanted = F.col("preferred_price_range")
     checks = {
         "total_recommendations": answered,
         "distance_violations": answered & (distance > F.col("max_distance_km") + V.EVAL_TOLERANCE),
         "rating_violations": answered & (F.col("minimum_rating") > 0) & (rating < F.col("minimum_rating") - V.EVAL_TOLERANCE),
-        "price_matches": answered & (F.col("preferred_price_range") > 0) & (F.col("price_range") == F.col("preferred_price_range")),
+        "price_matches": answered & (wanted > 0) & (F.col("price_range") == wanted),
         "grounded_rationales": answered & is_grounded(),
         "semantic_matches": answered & is_semantic_hit(),
     }

@@ -336,6 +336,8 @@ where i <= case when densest then least(n_top, 500) else greatest(1500 - least(n
     "q29_quality_gates": _query(_gates(), "metrics"),
     "q30_kpi": _query("""select qid, count(*) as recommendations, round(min(distance), 6) as closest_km,
   max(coalesce(overall_rating, 0)) as top_rating from recs group by qid""", "recs"),
+    # Whatever the embedder, every place ends up with a unit vector of the wanted size.
+    "q32_embed_backfill": _query("select id, cast(64 as int) as dims, cast(1 as double) as squared_length from places", "places"),
     "q33_stream_history": _query(f"select {_HISTORY}, interaction_time from history_events", "history_events"),
     "q34_rejected_requests": _query("""select qid, cast(400 as int) as status, 'Validation Failed' as error, concat_ws('; ',
   case when not max_distance_km > 0 then 'maxDistanceInKm: must be greater than 0' end,
