@@ -29,8 +29,9 @@ PLACE_BLOCK = (4096, 16384)
 _BLOCKS_PER_CELL = 8
 #: The cell directory (five integers per cell) is broadcast up to this many rows.
 BROADCAST_CELLS = 1_000_000
-#: Scored pairs per task (about ten seconds of work), and the most tasks asked for.
+#: Scored pairs per task (about ten seconds of work), rows per task, and the most tasks asked for.
 TASK_PAIRS = 2e8
+TASK_ROWS = 1e5
 MAX_TASKS = 100_000
 #: Request rows scored at once inside a group, and the pairs from which a group is split by filter.
 _CHUNK = 256
@@ -264,15 +265,17 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
     place_counts = cell_places.select("passed", "cell.*").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_places"), F.bit_or("passed").alias("passed"))
     directory = materialize(request_counts.join(place_counts, keys), "cells")
+    directory = directory.withColumns({
+        "request_blocks": _block_count(F.col("n_requests"), request_block),
+        "place_blocks": _block_count(F.col("n_places"), place_block)})
     pairs = F.col("n_requests") * F.col("n_places").cast("double")
-    size = directory.agg(F.count(F.lit(1)).alias("cells"), F.sum(pairs).alias("pairs")).first()
+    rows = F.col("n_requests").cast("double") * F.col("place_blocks") + F.col("n_places") * F.col("request_blocks")
+    size = directory.agg(F.count(F.lit(1)).alias("cells"), F.sum(pairs).alias("pairs"), F.sum(rows).alias("rows")).first()
     small = size["cells"] <= broadcast_cells
-    directory = directory.select(
-        *keys, "passed", _block_count(F.col("n_requests"), request_block).alias("request_blocks"),
-        _block_count(F.col("n_places"), place_block).alias("place_blocks"))
-    # Tasks are sized by the pairs they score, not by their bytes, which say little here.
-    tasks = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                min(math.ceil((size["pairs"] or 0.0) / TASK_PAIRS), MAX_TASKS))
+    directory = directory.drop("n_requests", "n_places")
+    # Tasks are sized by the pairs they score and the rows they receive, with work for every core.
+    wanted = math.ceil(max((size["pairs"] or 0.0) / TASK_PAIRS, (size["rows"] or 0.0) / TASK_ROWS))
+    tasks = max(requests.sparkSession.sparkContext.defaultParallelism, min(wanted, MAX_TASKS))
 
     left = _in_blocks(requests, request_cells, "request", "place", directory, ["qid"], small)
     possible = F.col("filter_number").isNull() | (F.getbit("passed", F.coalesce("filter_number", F.lit(0))) == 1)
