@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import substring
+from tablescout.llm import minhash, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of every document after its repeated windows of 20 words are cut."""
     return substring.drop_repeats(_table(spark, folder, "documents")).drop("kept_text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": minhash_near_dedup,
     "op3_substring_dedup": substring_dedup,
 }
