@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import minhash, substring
+from tablescout.llm import minhash, packing, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def lexical_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.digest(packing.pack(_table(spark, folder, "documents")))
+
+
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return minhash.near_duplicates(_table(spark, folder, "documents"))
@@ -24,6 +29,7 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lexical_packing": lexical_packing,
     "op2_minhash_near_dedup": minhash_near_dedup,
     "op3_substring_dedup": substring_dedup,
 }
