@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import minhash, packing, substring
+from tablescout.llm import minhash, packing, secrets, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,8 +28,14 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.drop_repeats(_table(spark, folder, "documents")).drop("kept_text")
 
 
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, from an empty ledger."""
+    return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexical_packing": lexical_packing,
     "op2_minhash_near_dedup": minhash_near_dedup,
     "op3_substring_dedup": substring_dedup,
+    "op8_secret_scan": secret_scan,
 }
