@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescout.llm import minhash, packing, secrets, substring
+from tablescout.llm import licenses, minhash, packing, secrets, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,9 +33,15 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
 
 
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences named in every document."""
+    return licenses.scan_licenses(_table(spark, folder, "documents")).drop("matches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexical_packing": lexical_packing,
     "op2_minhash_near_dedup": minhash_near_dedup,
     "op3_substring_dedup": substring_dedup,
     "op8_secret_scan": secret_scan,
+    "op10_license_scan": license_scan,
 }
