@@ -27,3 +27,22 @@ ORACLE: dict[str, str] = {
         from texts left join kept using (doc_id)
     """,
 }
+
+ORACLE["op4_nearest_vectors"] = """
+    with rows as (
+        select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+        where vec_id is not null and len(embedding) > 0),
+    usable as (
+        select vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda s, x: s + x)) as length
+        from (select vec_id, min(v) as v from rows group by vec_id)
+        where len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    pairs as (
+        select q.vec_id as query_id, c.vec_id,
+               list_reduce(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2]), lambda s, x: s + x)
+               / (q.length * c.length) as score
+        from usable q join usable c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+        where q.vec_id % 50 = 0 and q.length > 0 and c.length > 0)
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+           vec_id, score
+    from pairs qualify rank <= 5
+"""

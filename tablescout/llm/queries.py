@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescout.llm import licenses, minhash, packing, secrets, substring
+from tablescout.llm import licenses, minhash, neighbours, packing, secrets, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.drop_repeats(_table(spark, folder, "documents")).drop("kept_text")
 
 
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest of every fiftieth vector by cosine."""
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document, from an empty ledger."""
     return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexical_packing": lexical_packing,
     "op2_minhash_near_dedup": minhash_near_dedup,
     "op3_substring_dedup": substring_dedup,
+    "op4_nearest_vectors": nearest_vectors,
     "op8_secret_scan": secret_scan,
     "op10_license_scan": license_scan,
 }
