@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablescout.llm.words import buffers
+
 #: A side of a join is broadcast only if it was measured to hold at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Bytes a row takes in a broadcast table besides its variable-length values.
@@ -36,3 +42,22 @@ def small_side(df: DataFrame, variable: Column | None = None) -> DataFrame:
 def tasks_for(spark, rows: float, per_task: float) -> int:
     """A number of tasks that follows the measured rows, with work for every core."""
     return max(spark.sparkContext.defaultParallelism, int(rows // per_task) + 1)
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    coder = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        offsets, data = buffers(batch["text"])
+        view = memoryview(data)
+        packed = [coder.compress(view[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
+        yield pa.RecordBatch.from_arrays([batch["did"], pa.array(packed, pa.binary())], names=["did", "packed"])
+
+
+def compressed_texts(documents: DataFrame) -> DataFrame:
+    """``did, packed``: texts compressed for a shuffle, whose own codec gains little; NULL is empty."""
+    return documents.select(identifier().alias("did"), "text").mapInArrow(_compressed, "did long, packed binary")
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    coder = zstandard.ZstdDecompressor()
+    return (coder.decompress(x.as_buffer()) for x in column)

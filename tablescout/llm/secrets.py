@@ -15,14 +15,17 @@ their ids; every row gets a result, a NULL ``doc_id`` included. Other columns ar
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tablescout.llm.common import as_identifier, identifier, small_side
+from tablescout.llm.common import as_identifier, identifier, small_side, unpacked
+from tablescout.llm.words import buffers
 from tablescout.session import materialize
 
 LEDGER = "blob binary, rule string, version int, spans array<struct<start:int,end:int>>"
@@ -67,13 +70,13 @@ def _scanned(rules: tuple[Rule, ...]) -> Callable:
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             rows: list[tuple] = []
-            for blob, text, wanted in zip(batch["blob"], batch["text"], batch["rules"]):
-                text, wanted = text.as_py() or "", set(wanted.as_py())
+            for blob, data, wanted in zip(batch["blob"].to_pylist(), unpacked(batch["packed"]), batch["rules"].to_pylist()):
+                text = data.decode()
                 lowered = text.lower()
                 for rule in rules:
-                    if rule.name in wanted:
+                    if f"{rule.name}:{rule.version}" in wanted:
                         spans = [{"start": a, "end": b} for a, b in find(rule, text, lowered)]
-                        rows.append((blob.as_py(), rule.name, rule.version, spans))
+                        rows.append((blob, rule.name, rule.version, spans))
             kinds = (pa.binary(), pa.string(), pa.int32(), spans_type)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 4, kinds)],
                                              names=["blob", "rule", "version", "spans"])
@@ -85,26 +88,30 @@ def _blob():
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
-def manifest(documents: DataFrame) -> DataFrame:
-    """``did, blob`` per row, written."""
-    return materialize(documents.select(identifier().alias("did"), _blob().alias("blob")), "manifest")
+def _addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    coder = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        offsets, data = buffers(batch["text"])
+        texts = [memoryview(data)[offsets[i] : offsets[i + 1]] for i in range(len(offsets) - 1)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([coder.compress(t) for t in texts], pa.binary())],
+            names=["blob", "packed"])
 
 
-def scan(documents: DataFrame, rows: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger entries for the blobs of ``rows`` (a ``manifest`` of ``documents``): what ``ledger`` lacks."""
-    held = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
-    blobs = rows.groupBy("blob").agg(F.min("did").alias("did"))
+def scan(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New ledger entries: for every blob of ``documents`` what ``ledger`` lacks.
+
+    Texts travel compressed, one copy of a blob from each task; the copies meet before the scan.
+    """
+    blobs = documents.select("text").mapInArrow(_addressed, "blob binary, packed binary").groupBy("blob").agg(F.first("packed").alias("packed"))
+    every = F.array(*(F.concat_ws(":", F.lit(r.name), F.lit(r.version)) for r in rules))
     if ledger is None:
-        todo = blobs.withColumn("rules", F.array(*(F.lit(r.name) for r in rules)))
+        todo = blobs.withColumn("rules", every)
     else:
-        pairs = blobs.select("blob", "did", F.inline(held)).join(ledger, ["blob", "rule", "version"], "left_anti")
-        todo = pairs.groupBy("blob", "did").agg(F.collect_set("rule").alias("rules"))
-    todo = materialize(todo, "unseen")
-    texts = documents.select(identifier().alias("did"), "text").join(
-        small_side(todo.select("did", F.col("blob").alias("wanted"), "rules"), F.lit(32 + 16 * len(rules))), "did")
-    texts = texts.where(_blob() == F.col("wanted")).select(F.col("wanted").alias("blob"), "text", "rules")
-    found = texts.mapInArrow(_scanned(rules), LEDGER)
-    return materialize(found.dropDuplicates(["blob", "rule", "version"]), "ledger")
+        held = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("held"))
+        todo = blobs.join(held, "blob", "left").select("blob", "packed", F.array_except(
+            every, F.coalesce("held", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
+    return materialize(todo.mapInArrow(_scanned(rules), LEDGER), "ledger")
 
 
 def spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -112,6 +119,7 @@ def spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
     ranks = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))))
     current = F.create_map(*(x for r in rules for x in (F.lit(r.name), F.lit(r.version))))
     live = ledger.where((F.size("spans") > 0) & (F.col("version") == F.element_at(current, F.col("rule"))))
+    live = live.dropDuplicates(["blob", "rule", "version"])  # a ledger that was appended to twice
     each = F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), F.element_at(ranks, F.col("rule")).alias("rank"), s["end"].alias("end"), F.col("rule").alias("kind")))
     return live.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("spans"))
@@ -119,10 +127,9 @@ def spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
 
 def find_secrets(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, blob, spans`` per row of ``documents(doc_id, text)``; ``ledger`` holds earlier runs' entries."""
-    rows = manifest(documents)
-    fresh = scan(documents, rows, ledger, rules)
-    known = fresh if ledger is None else fresh.unionByName(ledger.dropDuplicates(["blob", "rule", "version"]))
-    found = rows.join(spans_by_blob(known, rules), "blob", "left")
+    fresh = scan(documents, ledger, rules)
+    known = fresh if ledger is None else fresh.unionByName(ledger)
+    found = documents.select(identifier().alias("did"), _blob().alias("blob")).join(spans_by_blob(known, rules), "blob", "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return found.select(as_identifier("did").alias("doc_id"), "blob", F.coalesce("spans", none).alias("spans"))
 
@@ -156,9 +163,9 @@ def redact(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
 
     Texts without findings are untouched; a NULL text stays NULL. Other columns are carried along.
     """
-    fresh = scan(documents, manifest(documents), ledger, rules)
+    fresh = scan(documents, ledger, rules)
     known = fresh if ledger is None else fresh.unionByName(ledger)
-    found = materialize(spans_by_blob(known.dropDuplicates(["blob", "rule", "version"]), rules), "findings")
+    found = materialize(spans_by_blob(known, rules), "findings")
 
     @F.udf("string", useArrow=True)
     def masked(text, spans):
