@@ -46,3 +46,57 @@ ORACLE["op4_nearest_vectors"] = """
            vec_id, score
     from pairs qualify rank <= 5
 """
+
+ORACLE["op5_source_mix"] = rf"""
+    with sizes as (
+        select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) as bigint) as size,
+               md5('mix-1:' || doc_id) as digest from documents),
+    totals as (
+        select source, sum(size) as source_size,
+               list_value(5, 2, 1)[1 + (row_number() over (order by source nulls last) - 1) % 3] as weight
+        from sizes group by source),
+    levels as (
+        select *, 2 * source_size as ceiling,
+               (cast(1.5 as double) * sum(source_size) over () - coalesce(sum(2 * source_size) over (
+                   order by 2 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+               / sum(weight) over (
+                   order by 2 * source_size / weight, source nulls last rows between current row and unbounded following) as level
+        from totals),
+    targets as (
+        select source, cast(source_size as bigint) as source_size, case when free is null then cast(ceiling as double)
+               else least(cast(ceiling as double), free * weight) end as target
+        from (select *, max(case when ceiling > level * weight then level end) over () as free from levels)),
+    placed as (
+        select sizes.*, source_size, target, cast('0x' || substr(digest, 1, 15) as bigint)
+               % cast(ceil(greatest(source_size, 1) / 4194304) as bigint) as shard
+        from sizes join targets on sizes.source is not distinct from targets.source),
+    rings as (
+        select source, shard, cast(sum(size) as bigint) as ring, greatest(1, cast(round(sum(size) / 8) as bigint)) as blocks
+        from placed group by source, shard having sum(size) > 0),
+    quotients as (  -- all of them, so the highest are taken literally
+        select source, row_number() over (order by target / (2 * k + 1) desc, source nulls last, k) as place, wanted
+        from (select source, target, cast(round(sum(target) over () / 8) as bigint) as wanted,
+                     unnest(range(cast(ceil(target / 8) as bigint) + 1000)) as k
+              from targets where target > 0)),
+    source_seats as (select source, count(*) as total from quotients where place <= wanted group by source),
+    shard_quotients as (
+        select r.source, r.shard, row_number() over (partition by r.source order by ring / (2 * k + 1) desc, r.shard, k) as place, total
+        from (select *, unnest(range(2 * blocks + 1000)) as k from rings) r
+        join source_seats s on r.source is not distinct from s.source),
+    shard_seats as (
+        select source, shard, count(*) as seats from shard_quotients where place <= total group by source, shard),
+    runs as (
+        select r.*, least(coalesce(seats, 0), 2 * blocks) as seats,
+               cast('0x' || substr(md5('mix-1:' || coalesce('s' || r.source, 'n') || ':' || r.shard), 1, 15) as bigint) % blocks as first_block
+        from rings r left join shard_seats s on r.source is not distinct from s.source and r.shard = s.shard),
+    rounds as (
+        select source, shard, ring, seats // blocks as rounds, (seats % blocks) * ring // blocks as run,
+               first_block * ring // blocks as start from runs),
+    laid as (
+        select *, coalesce(sum(size) over (partition by source, shard order by digest, doc_id, size
+                                           rows between unbounded preceding and 1 preceding), 0) as at_word from placed)
+    select doc_id, l.size, source_size, target, cast(coalesce(rounds * l.size
+           + greatest(0, least(at_word + l.size, start + run - ring) - at_word)
+           + greatest(0, least(at_word + l.size, least(start + run, ring)) - greatest(at_word, start)), 0) as bigint) as taken
+    from laid l left join rounds r on l.source is not distinct from r.source and l.shard = r.shard
+"""

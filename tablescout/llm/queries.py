@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescout.llm import licenses, minhash, neighbours, packing, secrets, substring
+from tablescout.llm import licenses, minhash, mixing, neighbours, packing, secrets, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix of 150% takes of every document."""
+    return mixing.digest(mixing.plan(_table(spark, folder, "documents")))
+
+
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document, from an empty ledger."""
     return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": minhash_near_dedup,
     "op3_substring_dedup": substring_dedup,
     "op4_nearest_vectors": nearest_vectors,
+    "op5_source_mix": source_mix,
     "op8_secret_scan": secret_scan,
     "op10_license_scan": license_scan,
 }
