@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescout.llm import licenses, minhash, mixing, neighbours, packing, secrets, substring
+from tablescout.llm import licenses, minhash, mixing, neighbours, packing, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.digest(mixing.plan(_table(spark, folder, "documents")))
 
 
+def byte_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes."""
+    return sharding.shard(_table(spark, folder, "documents"))
+
+
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document, from an empty ledger."""
     return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": substring_dedup,
     "op4_nearest_vectors": nearest_vectors,
     "op5_source_mix": source_mix,
+    "op6_byte_shards": byte_shards,
     "op8_secret_scan": secret_scan,
     "op10_license_scan": license_scan,
 }
