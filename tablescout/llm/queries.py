@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescout.llm import licenses, minhash, mixing, neighbours, packing, secrets, sharding, substring
+from tablescout.llm import licenses, minhash, mixing, neighbours, packing, quality, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents"))
 
 
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality features and verdict of every document."""
+    return quality.digest(quality.judge(_table(spark, folder, "documents")))
+
+
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document, from an empty ledger."""
     return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest_vectors": nearest_vectors,
     "op5_source_mix": source_mix,
     "op6_byte_shards": byte_shards,
+    "op7_quality_rules": quality_rules,
     "op8_secret_scan": secret_scan,
     "op10_license_scan": license_scan,
 }
