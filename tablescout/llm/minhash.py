@@ -273,3 +273,18 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle:
     result = documents.select(identifier().alias("did")).join(named, "did", "left")
     return result.select(as_identifier("did").alias("doc_id"),
                          F.coalesce(F.col("class"), F.col("did")).alias("class")).select("doc_id", as_identifier("class").alias("class_id"))
+
+
+def keep_one(documents: DataFrame, **settings) -> DataFrame:
+    """One row of each class, with all columns of ``documents``: the one with the smallest ``doc_id``.
+
+    Of rows that repeat that ``doc_id`` one stays. Only what must go is looked up, so the rest is not shuffled while that is a small table.
+    """
+    classes = near_duplicates(documents, **settings).select(identifier().alias("did"), identifier("class_id").alias("class"))
+    classes = classes.groupBy("did").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("n"))
+    marked = materialize(classes.where((F.col("did") != F.col("class")) | (F.col("n") > 1)), "marked")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), identifier().alias("did"))
+    single = rows.join(small_side(marked.select("did")), "did", "left_anti")
+    twice = small_side(materialize(marked.where(F.col("did") == F.col("class")).select("did"), "repeated"))
+    one = rows.join(twice, "did", "left_semi").dropDuplicates(["did"])
+    return single.unionByName(one).select(*(F.col("row")[c].alias(c) for c in documents.columns))

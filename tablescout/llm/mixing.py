@@ -117,7 +117,7 @@ def mixed(documents: DataFrame, **settings) -> DataFrame:
     are looked up by ``doc_id``; of rows that repeat one, each row takes the share of a single one.
     """
     parts = plan(documents, **settings).groupBy("did").agg(*(F.first(c).alias(c) for c in ("size", "rounds", "head", "tail_from", "tail")))
-    rows = documents.select(F.struct("*").alias("row"), identifier().alias("did")).join(parts, "did")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), identifier().alias("did")).join(parts, "did")
     none = F.struct(F.lit(-1).cast("long").alias("low"), F.lit(0).cast("long").alias("n"))
     whole = F.when(F.col("rounds") > 0, F.array_repeat(none, F.col("rounds").cast("int"))).otherwise(F.array().cast("array<struct<low:bigint,n:bigint>>"))
     cuts = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("head").alias("n")),

@@ -100,3 +100,11 @@ ORACLE["op5_source_mix"] = rf"""
            + greatest(0, least(at_word + l.size, least(start + run, ring)) - greatest(at_word, start)), 0) as bigint) as taken
     from laid l left join rounds r on l.source is not distinct from r.source and l.shard = r.shard
 """
+
+# The given conversations hold plain messages only: calls and results are tested on small tables.
+ORACLE["op9_chat_messages"] = r"""
+    select conv_id, turn, role, turn as anchor, 0 as level, 0 as slot,
+           '{"content":' || coalesce(cast(to_json(text) as varchar), 'null') || ',"role":' || coalesce(cast(to_json(role) as varchar), 'null') || '}' as json,
+           0 as n_calls, 0 as n_answered, 0 as n_valid, cast(null as varchar) as call_issues, cast(null as varchar) as link
+    from conversations
+"""

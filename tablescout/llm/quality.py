@@ -89,16 +89,17 @@ def _covered(starts: Column) -> Column:
     return _bound(starts, of)
 
 
-def features(documents: DataFrame) -> DataFrame:
-    """``doc_id`` and counts over the whole text of every row."""
+def features(documents: DataFrame, carried: Column | None = None) -> DataFrame:
+    """``carried`` (as ``row``; the ``doc_id`` by default) and counts over the whole text of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = documents.select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    carried = F.col("doc_id") if carried is None else carried
+    words = documents.select(carried.alias("row"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     hashed = words.select(
-        "doc_id", "text", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "row", "text", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return hashed.select(
-        "doc_id", "n_words", "word_chars",
+        "row", "n_words", "word_chars",
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         _bound(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("kinds"))).alias("lines"),
         _repeat_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
@@ -152,14 +153,21 @@ def estimate(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[
     return rates, good
 
 
-def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Features, votes, ``base_failed``, ``probability`` and ``kept`` per row of ``documents(doc_id, text)``."""
+def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = LEAST_WORDS,
+          carried: Column | None = None) -> DataFrame:
+    """``row``, features, votes, ``base_failed``, ``probability`` and ``kept`` per row of ``documents(doc_id, text)``."""
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    voted = materialize(features(documents).withColumn("base_failed", failed).withColumns(votes(rules)), "votes")
+    voted = materialize(features(documents, carried).withColumn("base_failed", failed).withColumns(votes(rules)), "votes")
     names = [f"vote_{r.name}" for r in rules]
     judged = voted.withColumn("probability", posterior(*estimate(voted, names)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= 0.5))
 
 
+def keep_good(documents: DataFrame, **settings) -> DataFrame:
+    """The rows of ``documents`` that are kept, with all their columns."""
+    judged = judge(documents, carried=F.struct(*(F.col(f"`{c}`") for c in documents.columns)), **settings)
+    return judged.where("kept").select(*(F.col("row")[c].alias(c) for c in documents.columns))
+
+
 def digest(judged: DataFrame) -> DataFrame:
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+    return judged.select(F.col("row").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescout.llm import licenses, minhash, mixing, neighbours, packing, quality, secrets, sharding, substring
+from tablescout.llm import chat, licenses, minhash, mixing, neighbours, packing, quality, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
 
 
+def chat_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message as canonical JSON, with its place and links."""
+    return chat.link(_table(spark, folder, "conversations"))
+
+
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licences named in every document."""
     return licenses.scan_licenses(_table(spark, folder, "documents")).drop("matches")
@@ -67,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_shards": byte_shards,
     "op7_quality_rules": quality_rules,
     "op8_secret_scan": secret_scan,
+    "op9_chat_messages": chat_messages,
     "op10_license_scan": license_scan,
 }

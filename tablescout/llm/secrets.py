@@ -148,14 +148,16 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(_count(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
-def _covered(spans: list[dict], text: str, mask: str) -> str:
-    parts, at = [], 0
-    for span in spans:  # by start; overlapping spans become one
-        if span["end"] > at:
-            if span["start"] >= at:
-                parts += [text[at : span["start"]], mask]
-            at = span["end"]
-    return "".join([*parts, text[at:]])
+def _masked(text, spans, mask: str):
+    """The text with its spans (by start) replaced; spans that overlap become one."""
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+
+    def step(s, span):
+        before = F.concat(s["done"], F.substring(text, s["at"] + 1, span["start"] - s["at"]), F.lit(mask))
+        return F.when(span["end"] > s["at"], F.struct(
+            F.when(span["start"] >= s["at"], before).otherwise(s["done"]).alias("done"), span["end"].alias("at"))).otherwise(s)
+
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
 
 
 def redact(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
@@ -167,13 +169,9 @@ def redact(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     known = fresh if ledger is None else fresh.unionByName(ledger)
     found = materialize(spans_by_blob(known, rules), "findings")
 
-    @F.udf("string", useArrow=True)
-    def masked(text, spans):
-        return _covered([s.asDict() if hasattr(s, "asDict") else s for s in spans], text, mask)
-
-    rows = documents.select(F.struct("*").alias("row"), _blob().alias("blob")).join(
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), _blob().alias("blob")).join(
         small_side(found, F.size("spans") * 32 + 32), "blob", "left")
-    rows = rows.withColumn("clean", F.when(F.col("spans").isNotNull(), masked(F.col("row")["text"], F.col("spans"))).otherwise(F.col("row")["text"]))
+    rows = rows.withColumn("clean", F.when(F.col("spans").isNotNull(), _masked(F.col("row")["text"], F.col("spans"), mask)).otherwise(F.col("row")["text"]))
     changed = {"text": F.col("clean")}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
