@@ -48,7 +48,7 @@ DEVIATIONS = 3.5
 #: Documents of one block in the comparison inside buckets.
 BLOCK = 512
 #: Documents whose darts are thrown together.
-DOCUMENTS = 1000
+DOCUMENTS = 250
 _FINE = 6  # the lowest rank layer is 2**-_FINE high
 _LAYERS = [(0.0, 2.0**-_FINE), (2.0**-_FINE, 0.25), (0.25, 1.0)]
 
@@ -165,32 +165,23 @@ def _signed(bands: int, rows: int, size: int) -> Callable:
 
 
 def _shingled(size: int) -> Callable:
+    """A document's shingles, each occurrence with a key of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["did"].to_numpy()
             for row, bounds, hashes, _, _ in hashed_words(batch["text"]):
-                for i in range(len(bounds) - 1):
-                    keys = shingle_keys(hashes[bounds[i] : bounds[i + 1]], size)
-                    keys = np.sort(occurrences(keys, np.zeros(len(keys), np.int8)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[row + i : row + i + 1]), pa.array([keys.tobytes()], pa.binary())], names=["id", "shingles"])
+                each = [shingle_keys(hashes[a:b], size) for a, b in zip(bounds[:-1], bounds[1:])]
+                lengths = np.array([len(x) for x in each])
+                keys = occurrences(np.concatenate(each), np.repeat(np.arange(len(each)), lengths))
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row : row + len(each)]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))],
+                    names=["id", "shingles"])
 
     return run
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact similarity of the pairs."""
-    for batch in batches:
-        values = []
-        for left, right in zip(batch["shingles_a"], batch["shingles_b"]):
-            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (left, right))
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            values.append(common / (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(values, pa.float64())], names=["a", "b", "similarity"])
-
-
 def _agreeing(least: int) -> Callable:
     """Pairs of one cell that are in different classes and agree in ``least`` coordinates or more."""
 
@@ -221,12 +212,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = small_side(materialize(ids, "pair-ids"))
     wanted = texts.join(ids, texts["did"] == ids["id"], "left_semi")
-    shingles = materialize(wanted.mapInArrow(_shingled(size), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    shingles = materialize(wanted.mapInArrow(_shingled(size), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
     left = shingles.select(F.col("id").alias("a"), F.col("shingles").alias("shingles_a"))
     right = shingles.select(F.col("id").alias("b"), F.col("shingles").alias("shingles_b"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(
-        _similar, "a long, b long, similarity double")
-    return materialize(scored.where(F.col("similarity") >= threshold), "links")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    scored = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (
+        F.size("shingles_a") + F.size("shingles_b")).alias("sizes"))
+    return materialize(scored.where(F.col("common") / (F.col("sizes") - F.col("common")) >= threshold).select("a", "b"), "links")
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
