@@ -36,6 +36,11 @@ def box_bounds(lat: Column, lon: Column, max_km: Column) -> dict[str, Column]:
     }
 
 
+def has_position(lat: Column, lon: Column) -> Column:
+    """Whether a position can take part in a search: both numbers there, and neither beyond a billion degrees."""
+    return (F.abs(lat) < 1e9) & (F.abs(lon) < 1e9)
+
+
 def box_condition(lat: Column, lon: Column, bounds: dict[str, Column]) -> Column:
     """Inclusive at both ends."""
     return lat.between(bounds["lat_min"], bounds["lat_max"]) & lon.between(bounds["lon_min"], bounds["lon_max"])

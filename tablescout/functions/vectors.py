@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 
 import numpy as np
 from pyspark.sql import Column, functions as F
@@ -34,17 +34,26 @@ def parse_vector(text: Column, dim: int = V.EMBEDDING_DIMENSIONS) -> Column:
     return F.when(complete, parsed)
 
 
+#: Words of letters, digits and whatever is outside ASCII.
+TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
 class HashingEmbedder:
-    """Deterministic bag-of-words feature hashing with unit length; needs no network."""
+    """Deterministic bag-of-words feature hashing with unit length; needs no network.
+
+    A word's MD5 gives its dimension and sign, so the vectors can be checked in plain SQL.
+    """
 
     def __init__(self, dim: int = V.EMBEDDING_DIMENSIONS):
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        words = [TOKEN.findall(text.lower()) for text in texts]
+        distinct = {word: i for i, word in enumerate(dict.fromkeys(w for own in words for w in own))}
+        codes = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in distinct], dtype=np.int64)
+        rows = np.repeat(np.arange(len(texts)), [len(own) for own in words])
+        codes = codes[np.array([distinct[w] for own in words for w in own], dtype=np.int64)]
         vectors = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            for token in re.findall(r"\w+", text.lower()):
-                code = zlib.crc32(token.encode("utf-8"))
-                vectors[row, code % self.dim] += 1.0 if code & 0x80000000 else -1.0
+        np.add.at(vectors, (rows, codes % self.dim), np.where(codes >= 1 << 31, 1.0, -1.0))
         lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
         return (vectors / np.where(lengths == 0.0, 1.0, lengths)).astype(np.float32)

@@ -58,16 +58,19 @@ def passed_filters() -> Column:
 
 
 def prepare_requests(requests: DataFrame, with_vectors: bool, *extra: str) -> DataFrame:
-    """Numeric request columns the join needs (and ``extra`` ones); positions that match nothing are dropped."""
+    """Numeric request columns the join needs (and ``extra`` ones); positions that match nothing are dropped.
+
+    An absent or unreadable rating or price sets no limit, as 0 does.
+    """
     lat, lon = F.col("latitude"), F.col("longitude")
     vector = F.col("query_vector") if with_vectors else F.lit(None).cast("array<float>")
-    return requests.where((F.abs(lat) < 1e9) & (F.abs(lon) < 1e9)).select(
+    min_rating, price = (F.coalesce(F.col(c).try_cast("int"), F.lit(0)) for c in ("minimum_rating", "preferred_price_range"))
+    max_price = geo.price_limit(price)
+    return requests.where(geo.has_position(lat, lon)).select(
         "qid", lat.alias("q_lat"), lon.alias("q_lon"),
         F.col("max_distance_km").cast("double").alias("max_km"),
-        F.col("minimum_rating").cast("int").alias("min_rating"),
-        geo.price_limit(F.col("preferred_price_range").cast("int")).alias("max_price"),
-        filter_number(F.col("minimum_rating").cast("int"), geo.price_limit(F.col("preferred_price_range").cast("int")))
-        .alias("filter_number"),
+        min_rating.alias("min_rating"), max_price.alias("max_price"),
+        filter_number(min_rating, max_price).alias("filter_number"),
         vector.alias("query_vector"), *extra,
         *(edge.alias(name) for name, edge in geo.box_bounds(lat, lon, F.col("max_distance_km").cast("double")).items()),
     )
@@ -77,7 +80,7 @@ def _place_columns(places: DataFrame, vector: Column, for_distance: bool, *extra
     """Place columns the join needs; a null rating or price is coded so that an active filter fails it."""
     lat, lon, rating = F.col("latitude"), F.col("longitude"), F.col("overall_rating")
     infinity = F.lit(float("inf"))
-    return places.where((F.abs(lat) < 1e9) & (F.abs(lon) < 1e9)).select(
+    return places.where(geo.has_position(lat, lon)).select(
         F.col("id").cast("long").alias("id"), lat.alias("p_lat"), lon.alias("p_lon"),
         F.when(rating.isNull(), -infinity).when(F.isnan(rating), infinity).otherwise(rating).alias("rating"),
         F.coalesce(F.col("price_range").cast("double"), infinity).alias("price"),
@@ -168,9 +171,9 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
                     mask &= values <= q[high][rows, None]
             least, most = q["min_rating"][rows, None], q["max_price"][rows, None]
             rating, price = p["rating"][cols], p["price"][cols]
-            if least.max() > 0 and least.max() > rating.min():
+            if not (least <= 0).all() and not least.max() <= rating.min():
                 mask &= (least <= 0) | (rating >= least)
-            if most.max() >= 0 and most[most >= 0].min() < price.max():
+            if not (most < 0).all() and not np.where(most < 0, np.inf, most).min() >= price.max():
                 mask &= (most < 0) | (price <= most)
             return mask
 

@@ -37,20 +37,30 @@ def _cell(level: Column, cy: Column, cx: Column) -> Column:
     return F.struct(level.cast("int").alias("level"), cy.alias("cy"), cx.alias("cx"))
 
 
-def box_cells() -> Column:
-    """Explodes to the cells the request box touches (two to five per axis below the last grid)."""
+def box_grid() -> Column:
+    """The cells the request box touches (two to five per axis below the last grid)."""
     size = F.element_at(F.array(*(F.lit(cell_size(j)) for j in range(LEVELS))), F.col("level") + 1)
     rows = F.sequence(F.floor(F.col("lat_min") / size), F.floor(F.col("lat_max") / size))
     columns = F.sequence(F.floor(F.col("lon_min") / size), F.floor(F.col("lon_max") / size))
     grid = F.transform(rows, lambda cy: F.transform(columns, lambda cx: _cell(F.col("level"), cy, cx)))
-    return F.explode(F.flatten(grid))
+    return F.flatten(grid)
 
 
-def place_cells(levels: list[int]) -> Column:
-    """Explodes to the place's cell on each of the given grids."""
+def box_cells() -> Column:
+    """Explodes to the cells of the box."""
+    return F.explode(box_grid())
+
+
+def place_grid(levels: list[int]) -> Column:
+    """The place's cell on each of the given grids."""
     cells = [_cell(F.lit(j), F.floor(F.col("p_lat") / F.lit(cell_size(j))),
                    F.floor(F.col("p_lon") / F.lit(cell_size(j)))) for j in levels]
-    return F.explode(F.array(*cells))
+    return F.array(*cells)
+
+
+def place_cells(levels: list[int]) -> Column:
+    """Explodes to the place's cells."""
+    return F.explode(place_grid(levels))
 
 
 def _dense_cells(places: DataFrame, need: int) -> DataFrame:

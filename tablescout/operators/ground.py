@@ -23,15 +23,20 @@ _FIELDS = ("id", "restaurant_name", "justification", "distance", "overall_rating
 def parse_generated(responses: DataFrame) -> DataFrame:
     """``(qid, body)`` responses as ``(qid, pos, name, justification)``; anything unreadable yields no row.
 
-    A list in which one distance is not a number is unreadable as a whole.
+    A list in which one distance is not a number, or one name or justification an object or a list,
+    is unreadable as a whole.
     """
     found = F.get_json_object("body", "$.candidates[0].content.parts[0].text")
     item = schemas.GENERATED_ITEMS.elementType
     loose = f"array<struct<{','.join(f'{f.name}:string' for f in item.fields)}>>"
     listed = responses.select("qid", found.alias("answer")).where(F.col("answer").rlike(r"^\s*\["))
-    parsed = listed.select("qid", F.from_json("answer", loose).alias("items"))
+    parsed = listed.select("qid", "answer", F.from_json("answer", loose).alias("items"))
     broken = F.exists("items", lambda i: i["distance"].isNotNull() & i["distance"].try_cast("double").isNull())
-    return parsed.where(~broken).select("qid", F.posexplode("items").alias("pos", "item")).select(
+    # As text an object and a quoted object look alike, so the types are read from the answer itself.
+    kinds = F.transform(F.try_variant_get(F.try_parse_json("answer"), "$", "array<variant>"), lambda v: F.array(
+        *(F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")) for field in ("name", "justification"))))
+    nested = F.exists(F.flatten(kinds), lambda k: k.startswith("OBJECT") | k.startswith("ARRAY"))
+    return parsed.where(~broken & ~F.coalesce(nested, F.lit(False))).select("qid", F.posexplode("items").alias("pos", "item")).select(
         "qid", "pos", F.col("item.name").alias("name"), F.col("item.justification").alias("justification"))
 
 

@@ -1,20 +1,32 @@
-"""Approximate vector search: k-means clusters, nearest clusters probed."""
+"""Approximate vector search: k-means clusters inside geo cells, nearest clusters probed.
+
+Requests and places meet where a cell of the request's box and one of its nearest clusters coincide,
+so neither a crowded metro nor a large cluster is searched as a whole.
+"""
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablescout import fixed_values as V
-from tablescout.operators import blocks
-from tablescout.operators.retrieve import best_hits, vector_hits
+from tablescout.operators import blocks, geocells
+from tablescout.operators.retrieve import best_hits, profile, vector_hits
 from tablescout.session import materialize
 
+#: Places per cluster that the number of clusters aims at, and the most clusters (their centroids go to every task).
+CLUSTER_ROWS = 2048
+MOST_CLUSTERS = 16_384
+#: Vectors scored against all centroids at once.
+_CHUNK = 512
+
 _REQUEST_COLUMNS = ("qid", "latitude", "longitude", "max_distance_km", "minimum_rating", "preferred_price_range",
                     "query_vector")
 
@@ -31,9 +43,11 @@ def _with_clusters(df: DataFrame, vector: str, centroids: np.ndarray, count: int
     """Add ``clusters``: the ``count`` clusters of highest cosine, best first. Vectors of another size drop out."""
     def nearest(batches):
         for batch in batches:
-            flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False)
-            scores = flat.reshape(batch.num_rows, -1).astype(np.float64) @ centroids.T
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :count].astype(np.int32)
+            flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, centroids.shape[1])
+            best = np.zeros((batch.num_rows, min(count, len(centroids))), dtype=np.int32)
+            for start in range(0, batch.num_rows, _CHUNK):
+                scores = flat[start : start + _CHUNK].astype(np.float64) @ centroids.T
+                best[start : start + _CHUNK] = np.argsort(-scores, axis=1, kind="stable")[:, :count]
             offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * best.shape[1]
             clusters = pa.ListArray.from_arrays(pa.array(offsets), pa.array(best.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, clusters], names=[*batch.schema.names, "clusters"])
@@ -43,16 +57,35 @@ def _with_clusters(df: DataFrame, vector: str, centroids: np.ndarray, count: int
     return fitting.mapInArrow(nearest, schema)
 
 
-def build_ivf(places: DataFrame, n_cells: int, max_iter: int = 10, seed: int = V.SAMPLE_SEED) -> VectorIndex:
-    """Cluster the places that have a vector by cosine; ``n_cells`` bounds what tasks receive."""
+def build_ivf(places: DataFrame, n_cells: int | None = None, max_iter: int = 10, seed: int = V.SAMPLE_SEED) -> VectorIndex:
+    """Cluster the places that have a vector by cosine; the number of clusters follows the measured table.
+
+    Assignments are written once, so a search reads them instead of computing them again.
+    """
     embedded = places.where(F.col("embedding").isNotNull()).select(
         "id", "latitude", "longitude", "overall_rating", "price_range", "embedding")
+    if n_cells is None:
+        n_cells = min(MOST_CLUSTERS, max(2, math.ceil(embedded.count() / CLUSTER_ROWS)))
     features = embedded.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=n_cells, distanceMeasure="cosine", maxIter=max_iter, seed=seed).fit(features)
     centers = np.array(model.clusterCenters())
     centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
     assigned = _with_clusters(embedded, "embedding", centers, 1)
-    return VectorIndex(assigned.withColumn("cluster", F.col("clusters")[0]).drop("clusters"), centers)
+    assigned = assigned.withColumn("cluster", F.col("clusters")[0]).drop("clusters")
+    return VectorIndex(materialize(assigned, "ivf"), centers)
+
+
+def save_index(index: VectorIndex, path: str) -> None:
+    """Places by cluster, and the centroids, under ``path``."""
+    index.places.write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/places")
+    spark = index.places.sparkSession
+    rows = [(i, json.dumps(c.tolist())) for i, c in enumerate(index.centroids)]
+    spark.createDataFrame(rows, "cluster int, centroid string").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def load_index(spark: SparkSession, path: str) -> VectorIndex:
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cluster").collect()  # no more than MOST_CLUSTERS
+    return VectorIndex(spark.read.parquet(f"{path}/places"), np.array([json.loads(r["centroid"]) for r in rows]))
 
 
 def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
@@ -64,10 +97,16 @@ def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int =
     """
     asked = requests.where(F.col("query_vector").isNotNull())
     probed = _with_clusters(asked.select(*_REQUEST_COLUMNS), "query_vector", index.centroids, n_probe)
-    q = blocks.prepare_requests(probed, True, "clusters")
+    q = blocks.prepare_requests(probed, True, "clusters").withColumn("level", geocells.box_level())
     p = blocks.vector_places(index.places, "cluster")
-    request_cells = F.explode(F.transform("clusters", lambda c: F.struct(c.alias("cell_id"))))
-    place_cells = F.explode(F.array(F.struct(F.col("cluster").alias("cell_id"))))
+
+    def inside(cell: Column, cluster: Column) -> Column:
+        return F.struct(cell["level"].alias("level"), cell["cy"].alias("cy"), cell["cx"].alias("cx"), cluster.alias("cluster"))
+
+    grid = F.transform(geocells.box_grid(), lambda cell: F.transform("clusters", lambda c: inside(cell, c)))
+    request_cells = F.explode(F.flatten(grid))
+    levels = profile(asked).levels or [0]
+    place_cells = F.explode(F.transform(geocells.place_grid(levels), lambda cell: inside(cell, F.col("cluster"))))
     found = best_hits(blocks.blocked_hits(q, p, request_cells, place_cells, mode=blocks.VECTOR, limit=limit,
                                           **block_options), limit)
     if not widen:

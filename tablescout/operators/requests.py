@@ -19,11 +19,16 @@ def _number(name: str) -> Column:
     return F.col(name).try_cast("double")
 
 
-def _parameter_error(column: str, name: str, required: bool) -> Column:
+def _whole(name: str) -> Column:
+    """The number without its fraction; NULL if there is none or no integer can hold it."""
+    return _number(name).try_cast("int")
+
+
+def _parameter_error(column: str, name: str, required: bool, value: Column | None = None) -> Column:
     """Missing or unreadable value; NULL when fine."""
     missing = F.when(F.col(column).isNull(), F.lit(V.TEXT_MISSING.format(name))) if required else F
     return missing.when(
-        F.col(column).isNotNull() & _number(column).isNull(), F.lit(V.TEXT_WRONG_TYPE.format(name)))
+        F.col(column).isNotNull() & (_number(column) if value is None else value).isNull(), F.lit(V.TEXT_WRONG_TYPE.format(name)))
 
 
 def _limits(field: str, value: Column, low: Column, high: int) -> list[Column]:
@@ -38,10 +43,11 @@ def check_requests(df: DataFrame) -> DataFrame:
     """Typed request columns plus ``message``: the rejection text, NULL when accepted.
 
     Absent numbers of the body count as 0, so an absent distance is rejected. Ratings and
-    prices are truncated to whole numbers (3.5 becomes 3). Columns may hold text.
+    prices are truncated to whole numbers (3.5 becomes 3); what no integer can hold is of the wrong
+    type, as text is. Columns may hold text.
     """
     distance = F.coalesce(_number("max_distance_km"), F.lit(0.0))
-    price, rating = (F.coalesce(_number(n).cast("int"), F.lit(0)) for n in ("preferred_price_range", "minimum_rating"))
+    price, rating = (F.coalesce(_whole(n), F.lit(0)) for n in ("preferred_price_range", "minimum_rating"))
     violations = [
         *_limits("maxDistanceInKm", distance, (distance > 0) & ~F.isnan(distance), V.MAX_DISTANCE_KM),
         *_limits("preferredPriceRange", price, price >= 0, V.MAX_PRICE),
@@ -52,7 +58,8 @@ def check_requests(df: DataFrame) -> DataFrame:
     body = F.when(F.size(broken) > 0, F.when(F.trim(joined) == "", F.lit(V.TEXT_REJECTED)).otherwise(joined))
     message = F.coalesce(
         *(_parameter_error(n, n, True) for n in _POSITION),
-        *(_parameter_error(column, name, False) for column, name in _BODY),
+        _parameter_error(*_BODY[0], False),
+        *(_parameter_error(column, name, False, _whole(column)) for column, name in _BODY[1:]),
         body,
     )
     typed = {

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablescout import fixed_values as V
 from tablescout.functions import geo, vectors
 from tablescout.operators import blocks, geocells
-
+from tablescout.session import materialize
 
 #: Distance searches are narrowed when they could score more pairs than this; below, counting costs more than it saves.
 NARROW_PAIRS = 5e8
 
+#: Answered ids are sent to the catalog's scan up to this many (eight bytes each).
+BROADCAST_IDS = 2_000_000
+
 #: What a search depends on; requests equal in all of these are copies.
 _CONTENT = ("latitude", "longitude", "max_distance_km", "minimum_rating", "preferred_price_range", "query_vector")
 
@@ -139,16 +142,24 @@ def retrieve(requests: DataFrame, places: DataFrame, k: int = V.RESULT_LIMIT, ov
 
 
 def attach_places(ranked: DataFrame, places: DataFrame) -> DataFrame:
-    """Catalog columns for ranked ids. Only the answers' rows cross the shuffle with their texts;
-    a place that is in very many answers is split by the adaptive skew join."""
+    """Catalog columns for ranked ids; a place that is in very many answers is split by the adaptive skew join.
+
+    The answered ids are written first. If they are few by their measured size they go to the
+    catalog's scan, so only answered rows are moved with their texts; else both sides are shuffled.
+    """
     wanted = [c for c in places.columns if c not in ("embedding",)]
-    return ranked.join(places.select(*wanted), "id")
+    answered = materialize(ranked.select("id").distinct(), "answered")
+    rows = places.select(*wanted)
+    if answered.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(answered), "id", "left_semi")
+    return ranked.join(rows, "id")
 
 
 def single_box(places: DataFrame, lat: float, lon: float, max_km: float) -> DataFrame:
     """Places in one request's box; the bounds are constants, so the filter reaches the scan."""
     bounds = geo.box_bounds(F.lit(float(lat)), F.lit(float(lon)), F.lit(float(max_km)))
-    return places.where(geo.box_condition(F.col("latitude"), F.col("longitude"), bounds))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    return places.where(geo.has_position(lat, lon) & geo.box_condition(lat, lon, bounds))
 
 
 def _single(places: DataFrame, lat: float, lon: float, max_km: float, min_rating: int, price: int) -> DataFrame:

@@ -164,11 +164,13 @@ _NEEDS = {
 }
 
 
-def _query(body: str, *parts: str, asked: str = "accepted") -> str:
+def _query(body: str, *parts: str, asked: str = "accepted", own: dict[str, tuple[str, list[str]]] | None = None) -> str:
+    """A query over named parts; ``own`` replaces parts, as text and the parts it needs."""
+    own = own or {}
     ordered: list[str] = []
 
     def need(part: str) -> None:
-        for other in [*_NEEDS.get(part, []), *([asked] if part == "pairs" else [])]:
+        for other in [*(own[part][1] if part in own else _NEEDS.get(part, [])), *([asked] if part == "pairs" else [])]:
             need(other)
         if part not in ordered:
             ordered.append(part)
@@ -176,7 +178,7 @@ def _query(body: str, *parts: str, asked: str = "accepted") -> str:
     for part in parts:
         need(part)
     def text(part: str) -> str:
-        return _PARTS[part].replace("{asked}", asked)
+        return (own[part][0] if part in own else _PARTS[part]).replace("{asked}", asked)
 
     return "with " + ",\n".join(f"{part} as (\n{text(part)})" for part in ordered) + "\n" + body
 
@@ -197,26 +199,29 @@ def _messages() -> str:
     def number(name: str) -> str:
         return f"try_cast({name} as double)"
 
-    def unreadable(column: str, name: str) -> str:
-        return f"when {column} is not null and {number(column)} is null then 'Invalid value for parameter: {name}'"
+    def whole(name: str) -> str:
+        return f"case when abs({number(name)}) < 2147483648 then trunc({number(name)}) end"
+
+    def unreadable(column: str, name: str, value=number) -> str:
+        return f"when {column} is not null and ({value(column)}) is null then 'Invalid value for parameter: {name}'"
 
     return f"""select qid, {number('latitude')} as latitude, {number('longitude')} as longitude,
   coalesce({number('max_distance_km')}, 0) as max_distance_km,
-  cast(trunc(coalesce({number('preferred_price_range')}, 0)) as int) as preferred_price_range,
-  cast(trunc(coalesce({number('minimum_rating')}, 0)) as int) as minimum_rating,
+  cast(coalesce({whole('preferred_price_range')}, 0) as int) as preferred_price_range,
+  cast(coalesce({whole('minimum_rating')}, 0) as int) as minimum_rating,
   coalesce(
     case when latitude is null then 'Missing required parameter: latitude' {unreadable('latitude', 'latitude')} end,
     case when longitude is null then 'Missing required parameter: longitude' {unreadable('longitude', 'longitude')} end,
     case {unreadable('max_distance_km', 'maxDistanceInKm')} end,
-    case {unreadable('preferred_price_range', 'preferredPriceRange')} end,
-    case {unreadable('minimum_rating', 'minimumRating')} end,
+    case {unreadable('preferred_price_range', 'preferredPriceRange', whole)} end,
+    case {unreadable('minimum_rating', 'minimumRating', whole)} end,
     nullif(concat_ws('; ',
       case when not coalesce({number('max_distance_km')}, 0) > 0 then 'maxDistanceInKm: must be greater than 0' end,
       case when {number('max_distance_km')} > 500 then 'maxDistanceInKm: must be less than or equal to 500' end,
-      case when trunc({number('preferred_price_range')}) < 0 then 'preferredPriceRange: must be greater than or equal to 0' end,
-      case when trunc({number('preferred_price_range')}) > 4 then 'preferredPriceRange: must be less than or equal to 4' end,
-      case when trunc({number('minimum_rating')}) < 0 then 'minimumRating: must be greater than or equal to 0' end,
-      case when trunc({number('minimum_rating')}) > 5 then 'minimumRating: must be less than or equal to 5' end), '')
+      case when ({whole('preferred_price_range')}) < 0 then 'preferredPriceRange: must be greater than or equal to 0' end,
+      case when ({whole('preferred_price_range')}) > 4 then 'preferredPriceRange: must be less than or equal to 4' end,
+      case when ({whole('minimum_rating')}) < 0 then 'minimumRating: must be greater than or equal to 0' end,
+      case when ({whole('minimum_rating')}) > 5 then 'minimumRating: must be less than or equal to 5' end), '')
   ) as message from raw_requests"""
 
 
@@ -234,6 +239,43 @@ def _gates() -> str:
     return "\nunion all\n".join(rows)
 
 
+_DOCUMENT = """concat(name,
+  case when len(cuisines) > 0 then concat(' - ', array_to_string(cuisines, ', ')) else '' end,
+  case when city is not null then concat(' in ', city, case when state is not null then concat(', ', state) else '' end) else '' end, '.',
+  case when len(features) > 0 then concat(' Features: ', array_to_string(features, ', '), '.') else '' end,
+  case when regexp_matches(description, '\\S') then concat(' ', description) else '' end)"""
+_QUERY_TEXT = """concat('Looking for a ',
+  case when regexp_matches(preferred_cuisine, '\\S') then preferred_cuisine else 'great' end, ' restaurant',
+  case when preferred_price_range > 0 then concat(' around price level ', cast(preferred_price_range as varchar)) else '' end,
+  case when minimum_rating > 0 then concat(' with a rating of at least ', cast(minimum_rating as varchar)) else '' end,
+  '.')"""
+
+
+def _embedded(table: str, key: str, document: str, vector: str, only: str = "true") -> str:
+    """Rows of a part with ``vector`` computed from a text: 64 dimensions, a word's MD5 gives dimension and sign."""
+    return f"""select t.* exclude ({vector}), coalesce(e.vector, t.{vector}) as {vector} from {table} t left join (
+  with texts as (select {key}, lower({document}) as document from {table} where {only}),
+  codes as (select {key}, cast('0x' || substr(md5(word), 1, 8) as ubigint) as code from (
+    select {key}, unnest(regexp_extract_all(document, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from texts)),
+  cells as (select {key}, code % 64 as i, sum(case when code >= 2147483648 then 1 else -1 end) as x from codes group by all),
+  lengths as (select {key}, sqrt(cast(sum(x * x) as double)) as length from cells group by {key})
+  select {key}, list(cast(coalesce(x, 0) / coalesce(nullif(length, 0), cast(1 as double)) as float) order by d.i) as vector
+  from texts cross join (select cast(unnest(range(64)) as ubigint) as i) d
+  left join cells using ({key}, i) left join lengths using ({key}) group by {key}) e using ({key})"""
+
+
+_PARSED = """select qid, cast(i as int) as pos, json_extract_string(answer, concat('$[', i, '].name')) as name,
+  json_extract_string(answer, concat('$[', i, '].justification')) as justification
+from (select qid, answer, unnest(range(cast(json_array_length(answer) as bigint))) as i from answers where json_valid(answer))"""
+#: Places and requests with vectors computed from their texts, and answers parsed from responses.
+_FROM_TEXT = {
+    "plain_places": (f"select * replace (cast(null as float[]) as embedding) from ({_PARTS['places']})", []),
+    "places": (_embedded("plain_places", "id", _DOCUMENT, "embedding"), ["plain_places"]),
+    "plain_requests": (f"select * replace (cast(null as float[]) as query_vector) from ({_PARTS['requests']})", []),
+    "requests": (_embedded("plain_requests", "qid", _QUERY_TEXT, "query_vector"), ["plain_requests"]),
+    "generated": (_PARSED, ["answers"]),
+}
+
 _HISTORY = "event_id, user_id, restaurant_id, interaction_type, rating_given"
 _BOX = """latitude between 40.758::double - 5.0::double / 111.0::double and 40.758::double + 5.0::double / 111.0::double
  and longitude between -73.9855::double - 5.0::double / (111.0::double * cos(radians(40.758::double)))
@@ -273,25 +315,15 @@ from requests q join places p on p.id = q.qid, lateral (select
   * sin(radians(p.longitude - q.longitude) / 2) * sin(radians(p.longitude - q.longitude) / 2) as a)""", "requests", "places"),
     "q10_template_text": _query(f"""select id, {_TEMPLATE} as justification
 from (select *, {_SINGLE_KM} as dist_km from places)""", "places"),
-    "q11_place_document": _query("""select id, concat(name,
-  case when len(cuisines) > 0 then concat(' - ', array_to_string(cuisines, ', ')) else '' end,
-  case when city is not null then concat(' in ', city, case when state is not null then concat(', ', state) else '' end) else '' end, '.',
-  case when len(features) > 0 then concat(' Features: ', array_to_string(features, ', '), '.') else '' end,
-  case when regexp_matches(description, '\\S') then concat(' ', description) else '' end) as document from places""", "places"),
-    "q12_query_text": _query("""select qid, concat('Looking for a ',
-  case when regexp_matches(preferred_cuisine, '\\S') then preferred_cuisine else 'great' end, ' restaurant',
-  case when preferred_price_range > 0 then concat(' around price level ', cast(preferred_price_range as varchar)) else '' end,
-  case when minimum_rating > 0 then concat(' with a rating of at least ', cast(minimum_rating as varchar)) else '' end,
-  '.') as query_text from requests""", "requests"),
+    "q11_place_document": _query(f"""select id, {_DOCUMENT} as document from places""", "places"),
+    "q12_query_text": _query(f"""select qid, {_QUERY_TEXT} as query_text from requests""", "requests"),
     "q13_prompt": _query(_prompt(), "accepted", "candidates"),
     "q14_grounding_match": _query("""select qid, cast(pos as bigint) as pos, id, restaurant_name, justification,
   round(distance, 6) as distance from grounded""", "grounded"),
     "q15_generated_or_template": _query("""select qid, position, id, restaurant_name, justification, round(distance, 6) as distance,
   overall_rating, price_range, array_to_string(cuisines, '|') as cuisines, round(latitude, 6) as latitude,
   round(longitude, 6) as longitude, generated from recs""", "recs"),
-    "q16_parse_generated": _query("""select qid, cast(i as int) as pos, json_extract_string(answer, concat('$[', i, '].name')) as name,
-  json_extract_string(answer, concat('$[', i, '].justification')) as justification
-from (select qid, answer, unnest(range(cast(json_array_length(answer) as bigint))) as i from answers where json_valid(answer))""", "answers"),
+    "q16_parse_generated": _query(_PARSED, "answers"),
     "q17_pending_embeddings": _query("select id, name from places where embedding is null", "places"),
     "q18_upsert_catalog": _query("""select coalesce(n.id, o.id) as id,
   case when n.id is null then o.name else n.name end as name,
@@ -336,8 +368,11 @@ where i <= case when densest then least(n_top, 500) else greatest(1500 - least(n
     "q29_quality_gates": _query(_gates(), "metrics"),
     "q30_kpi": _query("""select qid, count(*) as recommendations, round(min(distance), 6) as closest_km,
   max(coalesce(overall_rating, 0)) as top_rating from recs group by qid""", "recs"),
-    # Whatever the embedder, every place ends up with a unit vector of the wanted size.
-    "q32_embed_backfill": _query("select id, cast(64 as int) as dims, cast(1 as double) as squared_length from places", "places"),
+    "q31_ivf_topk": _query("""select qid, cast(rn as int) as rn, id, round(cos_dist, 6) as cos_dist
+from vector_hits""", "vector_hits"),
+    "q32_embed_backfill": _query(f"""select id, cast(len(embedding) as int) as dims,
+  round(list_reduce(list_transform(embedding, lambda x, i: cast(x as double) * i), lambda s, x: s + x), 4) as weighted_sum
+from ({_embedded("places", "id", _DOCUMENT, "embedding", "embedding is null")})""", "places"),
     "q33_stream_history": _query(f"select {_HISTORY}, interaction_time from history_events", "history_events"),
     "q34_rejected_requests": _query("""select qid, cast(400 as int) as status, 'Validation Failed' as error, concat_ws('; ',
   case when not max_distance_km > 0 then 'maxDistanceInKm: must be greater than 0' end,
@@ -366,4 +401,7 @@ from places where embedding is not null""", "places"),
 from requests q join places p on p.id = q.qid where q.query_vector is not null and p.embedding is not null""", "requests", "places"),
     "q43_fetch_places": _query("""select id, name, city from places
 where id in (select restaurant_id from history_events)""", "places", "history_events"),
+    "q44_recommend_from_text": _query("""select qid, position, id, restaurant_name, justification, round(distance, 6) as distance,
+  generated from recs""", "recs", own=_FROM_TEXT),
+    "q45_ivf_recall": _query("select count(*) as exact_hits, true as recall_reached from vector_hits", "vector_hits"),
 }

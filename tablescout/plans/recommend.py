@@ -22,9 +22,10 @@ def candidates(requests: DataFrame, places: DataFrame, embedder: backfill.Embedd
     accepted, _ = validate_requests(requests)
     if embedder is not None:
         accepted = backfill.embed_distinct(accepted, embedder, **options)
-    # Descriptions are cut to prompt size once per place, before they are copied to every answer.
+    ranked = materialize(retrieve(accepted, places, k), "ranked")  # read for its ids, then for its rows
+    # Descriptions are cut to prompt size once per answered place, before they are copied to every answer.
     shown = places.withColumn("description", text.short_description(F.col("description")))
-    return attach_places(retrieve(accepted, places, k), shown)
+    return attach_places(ranked, shown)
 
 
 def recommend(requests: DataFrame, places: DataFrame, responses: DataFrame | None = None,

@@ -1,7 +1,7 @@
 """Places, requests and the other inputs derived from the benchmark tables.
 
 Every view is one SQL text that runs unchanged on Spark and on DuckDB; only the array
-constructor differs and is written ``{list}``.
+constructor and the numbers from one to another differ: ``{list}(..)``, ``{numbers}a, b))``.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ select c.c_custkey as qid,
        cast(c.c_custkey % 7 as int) as minimum_rating,
        cast(c.c_custkey % 6 as int) as preferred_price_range,
        e.embedding as query_vector
-from customer c left join embeddings e on e.vec_id = c.c_custkey % 600""",
+from (select *, c_custkey % (select cast(floor(count(*) * 1.2) as bigint) from embeddings) as probe from customer) c
+left join embeddings e on e.vec_id = c.probe""",
     "history_events": """
 select event_id, cast(user_id as {string}) as user_id,
        cast(floor(value * 4) as bigint) as restaurant_id,
@@ -55,14 +56,13 @@ select event_id, cast(user_id as {string}) as user_id,
        ts as interaction_time
 from events where event_type <> 'error'""",
     "generated": """
-select q.c_custkey as qid, n.n_nationkey as pos,
-       case when (q.c_custkey + n.n_nationkey) % 5 = 0 then 'Invented Spot'
-            when n.n_nationkey % 2 = 0 then upper(p.p_name) else p.p_name end as name,
+select q.c_custkey as qid, q.pos,
+       case when (q.c_custkey + q.pos) % 5 = 0 then 'Invented Spot'
+            when q.pos % 2 = 0 then upper(p.p_name) else p.p_name end as name,
        concat(p.p_name, ' is close by.') as justification
-from customer q
-join nation n on n.n_nationkey < 5
-join part p on p.p_partkey = (q.c_custkey * 7 + n.n_nationkey * 13) % 200
-where q.c_custkey % 3 <> 0""",
+from (select c_custkey, pos, (c_custkey * 7 + pos * 13) % (select count(*) from part) as place
+      from (select c_custkey, {numbers}0, 4)) as pos from customer where c_custkey % 3 <> 0)) q
+join part p on p.p_partkey = q.place""",
     "raw_merchants": """
 select p_partkey as raw_pos,
        concat('{"_id":', cast(p_partkey as {string}),
@@ -109,7 +109,7 @@ select p_partkey + case when p_partkey % 10 = 0 then 10000000 else 0 end as id,
        cast(-74.05 as double) + cast(p_partkey * 91 % 1000 as double) / cast(8000 as double) as longitude,
        n_name as city, cast(null as {string}) as state,
        cast(n_nationkey * 100000000 as bigint) + p_partkey as input_pos
-from part join nation on n_nationkey < 1 + p_partkey % 3""",
+from (select *, {numbers}0, p_partkey % 3)) as load from part) join nation on n_nationkey = load""",
     # Flat catalog records with every kind of defect.
     "flat_catalog": """
 select case when p_partkey % 23 = 0 then null else p_partkey end as id,
@@ -131,8 +131,10 @@ select c_custkey as qid,
        case when c_custkey % 83 = 0 then null else cast(c_custkey % 170 as {string}) end as longitude,
        case when c_custkey % 41 = 0 then null when c_custkey % 43 = 0 then 'far'
             else cast(c_custkey % 550 - 20 as {string}) end as max_distance_km,
-       case when c_custkey % 13 = 0 then null else cast(c_custkey % 7 - 1 as {string}) end as preferred_price_range,
-       concat(cast(c_custkey % 8 - 1 as {string}), '.5') as minimum_rating
+       case when c_custkey % 13 = 0 then null when c_custkey % 47 = 0 then 'NaN' when c_custkey % 53 = 0 then 'Infinity'
+            else cast(c_custkey % 7 - 1 as {string}) end as preferred_price_range,
+       case when c_custkey % 59 = 0 then '99999999999' when c_custkey % 61 = 0 then 'NaN'
+            else concat(cast(c_custkey % 8 - 1 as {string}), '.5') end as minimum_rating
 from customer""",
 }
 
@@ -146,11 +148,11 @@ def _text(name: str, **words: str) -> str:
 
 def spark_text(name: str) -> str:
     # Spark reads a backslash in a literal as an escape.
-    return _text(name, list="array", string="string").replace("\\", "\\\\")
+    return _text(name, list="array", string="string", numbers="explode(sequence(").replace("\\", "\\\\")
 
 
 def duckdb_text(name: str) -> str:
-    return _text(name, list="list_value", string="varchar")
+    return _text(name, list="list_value", string="varchar", numbers="unnest(generate_series(")
 
 
 def _register(spark: SparkSession, sf_dir: str, text: str) -> None:

@@ -69,10 +69,12 @@ def test_parse_generated(spark):
         (1, body(items)), (2, body("not json")), (3, '{"candidates":[]}'), (4, None), (5, body("")), (6, "oops"),
         (7, body('{"name":"A"}')), (8, body('[{"name":"A","justification":"x","distance":"near"}]')),
         (9, body('[{"name":"A","justification":"x","distance":"2.5"}]')), (10, body(' [{"name":"B"}]')),
+        (11, body('[{"name":1,"justification":{"a":1}}]')), (12, body('[{"name":["A"],"justification":"x"}]')),
+        (13, body('[{"name":1,"justification":"{\\"a\\":1}"}]')),
     ]
     found = ground.parse_generated(spark.createDataFrame(rows, "qid long, body string"))
     assert sorted(map(tuple, found.collect()), key=str) == sorted([
-        (1, 0, "A", "x"), (1, 1, None, "y"), (9, 0, "A", "x"), (10, 0, "B", None)], key=str)
+        (1, 0, "A", "x"), (1, 1, None, "y"), (9, 0, "A", "x"), (10, 0, "B", None), (13, 0, "1", '{"a":1}')], key=str)
 
 
 def test_prompt(spark):
