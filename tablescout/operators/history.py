@@ -13,15 +13,20 @@ def _time(df: DataFrame):
     return F.coalesce(F.col("interaction_time").cast("timestamp"), now) if "interaction_time" in df.columns else now
 
 
+def _event(df: DataFrame):
+    """The event's own number, NULL where the source has none: batch and stream write one schema."""
+    return (F.col("event_id").cast("long") if "event_id" in df.columns else F.lit(None).cast("long")).alias("event_id")
+
+
 def visits(df: DataFrame) -> DataFrame:
     """Log rows for visits; repeats are kept."""
-    return df.select("user_id", "restaurant_id", F.lit(V.VISITED).alias("interaction_type"),
+    return df.select(_event(df), "user_id", "restaurant_id", F.lit(V.VISITED).alias("interaction_type"),
                      F.lit(None).cast("double").alias("rating_given"), _time(df).alias("interaction_time"))
 
 
 def ratings(df: DataFrame) -> DataFrame:
     """Log rows for ratings; the rating is not range-checked."""
-    return df.select("user_id", "restaurant_id", F.lit(V.RATED).alias("interaction_type"),
+    return df.select(_event(df), "user_id", "restaurant_id", F.lit(V.RATED).alias("interaction_type"),
                      F.col("rating_given").cast("double").alias("rating_given"), _time(df).alias("interaction_time"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -40,7 +42,11 @@ def order_statistics(df: DataFrame, column: str, quantiles: dict[str, float | No
         for rank in (middle_ranks(n) if p is None else nearest_rank(n, p)) if n else ():
             wanted.append((name, rank, low, high))
     names = list(quantiles)
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
+    if wanted and n > small:  # only what lies in a bracket is moved and grouped
+        inner = reduce(or_, (F.col("v").between(F.lit(low), F.lit(high)) for _, _, low, high in wanted))
+        counted = values.where(inner).groupBy("v").agg(F.count(F.lit(1)).alias("m"))
+    else:
+        counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
     # NaN sorts above every number, so NaN as the upper end admits everything.
     brackets = [
         F.when(F.col("v").between(F.lit(low), F.lit(high)),
@@ -48,8 +54,7 @@ def order_statistics(df: DataFrame, column: str, quantiles: dict[str, float | No
         for i, (name, rank, low, high) in enumerate(wanted)
     ] or [F.lit(None).cast("struct<i:int,name:string,rank:bigint>")]
     if wanted and n > small:
-        below = counted.agg(*(F.coalesce(F.sum(F.when(F.col("v") < low, F.col("m"))), F.lit(0)).alias(f"b{i}")
-                              for i, (_, _, low, _) in enumerate(wanted))).first()
+        below = values.agg(*(F.count_if(F.col("v") < low).alias(f"b{i}") for i, (_, _, low, _) in enumerate(wanted))).first()
     else:
         below = [0] * len(wanted)
     offset = F.element_at(F.array(*(F.lit(b) for b in below)) if wanted else F.array(F.lit(0)), F.col("w.i") + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablescout import fixed_values as V
 from tablescout.operators.ingest import is_usable
@@ -48,8 +48,16 @@ def sample_catalog(places: DataFrame, size: int = V.SAMPLE_SIZE, seed: int = V.S
         return F.md5(F.concat(F.lit(f"{seed}-{purpose}-"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
 
     in_top = F.col("city").eqNullSafe(F.lit(top["city"])) & F.col("state").eqNullSafe(F.lit(top["state"]))
+    def first_rows(rows: DataFrame, quota: int) -> DataFrame:
+        """Rows whose hash starts low enough to hold the quota, so that only these are ordered."""
+        start = F.substring(code("pick"), 1, 4)
+        counts = rows.groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("n"))  # 65,536 rows at most
+        upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("start"))).where(F.col("upto") >= quota)
+        last = upto.agg(F.min("start").alias("last")).first()["last"]
+        return (rows if last is None else rows.where(start <= last)).orderBy(code("pick"), "id").limit(quota)
+
     strata = [
-        places.where(condition).orderBy(code("pick"), "id").limit(quota).withColumn("densest", F.lit(flag))
+        first_rows(places.where(condition), quota).withColumn("densest", F.lit(flag))
         for condition, quota, flag in ((in_top, n_top, True), (~in_top, n_rest, False))
     ]
     return strata[0].unionByName(strata[1]).withColumn("sample_order", code("shuffle"))

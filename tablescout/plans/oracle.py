@@ -384,7 +384,7 @@ from usable u join addresses a on a.raw_pos = u.raw_pos join flat_features f on
                               "usable", "addresses", "flat_features"),
     "q36_pool_sizes": _query("select count(*) as total, (select count(*) from usable) as usable from raw_merchants", "usable"),
     "q37_catalog_counts": _query("select count(*) as places, count(embedding) as with_vector from places", "places"),
-    "q38_history_rows": _query("""select user_id, restaurant_id, interaction_type, rating_given, interaction_time
+    "q38_history_rows": _query("""select event_id, user_id, restaurant_id, interaction_type, rating_given, interaction_time
 from history_events""", "history_events"),
     "q39_sample_rows": _query("""select qid, position, restaurant_name as name, coalesce(overall_rating, 0) as rating,
   round(distance, 2) as distance, array_to_string(cuisines, '|') as cuisines,

@@ -5,16 +5,25 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablescout import fixed_values as V
 from tablescout import schemas
 
 
+def _input_position() -> Column:
+    """Order of the input: by file name, place of the split in its file, place of the row in its split.
+
+    Spark reads large files first, so the order in which rows are met says nothing about the files.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
 def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Flat catalog records with their input position; unknown fields are ignored, any parse error fails the load."""
     reader = spark.read.schema(schemas.CATALOG_JSON).option("multiLine", multi_line).option("mode", "FAILFAST")
-    return reader.json(path).withColumn("input_pos", F.monotonically_increasing_id())
+    return reader.json(path).withColumn("input_pos", _input_position())
 
 
 def read_raw_merchants(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -24,7 +33,7 @@ def read_raw_merchants(spark: SparkSession, path: str, multi_line: bool = True)
     lines with ``multi_line=False``.
     """
     reader = spark.read.schema(schemas.RAW_MERCHANT).option("multiLine", multi_line).option("mode", "PERMISSIVE")
-    return reader.json(path).withColumn("input_pos", F.monotonically_increasing_id())
+    return reader.json(path).withColumn("input_pos", _input_position())
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -155,3 +155,17 @@ def test_sample_of_nothing(spark):
 def test_schema_of_places(spark, tmp_path):
     catalog.save_places(places_df(spark, [{"id": 1, "latitude": 1.0, "longitude": 2.0}]), str(tmp_path / "c"))
     assert catalog.load_places(spark, str(tmp_path / "c")).columns == schemas.PLACES.fieldNames()
+
+
+def test_later_file_wins(spark, tmp_path):
+    """Files count in the order of their names, though Spark reads the larger one first."""
+    (tmp_path / "in").mkdir()
+    row = {"name": "first", "latitude": 1.0, "longitude": 2.0}
+    (tmp_path / "in" / "a.json").write_text(json.dumps([{"id": 1} | row]))
+    more = [{"id": i} | row | {"name": "second", "description": "x" * 500} for i in range(1, 200)]
+    (tmp_path / "in" / "b.json").write_text(json.dumps(more))
+    (tmp_path / "in" / "c.json").write_text(json.dumps([{"id": 2} | row | {"name": "third"}]))
+    loaded = ingest.to_places(ingest.valid_places(catalog.read_catalog(spark, str(tmp_path / "in"))))
+    merged = ingest.upsert_places(spark.createDataFrame([], schemas.PLACES), loaded)
+    names = {r["id"]: r["name"] for r in merged.collect()}
+    assert names[1] == "second" and names[2] == "third" and names[3] == "second" and len(names) == 199
