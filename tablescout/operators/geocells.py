@@ -25,10 +25,11 @@ def cell_size(level: int) -> float:
     return 2.0 ** (2 * level - 14)
 
 
-def box_level() -> Column:
-    """The finest grid whose cells are not too small for the box."""
+def box_level(most: float | None = None) -> Column:
+    """The finest grid on which the box is no wider than ``most`` cells; by default this depends on what is scored."""
     width = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"))
     cells = F.when(F.col("query_vector").isNull(), F.lit(_DISTANCE_CELLS)).otherwise(F.lit(_VECTOR_CELLS))
+    cells = cells if most is None else F.lit(most)
     fits = [F.when(width <= cells * F.lit(cell_size(j)), F.lit(j)) for j in range(LEVELS)]
     return F.coalesce(*fits, F.lit(LEVELS - 1))
 

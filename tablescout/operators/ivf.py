@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tablescout import fixed_values as V
 from tablescout.operators import blocks, geocells
-from tablescout.operators.retrieve import best_hits, profile, vector_hits
+from tablescout.operators.retrieve import best_hits, vector_hits
 from tablescout.session import materialize
 
 #: Places per cluster that the number of clusters aims at, and the most clusters (their centroids go to every task).
@@ -97,7 +97,8 @@ def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int =
     """
     asked = requests.where(F.col("query_vector").isNotNull())
     probed = _with_clusters(asked.select(*_REQUEST_COLUMNS), "query_vector", index.centroids, n_probe)
-    q = blocks.prepare_requests(probed, True, "clusters").withColumn("level", geocells.box_level())
+    # Coarse geo cells: a request has a row for each pair of a cell and a probed cluster.
+    q = blocks.prepare_requests(probed, True, "clusters").withColumn("level", geocells.box_level(1.0))
     p = blocks.vector_places(index.places, "cluster")
 
     def inside(cell: Column, cluster: Column) -> Column:
@@ -105,7 +106,7 @@ def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int =
 
     grid = F.transform(geocells.box_grid(), lambda cell: F.transform("clusters", lambda c: inside(cell, c)))
     request_cells = F.explode(F.flatten(grid))
-    levels = profile(asked).levels or [0]
+    levels = sorted(q.agg(F.collect_set("level").alias("levels")).first()["levels"]) or [0]
     place_cells = F.explode(F.transform(geocells.place_grid(levels), lambda cell: inside(cell, F.col("cluster"))))
     found = best_hits(blocks.blocked_hits(q, p, request_cells, place_cells, mode=blocks.VECTOR, limit=limit,
                                           **block_options), limit)
