@@ -405,3 +405,19 @@ where id in (select restaurant_id from history_events)""", "places", "history_ev
   generated from recs""", "recs", own=_FROM_TEXT),
     "q45_ivf_recall": _query("select count(*) as exact_hits, true as recall_reached from vector_hits", "vector_hits"),
 }
+
+# The same questions by the other half of each measured switch.
+_OPEN = """select * replace (case when qid % 3 <> 0 then minimum_rating end as minimum_rating,
+  case when qid % 4 <> 0 then preferred_price_range end as preferred_price_range) from accepted"""
+_OPEN_PAIRS = (_PARTS["pairs"].replace("(q.minimum_rating <= 0 ", "(coalesce(q.minimum_rating, 0) <= 0 ")
+               .replace("(q.preferred_price_range <= 0 ", "(coalesce(q.preferred_price_range, 0) <= 0 "))
+ORACLE |= {
+    "q46_distance_narrowed": ORACLE["q05_distance_topk_batch"],
+    "q47_hybrid_small_blocks": ORACLE["q07_hybrid_batch"],
+    "q48_copies_answered_once": f"""with once as ({ORACLE["q05_distance_topk_batch"]})
+select qid, rank, id, dist_km from once union all select -qid, rank, id, dist_km from once""",
+    "q49_nullable_limits": _query("""select qid, cast(rank as int) as rank, id, round(dist_km, 6) as dist_km,
+  round(cos_dist, 6) as cos_dist, round(score, 6) as score, semantic from ranked""", "ranked", asked="open_requests", own={
+        "open_requests": (_OPEN, ["accepted"]), "pairs": (_OPEN_PAIRS, ["places"])}),
+    "q50_bracketed_percentiles": _query("select latency_p50_ms as p50, latency_p90_ms as p90, latency_p99_ms as p99 from metrics", "metrics"),
+}

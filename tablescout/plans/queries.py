@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tablescout import schemas
 from tablescout.functions import geo, text, vectors
 from tablescout.operators import (
-    backfill, evaluate, ground, history, ingest, ivf, requests as request_ops, retrieve, sampling,
+    backfill, evaluate, ground, history, ingest, ivf, orderstats, requests as request_ops, retrieve, sampling,
 )
 from tablescout.plans import recommend as jobs
 from tablescout.session import materialize, scratch_path
@@ -326,6 +326,45 @@ def stream_history(spark: SparkSession, sf: str) -> DataFrame:
         "interaction_time", F.col("interaction_time").cast("timestamp_ntz"))
 
 
+def distance_narrowed(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch by distance with every box narrowed and a directory of cells that is never broadcast."""
+    hits = retrieve.distance_hits(_accepted(spark, sf), view(spark, sf, "places"), narrow_pairs=0, broadcast_cells=0)
+    return retrieve.rerank(hits).select("qid", "rank", "id", km("dist_km"))
+
+
+def hybrid_small_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The hybrid batch in small blocks, narrowed, with a directory that is never broadcast."""
+    ranked = retrieve.retrieve(_accepted(spark, sf), view(spark, sf, "places"), narrow_pairs=0, broadcast_cells=0,
+                               request_block=(256, 1024), place_block=(512, 2048))
+    return ranked.select("qid", "rank", "id", km("dist_km"), km("cos_dist"), km("score"), "semantic")
+
+
+def _copied(spark: SparkSession, sf: str) -> DataFrame:
+    """Every valid request twice, the second time under the negative number."""
+    asked = _accepted(spark, sf)
+    return asked.unionByName(asked.withColumn("qid", -F.col("qid")))
+
+
+def copies_answered_once(spark: SparkSession, sf: str) -> DataFrame:
+    hits = retrieve.distance_hits(_copied(spark, sf), view(spark, sf, "places"))
+    return retrieve.rerank(hits).select("qid", "rank", "id", km("dist_km"))
+
+
+def nullable_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of which some leave a limit open, searched without validation."""
+    asked = _accepted(spark, sf).withColumns({
+        "minimum_rating": F.when(F.col("qid") % 3 != 0, F.col("minimum_rating")),
+        "preferred_price_range": F.when(F.col("qid") % 4 != 0, F.col("preferred_price_range"))})
+    ranked = retrieve.retrieve(asked, view(spark, sf, "places"))
+    return ranked.select("qid", "rank", "id", km("dist_km"), km("cos_dist"), km("score"), "semantic")
+
+
+def bracketed_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Latency percentiles with brackets, at any number of runs."""
+    runs = view(spark, sf, "query_runs").where("status = 200")
+    return orderstats.order_statistics(runs, "latency_ms", {"p50": None, "p90": 0.9, "p99": 0.99}, small=0)
+
+
 QUERIES: dict[str, Query] = {
     "q01_valid_catalog": valid_catalog,
     "q02_box_filter": box_filter,
@@ -372,4 +411,9 @@ QUERIES: dict[str, Query] = {
     "q43_fetch_places": fetch_places,
     "q44_recommend_from_text": recommend_from_text,
     "q45_ivf_recall": ivf_recall,
+    "q46_distance_narrowed": distance_narrowed,
+    "q47_hybrid_small_blocks": hybrid_small_blocks,
+    "q48_copies_answered_once": copies_answered_once,
+    "q49_nullable_limits": nullable_limits,
+    "q50_bracketed_percentiles": bracketed_percentiles,
 }
