@@ -419,5 +419,9 @@ select qid, rank, id, dist_km from once union all select -qid, rank, id, dist_km
     "q49_nullable_limits": _query("""select qid, cast(rank as int) as rank, id, round(dist_km, 6) as dist_km,
   round(cos_dist, 6) as cos_dist, round(score, 6) as score, semantic from ranked""", "ranked", asked="open_requests", own={
         "open_requests": (_OPEN, ["accepted"]), "pairs": (_OPEN_PAIRS, ["places"])}),
+    "q51_generated_job": _query("""select qid, position, id, restaurant_name, justification, round(distance, 6) as distance,
+  generated from recs""", "recs", own={"generated": (
+        "select qid, 0 as pos, upper(name) as name, concat(name, ' comes first.') as justification from candidates where rank = 1",
+        ["candidates"])}),
     "q50_bracketed_percentiles": _query("select latency_p50_ms as p50, latency_p90_ms as p90, latency_p99_ms as p99 from metrics", "metrics"),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -365,6 +367,21 @@ def bracketed_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return orderstats.order_statistics(runs, "latency_ms", {"p50": None, "p90": 0.9, "p99": 0.99}, small=0)
 
 
+def _names_first(prompt: str) -> str | None:
+    """A stand-in for a text generator: it recommends the first candidate of its prompt."""
+    line = re.search(r"^- (.*) \| cuisines: ", prompt, re.MULTILINE)
+    if line is None:
+        return None
+    answer = json.dumps([{"name": line[1].upper(), "justification": f"{line[1]} comes first."}])
+    return json.dumps({"candidates": [{"content": {"parts": [{"text": answer}]}}]})
+
+
+def generated_job(spark: SparkSession, sf: str) -> DataFrame:
+    """From requests to grounded answers with a generator in the job."""
+    recs = jobs.recommend(view(spark, sf, "requests"), view(spark, sf, "places"), generator=_names_first)
+    return recs.select("qid", "position", "id", "restaurant_name", "justification", km("distance"), "generated")
+
+
 QUERIES: dict[str, Query] = {
     "q01_valid_catalog": valid_catalog,
     "q02_box_filter": box_filter,
@@ -416,4 +433,5 @@ QUERIES: dict[str, Query] = {
     "q48_copies_answered_once": copies_answered_once,
     "q49_nullable_limits": nullable_limits,
     "q50_bracketed_percentiles": bracketed_percentiles,
+    "q51_generated_job": generated_job,
 }

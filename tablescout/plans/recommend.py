@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from tablescout import fixed_values as V
@@ -29,15 +31,23 @@ def candidates(requests: DataFrame, places: DataFrame, embedder: backfill.Embedd
 
 
 def recommend(requests: DataFrame, places: DataFrame, responses: DataFrame | None = None,
-              embedder: backfill.Embedder | None = None, k: int = V.RESULT_LIMIT) -> DataFrame:
+              embedder: backfill.Embedder | None = None, k: int = V.RESULT_LIMIT,
+              generator: Callable[[str], str | None] | None = None) -> DataFrame:
     """Final recommendations; ``responses`` is the ``(qid, body)`` table of the text generator, if there is one.
 
-    The candidates feed both the grounding and the template rows, so they are written once.
+    With a ``generator`` (prompt to response body) the prompts are built from the candidates and its
+    responses are written before they are used, so no prompt is paid for twice. The candidates feed
+    prompts, grounding and template rows, so they are written once.
     """
     found = candidates(requests, places, embedder, k)
+    if generator is not None:
+        found = materialize(found.select(*ground.CANDIDATE_COLUMNS, "description"), "candidates")
+        prompts = ground.build_prompts(validate_requests(requests)[0], found, k)
+        responses = materialize(ground.generate_responses(prompts, generator), "responses")
     if responses is None:
         return ground.recommendations(found)
-    found = materialize(found.select(*ground.CANDIDATE_COLUMNS), "candidates")
+    if generator is None:
+        found = materialize(found.select(*ground.CANDIDATE_COLUMNS), "candidates")
     return ground.recommendations(found, ground.parse_generated(responses))
 
 
