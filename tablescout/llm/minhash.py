@@ -13,10 +13,11 @@ documents that repeat no shingle, the plain Jaccard coefficient).
 3. Signatures are banded. In each bucket that holds several documents the best connected one (the
    sum of its buckets' sizes, a number that is highest for the original of a family of copies) is
    the hub; pairs of hub and member are verified exactly on the shingles, and linked.
-4. What shares a bucket but not yet a class is compared too, in blocks of bounded size, by
-   signatures; pairs that may reach the threshold are verified exactly. So every pair that shares a
-   bucket is either verified, already in one class, or excluded by its signatures. (At 0.8 a pair
-   shares none of 24 buckets of four coordinates with probability 3e-6.)
+4. Documents that share a bucket but not yet a class are compared in blocks of bounded size: pairs
+   whose signatures may reach the threshold are verified exactly, unless a link has joined their
+   classes already. A block gives back no more links than it has documents, however many pairs it
+   compares. So every pair that shares a bucket is either verified, in one class anyhow, or excluded
+   by its signatures. (At 0.8 a pair shares none of 24 buckets of four coordinates with probability 3e-6.)
 5. The links' connected components are the classes.
 
 Defined results: the class of a document is the smallest ``doc_id`` in it. NULL, empty and blank
@@ -45,8 +46,9 @@ BANDS = 24
 BAND_ROWS = 4
 #: Signatures within this many standard deviations below the threshold are verified.
 DEVIATIONS = 3.5
-#: Documents of one block in the comparison inside buckets.
-BLOCK = 512
+#: Documents of one block in the comparison inside crowded buckets, and shingles a document has room for there.
+BLOCK = 1024
+BLOCK_SHINGLES = 1024
 #: Documents whose darts are thrown together.
 DOCUMENTS = 250
 _FINE = 6  # the lowest rank layer is 2**-_FINE high
@@ -182,8 +184,20 @@ def _shingled(size: int) -> Callable:
     return run
 
 
-def _agreeing(least: int) -> Callable:
-    """Pairs of one cell that are in different classes and agree in ``least`` coordinates or more."""
+def _similarity(x: np.ndarray, y: np.ndarray) -> float:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(x) + len(y) - common)
+
+
+def _joining(least: int, threshold: float) -> Callable:
+    """Verified links of one cell that join classes: at most one less than its documents.
+
+    Pairs of different classes are compared by signature; those that agree in ``least`` coordinates
+    or more are verified on their shingles, the most alike first, unless a link found before has
+    joined their classes.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         ids, classes = table["id"].to_numpy(), table["component"].to_numpy()
@@ -192,27 +206,39 @@ def _agreeing(least: int) -> Callable:
         one_block = blocks.min() == blocks.max()
         left = np.arange(len(ids)) if one_block else np.flatnonzero(blocks == blocks.min())
         right = left if one_block else np.flatnonzero(blocks == blocks.max())
-        a, b = [], []
+        found = []
         for i in left:
             others = right[right > i] if one_block else right
             others = others[classes[others] != classes[i]]
-            if len(others):
-                good = others[(marks[others] == marks[i]).sum(axis=1) >= least]
-                a.append(np.minimum(ids[good], ids[i]))
-                b.append(np.maximum(ids[good], ids[i]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+            agree = (marks[others] == marks[i]).sum(axis=1)
+            good = agree >= least
+            if good.any():
+                found.append(np.stack([agree[good], np.full(int(good.sum()), i), others[good]]))
+        links = []
+        if found:
+            shingles = table["shingles"].combine_chunks()
+            pairs = np.concatenate(found, axis=1)
+            sets = {int(i): shingles[int(i)].values.to_numpy() for i in np.unique(pairs[1:])}
+            parent = {int(c): int(c) for c in classes}
+
+            def root(c: int) -> int:
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            for i, j in pairs[1:, np.argsort(-pairs[0], kind="stable")].T.tolist():
+                a, b = root(int(classes[i])), root(int(classes[j]))
+                if a != b and _similarity(sets[i], sets[j]) >= threshold:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs whose shingles reach the threshold. Only documents that are in a pair are read again."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = small_side(materialize(ids, "pair-ids"))
-    wanted = texts.join(ids, texts["did"] == ids["id"], "left_semi")
-    shingles = materialize(wanted.mapInArrow(_shingled(size), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose shingles reach the threshold."""
     left = shingles.select(F.col("id").alias("a"), F.col("shingles").alias("shingles_a"))
     right = shingles.select(F.col("id").alias("b"), F.col("shingles").alias("shingles_b"))
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
@@ -221,6 +247,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     return materialize(scored.where(F.col("common") / (F.col("sizes") - F.col("common")) >= threshold).select("a", "b"), "links")
 
 
+def _in_blocks(open_: DataFrame, block: int) -> DataFrame:
+    """``id, block, low, high``: the documents of crowded buckets in cells of two blocks, once for each cell.
+
+    ``open_(key, id, n, weight)`` has a row per bucket and document. A document belongs to the family of its
+    largest bucket, and a family is cut into blocks of bounded documents and shingles. Blocks meet if some
+    bucket holds documents of both.
+    """
+    family = open_.groupBy("id").agg(F.max_by("key", F.struct("n", "key")).alias("family"), F.max("weight").alias("weight"))
+    parts = family.groupBy("family").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / block, F.sum("weight") / (block * BLOCK_SHINGLES))).cast("int").alias("parts"))
+    own = family.join(parts, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    placed = open_.select("key", "id").join(own, "id")
+    others = placed.select("key", F.col("block").alias("other")).distinct()
+    return placed.join(others, "key").select("id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
                     bands: int = BANDS, band_rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
     """``doc_id, class_id`` per row of ``documents(doc_id, text)``."""
@@ -242,22 +284,25 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle:
         "key", F.bitwise_not("hub.order").alias("hub"))
     pairs = hits.join(hubs, "key").where("id != hub").select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = _verified(pairs, texts, shingle, threshold)
+    ids = small_side(materialize(hits.select("id").distinct(), "bucket-ids"))
+    wanted = texts.join(ids, texts["did"] == ids["id"], "left_semi")  # only documents in a bucket are read again
+    shingles = materialize(wanted.mapInArrow(_shingled(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    links = _verified(pairs, shingles, threshold)
     classes = components(links)
 
-    labelled = hits.select("key", "id").join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("low != high").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    open_ = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    labelled = hits.join(classes, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    weights = shingles.select("id", F.size("shingles").alias("weight"))
+    open_ = labelled.join(mixed.where("low != high").select("key"), "key", "left_semi").join(weights, "id")
     open_ = materialize(open_, "open-buckets")
-    marks = single.select(F.col("did").alias("id"), "signature").join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    cells = open_.join(marks, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    known = open_.groupBy("id").agg(F.first("component").alias("component"))
+    marks = single.select(F.col("did").alias("id"), "signature").dropDuplicates(["id"])
+    known = known.join(marks, "id").join(shingles, "id")
     k = bands * band_rows
     least = math.ceil(k * threshold - DEVIATIONS * math.sqrt(k * threshold * (1 - threshold)))
-    more = cells.groupBy("key", "low", "high").applyInArrow(_agreeing(least), "a long, b long").distinct()
-    links = links.unionByName(_verified(more, texts, shingle, threshold))
-    classes = components(links)
+    cells = _in_blocks(open_, block).join(known, "id")
+    more = cells.groupBy("low", "high").applyInArrow(_joining(least, threshold), "a long, b long")
+    classes = components(links.unionByName(materialize(more, "links")))
 
     named = members.join(classes, "id", "left").select("did", F.coalesce("component", "id").alias("class"))
     # A class holds representatives; its name is the smallest of their smallest members.
