@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablescout.llm.words import buffers
+from tablescout.session import materialize
 
 #: A side of a join is broadcast only if it was measured to hold at most this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -39,6 +42,21 @@ def small_side(df: DataFrame, variable: Column | None = None) -> DataFrame:
     return F.broadcast(df) if size["rows"] * ROW_BYTES + size["extra"] <= BROADCAST_BYTES else df
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table, without the shuffle files it came from.
+
+    Spark deletes shuffle files when the driver's collector finds that nothing refers to them, which
+    on a quiet driver may be long after the next step has filled the disks. What held them is freed by
+    a first collection, they themselves by a second.
+    """
+    written = materialize(df, name)
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+    return written
+
+
 def tasks_for(spark, rows: float, per_task: float) -> int:
     """A number of tasks that follows the measured rows, with work for every core."""
     return max(spark.sparkContext.defaultParallelism, int(rows // per_task) + 1)

@@ -4,9 +4,8 @@ A window is ``window`` consecutive words of one document. Its minimiser is the s
 its runs of ``gram`` words (the leftmost of equal ones), so equal windows have equal minimisers.
 Consecutive windows that share a minimiser form a super-k-mer: one stretch of text.
 
-1. Every super-k-mer's minimiser and place are written; minimisers that occur once are dropped, as
-   no window below them can have an equal.
-2. The others' text travels as one packed string to the bucket of its minimiser, where the windows
+1. Minimisers are counted. Those that occur once are dropped: no window below them can have an equal.
+2. The other super-k-mers' text travels as one packed string to the bucket of its minimiser, where the windows
    are sorted, compared word by word, and all but the first occurrence are reported as word ranges.
 3. A minimiser with very many super-k-mers is dealt over several buckets by document. Each reports
    what is not first in it; the windows first in their bucket meet once more, one row per window and
@@ -28,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablescout.llm.common import as_identifier, identifier, small_side, tasks_for
+from tablescout.llm.common import as_identifier, compressed_texts, identifier, settled, tasks_for, unpacked
 from tablescout.llm.words import buffers, hashed_words, mix
-from tablescout.session import materialize
 
 WINDOW = 20
 GRAM = 6
@@ -67,8 +65,22 @@ def super_kmers(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _counted(window: int, gram: int) -> Callable:
+    """How often each minimiser heads a super-k-mer of some documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, bounds, hashes, _, _ in hashed_words(batch["text"]):
+                own = [super_kmers(hashes[a:b], window, gram)[0] for a, b in zip(bounds[:-1], bounds[1:]) if b - a >= window]
+                if own:
+                    keys, n = np.unique(np.concatenate(own), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["minimiser", "n"])
+
+    return run
+
+
 def _places(window: int, gram: int) -> Callable:
-    """Minimiser and place (first window, windows, bytes of the stretch) of every super-k-mer."""
+    """Minimiser and place (first window, bytes of the stretch) of every super-k-mer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,13 +91,13 @@ def _places(window: int, gram: int) -> Callable:
                     a, b = bounds[i], bounds[i + 1]
                     if b - a >= window:
                         key, head, n = super_kmers(hashes[a:b], window, gram)
-                        parts.append((np.full(len(key), ids[row + i]), key, head, n,
+                        parts.append((np.full(len(key), ids[row + i]), key, head,
                                       first[a + head], last[a + head + n + window - 2]))
                 if parts:
                     columns = [np.concatenate(x) for x in zip(*parts)]
                     columns[2:] = [x.astype(np.int32) for x in columns[2:]]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns],
-                                                     names=["did", "minimiser", "head", "n", "low", "high"])
+                                                     names=["did", "minimiser", "head", "low", "high"])
 
     return run
 
@@ -93,15 +105,12 @@ def _places(window: int, gram: int) -> Callable:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The listed stretches of each document's text."""
     for batch in batches:
-        ids = batch["did"].to_numpy()
-        offsets, data = buffers(batch["text"])
-        view = memoryview(data)
         parts: list[tuple] = []
         size = 0
-        for i, places in enumerate(batch["places"]):
+        for did, whole, places in zip(batch["did"].to_pylist(), unpacked(batch["packed"]), batch["places"]):
             for place in places.as_py():
-                text = bytes(view[offsets[i] + place["low"] : offsets[i] + place["high"]])
-                parts.append((place["minimiser"], place["parts"], int(ids[i]), place["head"], text))
+                text = whole[place["low"] : place["high"]]
+                parts.append((place["minimiser"], place["parts"], did, place["head"], text))
                 size += len(text)
             if size > 4 << 20:
                 yield _packed_batch(parts)
@@ -232,19 +241,19 @@ def repeated_ranges(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     """``did, low, high``: word ranges covered by windows that also start earlier. Ranges may overlap."""
     spark = documents.sparkSession
     texts = documents.select(identifier().alias("did"), "text").where(F.col("text").isNotNull())
-    schema = "did long, minimiser long, head int, n int, low int, high int"
-    places = materialize(texts.mapInArrow(_places(window, gram), schema), "super-kmers")
-    counts = places.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n_rows"))
-    repeated = materialize(counts.where("n_rows > 1").select(
-        "minimiser", F.ceil(F.col("n_rows") / bucket_rows).cast("int").alias("parts")), "minimisers")
-    wanted = places.join(small_side(repeated), "minimiser")
-    per_document = materialize(wanted.groupBy("did").agg(F.collect_set(F.struct("minimiser", "parts", "head", "low", "high")).alias("places")), "places")
-    sized = small_side(per_document, F.size("places") * 32)
-    packed = texts.join(sized, "did").mapInArrow(_packed, "minimiser long, parts int, did long, head int, packed binary")
+    counts = texts.mapInArrow(_counted(window, gram), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    repeated = counts.where("n > 1").select("minimiser", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts"))
+    places = texts.mapInArrow(_places(window, gram), "did long, minimiser long, head int, low int, high int")
+    wanted = places.join(repeated, "minimiser").groupBy("did").agg(
+        F.collect_set(F.struct("minimiser", "parts", "head", "low", "high")).alias("places"))
+    wanted = settled(wanted, "places")
+    packed = compressed_texts(documents).join(wanted, "did").mapInArrow(
+        _packed, "minimiser long, parts int, did long, head int, packed binary")
     packed = packed.withColumn("part", F.pmod(F.xxhash64("did"), F.col("parts")).cast("int"))
-    tasks = tasks_for(spark, places.count(), 2_000_000)
+    travelling = wanted.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
+    tasks = tasks_for(spark, travelling, 800_000)
     dealt = packed.repartition(tasks, "minimiser", "part").sortWithinPartitions("minimiser", "part", "did", "head").drop("part")
-    found = materialize(dealt.mapInArrow(_bucket(window), _RANGE), "ranges")
+    found = settled(dealt.mapInArrow(_bucket(window), _RANGE), "ranges")
     own = found.where(F.col("digest_a").isNull()).select("did", "low", "high")
     same = Window.partitionBy("digest_a", "digest_b")
     met = found.where(F.col("digest_a").isNotNull()).withColumn("least", F.min(F.struct("did", "low")).over(same))
@@ -253,11 +262,9 @@ def repeated_ranges(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        offsets, data = buffers(batch["text"])
-        view = memoryview(data)
         totals, removed, digests, texts = [], [], [], []
-        for i, ranges in enumerate(batch["ranges"]):
-            words = bytes(view[offsets[i] : offsets[i + 1]]).split()
+        for whole, ranges in zip(unpacked(batch["packed"]), batch["ranges"]):
+            words = whole.split()
             gone = 0
             if ranges.is_valid:
                 mask = np.ones(len(words), dtype=bool)
@@ -282,9 +289,7 @@ def drop_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, b
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` per row of ``documents(doc_id, text)``."""
     ranges = repeated_ranges(documents, window, gram, bucket_rows)
     ranges = ranges.groupBy("did").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    ranges = materialize(ranges, "removed")
-    texts = documents.select(identifier().alias("did"), "text")
-    joined = texts.join(small_side(ranges, F.size("ranges") * 16), "did", "left")
+    joined = compressed_texts(documents).join(ranges, "did", "left")
     schema = "did long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return joined.mapInArrow(_kept, schema).withColumn("doc_id", as_identifier("did")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
