@@ -31,6 +31,11 @@ def as_identifier(name: str) -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name))
 
 
+def text_mark(name: str = "text") -> Column:
+    """A 64-bit digest of the text. With the identifier it names a document, also where ids are NULL or repeated."""
+    return F.xxhash64(name)
+
+
 def small_side(df: DataFrame, variable: Column | None = None) -> DataFrame:
     """``df`` marked for broadcast if its measured size allows it, unmarked (so shuffled) otherwise.
 

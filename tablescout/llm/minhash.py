@@ -20,10 +20,12 @@ documents that repeat no shingle, the plain Jaccard coefficient).
    by its signatures. (At 0.8 a pair shares none of 24 buckets of four coordinates with probability 3e-6.)
 5. The links' connected components are the classes.
 
-Defined results: the class of a document is the smallest ``doc_id`` in it. NULL, empty and blank
-texts have no shingles and are classes of their own; a text of fewer than five words is one shingle.
-Rows that repeat a ``doc_id`` and text get equal results; a NULL ``doc_id`` has the class of its text,
-its number counting as the smallest. Other columns are ignored.
+A document is a row's ``doc_id`` and text together (``common.text_mark``): NULL ids, or one id on different
+texts, are different documents. Defined results: a class is named after its first document, by ``doc_id``
+(NULL counting as the smallest), then mark: ``class_id`` is that document's id, ``class_mark`` its mark, which
+tells classes apart that begin with the same id. NULL, empty and blank texts have no shingles and are
+classes of their own; a text of fewer than five words is one shingle. Rows that repeat a ``doc_id`` and text
+get equal results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablescout.llm.common import as_identifier, identifier, small_side
+from tablescout.llm.common import NO_ID, as_identifier, identifier, small_side, text_mark
 from tablescout.llm.components import components
 from tablescout.llm.words import hashed_words, mix
 from tablescout.session import materialize
@@ -132,14 +134,20 @@ def signatures(strips: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> np.n
 
 
 def _signed(bands: int, rows: int, size: int) -> Callable:
-    """Per document: two sums that identify its multiset, number of shingles, band keys, signature."""
+    """Per document: two sums that identify its multiset, band keys, signature; all NULL without words."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["did"].to_numpy()
+            ids, text_marks = batch["did"].to_numpy(), batch["mark"].to_numpy()
             for row, bounds, hashes, _, _ in hashed_words(batch["text"]):
                 words = np.flatnonzero(np.diff(bounds))
+                blank = row + np.flatnonzero(np.diff(bounds) == 0)
+                if len(blank):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(ids[blank]), pa.array(text_marks[blank]), pa.nulls(len(blank), pa.int64()),
+                        pa.nulls(len(blank), pa.int64()), pa.nulls(len(blank), pa.list_(pa.int64())), pa.nulls(len(blank), pa.binary())],
+                        names=["did", "mark", "sum_a", "sum_b", "bands", "signature"])
                 for filled in np.split(words, range(DOCUMENTS, len(words), DOCUMENTS)):
                     if not len(filled):
                         continue
@@ -157,11 +165,11 @@ def _signed(bands: int, rows: int, size: int) -> Callable:
                     keys = mix(keys + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93))
                     small = (marks >> np.uint64(32)).astype(np.uint32)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(ids[row + filled]), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                        pa.array(ids[row + filled]), pa.array(text_marks[row + filled]), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * bands),
                                                  pa.array(keys.reshape(-1).view(np.int64))),
                         pa.array([x.tobytes() for x in small], pa.binary())],
-                        names=["did", "sum_a", "sum_b", "bands", "signature"])
+                        names=["did", "mark", "sum_a", "sum_b", "bands", "signature"])
 
     return run
 
@@ -171,7 +179,7 @@ def _shingled(size: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["did"].to_numpy()
+            ids = batch["id"].to_numpy()
             for row, bounds, hashes, _, _ in hashed_words(batch["text"]):
                 each = [shingle_keys(hashes[a:b], size) for a, b in zip(bounds[:-1], bounds[1:])]
                 lengths = np.array([len(x) for x in each])
@@ -263,19 +271,21 @@ def _in_blocks(open_: DataFrame, block: int) -> DataFrame:
     return placed.join(others, "key").select("id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
 
 
-def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
-                    bands: int = BANDS, band_rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
-    """``doc_id, class_id`` per row of ``documents(doc_id, text)``."""
-    texts = documents.select(identifier().alias("did"), "text").where(F.col("text").isNotNull())
-    schema = "did long, sum_a long, sum_b long, bands array<long>, signature binary"
+def _classified(documents: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
+                bands: int = BANDS, band_rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
+    """``did, mark, class, class_mark, blank`` per row: the first document of its class, and whether it has no words."""
+    texts = documents.select(identifier().alias("did"), text_mark().alias("mark"), "text")
+    schema = "did long, mark long, sum_a long, sum_b long, bands array<long>, signature binary"
     signed = materialize(texts.mapInArrow(_signed(bands, band_rows, shingle), schema), "signatures")
     same = ["sum_a", "sum_b"]
-    firsts = signed.groupBy(*same).agg(F.min("did").alias("id"), F.count(F.lit(1)).alias("copies"))
-    firsts = materialize(firsts, "representatives")
-    members = signed.select("did", *same).distinct().join(firsts, same).select("did", "id")
+    filled = signed.where(F.col("sum_a").isNotNull())
+    firsts = filled.groupBy(*same).agg(F.min(F.struct("did", "mark")).alias("first")).select(*same, "first.did", "first.mark")
+    # A number for each multiset, in the order of the first documents: the smallest of a class is its first document's.
+    firsts = materialize(firsts, "multisets").orderBy("did", "mark", *same)
+    firsts = materialize(firsts.withColumn("id", F.monotonically_increasing_id()), "representatives")
     # A representative's own row; repeated rows of it are equal.
-    single = signed.join(firsts.withColumnRenamed("id", "did").drop("copies"), [*same, "did"], "left_semi")
-    banded = single.select(F.col("did").alias("id"), F.explode("bands").alias("key")).distinct()
+    single = filled.join(firsts, [*same, "did", "mark"])
+    banded = single.select("id", F.explode("bands").alias("key")).distinct()
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     hits = materialize(banded.join(sizes, "key"), "buckets")
     popular = hits.groupBy("id").agg(F.sum("n").alias("popularity"))
@@ -284,8 +294,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle:
         "key", F.bitwise_not("hub.order").alias("hub"))
     pairs = hits.join(hubs, "key").where("id != hub").select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    ids = small_side(materialize(hits.select("id").distinct(), "bucket-ids"))
-    wanted = texts.join(ids, texts["did"] == ids["id"], "left_semi")  # only documents in a bucket are read again
+    ids = small_side(materialize(hits.select("id").distinct().join(firsts.select("id", "did", "mark"), "id"), "bucket-ids"))
+    wanted = texts.join(ids, ["did", "mark"]).select("id", "text")  # only documents in a bucket are read again
     shingles = materialize(wanted.mapInArrow(_shingled(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
     links = _verified(pairs, shingles, threshold)
     classes = components(links)
@@ -296,7 +306,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle:
     open_ = labelled.join(mixed.where("low != high").select("key"), "key", "left_semi").join(weights, "id")
     open_ = materialize(open_, "open-buckets")
     known = open_.groupBy("id").agg(F.first("component").alias("component"))
-    marks = single.select(F.col("did").alias("id"), "signature").dropDuplicates(["id"])
+    marks = single.select("id", "signature").dropDuplicates(["id"])
     known = known.join(marks, "id").join(shingles, "id")
     k = bands * band_rows
     least = math.ceil(k * threshold - DEVIATIONS * math.sqrt(k * threshold * (1 - threshold)))
@@ -304,24 +314,37 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle:
     more = cells.groupBy("low", "high").applyInArrow(_joining(least, threshold), "a long, b long")
     classes = components(links.unionByName(materialize(more, "links")))
 
-    named = members.join(classes, "id", "left").select("did", F.coalesce("component", "id").alias("class"))
-    # A class holds representatives; its name is the smallest of their smallest members.
-    named = materialize(named.groupBy("did").agg(F.min("class").alias("class")), "classes")
-    result = documents.select(identifier().alias("did")).join(named, "did", "left")
-    return result.select(as_identifier("did").alias("doc_id"),
-                         F.coalesce(F.col("class"), F.col("did")).alias("class")).select("doc_id", as_identifier("class").alias("class_id"))
+    heads = classes.where("id = component").join(firsts, "id").select("component", F.col("did").alias("class"), F.col("mark").alias("class_mark"))
+    heads = small_side(materialize(heads, "class-heads"))
+    named = firsts.join(classes.join(heads, "component").drop("component"), "id", "left").select(
+        *same, F.coalesce("class", "did").alias("class"), F.coalesce("class_mark", "mark").alias("class_mark"))
+    named = materialize(named, "classes")
+    result = filled.select("did", "mark", *same).join(named, same).select("did", "mark", "class", "class_mark", F.lit(False).alias("blank"))
+    blank = signed.where(F.col("sum_a").isNull()).select(
+        "did", "mark", F.col("did").alias("class"), F.col("mark").alias("class_mark"), F.lit(True).alias("blank"))
+    return result.unionByName(blank)
+
+
+def near_duplicates(documents: DataFrame, **settings) -> DataFrame:
+    """``doc_id, class_id, class_mark`` per row of ``documents(doc_id, text)``; settings as for ``_classified``."""
+    return _classified(documents, **settings).select(
+        as_identifier("did").alias("doc_id"), as_identifier("class").alias("class_id"), "class_mark")
 
 
 def keep_one(documents: DataFrame, **settings) -> DataFrame:
-    """One row of each class, with all columns of ``documents``: the one with the smallest ``doc_id``.
+    """One row of each class, with all columns of ``documents``: that of its first document.
 
-    Of rows that repeat that ``doc_id`` one stays. Only what must go is looked up, so the rest is not shuffled while that is a small table.
+    Of rows that repeat that ``doc_id`` and its text one stays; rows with neither an id nor words all stay.
+    Only what must go is looked up, so the rest is not shuffled while that is a small table.
     """
-    classes = near_duplicates(documents, **settings).select(identifier().alias("did"), identifier("class_id").alias("class"))
-    classes = classes.groupBy("did").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("n"))
-    marked = materialize(classes.where((F.col("did") != F.col("class")) | (F.col("n") > 1)), "marked")
-    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), identifier().alias("did"))
-    single = rows.join(small_side(marked.select("did")), "did", "left_anti")
-    twice = small_side(materialize(marked.where(F.col("did") == F.col("class")).select("did"), "repeated"))
-    one = rows.join(twice, "did", "left_semi").dropDuplicates(["did"])
+    same = ["did", "mark"]
+    classes = _classified(documents, **settings).where(~F.col("blank") | (F.col("did") != NO_ID))
+    classes = classes.groupBy(*same, "class", "class_mark").agg(F.count(F.lit(1)).alias("n"))
+    first = (F.col("did") == F.col("class")) & (F.col("mark") == F.col("class_mark"))
+    marked = materialize(classes.where(~first | (F.col("n") > 1)), "marked")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"),
+                            identifier().alias("did"), text_mark().alias("mark"))
+    single = rows.join(small_side(marked.select(*same)), same, "left_anti")
+    twice = small_side(materialize(marked.where(first).select(*same), "repeated"))
+    one = rows.join(twice, same, "left_semi").dropDuplicates(same)
     return single.unionByName(one).select(*(F.col("row")[c].alias(c) for c in documents.columns))

@@ -111,6 +111,25 @@ def test_one_of_each_class_stays(docs, rows):
     assert sorted(low if r["doc_id"] is None else r["doc_id"] for r in found.collect()) == sorted(i for i, c in expected.items() if i == c)
 
 
+def clashing_ids():
+    """Three NULL ids and one id on two texts; the copies of each text have plain ids."""
+    texts = [samples.prose(300 + i, 80) for i in range(5)]
+    rows = [(i, t, "a") for i, t in zip((None, None, None, 50, 50), texts)]
+    return texts, rows + [(60 + i, t, "a") for i, t in enumerate(texts)] + [(70, samples.edited(texts[0], 70), "a"), (None, "", "a"), (None, None, "a")]
+
+
+def test_documents_of_one_id_are_told_apart(spark):
+    texts, rows = clashing_ids()
+    docs = samples.documents(spark, rows).repartition(3)
+    found = defaultdict(set)
+    for r in minhash.near_duplicates(docs).collect():
+        found[(r["class_id"], r["class_mark"])].add(r["doc_id"])
+    assert sorted(map(sorted, ([-1 if i is None else i for i in ids] for ids in found.values()))) == [
+        [-1], [-1], [-1, 60, 70], [-1, 61], [-1, 62], [50, 63], [50, 64]]
+    kept_ = minhash.keep_one(docs).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept_)) == sorted(((i or 0, t or "") for i, t, _ in rows if i in (None, 50)))
+
+
 def test_encoder_equals_the_tokenizer():
     rng = random.Random(3)
     coder = Encoder(public_path())
