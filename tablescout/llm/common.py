@@ -73,12 +73,13 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, data = buffers(batch["text"])
         view = memoryview(data)
         packed = [coder.compress(view[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
-        yield pa.RecordBatch.from_arrays([batch["did"], pa.array(packed, pa.binary())], names=["did", "packed"])
+        yield pa.RecordBatch.from_arrays([batch["did"], batch["mark"], pa.array(packed, pa.binary())], names=["did", "mark", "packed"])
 
 
 def compressed_texts(documents: DataFrame) -> DataFrame:
-    """``did, packed``: texts compressed for a shuffle, whose own codec gains little; NULL is empty."""
-    return documents.select(identifier().alias("did"), "text").mapInArrow(_compressed, "did long, packed binary")
+    """``did, mark, packed``: texts compressed for a shuffle, whose own codec gains little; NULL is empty."""
+    texts = documents.select(identifier().alias("did"), text_mark().alias("mark"), "text")
+    return texts.mapInArrow(_compressed, "did long, mark long, packed binary")
 
 
 def unpacked(column: pa.Array) -> Iterator[bytes]:

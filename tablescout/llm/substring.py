@@ -13,9 +13,9 @@ Consecutive windows that share a minimiser form a super-k-mer: one stretch of te
 4. The ranges are joined back to the documents.
 
 Defined results: NULL and empty texts have no words. A text shorter than a window keeps its words.
-Rows that repeat a ``doc_id`` and its text stand for the same document and get the same result; a
-NULL ``doc_id`` counts as the smallest. Order between documents is by ``doc_id``. Other columns of
-the input are ignored.
+A document is a ``doc_id`` and its text together (``common.text_mark``): rows that repeat both get the
+same result; NULL ids, or one id on different texts, are different documents. Order between documents
+is by ``doc_id``, NULL counting as the smallest, then by mark. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablescout.llm.common import as_identifier, compressed_texts, identifier, settled, tasks_for, unpacked
+from tablescout.llm.common import as_identifier, compressed_texts, identifier, settled, tasks_for, text_mark, unpacked
 from tablescout.llm.words import buffers, hashed_words, mix
 
 WINDOW = 20
@@ -84,20 +84,20 @@ def _places(window: int, gram: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["did"].to_numpy()
+            ids, marks = batch["did"].to_numpy(), batch["mark"].to_numpy()
             for row, bounds, hashes, first, last in hashed_words(batch["text"]):
                 parts = []
                 for i in range(len(bounds) - 1):
                     a, b = bounds[i], bounds[i + 1]
                     if b - a >= window:
                         key, head, n = super_kmers(hashes[a:b], window, gram)
-                        parts.append((np.full(len(key), ids[row + i]), key, head,
+                        parts.append((np.full(len(key), ids[row + i]), np.full(len(key), marks[row + i]), key, head,
                                       first[a + head], last[a + head + n + window - 2]))
                 if parts:
                     columns = [np.concatenate(x) for x in zip(*parts)]
-                    columns[2:] = [x.astype(np.int32) for x in columns[2:]]
+                    columns[3:] = [x.astype(np.int32) for x in columns[3:]]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns],
-                                                     names=["did", "minimiser", "head", "low", "high"])
+                                                     names=["did", "mark", "minimiser", "head", "low", "high"])
 
     return run
 
@@ -107,10 +107,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts: list[tuple] = []
         size = 0
-        for did, whole, places in zip(batch["did"].to_pylist(), unpacked(batch["packed"]), batch["places"]):
+        for did, mark, whole, places in zip(batch["did"].to_pylist(), batch["mark"].to_pylist(), unpacked(batch["packed"]), batch["places"]):
             for place in places.as_py():
                 text = whole[place["low"] : place["high"]]
-                parts.append((place["minimiser"], place["parts"], did, place["head"], text))
+                parts.append((place["minimiser"], place["parts"], did, mark, place["head"], text))
                 size += len(text)
             if size > 4 << 20:
                 yield _packed_batch(parts)
@@ -120,9 +120,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed_batch(parts: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*parts), kinds)],
-                                      names=["minimiser", "parts", "did", "head", "packed"])
+                                      names=["minimiser", "parts", "did", "mark", "head", "packed"])
 
 
 def _digests(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,11 @@ def _bucket(window: int) -> Callable:
 
     def sorted_groups(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(tables).combine_chunks()
-        ids, heads = table["did"].to_numpy(), table["head"].to_numpy().astype(np.int64)
+        ids, marks, heads = table["did"].to_numpy(), table["mark"].to_numpy(), table["head"].to_numpy().astype(np.int64)
+        # Documents as numbers in the order of id and mark.
+        by = np.lexsort((marks, ids))
+        docs = np.empty(len(by), dtype=np.int64)
+        docs[by] = np.cumsum(np.concatenate([[False], (ids[by][1:] != ids[by][:-1]) | (marks[by][1:] != marks[by][:-1])]))
         parts = table["parts"].to_numpy()
         keys = table["minimiser"].to_numpy()
         row_of, start_of, grams = [], [], []
@@ -175,17 +179,17 @@ def _bucket(window: int) -> Callable:
             start_of.append(inner)
         rows, at, inner = np.concatenate(grams), np.concatenate(row_of), np.concatenate(start_of)
         starts = heads[at] + inner
-        later, _, a, b = later_windows(keys[at], ids[at], starts, rows)
+        later, _, a, b = later_windows(keys[at], docs[at], starts, rows)
         # Runs of later windows of one string become one range of words.
         hit = np.flatnonzero(later)
         if len(hit):
             new = np.concatenate([[True], (at[hit][1:] != at[hit][:-1]) | (inner[hit][1:] != inner[hit][:-1] + 1)])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(hit)) - 1
-            yield _ranges(ids[at[hit[first]]], starts[hit[first]], starts[hit[last]] + window, None, None)
+            yield _ranges(ids[at[hit[first]]], marks[at[hit[first]]], starts[hit[first]], starts[hit[last]] + window, None, None)
         open_ = np.flatnonzero(~later & (parts[at] > 1))
         if len(open_):
-            yield _ranges(ids[at[open_]], starts[open_], starts[open_] + window, a[open_], b[open_])
+            yield _ranges(ids[at[open_]], marks[at[open_]], starts[open_], starts[open_] + window, a[open_], b[open_])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -225,39 +229,41 @@ def _bucket(window: int) -> Callable:
     return run
 
 
-_RANGE = "did long, low int, high int, digest_a long, digest_b long"
+_RANGE = "did long, mark long, low int, high int, digest_a long, digest_b long"
 
 
-def _ranges(ids, low, high, a, b) -> pa.RecordBatch:
+def _ranges(ids, marks, low, high, a, b) -> pa.RecordBatch:
     none = pa.nulls(len(ids), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)),
+        [pa.array(ids), pa.array(marks), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)),
          none if a is None else pa.array(a.view(np.int64)), none if b is None else pa.array(b.view(np.int64))],
-        names=["did", "low", "high", "digest_a", "digest_b"])
+        names=["did", "mark", "low", "high", "digest_a", "digest_b"])
 
 
 def repeated_ranges(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
                     bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``did, low, high``: word ranges covered by windows that also start earlier. Ranges may overlap."""
+    """``did, mark, low, high``: word ranges covered by windows that also start earlier. Ranges may overlap."""
     spark = documents.sparkSession
-    texts = documents.select(identifier().alias("did"), "text").where(F.col("text").isNotNull())
+    document = ["did", "mark"]
+    texts = documents.select(identifier().alias("did"), text_mark().alias("mark"), "text").where(F.col("text").isNotNull())
     counts = texts.mapInArrow(_counted(window, gram), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
     repeated = counts.where("n > 1").select("minimiser", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts"))
-    places = texts.mapInArrow(_places(window, gram), "did long, minimiser long, head int, low int, high int")
-    wanted = places.join(repeated, "minimiser").groupBy("did").agg(
+    places = texts.mapInArrow(_places(window, gram), "did long, mark long, minimiser long, head int, low int, high int")
+    wanted = places.join(repeated, "minimiser").groupBy(*document).agg(
         F.collect_set(F.struct("minimiser", "parts", "head", "low", "high")).alias("places"))
     wanted = settled(wanted, "places")
-    packed = compressed_texts(documents).join(wanted, "did").mapInArrow(
-        _packed, "minimiser long, parts int, did long, head int, packed binary")
-    packed = packed.withColumn("part", F.pmod(F.xxhash64("did"), F.col("parts")).cast("int"))
+    packed = compressed_texts(documents).join(wanted, document).mapInArrow(
+        _packed, "minimiser long, parts int, did long, mark long, head int, packed binary")
+    packed = packed.withColumn("part", F.pmod(F.xxhash64(*document), F.col("parts")).cast("int"))
     travelling = wanted.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
     tasks = tasks_for(spark, travelling, 800_000)
-    dealt = packed.repartition(tasks, "minimiser", "part").sortWithinPartitions("minimiser", "part", "did", "head").drop("part")
+    dealt = packed.repartition(tasks, "minimiser", "part").sortWithinPartitions("minimiser", "part", *document, "head").drop("part")
     found = settled(dealt.mapInArrow(_bucket(window), _RANGE), "ranges")
-    own = found.where(F.col("digest_a").isNull()).select("did", "low", "high")
+    own = found.where(F.col("digest_a").isNull()).select(*document, "low", "high")
     same = Window.partitionBy("digest_a", "digest_b")
-    met = found.where(F.col("digest_a").isNotNull()).withColumn("least", F.min(F.struct("did", "low")).over(same))
-    return own.unionByName(met.where(F.struct("did", "low") != F.col("least")).select("did", "low", "high"))
+    place = F.struct(*document, "low")
+    met = found.where(F.col("digest_a").isNotNull()).withColumn("least", F.min(place).over(same))
+    return own.unionByName(met.where(place != F.col("least")).select(*document, "low", "high"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +294,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` per row of ``documents(doc_id, text)``."""
     ranges = repeated_ranges(documents, window, gram, bucket_rows)
-    ranges = ranges.groupBy("did").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    joined = compressed_texts(documents).join(ranges, "did", "left")
+    ranges = ranges.groupBy("did", "mark").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    joined = compressed_texts(documents).join(ranges, ["did", "mark"], "left")
     schema = "did long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return joined.mapInArrow(_kept, schema).withColumn("doc_id", as_identifier("did")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")

@@ -63,6 +63,20 @@ def test_repeats_in_dense_text(spark, monkeypatch):
     assert [r[:4] for r in kept(found)] == expected
 
 
+@pytest.mark.parametrize("bucket_rows", [substring.BUCKET_ROWS, 3])
+def test_repeats_of_documents_with_one_id(spark, bucket_rows):
+    """What repeats inside one NULL-id text stays in another, and of a passage both hold at one place one copy goes."""
+    shared, twice = samples.prose(400, 40), samples.prose(401, 60)
+    a = " ".join([shared, samples.prose(402, 60), twice, twice])
+    b = " ".join([shared, samples.prose(403, 260)])
+    for i in (None, 9):
+        found = {r["n_words"]: r for r in substring.drop_repeats(
+            samples.documents(spark, [(i, a, "a"), (i, b, "a")]), bucket_rows=bucket_rows).collect()}
+        gone = found[220]["n_removed"], found[300]["n_removed"]
+        assert gone in ((60, 40), (100, 0))
+        assert found[300]["kept_text"] == " ".join(samples.words(b)[gone[1] :])
+
+
 def test_later_windows_do_not_trust_digests(monkeypatch):
     monkeypatch.setattr(substring, "_digests", lambda rows: (np.zeros(len(rows), np.uint64),) * 2)
     grams = np.array([[1, 2], [3, 4], [1, 2], [3, 4], [5, 6]], dtype=np.uint64)
