@@ -17,7 +17,8 @@ documents that repeat no shingle, the plain Jaccard coefficient).
    whose signatures may reach the threshold are verified exactly, unless a link has joined their
    classes already. A block gives back no more links than it has documents, however many pairs it
    compares. So every pair that shares a bucket is either verified, in one class anyhow, or excluded
-   by its signatures. (At 0.8 a pair shares none of 24 buckets of four coordinates with probability 3e-6.)
+   by its signatures. (At 0.8 a pair shares none of 24 buckets of four coordinates with probability 3.2e-6, and
+   its signatures agree in fewer than the 58 of 96 coordinates asked for with probability 3.0e-6: 6.2e-6 together.)
 5. The links' connected components are the classes.
 
 A document is a row's ``doc_id`` and text together (``common.text_mark``): NULL ids, or one id on different
@@ -46,8 +47,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 24
 BAND_ROWS = 4
-#: Signatures within this many standard deviations below the threshold are verified.
-DEVIATIONS = 3.5
 #: Documents of one block in the comparison inside crowded buckets, and shingles a document has room for there.
 BLOCK = 1024
 BLOCK_SHINGLES = 1024
@@ -199,6 +198,18 @@ def _similarity(x: np.ndarray, y: np.ndarray) -> float:
     return common / (len(x) + len(y) - common)
 
 
+def least_agreement(bands: int, rows: int, threshold: float) -> int:
+    """Coordinates in which signatures must agree for a pair to be verified: as many as lose, at the threshold,
+    no more pairs than the bands do."""
+    k, lost, chance, least = bands * rows, (1 - threshold**rows) ** bands, 0.0, 0
+    while least < k:
+        chance += math.comb(k, least) * threshold**least * (1 - threshold) ** (k - least)
+        if chance > lost:
+            break
+        least += 1
+    return least
+
+
 def _joining(least: int, threshold: float) -> Callable:
     """Verified links of one cell that join classes: at most one less than its documents.
 
@@ -308,10 +319,8 @@ def _classified(documents: DataFrame, threshold: float = THRESHOLD, shingle: int
     known = open_.groupBy("id").agg(F.first("component").alias("component"))
     marks = single.select("id", "signature").dropDuplicates(["id"])
     known = known.join(marks, "id").join(shingles, "id")
-    k = bands * band_rows
-    least = math.ceil(k * threshold - DEVIATIONS * math.sqrt(k * threshold * (1 - threshold)))
     cells = _in_blocks(open_, block).join(known, "id")
-    more = cells.groupBy("low", "high").applyInArrow(_joining(least, threshold), "a long, b long")
+    more = cells.groupBy("low", "high").applyInArrow(_joining(least_agreement(bands, band_rows, threshold), threshold), "a long, b long")
     classes = components(links.unionByName(materialize(more, "links")))
 
     heads = classes.where("id = component").join(firsts, "id").select("component", F.col("did").alias("class"), F.col("mark").alias("class_mark"))
