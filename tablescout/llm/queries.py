@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescout.llm import chat, licenses, minhash, mixing, neighbours, packing, quality, secrets, sharding, substring
+from tablescout.llm import (
+    chat, licenses, minhash, mixing, neighbours, packing, quality, runs, secrets, sharding, substring, toxicity, whitening,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +65,21 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, folder, "documents")).drop("matches")
 
 
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from confirmed toxic and from unlabelled ones."""
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, and what remains of it without their repetitions."""
+    return runs.collapse_runs(_table(spark, folder, "documents"), outputs=False)
+
+
+def whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the four leading components of all, at unit variance."""
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexical_packing": lexical_packing,
     "op2_minhash_near_dedup": minhash_near_dedup,
@@ -74,4 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secret_scan,
     "op9_chat_messages": chat_messages,
     "op10_license_scan": license_scan,
+    "op11_toxicity_scores": toxicity_scores,
+    "op12_periodic_runs": periodic_runs,
+    "op13_whitened_vectors": whitened_vectors,
 }
