@@ -83,15 +83,15 @@ def short_description(text: Column) -> Column:
     return F.coalesce(F.when(F.length(units) <= V.PROMPT_DESCRIPTION_CHARS, flat).otherwise(cut), F.lit(""))
 
 
-def candidate_line(dist_km: Column) -> Column:
-    """One candidate in the prompt."""
+def candidate_line(dist_km: Column, cut: bool = True) -> Column:
+    """One candidate in the prompt; without ``cut`` its description is at prompt size already."""
     return F.concat(
         F.lit("- "), "name",
         F.lit(" | cuisines: ["), F.array_join("cuisines", ", "), F.lit("]"),
         F.lit(" | rating: "), F.format_string("%.1f", F.coalesce("overall_rating", F.lit(0.0))),
         F.lit(" | price: "), F.coalesce("price_range", F.lit(0)).cast("string"),
         F.lit(" | "), F.format_string("%.2f", F.coalesce(dist_km, F.lit(0.0))), F.lit(" km\n  "),
-        short_description(F.col("description")),
+        short_description(F.col("description")) if cut else F.col("description"),
     )
 
 

@@ -5,6 +5,11 @@ of a cell nor a whole cell ever form one task's input: every cell is cut into re
 blocks and place blocks of bounded size, each (request block, place block) combination
 is one Arrow group, and a group emits at most ``limit`` rows per request. A cell that
 holds a third of all rows therefore becomes many equal groups instead of one hot one.
+
+Inside a large group vectors are not compared all with all: the places are cut into leaves, each with
+a centre, an angular radius and the ranges of its positions, ratings and prices. A request visits
+its most promising leaf first and then only leaves whose best possible distance can still enter its
+``limit`` best; by the triangle inequality of angles nothing else can be an answer.
 """
 
 from __future__ import annotations
@@ -36,6 +41,12 @@ MAX_TASKS = 100_000
 #: Request rows scored at once inside a group, and the pairs from which a group is split by filter.
 _CHUNK = 256
 _SPLIT_BY_FILTER = 1_000_000
+#: Places per leaf, the pairs from which a group is searched leaf by leaf, request rows that visit a leaf
+#: at once, and the angle by which a bound is rounded outwards.
+LEAF = 256
+_LEAF_PAIRS = 2_000_000
+_VISITORS = 2048
+_ANGLE_MARGIN = 1e-6
 
 #: The filters a valid request can set: whole stars, and a highest price or none.
 FILTERS = [(r, p) for r in range(V.MAX_RATING + 1) for p in (-1, *range(1, V.MAX_PRICE + 1))]
@@ -140,14 +151,48 @@ def _smallest(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[position < limit], cols[position < limit]
 
 
+def _leaves(units: np.ndarray, positions: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows cut in halves, in turn along the wider axis of their positions and along the main direction
+    of their vectors, until a part has no more than ``size``."""
+    open_, done = [(np.arange(len(units)), True)], []
+    while open_:
+        rows, by_position = open_.pop()
+        if len(rows) <= size:
+            done.append(rows)
+            continue
+        if by_position:
+            along = positions[rows][:, np.ptp(positions[rows], axis=0).argmax()]
+        else:
+            own = units[rows] - units[rows].mean(axis=0)
+            direction = own[(own * own).sum(axis=1).argmax()]
+            for _ in range(3):
+                direction = own.T @ (own @ direction)
+                direction /= max(np.linalg.norm(direction), 1e-300)
+            along = own @ direction
+        order = np.argsort(along, kind="stable")
+        half = len(rows) // 2
+        open_ += [(rows[order[half:]], not by_position), (rows[order[:half]], not by_position)]
+    return done
+
+
+def leaf_bounds(q_units: np.ndarray, p_units: np.ndarray, leaves: list[np.ndarray]) -> np.ndarray:
+    """The least cosine distance that any row of a leaf can have to each request."""
+    centres = np.stack([p_units[leaf].mean(axis=0) for leaf in leaves])
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+    radius = np.array([np.arccos(np.clip(p_units[leaf] @ c, -1.0, 1.0)).max() for leaf, c in zip(leaves, centres)])
+    angle = np.arccos(np.clip(q_units @ centres.T, -1.0, 1.0))
+    return 1.0 - np.cos(np.maximum(angle - radius - _ANGLE_MARGIN, 0.0))
+
+
 def _kilometres(q_lat, q_lon, p_lat, p_lon) -> np.ndarray:
     a, b = np.radians(q_lat), np.radians(p_lat)
     cosine = np.cos(a) * np.cos(b) * np.cos(np.radians(p_lon) - np.radians(q_lon)) + np.sin(a) * np.sin(b)
     return V.EARTH_RADIUS_KM * np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
-def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The scoring of one (request block, place block) group."""
+def group_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The scoring of one (request block, place block) group; ``counted`` gives the number of pairs of
+    vectors instead, and how many of them were compared."""
 
     def score(requests: pa.Table, places: pa.Table) -> pa.Table:
         q = {n: _numbers(requests, n) for n in
@@ -177,7 +222,7 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
                 mask &= (most < 0) | (price <= most)
             return mask
 
-        def batches(rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def alike(rows: np.ndarray, cols: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             """Positions in ``rows`` and ``cols`` to score together. A large group goes filter by filter,
             so that places a filter drops are not scored at all."""
             parts = [(np.arange(len(rows)), np.arange(len(cols)))]
@@ -189,25 +234,106 @@ def group_kernel(mode: str, limit: int) -> Callable[[pa.Table, pa.Table], pa.Tab
                         ((least <= 0) | (p["rating"][cols] >= least)) & ((most < 0) | (p["price"][cols] <= most))))
                     for i, (least, most) in enumerate(kinds)
                 ]
-            for some_rows, some_cols in parts:
-                if len(some_cols):
-                    for start in range(0, len(some_rows), _CHUNK):
-                        yield some_rows[start : start + _CHUNK], some_cols
-
+            return [(i, j) for i, j in parts if len(i) and len(j)]
+
+        def batches(parts: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Neighbouring requests together, each batch with the places inside the hull of its boxes."""
+            for i, j in parts:
+                lat, lon = q["q_lat"][rows[i]], q["q_lon"][rows[i]]
+                strips = math.ceil(math.sqrt(len(i) / _CHUNK))
+                strip = np.empty(len(i), dtype=np.int64)
+                strip[np.argsort(lat, kind="stable")] = np.arange(len(i)) * strips // len(i)
+                i = i[np.lexsort((lon, strip))]
+                p_lat, p_lon = p["p_lat"][cols[j]], p["p_lon"][cols[j]]
+                for start in range(0, len(i), _CHUNK):
+                    some = i[start : start + _CHUNK]
+                    own = {n: q[n][rows[some]] for n in ("lat_min", "lat_max", "lon_min", "lon_max")}
+                    inside = ((p_lat >= own["lat_min"].min()) & (p_lat <= own["lat_max"].max())
+                              & (p_lon >= own["lon_min"].min()) & (p_lon <= own["lon_max"].max()))
+                    if inside.any():
+                        yield some, j[inside]
+
+        def reachable(rows: np.ndarray, cols: list[np.ndarray]) -> np.ndarray:
+            """Whether a leaf's ranges meet a request's box and filters at all."""
+            inside = np.ones((len(rows), len(cols)), dtype=bool)
+            for name, low, high in (("p_lat", "lat_min", "lat_max"), ("p_lon", "lon_min", "lon_max")):
+                inside &= q[low][rows, None] <= np.array([p[name][c].max() for c in cols])
+                inside &= q[high][rows, None] >= np.array([p[name][c].min() for c in cols])
+            least, most = q["min_rating"][rows, None], q["max_price"][rows, None]
+            inside &= (least <= 0) | (np.array([p["rating"][c].max() for c in cols]) >= least)
+            return inside & ((most < 0) | (np.array([p["price"][c].min() for c in cols]) <= most))
+
+        def compared(q_rows, q_units, p_rows, p_units) -> np.ndarray:
+            # Rounded so that equal vectors tie in every block, whatever its shape.
+            distances = np.round(1.0 - q_units @ p_units.T, 12)
+            distances[~eligible(q_rows, p_rows)] = np.inf
+            return distances
+
+        def by_leaves(q_rows, q_units, p_rows, p_units, leaves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+            """The ``limit`` best of every request, as rows, columns and distances, and the pairs compared."""
+            lower = leaf_bounds(q_units, p_units, leaves)
+            lower[~reachable(q_rows, [p_rows[leaf] for leaf in leaves])] = np.inf
+            best = np.full((len(q_rows), limit), np.inf)
+            held = np.full((len(q_rows), limit), -1)
+            visited = ~np.isfinite(lower)
+            first = lower.argmin(axis=1)
+            scored = 0
+
+            def visit(rows: np.ndarray, number: int) -> None:
+                leaf = leaves[number]
+                visited[rows, number] = True
+                for start in range(0, len(rows), _VISITORS):
+                    some = rows[start : start + _VISITORS]
+                    values = np.hstack([best[some], compared(q_rows[some], q_units[some], p_rows[leaf], p_units[leaf])])
+                    columns = np.hstack([held[some], np.broadcast_to(leaf, (len(some), len(leaf)))])
+                    cut = np.partition(values, limit - 1, axis=1)[:, limit - 1 : limit]
+                    at, col = np.nonzero((values <= cut) & np.isfinite(values))
+                    order = np.lexsort((columns[at, col], values[at, col], at))
+                    at, col = at[order], col[order]
+                    place = np.arange(len(at)) - np.searchsorted(at, at)
+                    at, col, place = (x[place < limit] for x in (at, col, place))
+                    best[some], held[some] = np.inf, -1
+                    best[some[at], place], held[some[at], place] = values[at, col], columns[at, col]
+
+            for number, leaf in enumerate(leaves):
+                rows = np.flatnonzero((first == number) & ~visited[:, number])
+                visit(rows, number)
+                scored += len(rows) * len(leaf)
+            for number in np.argsort(np.where(np.isfinite(lower), lower, 2.0).mean(axis=0), kind="stable"):
+                rows = np.flatnonzero(~visited[:, number] & (lower[:, number] <= best[:, -1]))
+                visit(rows, number)
+                scored += len(rows) * len(leaves[number])
+            at, place = np.nonzero(np.isfinite(best))
+            return at, held[at, place], best[at, place], scored
+
+        pairs = scored = 0
         for dim in np.unique(q_dims[q_dims > 0]) if mode != DISTANCE else ():
             p_rows, p_units = _unit_rows(p_vectors, np.flatnonzero(p_dims[by_id] == dim), dim, by_id)
             q_rows, q_units = _unit_rows(q_vectors, np.flatnonzero(q_dims == dim), dim)
-            for i, j in batches(q_rows, p_rows):
-                units = p_units if len(j) == len(p_units) else p_units[j]
-                # Rounded so that equal vectors tie in every block, whatever its shape.
-                distances = np.round(1.0 - q_units[i] @ units.T, 12)
-                distances[~eligible(q_rows[i], p_rows[j])] = np.inf
+            pairs += len(q_rows) * len(p_rows)
+            small, large = [], []
+            for part in alike(q_rows, p_rows):
+                (large if len(part[0]) * len(part[1]) > _LEAF_PAIRS and len(part[1]) > LEAF else small).append(part)
+            for i, j in batches(small, q_rows, p_rows):
+                distances = compared(q_rows[i], q_units[i], p_rows[j], p_units if len(j) == len(p_units) else p_units[j])
                 at, cols = _smallest(distances, limit)
                 found.append((q_rows[i[at]], p_rows[j[cols]], distances[at, cols], np.ones(len(at), dtype=bool)))
-                by_distance[q_rows[i[at]]] = False
+                scored += distances.size
+            leaves = _leaves(p_units, np.column_stack([p["p_lat"][p_rows], p["p_lon"][p_rows]]), LEAF) if large else []
+            for i, j in large:
+                wanted = np.zeros(len(p_units), dtype=bool)
+                wanted[j] = True
+                own = [leaf[wanted[leaf]] for leaf in leaves if wanted[leaf].any()]
+                at, cols, distances, n = by_leaves(q_rows[i], q_units[i], p_rows, p_units, own)
+                found.append((q_rows[i[at]], p_rows[cols], distances, np.ones(len(at), dtype=bool)))
+                scored += n
+            for rows, *_ in found:
+                by_distance[rows] = False
+        if counted:
+            return pa.table({"pairs": pa.array([pairs], pa.int64()), "scored": pa.array([scored], pa.int64())})
 
         leftover = np.flatnonzero(by_distance) if mode != VECTOR else np.empty(0, dtype=int)
-        for i, j in batches(leftover, near):
+        for i, j in batches(alike(leftover, near), leftover, near):
             rows, columns = leftover[i], near[j]
             mask = eligible(rows, columns)
             at, cols = np.nonzero(mask)
@@ -253,8 +379,10 @@ def _block_count(rows: Column, sizes: tuple[int, int]) -> Column:
 
 def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column, place_cells: Column, *,
                  mode: str, limit: int, request_block: tuple[int, int] = REQUEST_BLOCK,
-                 place_block: tuple[int, int] = PLACE_BLOCK, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
-    """Hits per request and block pair: at most ``limit`` rows of each pair.
+                 place_block: tuple[int, int] = PLACE_BLOCK, broadcast_cells: int = BROADCAST_CELLS,
+                 counted: bool = False) -> DataFrame:
+    """Hits per request and block pair: at most ``limit`` rows of each pair, or with ``counted`` one row
+    per block pair: its ``pairs`` of vectors, and how many of them were ``scored``.
 
     ``request_cells`` and ``place_cells`` are exploding expressions that yield one struct per
     cell. The directory of cells occupied on both sides is written once; it decides how
@@ -289,4 +417,5 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
     qid_type = requests.schema["qid"].dataType.simpleString()
     schema = (f"qid {qid_type}, q_lat double, q_lon double, max_km double, id bigint, "
               "p_lat double, p_lon double, cos_dist double, semantic boolean")
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(group_kernel(mode, limit), schema)
+    schema = "pairs bigint, scored bigint" if counted else schema
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(group_kernel(mode, limit, counted), schema)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablescout import fixed_values as V
@@ -99,9 +101,36 @@ def generate_responses(prompts: DataFrame, generator: Callable[[str], str | None
     return prompts.select("qid", "prompt").mapInPandas(respond, f"qid {qid_type}, body string")
 
 
-def build_prompts(requests: DataFrame, candidates: DataFrame, max_results: int = V.RESULT_LIMIT) -> DataFrame:
-    """One prompt per request that has candidates; at most ``k`` lines meet in a group."""
-    lines = candidates.select("qid", F.struct("rank", text.candidate_line(F.col("dist_km")).alias("line")).alias("entry"))
+def answer_prompts(prompts: DataFrame, generator: Callable[[str], str | None], ledger: str, version: str) -> DataFrame:
+    """``(qid, body)`` by a ledger of responses: a prompt is generated once per generator ``version``.
+
+    Responses are kept under the digest of their prompt. Only prompts without one are generated, each
+    distinct prompt once, and appended; failed ones are not, so that a later run tries them again.
+    """
+    spark = prompts.sparkSession
+    path = f"{ledger}/version={quote(version, safe='')}"
+    asked = prompts.select("qid", F.sha2("prompt", 256).alias("digest"), "prompt")
+    schema = "digest string, body string"
+    try:
+        known = spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        known = spark.createDataFrame([], schema)  # nothing was ever generated
+    texts = asked.groupBy("digest").agg(F.min("prompt").alias("prompt")).join(known.select("digest"), "digest", "left_anti")
+    made = generate_responses(texts.withColumnRenamed("digest", "qid"), generator).withColumnRenamed("qid", "digest")
+    made.where(F.col("body").isNotNull()).write.mode("append").parquet(path)
+    # Two runs at once may have answered one prompt; one of the answers counts.
+    stored = spark.read.schema(schema).parquet(path).groupBy("digest").agg(F.min("body").alias("body"))
+    return asked.join(stored, "digest", "left").select("qid", "body")
+
+
+def build_prompts(requests: DataFrame, candidates: DataFrame, max_results: int = V.RESULT_LIMIT, cut: bool = True) -> DataFrame:
+    """One prompt per request that has candidates; at most ``k`` lines meet in a group.
+
+    Lines are rendered where their request's lines meet, not in the tasks of whatever made the candidates.
+    Without ``cut`` the descriptions are at prompt size already.
+    """
+    line = text.candidate_line(F.col("dist_km"), cut)
+    lines = candidates.repartition("qid").select("qid", F.struct("rank", line.alias("line")).alias("entry"))
     blocks = lines.groupBy("qid").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     block = F.array_join(F.col("entries.line"), "\n")
     wanted = requests.select("qid", "preferred_cuisine", "minimum_rating", "preferred_price_range")

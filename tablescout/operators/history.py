@@ -40,10 +40,28 @@ def append_history(df: DataFrame, path: str) -> None:
     valid_events(df).write.mode("append").parquet(path)
 
 
-def write_history(df: DataFrame, path: str) -> None:
-    """Rewrite the log clustered by user; the time in the range key spreads a very active user over files."""
+#: Places named in a lookup up to this number reach the scan as values, beyond it as a join.
+LISTED_IDS = 10
+
+
+def write_history(df: DataFrame, path: str, distinct_places: int | None = None) -> None:
+    """Rewrite the log clustered by user; the time in the range key spreads a very active user over files.
+
+    The second access path, by place, are Bloom filters: each row group can tell that it does not
+    hold a place. ``distinct_places`` is how many a row group may hold.
+    """
     ordered = df.repartitionByRange("user_id", "interaction_time").sortWithinPartitions("user_id", "interaction_time")
-    ordered.write.mode("overwrite").parquet(path)
+    writer = ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#restaurant_id", "true")
+    if distinct_places:
+        writer = writer.option("parquet.bloom.filter.expected.ndv#restaurant_id", str(distinct_places))
+    writer.parquet(path)
+
+
+def place_events(history: DataFrame, ids: list[int]) -> DataFrame:
+    """Log rows of a few places; the ids are values of the scan's filter, so row groups without them are not read."""
+    if len(ids) > LISTED_IDS:
+        raise ValueError(f"at most {LISTED_IDS} places; use history_by_place")
+    return history.where(F.col("restaurant_id").isin(*ids))
 
 
 def history_by_user(history: DataFrame, users: DataFrame) -> DataFrame:

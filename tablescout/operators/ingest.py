@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tablescout import fixed_values as V
 from tablescout import schemas
 from tablescout.functions import text
-from tablescout.sources import catalog
+from tablescout.sources import catalog, store
 
 _RENAMED = {
     "priceRange": "price_range", "overallRating": "overall_rating",
@@ -99,10 +99,12 @@ def upsert_places(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, source: str, root: str, only_if_empty: bool = True, multi_line: bool = True) -> bool:
-    """Load a flat JSON catalog into the versioned table at ``root``; True when a version was written."""
-    old = catalog.load_places(spark, root)
-    if only_if_empty and not old.isEmpty():
+    """Load a flat JSON catalog into the table at ``root``; True when rows were written.
+
+    A first load writes the base files, a later one only the rows it brings.
+    """
+    if only_if_empty and not catalog.load_places(spark, root).isEmpty():
         return False
     loaded = to_places(valid_places(catalog.read_catalog(spark, source, multi_line)))
-    catalog.save_places(upsert_places(old, loaded), root)
-    return True
+    empty = spark.createDataFrame([], schemas.PLACES)
+    return store.load_if_empty(upsert_places(empty, loaded), root) or store.upsert(loaded, root) > 0

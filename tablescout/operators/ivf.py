@@ -1,20 +1,30 @@
-"""Approximate vector search: k-means clusters inside geo cells, nearest clusters probed.
+"""Vector search over k-means clusters inside geo cells: nearest clusters first, with a certificate.
 
 Requests and places meet where a cell of the request's box and one of its nearest clusters coincide,
 so neither a crowded metro nor a large cluster is searched as a whole.
+
+For each cluster the index keeps the smallest and the largest angle of a member to the centroid. By
+the triangle inequality of angles this bounds how near a member can be to a request. Clusters are read
+in the order of that bound, in growing steps, until no unread cluster can hold one of the wanted
+nearest: then the answer is proven exact, although most clusters may never have been read. Places
+whose vectors have no cluster (another length than the centroids, or no direction) form a last cluster
+of their own that every request reads.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablescout import fixed_values as V
 from tablescout.operators import blocks, geocells
@@ -24,8 +34,14 @@ from tablescout.session import materialize
 #: Places per cluster that the number of clusters aims at, and the most clusters (their centroids go to every task).
 CLUSTER_ROWS = 2048
 MOST_CLUSTERS = 16_384
+#: Centroids are fitted to a sample of at most so many places per cluster; all places are assigned.
+FIT_ROWS = 256
 #: Vectors scored against all centroids at once.
 _CHUNK = 512
+#: Angles and distances are rounded outwards by this much.
+_MARGIN = 1e-6
+#: Clusters of a round that are listed in the filter of the index's scan.
+_LISTED = 1024
 
 _REQUEST_COLUMNS = ("qid", "latitude", "longitude", "max_distance_km", "minimum_rating", "preferred_price_range",
                     "query_vector")
@@ -33,83 +49,241 @@ _REQUEST_COLUMNS = ("qid", "latitude", "longitude", "max_distance_km", "minimum_
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """Search columns of the places with their cluster, and the ``n_cells`` unit centroids."""
+    """Search columns of the places with their cluster, and the ``n_cells`` unit centroids.
+
+    ``nearest`` and ``farthest`` are the extreme angles of the members of each cluster, ``members`` their
+    number; the last entry is that of the places without a cluster.
+    """
 
     places: DataFrame
     centroids: np.ndarray
+    nearest: np.ndarray
+    farthest: np.ndarray
+    members: np.ndarray
+
+
+@dataclass(frozen=True)
+class Certified:
+    """Hits, and per request how many ``clusters`` were read and whether the hits are ``certified`` as exact."""
+
+    hits: DataFrame
+    reads: DataFrame
+
+
+def _matrix(column: pa.Array, rows: np.ndarray, dims: int) -> np.ndarray:
+    return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dims).astype(np.float64)
+
+
+def _directed(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``dims`` components that have a direction, and their unit vectors."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(sizes == dims)
+    matrix = _matrix(column, rows, dims)
+    lengths = np.sqrt((matrix * matrix).sum(axis=1))
+    kept = (lengths > 0.0) & np.isfinite(lengths)
+    return rows[kept], matrix[kept] / lengths[kept, None]
 
 
-def _with_clusters(df: DataFrame, vector: str, centroids: np.ndarray, count: int) -> DataFrame:
-    """Add ``clusters``: the ``count`` clusters of highest cosine, best first. Vectors of another size drop out."""
-    def nearest(batches):
+def _angles(units: np.ndarray, centroids: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    for start in range(0, len(units), _CHUNK):
+        part = slice(start, start + _CHUNK)
+        yield part, np.arccos(np.clip(units[part] @ centroids.T, -1.0, 1.0))
+
+
+def _assigned(df: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """Add the nearest ``cluster`` and the ``angle`` to its centroid; vectors without one get the last cluster."""
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clusters = np.full(batch.num_rows, len(centroids), dtype=np.int32)
+            angle = np.zeros(batch.num_rows)
+            rows, units = _directed(batch.column("embedding"), centroids.shape[1])
+            for part, angles in _angles(units, centroids):
+                best = angles.argmin(axis=1)
+                clusters[rows[part]], angle[rows[part]] = best, angles[np.arange(len(best)), best]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(clusters), pa.array(angle)],
+                                             names=[*batch.schema.names, "cluster", "angle"])
+
+    schema = T.StructType(df.schema.fields + [T.StructField("cluster", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+    return df.mapInArrow(nearest, schema)
+
+
+def lower_bounds(units: np.ndarray, index: VectorIndex) -> np.ndarray:
+    """The least cosine distance of any member of each cluster to each unit vector; infinite for empty clusters."""
+    bounds = np.zeros((len(units), len(index.members)))
+    for part, angles in _angles(units, index.centroids):
+        gap = np.maximum(angles - index.farthest[:-1], index.nearest[:-1] - angles)
+        bounds[part, :-1] = 1.0 - np.cos(np.maximum(gap - _MARGIN, 0.0))
+    bounds[:, index.members == 0] = np.inf
+    return bounds
+
+
+def _with_clusters(df: DataFrame, index: VectorIndex, start: int, count: int) -> DataFrame:
+    """Add ``clusters``, the next ``count`` of a request from place ``start`` of its order on, and ``beyond``,
+    the least distance in what is left after them. A cluster that cannot beat ``worst`` is not listed."""
+    last = len(index.members) - 1
+    # What the tasks need, without the table.
+    index = VectorIndex(None, index.centroids, index.nearest, index.farthest, index.members)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, centroids.shape[1])
-            best = np.zeros((batch.num_rows, min(count, len(centroids))), dtype=np.int32)
-            for start in range(0, batch.num_rows, _CHUNK):
-                scores = flat[start : start + _CHUNK].astype(np.float64) @ centroids.T
-                best[start : start + _CHUNK] = np.argsort(-scores, axis=1, kind="stable")[:, :count]
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * best.shape[1]
-            clusters = pa.ListArray.from_arrays(pa.array(offsets), pa.array(best.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, clusters], names=[*batch.schema.names, "clusters"])
+            worst = batch.column("worst").to_numpy()
+            lists: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            beyond = np.full(batch.num_rows, np.inf)
+            rows, units = _directed(batch.column("query_vector"), index.centroids.shape[1])
+            other = np.setdiff1d(np.arange(batch.num_rows), rows)
+            if start == 0 and index.members[last]:
+                for row in other.tolist():  # only places without a cluster can match
+                    lists[row] = [last]
+            for part in range(0, len(rows), _CHUNK):
+                own = rows[part : part + _CHUNK]
+                bounds = lower_bounds(units[part : part + _CHUNK], index)
+                order = np.argsort(bounds, axis=1, kind="stable")
+                bounds = np.take_along_axis(bounds, order, axis=1)
+                useful = np.isfinite(bounds) & (bounds <= worst[own, None] + _MARGIN)
+                for i, row in enumerate(own.tolist()):
+                    some = np.flatnonzero(useful[i, start : start + count]) + start
+                    lists[row] = order[i, some].tolist()
+                if start + count < bounds.shape[1]:
+                    beyond[own] = bounds[:, start + count]
+            clusters = pa.array(lists, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, clusters, pa.array(beyond)],
+                                             names=[*batch.schema.names, "clusters", "beyond"])
 
-    fitting = df.where(F.size(vector) == centroids.shape[1])
-    schema = T.StructType(fitting.schema.fields + [T.StructField("clusters", T.ArrayType(T.IntegerType()))])
-    return fitting.mapInArrow(nearest, schema)
+    schema = T.StructType(df.schema.fields + [
+        T.StructField("clusters", T.ArrayType(T.IntegerType())), T.StructField("beyond", T.DoubleType())])
+    return df.mapInArrow(nearest, schema)
 
 
-def build_ivf(places: DataFrame, n_cells: int | None = None, max_iter: int = 10, seed: int = V.SAMPLE_SEED) -> VectorIndex:
+def build_ivf(places: DataFrame, n_cells: int | None = None, max_iter: int = 10, seed: int = V.SAMPLE_SEED,
+              cluster_rows: int = CLUSTER_ROWS) -> VectorIndex:
     """Cluster the places that have a vector by cosine; the number of clusters follows the measured table.
 
-    Assignments are written once, so a search reads them instead of computing them again.
+    Centroids have the most frequent length of a vector and are fitted to a sample in the order of a
+    seeded hash. Assignments are written once, so a search reads them instead of computing them again.
     """
-    embedded = places.where(F.col("embedding").isNotNull()).select(
-        "id", "latitude", "longitude", "overall_rating", "price_range", "embedding")
+    embedded = materialize(places.where(F.col("embedding").isNotNull()).select(
+        "id", "latitude", "longitude", "overall_rating", "price_range", "embedding"), "embedded")
+    sizes = embedded.groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n")).where("dims > 0")
+    usual = sizes.orderBy(F.desc("n"), "dims").first()
+    dims, rows = (usual["dims"], usual["n"]) if usual else (1, 0)
     if n_cells is None:
-        n_cells = min(MOST_CLUSTERS, max(2, math.ceil(embedded.count() / CLUSTER_ROWS)))
-    features = embedded.select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=n_cells, distanceMeasure="cosine", maxIter=max_iter, seed=seed).fit(features)
-    centers = np.array(model.clusterCenters())
-    centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
-    assigned = _with_clusters(embedded, "embedding", centers, 1)
-    assigned = assigned.withColumn("cluster", F.col("clusters")[0]).drop("clusters")
-    return VectorIndex(materialize(assigned, "ivf"), centers)
+        n_cells = min(MOST_CLUSTERS, max(2, math.ceil(rows / cluster_rows)))
+    fitting = embedded.where(F.size("embedding") == dims).where(F.exists("embedding", lambda x: x != 0))
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") * 2.0**-53
+    sample = fitting.where(chance < FIT_ROWS * n_cells / max(rows, 1)).select(array_to_vector("embedding").alias("features"))
+    centers = np.zeros((0, dims))
+    if not sample.isEmpty():
+        centers = np.array(KMeans(k=n_cells, distanceMeasure="cosine", maxIter=max_iter, seed=seed).fit(sample).clusterCenters())
+        centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
+    else:
+        centers = np.eye(1, dims)
+    assigned = materialize(_assigned(embedded, centers), "ivf")
+    return VectorIndex(assigned.drop("angle"), centers, *_extremes(assigned, len(centers)))
+
+
+def _extremes(assigned: DataFrame, clusters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest and largest angle and number of members; a row per cluster, so no more than ``MOST_CLUSTERS``."""
+    nearest, farthest, members = np.zeros(clusters + 1), np.full(clusters + 1, math.pi), np.zeros(clusters + 1, dtype=np.int64)
+    summed = assigned.groupBy("cluster").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n"))
+    for row in summed.collect():
+        members[row["cluster"]] = row["n"]
+        if row["cluster"] < clusters:
+            nearest[row["cluster"]], farthest[row["cluster"]] = row["low"], row["high"]
+    return nearest, farthest, members
 
 
 def save_index(index: VectorIndex, path: str) -> None:
-    """Places by cluster, and the centroids, under ``path``."""
-    index.places.write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/places")
+    """Places by cluster, and a row per cluster, under ``path``."""
+    index.places.repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/places")
     spark = index.places.sparkSession
-    rows = [(i, json.dumps(c.tolist())) for i, c in enumerate(index.centroids)]
-    spark.createDataFrame(rows, "cluster int, centroid string").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    centroids = [*(json.dumps(c.tolist()) for c in index.centroids), None]
+    rows = [(i, c, float(a), float(b), int(n)) for i, (c, a, b, n) in enumerate(zip(centroids, index.nearest, index.farthest, index.members))]
+    table = spark.createDataFrame(rows, "cluster int, centroid string, nearest double, farthest double, members long")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/clusters")
 
 
 def load_index(spark: SparkSession, path: str) -> VectorIndex:
-    rows = spark.read.parquet(f"{path}/centroids").orderBy("cluster").collect()  # no more than MOST_CLUSTERS
-    return VectorIndex(spark.read.parquet(f"{path}/places"), np.array([json.loads(r["centroid"]) for r in rows]))
-
+    rows = spark.read.parquet(f"{path}/clusters").orderBy("cluster").collect()  # no more than MOST_CLUSTERS and one
+    nearest, farthest, members = (np.array([r[c] for r in rows]) for c in ("nearest", "farthest", "members"))
+    return VectorIndex(spark.read.parquet(f"{path}/places"), np.array([json.loads(r["centroid"]) for r in rows[:-1]]),
+                       nearest, farthest, members)
 
-def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
-             widen: bool = True, **block_options: int) -> DataFrame:
-    """Vector hits from the ``n_probe`` nearest clusters, with box and filters applied inside them.
 
-    With ``widen``, requests that got fewer than ``limit`` hits are searched exactly, so no answer
-    is short because its filters left too little in the probed clusters.
-    """
-    asked = requests.where(F.col("query_vector").isNotNull())
-    probed = _with_clusters(asked.select(*_REQUEST_COLUMNS), "query_vector", index.centroids, n_probe)
+def _probed_hits(probed: DataFrame, index: VectorIndex, limit: int, **block_options: int) -> DataFrame:
+    """Hits of requests with their ``clusters`` inside these clusters, at most ``limit`` per pair of blocks."""
     # Coarse geo cells: a request has a row for each pair of a cell and a probed cluster.
     q = blocks.prepare_requests(probed, True, "clusters").withColumn("level", geocells.box_level(1.0))
-    p = blocks.vector_places(index.places, "cluster")
+    seen = q.agg(F.collect_set("level").alias("levels"), F.array_distinct(F.flatten(F.collect_set("clusters"))).alias("clusters")).first()
+    levels, clusters = sorted(seen["levels"]) or [0], sorted(seen["clusters"])
+    places = index.places
+    if len(clusters) < (index.members > 0).sum() and len(clusters) <= _LISTED:
+        places = places.where(F.col("cluster").isin(clusters))  # partitions of the stored index that are not read
+    p = blocks.vector_places(places, "cluster")
 
     def inside(cell: Column, cluster: Column) -> Column:
         return F.struct(cell["level"].alias("level"), cell["cy"].alias("cy"), cell["cx"].alias("cx"), cluster.alias("cluster"))
 
     grid = F.transform(geocells.box_grid(), lambda cell: F.transform("clusters", lambda c: inside(cell, c)))
     request_cells = F.explode(F.flatten(grid))
-    levels = sorted(q.agg(F.collect_set("level").alias("levels")).first()["levels"]) or [0]
     place_cells = F.explode(F.transform(geocells.place_grid(levels), lambda cell: inside(cell, F.col("cluster"))))
-    found = best_hits(blocks.blocked_hits(q, p, request_cells, place_cells, mode=blocks.VECTOR, limit=limit,
-                                          **block_options), limit)
+    return blocks.blocked_hits(q, p, request_cells, place_cells, mode=blocks.VECTOR, limit=limit, **block_options)
+
+
+def certified_hits(requests: DataFrame, index: VectorIndex, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
+                   first: int | None = None, growth: int = 4, most: int | None = None, slack: float = 0.0,
+                   **block_options: int) -> Certified:
+    """The ``limit`` nearest inside box and filters, reading only clusters that can hold one of them.
+
+    The first round reads the ``first`` most promising clusters of every request (by default the root
+    of their number), each further one ``growth`` times as many of the requests that are still open. A
+    request is closed when its ``limit``-th hit is nearer than anything in its unread clusters can be.
+    With ``slack`` it is closed as soon as nothing unread can be nearer by more than that: what is missed is
+    then at most so much nearer than what was returned in its place. ``most`` bounds the clusters read per
+    request; what is then still open is not certified.
+    """
+    total = len(index.members)
+    most = total if most is None else min(most, total)
+    step = first or max(1, math.isqrt(total))
+    open_ = requests.where(F.col("query_vector").isNotNull()).select(*_REQUEST_COLUMNS, F.lit(float("inf")).alias("worst"))
+    carried, start = None, 0
+    hits, reads = [], []
+    best = Window.partitionBy("qid").orderBy("cos_dist", "id")
+    while True:
+        step = min(step, most - start)
+        probed = materialize(_with_clusters(open_, index, start, step), "ivf-probed")
+        found = _probed_hits(probed, index, limit, **block_options)
+        if carried is not None:
+            found = found.unionByName(carried.join(probed.select("qid"), "qid", "left_semi"))
+        start += step
+        carried = materialize(found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= limit), "ivf-best")
+        last = carried.where(F.col("rn") == limit).select("qid", F.col("cos_dist").alias("_worst"))
+        carried = carried.drop("rn")
+        state = materialize(probed.drop("worst").join(last, "qid", "left").withColumns({
+            "worst": F.coalesce("_worst", F.lit(float("inf"))), "n": F.size("clusters").cast("long")}).drop("_worst", "clusters"), "ivf-state")
+        more = (F.col("beyond") < float("inf")) & (F.col("beyond") <= F.col("worst") + _MARGIN - slack)
+        ended = start >= most or state.where(more).isEmpty()
+        reads.append(state.select("qid", "n", (~more if ended else F.lit(True)).alias("certified")))
+        if ended:
+            hits.append(carried)
+            break
+        open_ = state.where(more).drop("beyond", "n")
+        hits.append(carried.join(open_.select("qid"), "qid", "left_anti"))
+        step *= growth
+    every = best_hits(reduce(DataFrame.unionByName, hits), limit)
+    read = reduce(DataFrame.unionByName, reads).groupBy("qid").agg(F.sum("n").alias("clusters"), F.bool_and("certified").alias("certified"))
+    return Certified(every, read)
+
+
+def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
+             widen: bool = True, **block_options: int) -> DataFrame:
+    """Vector hits from the ``n_probe`` most promising clusters, with box and filters applied inside them.
+
+    With ``widen``, requests that got fewer than ``limit`` hits are searched exactly, so no answer
+    is short because its filters left too little in the probed clusters.
+    """
+    asked = requests.where(F.col("query_vector").isNotNull())
+    probed = _with_clusters(asked.select(*_REQUEST_COLUMNS, F.lit(float("inf")).alias("worst")), index, 0, n_probe)
+    found = best_hits(_probed_hits(materialize(probed, "ivf-probed"), index, limit, **block_options), limit)
     if not widen:
         return found
     found = materialize(found, "ivf-hits")  # at most ``limit`` rows per request, read three times

@@ -1,18 +1,32 @@
-"""Exact order statistics of a column without sorting it in one task."""
+"""Exact order statistics of a column by radix selection: no sort, and no task whose input grows with the data.
+
+A double is mapped to a 64-bit number of the same order. Each of four rounds counts, among the values
+that share the digits chosen so far, how many have each value of the next 16-bit digit, and chooses the
+digit in which the wanted rank falls. A task counts into arrays of fixed size; what is shuffled
+is at most 65536 counts per task and wanted rank, and what is looked through is 65536 counts.
+"""
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-from operator import or_
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Up to this many values the whole (grouped) column is sorted; beyond it, only a narrow range.
-SMALL = 100_000
-#: Sketch accuracy and the safety margin around each wanted quantile (ten times its error).
-_ACCURACY = 50_000
-_MARGIN = 2e-4
+_DIGIT, _ROUNDS = 16, 4
+_VALUES = 1 << _DIGIT
+_SIGN = np.uint64(1 << 63)
+
+
+@dataclass
+class _Wanted:
+    """A rank that is looked for: its statistic, the digits found so far, and its rank among the values that share them."""
+
+    name: str
+    rank: int
+    prefix: int = 0
 
 
 def nearest_rank(n: int, p: float) -> list[int]:
@@ -25,42 +39,70 @@ def middle_ranks(n: int) -> list[int]:
     return [(n - 1) // 2 + 1, n // 2 + 1]
 
 
-def order_statistics(df: DataFrame, column: str, quantiles: dict[str, float | None], small: int = SMALL) -> DataFrame:
-    """One row with a column per name: the value at ``int(n * p)``, or the median where ``p`` is None; 0.0 when empty.
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; both zeros are one value and NaN is above all others."""
+    values = np.where(np.isnan(values), np.nan, values + 0.0)
+    bits = np.ascontiguousarray(values, dtype=np.float64).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def from_bits(number: int) -> float:
+    """The inverse of :func:`ordered_bits`."""
+    bits = np.array([number], dtype=np.uint64)
+    return float(np.where(bits & _SIGN, bits ^ _SIGN, ~bits).view(np.float64)[0])
+
+
+def _digits(prefixes: list[int], level: int) -> Callable:
+    """Counts of the digit at ``level`` among the values with each prefix."""
+    above, shift = np.uint64(64 - _DIGIT * level), np.uint64(64 - _DIGIT * (level + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(prefixes), _VALUES), dtype=np.int64)
+        for batch in batches:
+            bits = ordered_bits(batch["v"].to_numpy(zero_copy_only=False))
+            for i, prefix in enumerate(prefixes):
+                own = bits if level == 0 else bits[(bits >> above) == np.uint64(prefix)]
+                digits = ((own >> shift) & np.uint64(_VALUES - 1)).astype(np.int64)
+                counts[i] += np.bincount(digits, minlength=_VALUES)
+        which, digit = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(digit, pa.int32()), pa.array(counts[which, digit], pa.int64())],
+                                         names=["which", "digit", "n"])
+
+    return run
+
+
+def _histogram(values: DataFrame, prefixes: list[int], level: int) -> DataFrame:
+    """``which, digit, upto``: running counts over the digits of each prefix."""
+    counts = values.mapInArrow(_digits(prefixes, level), "which int, digit int, n long")
+    summed = counts.groupBy("which", "digit").agg(F.sum("n").alias("n"))
+    return summed.withColumn("upto", F.sum("n").over(Window.partitionBy("which").orderBy("digit")))
+
 
-    A sketch brackets every wanted rank, the rows below the bracket are counted, and only the
-    values inside it are ordered. Equal values are counted together before anything is ordered.
-    """
+def order_statistics(df: DataFrame, column: str, quantiles: dict[str, float | None]) -> DataFrame:
+    """One row with a column per name: the value at ``int(n * p)``, or the median where ``p`` is None; 0.0 when empty."""
+    spark = df.sparkSession
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    spots = [0.5 if p is None else p for p in quantiles.values()]
-    around = [q for p in spots for q in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
-    sketch = values.agg(F.count("v").alias("n"), F.percentile_approx("v", around, _ACCURACY).alias("q")).first()
-    n = sketch["n"]
-    wanted = []
-    for i, (name, p) in enumerate(quantiles.items()):
-        low, high = (sketch["q"][2 * i], sketch["q"][2 * i + 1]) if n > small else (-math.inf, math.nan)
-        for rank in (middle_ranks(n) if p is None else nearest_rank(n, p)) if n else ():
-            wanted.append((name, rank, low, high))
-    names = list(quantiles)
-    if wanted and n > small:  # only what lies in a bracket is moved and grouped
-        inner = reduce(or_, (F.col("v").between(F.lit(low), F.lit(high)) for _, _, low, high in wanted))
-        counted = values.where(inner).groupBy("v").agg(F.count(F.lit(1)).alias("m"))
-    else:
-        counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
-    # NaN sorts above every number, so NaN as the upper end admits everything.
-    brackets = [
-        F.when(F.col("v").between(F.lit(low), F.lit(high)),
-               F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(rank).alias("rank")))
-        for i, (name, rank, low, high) in enumerate(wanted)
-    ] or [F.lit(None).cast("struct<i:int,name:string,rank:bigint>")]
-    if wanted and n > small:
-        below = values.agg(*(F.count_if(F.col("v") < low).alias(f"b{i}") for i, (_, _, low, _) in enumerate(wanted))).first()
-    else:
-        below = [0] * len(wanted)
-    offset = F.element_at(F.array(*(F.lit(b) for b in below)) if wanted else F.array(F.lit(0)), F.col("w.i") + 1)
-    inside = counted.select("v", "m", F.explode(F.filter(F.array(*brackets), lambda b: b.isNotNull())).alias("w"))
-    running = F.sum("m").over(Window.partitionBy("w.i").orderBy("v"))
-    reached = inside.withColumn("upto", running + offset).where(F.col("upto") >= F.col("w.rank"))
-    picks = reached.groupBy("w.i", "w.name").agg(F.min("v").alias("v"))
-    return picks.agg(*(F.coalesce(F.avg(F.when(F.col("name") == name, F.col("v"))), F.lit(0.0)).alias(name)
-                       for name in names))
+    wanted: list[_Wanted] = []
+    for level in range(_ROUNDS):
+        prefixes = sorted({w.prefix for w in wanted}) if level else [0]
+        histogram = _histogram(values, prefixes, level)
+        if level == 0:
+            # The first digits are few enough to be counted once for all ranks, whose number follows from them.
+            first = np.array(sorted((r["digit"], r["upto"]) for r in histogram.collect())).reshape(-1, 2)  # at most 65536
+            n = int(first[-1, 1]) if len(first) else 0
+            wanted = [_Wanted(name, rank) for name, p in quantiles.items() if n
+                      for rank in (middle_ranks(n) if p is None else nearest_rank(n, p))]
+            for w in wanted:
+                at = int(np.searchsorted(first[:, 1], w.rank))
+                w.prefix, w.rank = int(first[at, 0]), w.rank - (int(first[at - 1, 1]) if at else 0)
+            if not wanted:
+                break
+            continue
+        picks = []
+        for i, w in enumerate(wanted):
+            own = (F.col("which") == prefixes.index(w.prefix)) & (F.col("upto") >= w.rank)
+            picks.append(F.min(F.when(own, F.struct("digit", (F.col("upto") - F.col("n")).alias("before")))).alias(f"w{i}"))
+        for w, found in zip(wanted, histogram.agg(*picks).first()):
+            w.prefix, w.rank = (w.prefix << _DIGIT) | found["digit"], w.rank - found["before"]
+    found = {name: [from_bits(w.prefix) for w in wanted if w.name == name] for name in quantiles}
+    return spark.range(1).select(*(F.lit(float(np.mean(own)) if own else 0.0).alias(name) for name, own in found.items()))

@@ -108,6 +108,16 @@ def vector_hits(requests: DataFrame, places: DataFrame, limit: int = V.RESULT_LI
     return _search(requests, places, blocks.VECTOR, limit, lambda hits: hits, **options)
 
 
+def scored_pairs(requests: DataFrame, places: DataFrame, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
+                 **block_options) -> DataFrame:
+    """What a vector search compares: pairs of vectors that meet in a block, and those of them that were scored."""
+    q = blocks.prepare_requests(requests, True).where(F.col("query_vector").isNotNull()).withColumn("level", geocells.box_level())
+    levels = sorted(q.agg(F.collect_set("level").alias("levels")).first()["levels"]) or [0]
+    groups = blocks.blocked_hits(q, blocks.vector_places(places), geocells.box_cells(), geocells.place_cells(levels),
+                                 mode=blocks.VECTOR, limit=limit, counted=True, **block_options)
+    return groups.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
+
+
 def distance_hits(requests: DataFrame, places: DataFrame, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
                   **options) -> DataFrame:
     """Nearest places by kilometres inside the box and filters; the radius is not applied."""
@@ -141,18 +151,23 @@ def retrieve(requests: DataFrame, places: DataFrame, k: int = V.RESULT_LIMIT, ov
     return _search(requests, places, blocks.HYBRID, k * overfetch, lambda hits: rerank(hits, k), **options)
 
 
-def attach_places(ranked: DataFrame, places: DataFrame) -> DataFrame:
+def attach_places(ranked: DataFrame, places: DataFrame,
+                  shown: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Catalog columns for ranked ids; a place that is in very many answers is split by the adaptive skew join.
 
     The answered ids are written first. If they are few by their measured size they go to the
     catalog's scan, so only answered rows are moved with their texts; else both sides are shuffled.
+    ``shown`` changes the answered rows (one per place); they are then written before they are copied
+    to the answers, so that what it costs is paid once per place.
     """
     wanted = [c for c in places.columns if c not in ("embedding",)]
     answered = materialize(ranked.select("id").distinct(), "answered")
     rows = places.select(*wanted)
     if answered.count() <= BROADCAST_IDS:
         rows = rows.join(F.broadcast(answered), "id", "left_semi")
-    return ranked.join(rows, "id")
+    elif shown is not None:
+        rows = rows.join(answered, "id", "left_semi")
+    return ranked.join(rows if shown is None else materialize(shown(rows), "answered-places"), "id")
 
 
 def single_box(places: DataFrame, lat: float, lon: float, max_km: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablescout import fixed_values as V
 from tablescout.operators import backfill, ingest, sampling
-from tablescout.sources import catalog
+from tablescout.sources import catalog, store
 
 
 def sample_export(spark: SparkSession, source: str, out: str, size: int = V.SAMPLE_SIZE,
@@ -26,8 +26,13 @@ def refresh(spark: SparkSession, source: str, root: str, embedder: backfill.Embe
     Places whose text could not be embedded stay pending for the next call.
     """
     ingest.ingest(spark, source, root, only_if_empty, multi_line)
-    places = catalog.load_places(spark, root)
-    if embedder is not None and not backfill.pending(places).isEmpty():
-        catalog.save_places(backfill.backfill(places, embedder, **options), root)
-        places = catalog.load_places(spark, root)
-    return places
+    if embedder is not None:
+        fill_vectors(spark, root, embedder, **options)
+        store.compact(spark, root)
+    return catalog.load_places(spark, root)
+
+
+def fill_vectors(spark: SparkSession, root: str, embedder: backfill.Embedder, **options) -> int:
+    """Vectors for the places that lack one; only these are written. Returns their number."""
+    pending = backfill.pending(catalog.load_places(spark, root))
+    return store.write_vectors(backfill.pending_vectors(pending, embedder, **options), root)

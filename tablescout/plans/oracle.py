@@ -403,7 +403,7 @@ from requests q join places p on p.id = q.qid where q.query_vector is not null a
 where id in (select restaurant_id from history_events)""", "places", "history_events"),
     "q44_recommend_from_text": _query("""select qid, position, id, restaurant_name, justification, round(distance, 6) as distance,
   generated from recs""", "recs", own=_FROM_TEXT),
-    "q45_ivf_recall": _query("select count(*) as exact_hits, true as recall_reached from vector_hits", "vector_hits"),
+    "q45_ivf_recall": _query("select count(*) as exact_hits, count(*) as found_hits from vector_hits", "vector_hits"),
 }
 
 # The same questions by the other half of each measured switch.
@@ -425,3 +425,34 @@ select qid, rank, id, dist_km from once union all select -qid, rank, id, dist_km
         ["candidates"])}),
     "q50_bracketed_percentiles": _query("select latency_p50_ms as p50, latency_p90_ms as p90, latency_p99_ms as p99 from metrics", "metrics"),
 }
+
+# The same results read back from what was stored.
+_UPSERTED = """select coalesce(n.id, o.id) as id, case when n.id is null then o.name else n.name end as name,
+  case when n.id is null then o.description else n.description end as description,
+  case when n.id is null then o.cuisines else n.cuisines end as cuisines,
+  case when n.id is null then o.features else n.features end as features,
+  case when n.id is null then o.price_range else n.price_range end as price_range,
+  case when n.id is null then o.latitude else n.latitude end as latitude,
+  case when n.id is null then o.city else n.city end as city, case when n.id is null then o.state else n.state end as state,
+  o.embedding as embedding from places o full join new_rows n on n.id = o.id"""
+ORACLE |= {
+    "q54_stored_catalog": _query("""select id, name, array_to_string(cuisines, '|') as cuisines, price_range,
+  round(latitude, 6) as latitude, city, cast(len(embedding) as int) as dims,
+  round(list_reduce(list_transform(embedding, lambda x, i: cast(x as double) * i), lambda s, x: s + x), 4) as weighted_sum
+from filled""", "filled", own={
+        "upserted": (_UPSERTED, ["places", "new_rows"]),
+        "filled": (_embedded("upserted", "id", _DOCUMENT, "embedding", "embedding is null"), ["upserted"])}),
+    "q55_stored_upsert": ORACLE["q18_upsert_catalog"],
+    "q56_json_catalog": ORACLE["q01_valid_catalog"],
+    "q57_json_export": ORACLE["q35_raw_flatten"],
+    "q58_stored_recommendations": ORACLE["q15_generated_or_template"],
+    "q59_layout_answers": ORACLE["q40_persona_answers"],
+    "q61_city_lookup": _query("""select id, name, p.city, p.state from places p
+join densest d on p.city is not distinct from d.city and p.state is not distinct from d.state""", "places", "densest"),
+    "q62_place_lookup": _query(f"""select {_HISTORY} from history_events where restaurant_id in (
+  select restaurant_id from history_events where user_id is not null and restaurant_id is not null
+  group by restaurant_id order by count(*) desc, restaurant_id limit 5)""", "history_events"),
+    "q63_bucketed_fetch": ORACLE["q43_fetch_places"],
+    "q64_ledger_job": ORACLE["q51_generated_job"],
+    "q65_retried_backfill": ORACLE["q32_embed_backfill"],
+}

@@ -25,25 +25,31 @@ def candidates(requests: DataFrame, places: DataFrame, embedder: backfill.Embedd
     if embedder is not None:
         accepted = backfill.embed_distinct(accepted, embedder, **options)
     ranked = materialize(retrieve(accepted, places, k), "ranked")  # read for its ids, then for its rows
-    # Descriptions are cut to prompt size once per answered place, before they are copied to every answer.
-    shown = places.withColumn("description", text.short_description(F.col("description")))
-    return attach_places(ranked, shown)
+
+    def shown(rows: DataFrame) -> DataFrame:
+        """Descriptions at prompt size. The rows come from a broadcast join on the scan, so they are spread first."""
+        return rows.repartition("id").withColumn("description", text.short_description(F.col("description")))
+
+    return attach_places(ranked, places, shown)
 
 
 def recommend(requests: DataFrame, places: DataFrame, responses: DataFrame | None = None,
               embedder: backfill.Embedder | None = None, k: int = V.RESULT_LIMIT,
-              generator: Callable[[str], str | None] | None = None) -> DataFrame:
+              generator: Callable[[str], str | None] | None = None, ledger: str | None = None,
+              generator_version: str = "1") -> DataFrame:
     """Final recommendations; ``responses`` is the ``(qid, body)`` table of the text generator, if there is one.
 
     With a ``generator`` (prompt to response body) the prompts are built from the candidates and its
-    responses are written before they are used, so no prompt is paid for twice. The candidates feed
-    prompts, grounding and template rows, so they are written once.
+    responses are written before they are used, so no prompt is paid for twice; with the path of a
+    ``ledger`` this holds across runs. The candidates feed prompts, grounding and template rows, so
+    they are written once.
     """
     found = candidates(requests, places, embedder, k)
     if generator is not None:
         found = materialize(found.select(*ground.CANDIDATE_COLUMNS, "description"), "candidates")
-        prompts = ground.build_prompts(validate_requests(requests)[0], found, k)
-        responses = materialize(ground.generate_responses(prompts, generator), "responses")
+        prompts = ground.build_prompts(validate_requests(requests)[0], found, k, cut=False)
+        made = ground.answer_prompts(prompts, generator, ledger, generator_version) if ledger else ground.generate_responses(prompts, generator)
+        responses = materialize(made, "responses")
     if responses is None:
         return ground.recommendations(found)
     if generator is None:

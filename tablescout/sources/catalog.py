@@ -1,14 +1,12 @@
-"""Catalog files: flat and raw JSON in, JSON and versioned Parquet out."""
+"""Catalog files: flat and raw JSON in, JSON and a table with a log of changes out."""
 
 from __future__ import annotations
 
-import time
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablescout import fixed_values as V
 from tablescout import schemas
+from tablescout.sources import json_array, store
 
 
 def _input_position() -> Column:
@@ -29,13 +27,17 @@ def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 def read_raw_merchants(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Nested merchant export; values of the wrong type become NULL for the usability check to drop.
 
-    A single JSON array cannot be split: write it once with :func:`write_json` and read the
-    lines with ``multi_line=False``.
+    Spark reads a file that is one JSON array in one task; :func:`read_raw_array` reads it in many.
     """
     reader = spark.read.schema(schemas.RAW_MERCHANT).option("multiLine", multi_line).option("mode", "PERMISSIVE")
     return reader.json(path).withColumn("input_pos", _input_position())
 
 
+def read_raw_array(spark: SparkSession, path: str) -> DataFrame:
+    """Nested merchant export whose files are JSON arrays, each read by as many tasks as it has splits."""
+    return json_array.read_json_array(spark, path, schemas.RAW_MERCHANT)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines; NULL fields are written so that every record has every key."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
@@ -52,39 +54,11 @@ def personas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema).select("qid", *names)
 
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    """Committed versions, oldest first: Spark writes ``_SUCCESS`` as the last step of a job."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(path)]
-    return sorted(n for n in names if n.startswith("v") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")))
-
-
 def load_places(spark: SparkSession, root: str) -> DataFrame:
-    """The newest committed version; an empty table when there is none."""
-    versions = _versions(spark, root)
-    if not versions:
-        return spark.createDataFrame([], schemas.PLACES)
-    return spark.read.schema(schemas.PLACES).parquet(f"{root}/{versions[-1]}")
-
+    """The catalog as last committed; an empty table when there is none."""
+    return store.read(spark, root)
 
-def write_places(df: DataFrame, path: str, cell_deg: float = 0.25) -> None:
-    """Parquet clustered by geo cell and sorted by price inside it, so box and price filters skip row groups.
 
-    The range key ends with the id: a dense cell is spread over several files.
-    """
-    cells = [F.floor(F.col(c) / F.lit(cell_deg)) for c in ("latitude", "longitude")]
-    ordered = df.withColumns({"_cy": cells[0], "_cx": cells[1]}).repartitionByRange("_cy", "_cx", "id")
-    ordered = ordered.sortWithinPartitions("_cy", "_cx", "price_range", "id").drop("_cy", "_cx")
-    ordered.write.mode("overwrite").parquet(path)
-
-
-def save_places(df: DataFrame, root: str, cell_deg: float = 0.25) -> str:
-    """Publish a new version; readers see the old one until the write has committed."""
-    version = f"{root}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    columns = [F.col(f.name).cast(f.dataType.simpleString()) for f in schemas.PLACES.fields]
-    write_places(df.select(*columns), version, cell_deg)
-    return version
+def save_places(df: DataFrame, root: str, files: int | None = None) -> None:
+    """Publish ``df`` as the whole catalog; readers see the old one until the write has committed."""
+    store.replace_all(df, root, files)

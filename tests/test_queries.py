@@ -33,13 +33,17 @@ def rows(columns, data):
     return sorted([cell(row[i]) for i in order] for row in data)
 
 
+#: Queries that report what a search read: numbers of the method, which SQL over the tables cannot know.
+READS = {"q52_ivf_reads", "q53_scored_pairs", "q60_layout_reads"}
+
+
 def test_every_oracle_has_a_query():
     assert set(QUERIES) <= set(entry_point.queries())
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
-    assert set(ORACLE) == set(QUERIES)
+    assert set(ORACLE) == set(QUERIES) - READS
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, tables, name):
     result = QUERIES[name](spark, FOLDER)
     found = rows(result.columns, [tuple(r) for r in result.collect()])
