@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablescout.llm.apportion import apportion
-from tablescout.llm.common import as_identifier, identifier, small_side
+from tablescout.llm.common import as_identifier, identifier, small_side, text_mark
 from tablescout.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +62,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         F.col("free").isNull(), full).otherwise(F.least(full, F.col("free") * F.col("weight"))).alias("target"))
 
 
+def _source_key() -> Column:
+    """The source as a text that is never NULL."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
 def _overlap(low: Column, high: Column) -> Column:
     """Words of a document that lie between two places of its ring."""
     return F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), high) - F.greatest(F.col("at"), low))
@@ -69,12 +74,11 @@ def _overlap(low: Column, high: Column) -> Column:
 
 def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST,
          block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """Per row of ``documents(doc_id, text, source)``: ``did, size, source_size, target, rounds`` (whole copies),
-    ``taken`` (words in all), and the words of a further, partial copy: ``head`` words from the start and
-    ``tail_from, tail`` words from a place on."""
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    """Per row of ``documents(doc_id, text, source)``: ``key, did, mark`` (source, identifier, digest of the text),
+    ``size, source_size, target, rounds`` (whole copies), ``taken`` (words in all), and the words of a
+    further, partial copy: ``head`` words from the start and ``tail_from, tail`` words from a place on."""
     sized = materialize(documents.select(
-        identifier().alias("did"), F.col("source").cast("string").alias("source"), key.alias("key"),
+        identifier().alias("did"), text_mark().alias("mark"), F.col("source").cast("string").alias("source"), _source_key().alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     sources = materialize(targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     wide = small_side(sources.withColumn("shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard)), F.length("key"))
@@ -94,7 +98,7 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         F.floor(F.pmod("seats", "blocks") * F.col("ring") / F.col("blocks")).alias("run"),
         F.floor(start * F.col("ring") / F.col("blocks")).alias("start")), "rings")
 
-    order = Window.partitionBy("key", "shard").orderBy("digest", "did", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key", "shard").orderBy("digest", "did", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))).join(
         small_side(rings, F.length("key") + 48), ["key", "shard"], "left")
     end = F.col("start") + F.col("run")
@@ -102,7 +106,7 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     tail = F.coalesce(_overlap(F.col("start"), F.least(end, F.col("ring"))), F.lit(0))
     laid = laid.withColumns({"rounds": F.coalesce("rounds", F.lit(0)), "head": head, "tail": tail,
                              "tail_from": F.greatest(F.lit(0), F.coalesce("start", F.lit(0)) - F.col("at"))})
-    return laid.select("did", "size", "source_size", "target", "rounds", "head", "tail_from", "tail",
+    return laid.select("key", "did", "mark", "size", "source_size", "target", "rounds", "head", "tail_from", "tail",
                        (F.col("rounds") * F.col("size") + F.col("head") + F.col("tail")).alias("taken"))
 
 
@@ -113,16 +117,22 @@ def digest(planned: DataFrame) -> DataFrame:
 def mixed(documents: DataFrame, **settings) -> DataFrame:
     """The mix itself, with the columns of ``documents``: a row per whole copy and per part taken.
 
-    Parts hold their words and the blanks before them; ``n_chars`` follows if there is one. Documents
-    are looked up by ``doc_id``; of rows that repeat one, each row takes the share of a single one.
+    Parts hold their words and the blanks before them; ``n_chars`` follows if there is one. A document is
+    its source, ``doc_id`` and text: rows that differ in one of them each give what is planned for them,
+    also where ids are NULL or repeated. Of rows equal in all three, which may differ in other columns, the
+    smallest one by its columns (maps aside) stands for all.
     """
-    parts = plan(documents, **settings).groupBy("did").agg(*(F.first(c).alias(c) for c in ("size", "rounds", "head", "tail_from", "tail")))
-    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), identifier().alias("did")).join(parts, "did")
+    own = ["key", "did", "mark"]
     none = F.struct(F.lit(-1).cast("long").alias("low"), F.lit(0).cast("long").alias("n"))
     whole = F.when(F.col("rounds") > 0, F.array_repeat(none, F.col("rounds").cast("int"))).otherwise(F.array().cast("array<struct<low:bigint,n:bigint>>"))
     cuts = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("head").alias("n")),
                    F.struct(F.col("tail_from").alias("low"), F.col("tail").alias("n")))
-    rows = rows.withColumn("part", F.explode(F.concat(whole, F.filter(cuts, lambda c: c["n"] > 0))))
+    parts = plan(documents, **settings).select(*own, "size", F.explode(F.concat(whole, F.filter(cuts, lambda c: c["n"] > 0))).alias("part"))
+    every = [F.col(f"`{c}`") for c in documents.columns]
+    order = [F.col(f"`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = documents.select(F.struct(*every).alias("row"), F.struct(*order).alias("order"), _source_key().alias("key"),
+                            identifier().alias("did"), text_mark().alias("mark"))
+    rows = parts.join(rows.groupBy(*own).agg(F.min_by("row", "order").alias("row")), own)
     pieces = F.regexp_extract_all(F.col("row")["text"], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     low, n = F.col("part")["low"], F.col("part")["n"]
     is_whole = (low < 0) | (n >= F.col("size"))

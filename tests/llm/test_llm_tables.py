@@ -154,6 +154,31 @@ def test_mixed_rows_hold_the_taken_words(docs, rows):
         assert all(r["n_chars"] == len(r["text"]) for r in got[i])
 
 
+def test_mixed_rows_of_documents_that_share_an_id(spark):
+    """NULL and repeated ids on several texts and sources, and rows that are repeated whole."""
+    rows = [(None, samples.prose(400 + i, 40 + 13 * i), f"s{i % 2}") for i in range(12)]
+    rows += [(7, samples.prose(500 + i, 30 + 11 * i), f"s{i % 3}") for i in range(12)]
+    rows += [(None, rows[0][1], "s1"), (9, rows[0][1], "s0")] + [(8, samples.prose(600, 50), "s0")] * 5 + [(i, samples.prose(700 + i, 60), None) for i in range(20, 30)]
+    docs = samples.documents(spark, rows)
+    planned = defaultdict(int)
+    for r in mixing.plan(docs, shard=300).select("key", "did", "mark", "size", "taken").collect():
+        planned[r["key"], r["did"], r["mark"]] += r["taken"]
+    found = mixing.mixed(docs, shard=300)
+    again = mixing.mixed(docs.repartition(7), shard=300)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, again.collect()))
+    # A part holds other words than its document, so it is found by the columns that it keeps.
+    document = {(d[0], d["id"]): t for d, t in zip(docs.collect(), (r[1] for r in rows))}
+    got = defaultdict(int)
+    for r in found.collect():
+        text = document[r["doc_id"], r["id"]]
+        assert r["text"].strip() in text
+        got["n" if r["source"] is None else "s" + r["source"], r["doc_id"], text] += len(samples.words(r["text"]))
+    marks = {(r["key"], r["did"], r["mark"]): (r["key"], None if r["did"] == -(2**63) else r["did"], r["text"]) for r in docs.select(
+        mixing._source_key().alias("key"), mixing.identifier().alias("did"), mixing.text_mark().alias("mark"), "text").collect()}
+    expected = {marks[k]: n for k, n in planned.items() if n}
+    assert dict(got) == expected and sum(expected.values()) > 1000
+
+
 def check_shards(found, rows, within):
     texts = defaultdict(list)
     for i, text, _ in rows:
@@ -186,6 +211,23 @@ def test_shards(spark, docs, rows):
     assert sum(len(g) > 1 for g in groups.values()) <= 1  # only the group that is larger than a shard
 
 
+def test_no_group_that_fits_a_shard_is_divided(spark):
+    """Groups of copies of a fifth of a shard up to all of it."""
+    rows = [(i, samples.prose(2000 + i, 12), None) for i in range(4000)]
+    per_shard = sum(len(t) + 8 for _, t, _ in rows) / 24
+    for g, part in enumerate((0.2, 0.3, 0.5, 0.7, 0.9)):
+        text = samples.prose(9000 + g, 40)
+        rows += [(10_000 * (g + 1) + k, text, None) for k in range(int(part * per_shard / (len(text) + 8)))]
+    found = sharding.shard(samples.documents(spark, rows)).collect()
+    check_shards(found, rows, 0.05)
+    texts = {i: t for i, t, _ in rows}
+    groups = defaultdict(set)
+    for r in found:
+        groups[texts[r["doc_id"]]].add(r["shard"])
+    assert {len(g) for g in groups.values()} == {1}
+    assert not any(r["divided"] for r in found)
+
+
 MESSAGES = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()),
                          T.StructField("text", T.StringType()), *(T.StructField(c, T.StringType()) for c in ("v", "row", "calls", "level", "answer"))])
 
@@ -231,6 +273,26 @@ def test_chat_links(spark):
     assert own[3, 0]["json"] == '{"content":null,"role":"user"}' and own[3, 1]["json"] == '{"content":"{not json","role":null}'
 
 
+def test_chat_numbers_have_one_form(spark):
+    """However a number is spelt, its value has one text; strings that look like numbers stay."""
+    spellings = {"100": ("100", "100.0", "1e2", "1E+2", "10000e-2"), "1.5": ("1.5", "1.50", "15e-1"), "0": ("0", "-0", "0.0", "0e5"),
+                 "-2": ("-2", "-2.0"), "12345678901234567890": ("12345678901234567890", "12345678901234567890.0")}
+    rows, expected = [], []
+    for value, ways in spellings.items():
+        for way in ways:
+            text = '{"tool_calls": [{"id": "a", "name": "t", "arguments": {"s": "1e2, [1.0]: \\"2.50\\" \\\\", "n":%s, "l": [%s ,%s]}}]}' % (way, way, way)
+            rows.append((len(rows), 0, "assistant", text))
+            expected.append((value, "valid" if "." not in value else "wrong_type:n"))
+    schema = {"t": {"n": ("integer", True), "s": ("string", True), "l": ("array", True)}}
+    found = {r["conv_id"]: r for r in chat.link(messages(spark, rows), schema).collect()}
+    for i, (value, issue) in enumerate(expected):
+        assert '"arguments":{"l":[%s,%s],"n":%s,"s":"1e2, [1.0]: \\"2.50\\" \\\\"}' % (value, value, value) in found[i]["json"]
+        assert (found[i]["call_issues"] or "valid") == issue
+    odd = chat.link(messages(spark, [(1, 0, "tool", '{"tool_call_id": "x", "content": 1e-30}'), (2, 0, "tool", '{"tool_call_id": "x", "content": [1.0, oops}')])).collect()
+    texts = {r["conv_id"]: r["json"] for r in odd}
+    assert json.loads(texts[1])["content"] == 1e-30 and json.loads(texts[2])["content"] == '{"tool_call_id": "x", "content": [1.0, oops}'
+
+
 def test_chat_order_and_files(spark, tmp_path):
     linked = chat.link(messages(spark, CHAT[:7]), SCHEMAS)
     order = [r["turn"] for r in linked.orderBy("anchor", "level", "slot", "turn").collect()]
