@@ -17,7 +17,8 @@ from tablescout.session import materialize
 BROADCAST_BYTES = 32 << 20
 #: Bytes a row takes in a broadcast table besides its variable-length values.
 ROW_BYTES = 48
-#: Stands for a missing identifier inside an operator.
+#: Stands for a missing identifier inside an operator. The smallest long is therefore no identifier of its
+#: own: a row that has it is treated as one without an identifier, in every operator that uses this module.
 NO_ID = -(2**63)
 
 

@@ -31,7 +31,7 @@ SHARDS = 24
 #: A unit above this part of a shard is placed by itself.
 PART = 128
 #: Equal texts stay together up to this share of a shard.
-WHOLE = 0.25
+WHOLE = 1.0
 #: Rows of a range, most ranges, and sampled rows per range.
 RANGE_ROWS = 20_000
 MOST_RANGES = 4096
@@ -75,7 +75,8 @@ def _room(large: DataFrame, rest: int, shards: int) -> list[int]:
 
 
 def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row of ``documents(doc_id, text)``."""
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row of ``documents(doc_id, text)``, and
+    whether its text is ``divided``: held by more rows than fit into a shard."""
     spark = documents.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = materialize(documents.select(
@@ -157,4 +158,4 @@ def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     numbered = every.withColumn("place", place).join(small_side(runs), run).withColumn("slot", F.col("base") + F.col("place") - 1)
     return numbered.select(
         as_identifier("did").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
-        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), (F.col("sub") != 0).alias("divided"))
