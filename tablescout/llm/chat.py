@@ -30,11 +30,43 @@ from tablescout.session import materialize
 
 #: Argument types per tool: name -> (JSON type, required). Types: string, integer, number, boolean, object, array.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
-_TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"),
-          "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
+_TYPES = {"string": "STRING", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT",
+          "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY"}
 _REFERENCE = r"\$call:([A-Za-z0-9_.-]+)"
 
 
+#: Stand for escapes while a text is cut at its quotes; JSON holds no such character as it is.
+_BACKSLASH, _QUOTE = "\u0001", "\u0002"
+_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_VALID = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
+
+
+def _one_number(token: Column) -> Column:
+    """The text of a number's value: as a decimal if that is the same number to double precision, else as a double."""
+    double = token.cast("double")
+    plain = F.regexp_replace(F.regexp_replace(token.try_cast("decimal(38,18)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    whole = token.try_cast("decimal(38,0)")
+    plain = F.when(plain.cast("double") == double, plain).when(whole.cast("double") == double, whole.cast("string"))
+    return F.when(double == 0, "0").otherwise(F.coalesce(plain, double.cast("string")))
+
+
+def with_one_form(text: Column) -> Column:
+    """JSON with every number outside strings in one form: ``1e2``, ``100.0`` and ``100`` are all ``100``.
+
+    Cut at its quotes (escaped ones put out of sight first) a text alternates between what is outside and
+    what is inside strings.
+    """
+    hidden = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+    def outside(part: Column) -> Column:
+        tokens = F.regexp_extract_all(part, F.lit(f"{_NUMBER}|[^0-9-]+|-"), F.lit(0))
+        return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(_VALID), _one_number(t)).otherwise(t)), "")
+
+    parts = F.transform(F.split(hidden, '"'), lambda part, i: F.when(i % 2 == 0, outside(part)).otherwise(part))
+    joined = F.array_join(parts, '"')
+    return F.replace(F.replace(joined, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+
+
 def _quoted(value: Column) -> Column:
     """A string as JSON."""
     return F.coalesce(F.to_json(value.cast("variant")), F.lit("null"))
@@ -48,9 +80,7 @@ def _argument_error(arguments: Column, name: Column, schemas: Schemas) -> Column
         checks = [F.when(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(None)).otherwise("not_an_object")]
         for argument, (kind, required) in expected.items():
             found = F.schema_of_variant(F.try_variant_get(arguments, f"$.{argument}", "variant"))
-            right = F.lit(False)
-            for prefix in _TYPES[kind]:
-                right = right | found.startswith(prefix)
+            right = found.rlike(f"^({_TYPES[kind]})")
             missing = found.isNull() | (found == "VOID")
             checks.append(F.when(missing, F.lit(f"missing:{argument}") if required else F.lit(None)).when(~right, F.lit(f"wrong_type:{argument}")))
         unexpected = F.array_sort(F.array_except(F.map_keys(known), F.array(*map(F.lit, expected)) if expected else F.array().cast("array<string>")))
@@ -62,7 +92,7 @@ def _argument_error(arguments: Column, name: Column, schemas: Schemas) -> Column
 def parsed(messages: DataFrame) -> DataFrame:
     """Messages with their calls, or the identifier and content of their result."""
     rows = messages.select("conv_id", "turn", "role", "text").withColumn(
-        "v", F.when(F.ltrim("text").startswith("{"), F.try_parse_json("text")))
+        "v", F.when(F.ltrim("text").startswith("{"), F.try_parse_json(with_one_form(F.col("text")))))
     calls = F.when(F.col("role") == "assistant", F.try_variant_get("v", "$.tool_calls", "array<variant>"))
     return rows.withColumns({
         "calls": F.transform(calls, lambda c: F.struct(
