@@ -28,7 +28,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -89,24 +88,36 @@ def _hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield row, count, np.concatenate(owners), np.concatenate(found)
 
 
-def _feature_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashes of all features, each once per row, by row."""
-    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+def _feature_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and hashes of the features, each once per row, by row, for groups of whole rows."""
     for first, _, owner, own in _hashed(texts):
         order = np.lexsort((own, owner))
         owner, own = owner[order], own[order]
         new = np.ones(len(own), dtype=bool)
         new[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])
-        rows.append(owner[new] + first)
-        hashes.append(own[new])
-    return np.concatenate(rows), np.concatenate(hashes)
+        yield owner[new] + first, own[new]
 
 
-def select_features(rows: np.ndarray, hashes: np.ndarray, confirmed: np.ndarray, prior: float) -> np.ndarray:
-    """Hashes of the features typical of confirmed documents, in order."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes, among, others = (np.concatenate(x) for x in zip(*parts))
     kinds, index = np.unique(hashes, return_inverse=True)
-    among, n = np.bincount(index[confirmed[rows]], minlength=len(kinds)), confirmed.sum()
-    others, m = np.bincount(index[~confirmed[rows]], minlength=len(kinds)), (~confirmed).sum()
+    return kinds, np.bincount(index, among, len(kinds)), np.bincount(index, others, len(kinds))
+
+
+def count_features(texts: pa.Array, confirmed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all features, and how many confirmed and how many other texts hold each."""
+    parts, waiting = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))], 0
+    for rows, hashes in _feature_sets(texts):
+        toxic = confirmed[rows]
+        parts.append(_merged([(hashes, toxic.astype(float), (~toxic).astype(float))]))
+        waiting += len(parts[-1][0])
+        if waiting > 1 << 19:  # what is held grows with the different features, not with the texts
+            parts, waiting = [_merged(parts)], 0
+    return _merged(parts)
+
+
+def select_features(kinds: np.ndarray, among: np.ndarray, others: np.ndarray, n: int, m: int, prior: float) -> np.ndarray:
+    """Hashes of the features typical of ``n`` confirmed documents among ``m`` others, in order."""
     toxic, every = (among + 0.5) / (n + 1), (others + 0.5) / (m + 1)
     clean = np.maximum(every - prior * toxic, 0.5 / (m + 1)) / (1 - prior)
     pooled = (among + others + 1) / (n + m + 2)
@@ -116,13 +127,23 @@ def select_features(rows: np.ndarray, hashes: np.ndarray, confirmed: np.ndarray,
     return kinds[np.sort(best)]
 
 
+def _places(features: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are among the ``features``, and where they stand there."""
+    if not len(features):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
+    own = np.flatnonzero(features[place] == hashes)
+    return own, place[own]
+
+
 def train(texts: pa.Array, confirmed: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, weights and intercept of one classifier."""
-    rows, hashes = _feature_sets(texts)
-    features = select_features(rows, hashes, confirmed, prior)
-    place = np.minimum(np.searchsorted(features, hashes), max(len(features) - 1, 0))
-    own = features[place] == hashes if len(features) else np.zeros(len(hashes), bool)
-    rows, place = rows[own], place[own]
+    features = select_features(*count_features(texts, confirmed), int(confirmed.sum()), int((~confirmed).sum()), prior)
+    pairs = [(np.zeros(0, np.int64),) * 2]
+    for owner, hashes in _feature_sets(texts):
+        own, at = _places(features, hashes)
+        pairs.append((owner[own], at))
+    rows, place = (np.concatenate(x) for x in zip(*pairs))
     n = len(confirmed)
     share = np.where(confirmed, 1.0 / confirmed.sum(), 1.0 / (~confirmed).sum())
     weights, intercept = np.zeros(len(features)), np.log(prior / (1 - prior))
@@ -146,14 +167,17 @@ def train(texts: pa.Array, confirmed: np.ndarray, prior: float) -> tuple[np.ndar
 
 
 def _trainer(prior: float) -> Callable:
-    def run(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
-        sample = sample.sort_values(["confirmed", "doc_id"])
+    def run(key: tuple[pa.Scalar, ...], sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by([("confirmed", "ascending"), ("doc_id", "ascending")])
         confirmed = sample["confirmed"].to_numpy()
         if confirmed.all() or not confirmed.any():
-            return pd.DataFrame({"model": [], "constant": [], "feature": [], "weight": []})
-        features, weights, intercept = train(pa.array(sample["text"].tolist(), pa.string()), confirmed, prior)
-        return pd.DataFrame({"model": key[0], "constant": np.arange(len(features) + 1) == 0,
-                             "feature": np.append(np.int64(0), features.view(np.int64)), "weight": np.append(intercept, weights)})
+            features, values = np.zeros(0, np.uint64), np.zeros(0)
+        else:
+            features, weights, intercept = train(sample["text"], confirmed, prior)
+            values = np.append(intercept, weights)
+        return pa.table({
+            "model": pa.array([key[0].as_py()] * len(values), pa.int32()), "constant": pa.array(np.arange(len(values)) == 0),
+            "feature": pa.array(np.append(np.int64(0), features.view(np.int64))[: len(values)], pa.int64()), "weight": pa.array(values, pa.float64())})
 
     return run
 
@@ -182,7 +206,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Classifiers | None:
     models, left_out = F.sequence(F.lit(0), F.lit(MODELS - 1)), F.pmod(F.xxhash64(F.lit(SEED + 2), "doc_id"), F.lit(MODELS))
     sample = positives.select("doc_id", "text", F.lit(True).alias("confirmed"), F.explode(models).alias("model")).unionByName(
         unlabelled.select("doc_id", "text", F.lit(False).alias("confirmed"), F.explode(F.filter(models, lambda m: m != left_out)).alias("model")))
-    trained = materialize(sample.groupBy("model").applyInPandas(_trainer(prior), "model int, constant boolean, feature long, weight double"), "classifiers")
+    trained = materialize(sample.groupBy("model").applyInArrow(_trainer(prior), "model int, constant boolean, feature long, weight double"), "classifiers")
     rows = trained.toPandas()  # at most MODELS * (MOST_FEATURES + 1)
     if rows.empty:
         return None
@@ -205,14 +229,11 @@ def probabilities(texts: pa.Array, found: Classifiers) -> np.ndarray:
     for row, count, owner, hashes in _hashed(texts):
         maybe = np.flatnonzero(known[hashes >> shift])
         owner, hashes = owner[maybe], hashes[maybe]
-        place = np.minimum(np.searchsorted(found.features, hashes), max(len(found.features) - 1, 0))
-        if len(place):
-            own = found.features[place] == hashes
-            pairs = np.unique(owner[own] * len(found.features) + place[own])
-            owner, place = np.divmod(pairs, len(found.features))
+        own, place = _places(found.features, hashes)
+        owner, place = np.divmod(np.unique(owner[own] * max(1, len(found.features)) + place), max(1, len(found.features)))
         sums = np.zeros((count, len(found.intercepts)))
         for i, intercept in enumerate(found.intercepts):
-            sums[:, i] = intercept + np.bincount(owner, found.weights[place, i] if len(place) else None, minlength=count)[:count]
+            sums[:, i] = intercept + np.bincount(owner, found.weights[place, i], count)
         scores[row : row + count] = (1 / (1 + np.exp(-np.clip(sums, -40, 40)))).mean(axis=1)
     return scores
 

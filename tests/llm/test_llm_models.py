@@ -247,7 +247,7 @@ def test_toxicity_without_examples(spark, scored):
 def test_probabilities_are_the_formula():
     """Each feature counts once, whatever its number; the mean of the classifiers is taken."""
     texts = pa.array(["Abcd abcd, xyz", "xyz", None])
-    rows, hashes = toxicity._feature_sets(texts)
+    rows, hashes = (np.concatenate(x) for x in zip(*toxicity._feature_sets(texts)))
     assert len(set(zip(rows.tolist(), hashes.tolist()))) == len(rows)
     both = np.intersect1d(hashes[rows == 0], hashes[rows == 1])
     alone = np.setdiff1d(hashes[rows == 0], both)
@@ -256,6 +256,8 @@ def test_probabilities_are_the_formula():
     weights = np.array([[1.0, 2.0], [-3.0, 0.5]])
     found = toxicity.probabilities(texts, toxicity.Classifiers(features, weights, np.array([0.25, -1.0])))
     own = weights[np.searchsorted(features, both[0])]
+    kinds, among, others = toxicity.count_features(texts, np.array([True, False, False]))
+    assert dict(zip(kinds, zip(among, others))) == {k: (1, int(k in both)) for k in kinds} and len(kinds) == 5
     sigmoid = lambda g: 1 / (1 + np.exp(-g))
     assert np.allclose(found, [sigmoid(np.array([0.25, -1.0]) + weights.sum(axis=0)).mean(),
                                sigmoid(np.array([0.25, -1.0]) + own).mean(), sigmoid(np.array([0.25, -1.0])).mean()])
