@@ -25,11 +25,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tablescout.llm.common import as_identifier, identifier
-from tablescout.llm.tokens import encoder, public_path
+from tablescout.llm.tokens import STRETCH, encoder, public_path
 from tablescout.session import materialize
 
 WINDOW = 1024
@@ -46,16 +47,13 @@ def _tokenised(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         kind = np.uint32 if coder.wide else np.uint16
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype=kind)
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).cumsum()
             at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 1 << 20):
-                    size += len(texts[stop])
-                    stop += 1
-                ids = [np.frombuffer(x + end, dtype="<u4").astype(kind) for x in coder.encode(texts[at:stop])]
+            while at < len(sizes):
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STRETCH, side="right")))
+                ids = [np.append(x.astype(kind), end) for x in coder.encode(batch["text"].slice(at, stop - at))]
                 yield pa.RecordBatch.from_arrays(
                     [batch["did"].slice(at, stop - at), pa.array([len(x) for x in ids], pa.int64()),
                      pa.array([x.tobytes() for x in ids], pa.binary())], names=["did", "doc_tokens", "ids"])
@@ -104,12 +102,14 @@ def _frequencies(window: int, kind: type, size: int) -> Callable:
     """Per task and token: passages that hold it; in row ``size`` the passages, in ``size + 1`` their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size + 2, dtype=np.int64)
+        counts, last = np.zeros(size + 2, dtype=np.int64), np.zeros(size, dtype=np.int32)
         for batch in batches:
             for tokens, ids in zip(batch["doc_tokens"].to_pylist(), batch["ids"]):
                 passage = _passage(ids, tokens, window, kind)
                 if len(passage):
-                    counts[np.unique(passage)] += 1
+                    places = np.arange(len(passage), dtype=np.int32)
+                    last[passage] = places  # of a token's places one remains
+                    counts[passage[last[passage] == places]] += 1
                     counts[size:] += (1, len(passage))
         hit = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit])], names=["token", "n"])

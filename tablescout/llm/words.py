@@ -71,11 +71,11 @@ def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, last, mix(hashes + (last - first).astype(np.uint64))
 
 
-def _stretches(offsets: np.ndarray, data: np.ndarray, first: int, last: int) -> Iterator[tuple[int, int]]:
+def _stretches(offsets: np.ndarray, data: np.ndarray, first: int, last: int, stretch: int) -> Iterator[tuple[int, int]]:
     """Byte ranges that cover rows ``first`` to ``last``; a long row is cut at blanks."""
     start, end = int(offsets[first]), int(offsets[last])
-    while end - start > 2 * STRETCH:
-        cut, step = start + STRETCH, 4096
+    while end - start > 2 * stretch:
+        cut, step = start + stretch, 4096
         while cut < end:
             blanks = np.flatnonzero(BLANK[data[cut : min(cut + step, end)]])
             if len(blanks):
@@ -89,15 +89,16 @@ def _stretches(offsets: np.ndarray, data: np.ndarray, first: int, last: int) ->
         yield start, end
 
 
-def hashed_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def hashed_words(texts: pa.Array, stretch: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of whole rows: number of the first row, index of each row's first word (one more at the
     end), hashes, and the words' first and last bytes counted from the start of their row."""
+    stretch = stretch or STRETCH
     offsets, data = buffers(texts)
     row, n = 0, len(offsets) - 1
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + STRETCH, side="right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + stretch, side="right")) - 1)
         parts = []
-        for start, end in _stretches(offsets, data, row, stop):
+        for start, end in _stretches(offsets, data, row, stop, stretch):
             breaks = offsets[row:stop]
             breaks = breaks[(breaks >= start) & (breaks < end)] - start
             first, last, hashes = _words(data[start:end], breaks)

@@ -157,7 +157,9 @@ def test_encoder_equals_the_tokenizer():
     texts = ["", " a", "a ", "a\n\nb", "a b   c　", "x <|endoftext|> y", "it's we'll 12!! 日本", "a\x1cb c\x85d", "a\r\nb"]
     texts += ["".join(rng.choice(" \n\t'abs1!é   d") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     texts += [t or "" for _, t, _ in samples.odd_rows()]
-    assert coder.encode(texts) == coder._whole(texts)
+    texts += [" ".join(rng.choice(["don't", 'it.', '3.5,', '“q”', 'x—y', "'s", 'Wort', '日本']) for _ in range(30)) for _ in range(50)]
+    assert [x.tobytes() for x in coder.encode(texts)] == coder._whole(texts)
+    assert [x.tolist() for x in coder.encode(pa.array([None, 'a']))] == [[], coder.encode(['a'])[0].tolist()]
 
 
 @pytest.mark.parametrize("window,shard", [(1024, 512), (64, 7)])
