@@ -51,8 +51,15 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Secrets of every document, from an empty ledger."""
-    return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
+    """Secrets of every document, in two runs as a growing corpus has them.
+
+    The first run addresses the documents in the older half of the range of ids. The second one goes over
+    all documents and scans what the ledger of the first lacks: texts that were not there before.
+    """
+    documents = _table(spark, folder, "documents")
+    ids = documents.agg(F.min("doc_id").cast("double").alias("low"), F.max("doc_id").cast("double").alias("high")).first()
+    older = documents.where(F.col("doc_id") * 2.0 <= F.lit(ids["low"]).cast("double") + F.lit(ids["high"]).cast("double"))
+    return secrets.digest(secrets.find_secrets(documents, secrets.extend(older)))
 
 
 def chat_messages(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,8 @@ A version of a text is named by the SHA-256 of its UTF-8 bytes. The ledger holds
 rule version that was ever scanned, the spans found (also when there are none). A run scans a blob
 only for the rule versions it has no entry for, once for all rows that hold it, and joins the
 findings back to every row. With the ledger of an earlier run only new texts and new or changed
-rules cost a scan.
+rules cost a scan. ``extend`` returns the ledger of all runs so far, so that every version a document
+ever had stays addressed.
 
 Spans are code points, end exclusive. Rules of one kind match leftmost and without overlap; a match
 whose value is too short is dropped, but what it covered stays covered.
@@ -108,12 +109,19 @@ def scan(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rul
     if ledger is None:
         todo = blobs.withColumn("rules", every)
     else:
-        held = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("held"))
+        pair = F.concat_ws(":", "rule", "version")
+        held = ledger.where(F.array_contains(every, pair)).groupBy("blob").agg(F.collect_set(pair).alias("held"))
         todo = blobs.join(held, "blob", "left").select("blob", "packed", F.array_except(
             every, F.coalesce("held", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
     return materialize(todo.mapInArrow(_scanned(rules), LEDGER), "ledger")
 
 
+def extend(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``ledger`` and the entries that ``documents`` add to it; what it held is not written again."""
+    fresh = scan(documents, ledger, rules)
+    return fresh if ledger is None else ledger.unionByName(fresh)
+
+
 def spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``blob, spans`` (start, rank, end, kind; by start, then kind as listed) of the blobs with a finding."""
     ranks = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))))
@@ -126,10 +134,13 @@ def spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
 
 
 def find_secrets(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id, blob, spans`` per row of ``documents(doc_id, text)``; ``ledger`` holds earlier runs' entries."""
-    fresh = scan(documents, ledger, rules)
-    known = fresh if ledger is None else fresh.unionByName(ledger)
-    found = documents.select(identifier().alias("did"), _blob().alias("blob")).join(spans_by_blob(known, rules), "blob", "left")
+    """``doc_id, blob, spans`` per row of ``documents(doc_id, text)``; ``ledger`` holds earlier runs' entries.
+
+    The findings are written before the join, so that a blob of very many rows (the empty text, a copied
+    page) can be split among tasks.
+    """
+    findings = materialize(spans_by_blob(extend(documents, ledger, rules), rules), "findings")
+    found = documents.select(identifier().alias("did"), _blob().alias("blob")).join(findings, "blob", "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return found.select(as_identifier("did").alias("doc_id"), "blob", F.coalesce("spans", none).alias("spans"))
 
@@ -165,10 +176,7 @@ def redact(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
 
     Texts without findings are untouched; a NULL text stays NULL. Other columns are carried along.
     """
-    fresh = scan(documents, ledger, rules)
-    known = fresh if ledger is None else fresh.unionByName(ledger)
-    found = materialize(spans_by_blob(known, rules), "findings")
-
+    found = materialize(spans_by_blob(extend(documents, ledger, rules), rules), "findings")
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), _blob().alias("blob")).join(
         small_side(found, F.size("spans") * 32 + 32), "blob", "left")
     rows = rows.withColumn("clean", F.when(F.col("spans").isNotNull(), _masked(F.col("row")["text"], F.col("spans"), mask)).otherwise(F.col("row")["text"]))

@@ -282,6 +282,36 @@ def test_ledger_scans_only_what_is_new(spark):
     assert sorted(map(repr, direct)) == sorted(map(repr, resumed))
 
 
+def test_runs_with_a_ledger_equal_one_run(spark):
+    everything = samples.documents(spark, SECRETS)
+    ledger = None
+    for part in (SECRETS[3:5], SECRETS[:2] + SECRETS[9:], SECRETS[3:8]):
+        ledger = secrets.extend(samples.documents(spark, part), ledger)
+    assert ledger.groupBy("blob", "rule", "version").count().where("count > 1").isEmpty()
+    again = secrets.digest(secrets.find_secrets(everything, ledger)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, secrets.digest(secrets.find_secrets(everything)).collect()))
+
+
+PLANTED = [
+    ("private_key", "-----BEGIN PRIVATE KEY-----"), ("private_key", "-----BEGIN OPENSSH PRIVATE KEY-----"),
+    ("github", "ghp_" + "aB3" * 12), ("github", "ghs_" + "Z" * 40), ("slack", "xoxb-1234567890-ab"),
+    ("web_token", "eyJhbGciOiJI.eyJzdWIiOiIx.c2ln-_"), ("url_login", "https://user:pa55@"), ("url_login", "ftp://a:b@"),
+]
+HARMLESS = ["-----BEGIN PUBLIC KEY-----", "ghp_" + "Q" * 35, "ghx_" + "Q" * 40, "xoxb-123456789", "eyJhbGc.eyJzdWIiOiIx.x", "https://user@host/x", "a:b@c"]
+
+
+def test_added_kinds_stand_where_they_were_planted(spark):
+    own, expected = [], {}
+    for k, (kind, secret) in enumerate(PLANTED):
+        before = "é\U0001F600 " * k
+        own.append((k, f"{before}{secret} {samples.prose(k, 20)} {secret}", None))
+        ends = (len(before) + len(secret), len(own[-1][1]))
+        expected[k] = ",".join(f"{kind}:{end - len(secret)}:{end}" for end in ends)
+    own += [(100 + k, f"x {text} y", None) for k, text in enumerate(HARMLESS)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.find_secrets(samples.documents(spark, own))).collect()}
+    assert found == expected | {100 + k: "" for k in range(len(HARMLESS))}
+
+
 def test_redaction(spark):
     df = samples.documents(spark, SECRETS)
     found = secrets.redact(df)
