@@ -11,7 +11,11 @@ result. Any other text is plain, also an object that does not parse.
    topological order: a call without references has level 0, another one more than the highest it
    names. What cannot get a level is on a cycle or names an unknown call. A linked result is placed
    behind its call, at the call's level, wherever it stood.
-3. Arguments are checked against the tool's schema: required and optional names and JSON types.
+3. Arguments are checked against the tool's schema: required and optional names and JSON types. A
+   message of any role may declare tools for its conversation, as ``{"tools": [{"name": .., "parameters":
+   {"properties": {<argument>: {"type": ..}}, "required": [..]}}]}``, each tool plainly or below ``function``;
+   calls meet declarations by conversation and name. Tools that the conversation does not declare are
+   looked up in the caller's schemas.
 4. A message is serialised with sorted keys, no blanks, numbers in one form; NULL text is ``null``.
 
 The result is one row per message with an order inside its conversation, not one text per
@@ -19,11 +23,15 @@ conversation, so a conversation of any length is spread like any other rows.
 
 Defined results: rows that repeat a message are all kept; of calls or results that repeat an
 identifier the first (by turn, then by place in the message) counts and the others are
-``repeated``. A NULL conversation or identifier links nothing; a NULL turn is ordered first. Other columns are ignored.
+``repeated``. A NULL conversation or identifier links nothing; a NULL turn is ordered first. Of a
+conversation's declarations of one name the first (by turn, then by place) counts, wherever the call
+stands; a declaration without properties takes no arguments; a type that is none of JSON's is not checked. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablescout.session import materialize
@@ -72,25 +80,62 @@ def _quoted(value: Column) -> Column:
     return F.coalesce(F.to_json(value.cast("variant")), F.lit("null"))
 
 
-def _argument_error(arguments: Column, name: Column, schemas: Schemas) -> Column:
-    """``valid``, or what is wrong with a call's arguments; tools without a schema are ``unknown_tool``."""
-    known = F.from_json(F.to_json(arguments), "map<string,string>")
-    result = F.when(~name.isin(*schemas), "unknown_tool") if schemas else F.when(F.lit(True), "unknown_tool")
-    for tool, expected in schemas.items():
-        checks = [F.when(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(None)).otherwise("not_an_object")]
-        for argument, (kind, required) in expected.items():
-            found = F.schema_of_variant(F.try_variant_get(arguments, f"$.{argument}", "variant"))
-            right = found.rlike(f"^({_TYPES[kind]})")
-            missing = found.isNull() | (found == "VOID")
-            checks.append(F.when(missing, F.lit(f"missing:{argument}") if required else F.lit(None)).when(~right, F.lit(f"wrong_type:{argument}")))
-        unexpected = F.array_sort(F.array_except(F.map_keys(known), F.array(*map(F.lit, expected)) if expected else F.array().cast("array<string>")))
-        checks.append(F.when(F.size(unexpected) > 0, F.concat(F.lit("unexpected:"), F.element_at(unexpected, 1))))
-        result = result.when(name == tool, F.coalesce(*checks, F.lit("valid")))
-    return F.coalesce(result.otherwise("unknown_tool"), F.lit("unknown_tool"))
+#: What a schema says of one argument.
+_EXPECTED = "array<struct<argument: string, kind: string, required: boolean>>"
+
+
+def _given(schemas: Schemas) -> Column:
+    """The caller's schemas as a map from a tool's name to its arguments."""
+    if not schemas:
+        return F.lit(None).cast(f"map<string, {_EXPECTED}>")
+    entries = []
+    for tool, arguments in schemas.items():
+        each = [F.struct(F.lit(a).alias("argument"), F.lit(kind).alias("kind"), F.lit(required).alias("required"))
+                for a, (kind, required) in arguments.items()]
+        entries += [F.lit(tool), F.array(*each).cast(_EXPECTED)]
+    return F.create_map(*entries)
+
+
+def declared(rows: DataFrame) -> DataFrame:
+    """``conv_id, name, expected`` of the tools that parsed messages declare, one row per name."""
+    tool = F.coalesce(F.try_variant_get("tool", "$.function", "variant"), F.col("tool"))
+    each = rows.where(F.col("tools").isNotNull() & F.col("conv_id").isNotNull()).select(
+        "conv_id", "turn", "row", F.posexplode("tools").alias("place", "tool")).select(
+        "conv_id", "turn", "row", "place", F.try_variant_get(tool, "$.name", "string").alias("name"),
+        F.try_variant_get(tool, "$.parameters.properties", "map<string,variant>").alias("properties"),
+        F.coalesce(F.try_variant_get(tool, "$.parameters.required", "array<string>"), F.array().cast("array<string>")).alias("required"))
+    expected = F.transform(F.array_sort(F.map_keys("properties")), lambda a: F.struct(
+        a.alias("argument"), F.try_variant_get(F.element_at("properties", a), "$.type", "string").alias("kind"),
+        F.array_contains("required", a).alias("required")))
+    # A name that is required but not described must be there, of any type.
+    bare = F.transform(F.array_sort(F.array_except("required", F.coalesce(F.map_keys("properties"), F.array().cast("array<string>")))),
+                       lambda a: F.struct(a.alias("argument"), F.lit(None).cast("string").alias("kind"), F.lit(True).alias("required")))
+    whole = F.concat(F.coalesce(expected, F.array().cast(_EXPECTED)), bare).cast(_EXPECTED)
+    return each.where(F.col("name").isNotNull()).groupBy("conv_id", "name").agg(
+        F.min_by(whole, F.struct("turn", "place", "row")).alias("expected"))
+
+
+def _argument_error(arguments: Column, expected: Column) -> Column:
+    """``valid``, or what is wrong with a call's arguments; without a schema ``unknown_tool``."""
+    kinds = F.create_map(*(F.lit(x) for pair in _TYPES.items() for x in pair))
+    # The arguments' types; a JSON null counts as absent.
+    found = F.transform_values(F.try_variant_get(arguments, "$", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
+
+    def wrong(e: Column) -> Column:
+        kind = F.try_element_at(found, e["argument"])
+        return (F.when(kind.isNull() | (kind == "VOID"), F.when(e["required"], F.concat(F.lit("missing:"), e["argument"])))
+                .when(~F.regexp_like(kind, F.concat(F.lit("^("), F.try_element_at(kinds, e["kind"]), F.lit(")"))),
+                      F.concat(F.lit("wrong_type:"), e["argument"])))
+
+    first = F.try_element_at(F.filter(F.transform(expected, wrong), lambda x: x.isNotNull()), F.lit(1))
+    unexpected = F.array_sort(F.array_except(F.map_keys(found), F.transform(expected, lambda e: e["argument"])))
+    return (F.when(expected.isNull(), "unknown_tool")
+            .when(~F.coalesce(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(False)), "not_an_object")
+            .otherwise(F.coalesce(first, F.concat(F.lit("unexpected:"), F.try_element_at(unexpected, F.lit(1))), F.lit("valid"))))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Messages with their calls, or the identifier and content of their result."""
+    """Messages with their calls, the identifier and content of their result, and the tools they declare."""
     rows = messages.select("conv_id", "turn", "role", "text").withColumn(
         "v", F.when(F.ltrim("text").startswith("{"), F.try_parse_json(with_one_form(F.col("text")))))
     calls = F.when(F.col("role") == "assistant", F.try_variant_get("v", "$.tool_calls", "array<variant>"))
@@ -100,28 +145,64 @@ def parsed(messages: DataFrame) -> DataFrame:
             F.try_variant_get(c, "$.arguments", "variant").alias("arguments"))),
         "result_id": F.when(F.col("role") == "tool", F.try_variant_get("v", "$.tool_call_id", "string")),
         "content": F.try_variant_get("v", "$.content", "variant"),
+        "tools": F.try_variant_get("v", "$.tools", "array<variant>"),
     })
 
 
+def _chains(needs: DataFrame) -> DataFrame:
+    """``conv_id, call_id, root, steps``: for calls with one need, the first call up the chain that has
+    none or several (or is unknown), by pointer doubling: a round doubles the steps that each call looks up.
+
+    What is still on its way after as many rounds as the number of calls has binary digits is on a cycle.
+    """
+    single = needs.where(F.size("needs") == 1).select("conv_id", "call_id", F.col("needs")[0].alias("root"), F.lit(1).cast("long").alias("steps"))
+    single = materialize(single, "chains")
+    settled, moving = [], single
+    for _ in range(max(1, single.count().bit_length() + 1)):
+        above = moving.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("_root"), F.col("steps").alias("_steps"))
+        if settled:
+            above = above.unionByName(reduce(DataFrame.unionByName, settled).select(
+                "conv_id", F.col("call_id").alias("root"), F.col("root").alias("_root"), F.col("steps").alias("_steps")))
+        met = materialize(moving.join(above, ["conv_id", "root"], "left").select(
+            "conv_id", "call_id", F.coalesce("_root", "root").alias("root"),
+            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_root").isNull().alias("_there")), "chains")
+        settled.append(met.where("_there").drop("_there"))
+        moving = met.where("not _there").drop("_there")
+        if moving.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, settled)
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, level`` of ``calls(conv_id, call_id, needs)`` in topological order.
 
-    A round gives a level to every call whose needs all have one, from a written table; it ends when
-    a round adds none, after as many rounds as the longest chain.
+    Chains of calls with one need each are jumped by pointer doubling, so that the rounds that remain are
+    those of calls with several needs. A round takes the calls whose needs all have a level and writes
+    them and what is still open, not the levels so far.
     """
-    done = materialize(calls.where(F.size("needs") == 0).select("conv_id", "call_id", F.lit(0).alias("level")), "levels")
-    open_ = calls.where(F.size("needs") > 0).select("conv_id", "call_id", F.size("needs").alias("n"), F.explode("needs").alias("need"))
-    if open_.isEmpty():
-        return done
+    done = calls.where(F.size("needs") == 0).select("conv_id", "call_id", F.lit(0).cast("long").alias("level"))
+    if calls.where(F.size("needs") > 0).isEmpty():
+        return done.withColumn("level", F.col("level").cast("int"))
+    found, chains = [materialize(done, "levels")], _chains(calls)
+    # An open need is (the call, a call with no or several needs, steps from there to the need).
+    open_ = calls.where(F.size("needs") > 1).select("conv_id", "call_id", F.explode("needs").alias("need")).join(
+        chains.select("conv_id", F.col("call_id").alias("need"), "root", "steps"), ["conv_id", "need"], "left").select(
+        "conv_id", "call_id", F.coalesce("root", "need").alias("root"), F.coalesce("steps", F.lit(0)).alias("steps"), F.lit(None).cast("long").alias("known"))
     open_ = materialize(open_, "needs")
-    while True:
-        named = done.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("_level"))
-        ready = open_.join(named, ["conv_id", "need"]).groupBy("conv_id", "call_id", "n").agg(
-            F.count(F.lit(1)).alias("_found"), (F.max("_level") + 1).alias("level")).where("_found = n")
-        fresh = materialize(ready.join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", "level"), "levels")
-        if fresh.isEmpty():
-            return done
-        done = materialize(done.unionByName(fresh), "levels")
+    while not open_.isEmpty():
+        fresh = found[-1].select("conv_id", F.col("call_id").alias("root"), "level")
+        met = materialize(open_.join(fresh, ["conv_id", "root"], "left").withColumn(
+            "known", F.coalesce("known", F.col("level") + F.col("steps"))).drop("level"), "needs")
+        ready = met.groupBy("conv_id", "call_id").agg((F.max("known") + 1).alias("level"), F.count("known").alias("k"), F.count(F.lit(1)).alias("n"))
+        ready = materialize(ready.where("k = n").drop("k", "n"), "levels")
+        if ready.isEmpty():
+            break  # what is left is on a cycle or names an unknown call
+        found.append(ready)
+        open_ = materialize(met.join(ready, ["conv_id", "call_id"], "left_anti"), "needs")
+    top = reduce(DataFrame.unionByName, found)
+    below = chains.join(top.withColumnRenamed("call_id", "root"), ["conv_id", "root"]).select(
+        "conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return top.unionByName(below).withColumn("level", F.col("level").cast("int"))
 
 
 def link(messages: DataFrame, schemas: Schemas | None = None) -> DataFrame:
@@ -140,12 +221,13 @@ def link(messages: DataFrame, schemas: Schemas | None = None) -> DataFrame:
         F.min(F.struct("turn", "row")).alias("answer"))
     linked = first.join(levels(first), ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left")
     linked = materialize(linked.drop("needs"), "links")
+    each = each.join(declared(rows), ["conv_id", "name"], "left")
 
     checked = each.join(linked.select("conv_id", "call_id", "call_turn", "call_row", "call_slot", "level", F.col("answer").isNotNull().alias("answered")),
                         ["conv_id", "call_id"], "left")
     counts = (F.col("turn").eqNullSafe(F.col("call_turn")) & (F.col("row") == F.col("call_row")) & (F.col("slot") == F.col("call_slot")))
     issue = F.when(F.col("call_id").isNull(), "no_id").when(~counts, "repeated_id").when(F.col("level").isNull(), "cycle_or_unknown_reference").otherwise(
-        _argument_error(F.col("arguments"), F.col("name"), schemas or {}))
+        _argument_error(F.col("arguments"), F.coalesce("expected", F.try_element_at(_given(schemas or {}), F.col("name")))))
     body = F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json("arguments"), F.lit("null")), F.lit(',"id":'), _quoted(F.col("call_id")),
                     F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
     by_message = checked.select("conv_id", "turn", "row", "slot", F.coalesce(counts & F.col("answered"), F.lit(False)).alias("answered"),

@@ -273,6 +273,30 @@ def test_chat_links(spark):
     assert own[3, 0]["json"] == '{"content":null,"role":"user"}' and own[3, 1]["json"] == '{"content":"{not json","role":null}'
 
 
+def test_chat_checks_against_declared_tools(spark):
+    """Tools that a message declares hold for its conversation alone and come before the caller's."""
+    declared = json.dumps({"content": None, "tools": [
+        {"type": "function", "function": {"name": "find", "parameters": {"type": "object", "properties": {
+            "q": {"type": "string"}, "k": {"type": "integer"}, "odd": {"type": "whatever"}}, "required": ["q", "bare"]}}},
+        {"name": "now"}, {"name": "find", "parameters": {"properties": {}}}, {"no": "name"}, 7,
+        {"name": "sum", "parameters": {"properties": {"x": {"type": "string"}}}}]})
+    tried = [("find", '{"q": "a", "bare": 1}', "valid"), ("find", '{"q": "a", "bare": [], "k": 3.0, "odd": {}}', "valid"),
+             ("find", '{"q": "a"}', "missing:bare"), ("find", '{"bare": 1, "k": "x"}', "wrong_type:k"),
+             ("find", '{"q": null, "bare": 1}', "missing:q"), ("find", '{"q": "a", "bare": 1, "z": 1, "y": 1}', "unexpected:y"),
+             ("find", "[1]", "not_an_object"), ("find", "null", "not_an_object"), ("now", "{}", "valid"), ("now", '{"t": 1}', "unexpected:t"),
+             ("sum", '{"x": "text"}', "valid"), ("gone", "{}", "unknown_tool")]
+    rows = [(1, 0, "system", declared), (2, 0, "system", "plain"), (2, 1, "assistant", '{"tool_calls": [{"id": "a", "name": "find", "arguments": {}}]}'),
+            (2, 2, "assistant", '{"tool_calls": [{"id": "b", "name": "sum", "arguments": {"x": 1, "y": 2}}]}'), (None, 0, "system", declared)]
+    rows += [(1, i + 1, "assistant", '{"tool_calls": [{"id": "c%d", "name": "%s", "arguments": %s}]}' % (i, name, arguments))
+             for i, (name, arguments, _) in enumerate(tried)]
+    found = {(r["conv_id"], r["turn"]): r for r in chat.link(messages(spark, rows), SCHEMAS).collect()}
+    assert len(found) == len(rows)
+    for i, (_, _, issue) in enumerate(tried):
+        row = found[1, i + 1]
+        assert (row["call_issues"] or "valid", row["n_valid"]) == (issue, int(issue == "valid"))
+    assert found[2, 1]["call_issues"] == "unknown_tool" and found[2, 2]["n_valid"] == 1
+
+
 def test_chat_numbers_have_one_form(spark):
     """However a number is spelt, its value has one text; strings that look like numbers stay."""
     spellings = {"100": ("100", "100.0", "1e2", "1E+2", "10000e-2"), "1.5": ("1.5", "1.50", "15e-1"), "0": ("0", "-0", "0.0", "0e5"),
@@ -308,6 +332,27 @@ def test_chains_of_calls(spark):
     assert {r["call_id"]: r["level"] for r in chat.levels(df).collect()} == {f"c{i}": i for i in range(6)} | {"d": 6}
 
 
+def test_levels_of_any_graph(spark):
+    """Chains, several needs, cycles, unknown needs and self references against a plain topological order."""
+    rng = random.Random(5)
+    graphs = {}
+    for conv in range(12):
+        names = [f"n{i}" for i in range(40)]
+        graph = {n: sorted(rng.sample(names[:i], min(i, rng.choice([0, 1, 1, 1, 1, 2, 3])))) for i, n in enumerate(names)}
+        for n in rng.sample(names, 3 if conv % 2 else 0):
+            graph[n] = sorted(set(graph[n]) | {rng.choice([n, "unknown", names[-1]])})
+        graphs[conv] = graph
+    expected = {}
+    for conv, graph in graphs.items():
+        level = {}
+        for _ in graph:
+            level |= {n: 1 + max((level[m] for m in needs), default=-1) for n, needs in graph.items() if all(m in level for m in needs)}
+        expected |= {(conv, n): v for n, v in level.items()}
+    df = spark.createDataFrame([(c, n, needs) for c, g in graphs.items() for n, needs in g.items()], "conv_id long, call_id string, needs array<string>")
+    found = chat.levels(df).collect()
+    assert len(found) == len(expected) and {(r["conv_id"], r["call_id"]): r["level"] for r in found} == expected
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for result in (
