@@ -58,6 +58,7 @@ def _tokenised(path: str, end_id: int) -> Callable:
                     [batch["did"].slice(at, stop - at), pa.array([len(x) for x in ids], pa.int64()),
                      pa.array([x.tobytes() for x in ids], pa.binary())], names=["did", "doc_tokens", "ids"])
                 at = stop
+        pa.default_memory_pool().release_unused()  # the worker stays, idle or with other work
 
     return run
 

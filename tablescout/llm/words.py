@@ -90,7 +90,8 @@ def _stretches(offsets: np.ndarray, data: np.ndarray, first: int, last: int, str
 
 
 def hashed_words(texts: pa.Array, stretch: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of whole rows: number of the first row, index of each row's first word (one more at the
+    """Groups of whole rows of about ``stretch`` bytes, hashed in parts of at most ``STRETCH``: number of the
+    first row, index of each row's first word (one more at the
     end), hashes, and the words' first and last bytes counted from the start of their row."""
     stretch = stretch or STRETCH
     offsets, data = buffers(texts)
@@ -98,7 +99,7 @@ def hashed_words(texts: pa.Array, stretch: int | None = None) -> Iterator[tuple[
     while row < n:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + stretch, side="right")) - 1)
         parts = []
-        for start, end in _stretches(offsets, data, row, stop, stretch):
+        for start, end in _stretches(offsets, data, row, stop, min(stretch, STRETCH)):
             breaks = offsets[row:stop]
             breaks = breaks[(breaks >= start) & (breaks < end)] - start
             first, last, hashes = _words(data[start:end], breaks)
