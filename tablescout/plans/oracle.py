@@ -455,4 +455,5 @@ join densest d on p.city is not distinct from d.city and p.state is not distinct
     "q63_bucketed_fetch": ORACLE["q43_fetch_places"],
     "q64_ledger_job": ORACLE["q51_generated_job"],
     "q65_retried_backfill": ORACLE["q32_embed_backfill"],
+    "q66_stream_backfill": ORACLE["q32_embed_backfill"],
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,7 +18,7 @@ from tablescout.plans import catalog as catalog_jobs, recommend as jobs
 from tablescout.session import materialize, scratch_path
 from tablescout.sources import buckets, catalog, layout, store
 from tablescout.sources.fixtures import spark_text, view
-from tablescout.streaming import history as streams
+from tablescout.streaming import history as streams, retries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -535,6 +536,36 @@ def retried_backfill(spark: SparkSession, sf: str) -> DataFrame:
                          F.round(F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x), 4).alias("weighted_sum"))
 
 
+class _Away:
+    """An embedder that cannot be reached before a moment."""
+
+    def __init__(self, embedder: backfill.Embedder, until: float):
+        self.embedder, self.until = embedder, until
+
+    def __call__(self, texts: list[str]):
+        if time.time() < self.until:
+            raise ConnectionError(texts[0])
+        return self.embedder(texts)
+
+
+def stream_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of the catalog as a stream, while the embedder is away for the first seconds; failed texts wait in the state."""
+    source, out = scratch_path(spark, "places"), scratch_path(spark, "vectors")
+    view(spark, sf, "places").write.parquet(source)
+    own = spark.newSession()  # the number of state partitions belongs to this stream alone
+    own.conf.set("spark.sql.shuffle.partitions", 8)
+    arriving = own.readStream.schema(schemas.PLACES).parquet(source)
+    embedder = _Away(vectors.HashingEmbedder(64), time.time() + 6)
+    retries.finish(retries.stream_retried_backfill(arriving, embedder, out, scratch_path(spark, "vectors-checkpoint"),
+                                                   attempts=12, backoff_s=0.5, every_s=0.5))
+    found = spark.read.schema("id long, embedding array<float>").parquet(out)
+    filled = backfill.write_vectors(spark.read.schema(schemas.PLACES).parquet(source), found)
+    weighted = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    return filled.select("id", F.size("embedding").alias("dims"),
+                         F.round(F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x), 4).alias("weighted_sum"))
+
+
+
 QUERIES: dict[str, Query] = {
     "q01_valid_catalog": valid_catalog,
     "q02_box_filter": box_filter,
@@ -601,4 +632,5 @@ QUERIES: dict[str, Query] = {
     "q63_bucketed_fetch": bucketed_fetch,
     "q64_ledger_job": ledger_job,
     "q65_retried_backfill": retried_backfill,
+    "q66_stream_backfill": stream_backfill,
 }

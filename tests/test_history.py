@@ -131,3 +131,44 @@ def test_stream_backfill(spark, tmp_path):
 
     assert run(0) == [0, 1]
     assert run(10) == [0, 1, 10, 11]
+
+
+class Flaky:
+    """Fails the first calls for a batch; calls are counted in files, since each runs in a task of its own."""
+
+    def __init__(self, folder, failures):
+        self.folder, self.failures = str(folder), failures
+
+    def __call__(self, texts):
+        import hashlib
+        import os
+
+        path = os.path.join(self.folder, hashlib.md5("|".join(sorted(texts)).encode()).hexdigest())
+        calls = os.path.getsize(path) if os.path.exists(path) else 0
+        with open(path, "a") as f:
+            f.write("x")
+        if calls < self.failures:
+            raise ConnectionError("not now")
+        return HashingEmbedder(8)(texts)
+
+
+@pytest.mark.parametrize("failures", [0, 2, 3])
+def test_stream_retries(spark, tmp_path, failures):
+    """Two failures of three calls end with every vector; three leave the rows pending. All as in the batch."""
+    from tablescout.streaming import retries
+
+    calls, source, sink, checkpoint = (str(tmp_path / n) for n in ("calls", "source", "sink", "checkpoint"))
+    (tmp_path / "calls").mkdir()
+    rows = [SPOT | {"id": i, "city": f"town {i % 7}", "embedding": [1.0] if i % 5 == 0 else None} for i in range(40)]
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", 2)
+    for part in (rows[:25], rows[25:]):
+        places_df(spark, part).write.mode("append").parquet(source)
+        stream = session.readStream.schema(schemas.PLACES).parquet(source)
+        query = retries.stream_retried_backfill(stream, Flaky(calls, failures), sink, checkpoint, batch_size=4, attempts=3,
+                                                backoff_s=0.05, buckets=3, every_s=0.1)
+        retries.finish(query)
+    found = sorted((r["id"], list(r["embedding"])) for r in spark.read.parquet(sink).collect())
+    batch = backfill.pending_vectors(places_df(spark, rows), HashingEmbedder(8)).collect()
+    assert found == (sorted((r["id"], list(r["embedding"])) for r in batch) if failures < 3 else [])
+    assert {p.stat().st_size for p in (tmp_path / "calls").iterdir()} == {min(failures + 1, 3)}
