@@ -72,11 +72,16 @@ def stream_retried_backfill(places: DataFrame, embedder: Embedder, path: str, ch
 
 
 def finish(query: StreamingQuery, poll_s: float = 0.2) -> None:
-    """Wait until all rows that have arrived have a vector or are given up, then stop the query."""
+    """Wait until all rows that have arrived have a vector or are given up, then stop the query.
+
+    A query that finds no new rows at its start does nothing until some arrive, and neither does this wait.
+    """
     while query.isActive:
-        progress = query.lastProgress
-        states = progress["stateOperators"] if progress else []
-        if states and not any(s["numRowsTotal"] for s in states) and not query.status["isDataAvailable"]:
+        batches = query.recentProgress
+        # The first batch of a run may be one that a stop cut off; a later one has looked for new rows.
+        if len(batches) > 1 and not batches[-1]["numInputRows"] and not any(s["numRowsTotal"] for s in batches[-1]["stateOperators"]):
+            break
+        if not batches and query.status["message"] == "Waiting for data to arrive":
             break
         time.sleep(poll_s)
     if query.exception():

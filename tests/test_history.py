@@ -133,7 +133,7 @@ def test_stream_backfill(spark, tmp_path):
     assert run(10) == [0, 1, 10, 11]
 
 
-class Flaky:
+class Unreliable:
     """Fails the first calls for a batch; calls are counted in files, since each runs in a task of its own."""
 
     def __init__(self, folder, failures):
@@ -165,10 +165,37 @@ def test_stream_retries(spark, tmp_path, failures):
     for part in (rows[:25], rows[25:]):
         places_df(spark, part).write.mode("append").parquet(source)
         stream = session.readStream.schema(schemas.PLACES).parquet(source)
-        query = retries.stream_retried_backfill(stream, Flaky(calls, failures), sink, checkpoint, batch_size=4, attempts=3,
+        query = retries.stream_retried_backfill(stream, Unreliable(calls, failures), sink, checkpoint, batch_size=4, attempts=3,
                                                 backoff_s=0.05, buckets=3, every_s=0.1)
         retries.finish(query)
     found = sorted((r["id"], list(r["embedding"])) for r in spark.read.parquet(sink).collect())
     batch = backfill.pending_vectors(places_df(spark, rows), HashingEmbedder(8)).collect()
     assert found == (sorted((r["id"], list(r["embedding"])) for r in batch) if failures < 3 else [])
     assert {p.stat().st_size for p in (tmp_path / "calls").iterdir()} == {min(failures + 1, 3)}
+
+
+def test_stream_retries_outlive_a_restart(spark, tmp_path):
+    """Texts that wait when the query is stopped get their vectors after it is started again; an empty folder ends at once."""
+    import time
+
+    from tablescout.streaming import retries
+
+    source, sink, checkpoint, calls = (str(tmp_path / n) for n in ("source", "sink", "checkpoint", "calls"))
+    for name in ("calls", "nothing"):
+        (tmp_path / name).mkdir()
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", 2)
+
+    def start(folder, failures, checkpoint):
+        stream = session.readStream.schema(schemas.PLACES).parquet(folder)
+        return retries.stream_retried_backfill(stream, Unreliable(calls, failures), sink, checkpoint, attempts=30, backoff_s=0.2, buckets=3, every_s=0.1)
+
+    places_df(spark, [SPOT | {"id": i} for i in range(20)]).write.parquet(source)
+    query = start(source, 1000, checkpoint)
+    while not query.lastProgress or not query.lastProgress["stateOperators"][0]["numRowsTotal"]:
+        time.sleep(0.1)
+    query.stop()
+    places_df(spark, [SPOT | {"id": 20}]).write.mode("append").parquet(source)
+    retries.finish(start(source, 0, checkpoint))
+    assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(21))
+    retries.finish(start(str(tmp_path / "nothing"), 0, f"{checkpoint}-2"))
