@@ -1,10 +1,12 @@
 """Blocked nearest-neighbour join.
 
-Requests and places meet in cells (geo cells or vector clusters). Neither the pairs
-of a cell nor a whole cell ever form one task's input: every cell is cut into request
-blocks and place blocks of bounded size, each (request block, place block) combination
-is one Arrow group, and a group emits at most ``limit`` rows per request. A cell that
-holds a third of all rows therefore becomes many equal groups instead of one hot one.
+Requests and places meet in geo cells. Neither the pairs of a cell nor a whole cell ever
+form one task's input: every cell is cut into request tiles and place tiles of bounded bytes,
+each (request tile, place tile) combination is one Arrow group, and a group emits at most
+``limit`` rows per request. A cell that holds a third of all rows therefore becomes many equal
+groups instead of one hot one. A row travels once per tile of the other side, so tiles are as
+large as a task's memory allows; inside a group they are cut into blocks, and the best of a
+request's blocks are kept.
 
 Inside a large group vectors are not compared all with all: the places are cut into leaves, each with
 a centre, an angular radius and the ranges of its positions, ratings and prices. A request visits
@@ -26,12 +28,15 @@ from tablescout import fixed_values as V
 from tablescout.functions import geo
 from tablescout.session import materialize
 
-#: Rows per block: the size used in ordinary cells, and the most a crowded cell uses. Larger blocks
-#: mean fewer copies of each row; 16384 vectors of 768 floats are 50 MB.
+#: Rows per block: the least that is worth a tile of its own, and the most scored at once.
 REQUEST_BLOCK = (2048, 16384)
 PLACE_BLOCK = (4096, 16384)
-#: Blocks of the ordinary size a cell is cut into before its blocks grow.
-_BLOCKS_PER_CELL = 8
+#: Bytes of a tile. A request has its hits once per place tile, so these are larger.
+REQUEST_TILE_BYTES, PLACE_TILE_BYTES = 32e6, 96e6
+#: Bytes of a row besides its vector.
+_ROW_BYTES = 100
+#: Request tiles a cell is cut into before its tiles grow.
+_TILES_PER_CELL = 8
 #: The cell directory (five integers per cell) is broadcast up to this many rows.
 BROADCAST_CELLS = 1_000_000
 #: Scored pairs per task (about ten seconds of work), rows per task, and the most tasks asked for.
@@ -46,14 +51,18 @@ _SPLIT_BY_FILTER = 1_000_000
 LEAF = 256
 _LEAF_PAIRS = 2_000_000
 _VISITORS = 2048
+#: Places of a cluster compared at once.
+_CLUSTER_ROWS = 1024
 _ANGLE_MARGIN = 1e-6
 
 #: The filters a valid request can set: whole stars, and a highest price or none.
 FILTERS = [(r, p) for r in range(V.MAX_RATING + 1) for p in (-1, *range(1, V.MAX_PRICE + 1))]
 
-VECTOR = "vector"  # vector hits only
-DISTANCE = "distance"  # distance hits only
-HYBRID = "hybrid"  # vector hits, and distance hits where a request has none in the group
+VECTOR = "vector"
+DISTANCE = "distance"
+
+#: For a table of requests, which clusters each reads: a matrix of truth values.
+Chosen = Callable[[pa.Table], np.ndarray]
 
 
 def filter_number(min_rating: Column, max_price: Column) -> Column:
@@ -87,7 +96,7 @@ def prepare_requests(requests: DataFrame, with_vectors: bool, *extra: str) -> Da
     )
 
 
-def _place_columns(places: DataFrame, vector: Column, for_distance: bool, *extra: str) -> DataFrame:
+def _place_columns(places: DataFrame, vector: Column, *extra: str) -> DataFrame:
     """Place columns the join needs; a null rating or price is coded so that an active filter fails it."""
     lat, lon, rating = F.col("latitude"), F.col("longitude"), F.col("overall_rating")
     infinity = F.lit(float("inf"))
@@ -95,13 +104,13 @@ def _place_columns(places: DataFrame, vector: Column, for_distance: bool, *extra
         F.col("id").cast("long").alias("id"), lat.alias("p_lat"), lon.alias("p_lon"),
         F.when(rating.isNull(), -infinity).when(F.isnan(rating), infinity).otherwise(rating).alias("rating"),
         F.coalesce(F.col("price_range").cast("double"), infinity).alias("price"),
-        vector.alias("embedding"), F.lit(for_distance).alias("for_distance"), *extra,
+        vector.alias("embedding"), *extra,
     )
 
 
 def vector_places(places: DataFrame, *extra: str) -> DataFrame:
     """Places as vector hits."""
-    return _place_columns(places.where(F.col("embedding").isNotNull()), F.col("embedding"), False, *extra)
+    return _place_columns(places.where(F.col("embedding").isNotNull()), F.col("embedding"), *extra)
 
 
 def distance_places(places: DataFrame, limit: int) -> DataFrame:
@@ -112,11 +121,10 @@ def distance_places(places: DataFrame, limit: int) -> DataFrame:
     ``limit`` nearest. The group is reduced before it is shuffled. The table is five numbers per
     place and is read several times, so it is written once.
     """
-    rows = _place_columns(places, F.lit(None).cast("array<float>"), True)
+    rows = _place_columns(places, F.lit(None).cast("array<float>"))
     twins = Window.partitionBy("p_lat", "p_lon", F.floor("rating"), "price").orderBy("id")
     kept = rows.withColumn("_n", F.row_number().over(twins)).where(F.col("_n") <= limit)
-    return materialize(kept.drop("_n", "embedding", "for_distance"), "distance-places").withColumns(
-        {"embedding": F.lit(None).cast("array<float>"), "for_distance": F.lit(True)})
+    return materialize(kept.drop("_n", "embedding"), "distance-places").withColumn("embedding", F.lit(None).cast("array<float>"))
 
 
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
@@ -190,20 +198,21 @@ def _kilometres(q_lat, q_lon, p_lat, p_lon) -> np.ndarray:
     return V.EARTH_RADIUS_KM * np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
-def group_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The scoring of one (request block, place block) group; ``counted`` gives the number of pairs of
-    vectors instead, and how many of them were compared."""
+def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.Table, pa.Table, np.ndarray | None], pa.Table]:
+    """The scoring of one (request block, place block) pair; ``counted`` gives the number of pairs of
+    vectors instead, and how many of them were compared.
 
-    def score(requests: pa.Table, places: pa.Table) -> pa.Table:
+    With a matrix of the clusters that each request reads, a place counts only for the requests that
+    read its ``cluster``, and only up to the distance ``worst`` of the request.
+    """
+    def score(requests: pa.Table, places: pa.Table, reads: np.ndarray | None = None) -> pa.Table:
         q = {n: _numbers(requests, n) for n in
              ("q_lat", "q_lon", "lat_min", "lat_max", "lon_min", "lon_max", "min_rating", "max_price")}
         by_id = np.argsort(_numbers(places, "id"))  # column order is then the tie-break
         p = {n: _numbers(places, n)[by_id] for n in ("p_lat", "p_lon", "rating", "price")}
-        near = np.flatnonzero(places["for_distance"].to_numpy()[by_id])
         q_dims, q_vectors = _vectors(requests, "query_vector")
         p_dims, p_vectors = _vectors(places, "embedding")
-        found = []  # (request rows, place rows, cosine distances, semantic)
-        by_distance = np.ones(len(q_dims), dtype=bool)
+        found = []  # (request rows, place rows, cosine or other distances)
 
         def eligible(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
             """Box and filters; a condition that all these rows and columns meet is not spelled out."""
@@ -269,55 +278,84 @@ def group_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.T
             distances[~eligible(q_rows, p_rows)] = np.inf
             return distances
 
-        def by_leaves(q_rows, q_units, p_rows, p_units, leaves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-            """The ``limit`` best of every request, as rows, columns and distances, and the pairs compared."""
+        def by_leaves(q_rows, q_units, p_rows, p_units, leaves: list[np.ndarray], allowed: np.ndarray | None = None,
+                      worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+            """The ``limit`` best of every request, as rows, columns and distances, and the pairs compared;
+            of its ``allowed`` leaves and no farther than ``worst``, if given."""
+            leaves = [np.sort(leaf) for leaf in leaves]
             lower = leaf_bounds(q_units, p_units, leaves)
             lower[~reachable(q_rows, [p_rows[leaf] for leaf in leaves])] = np.inf
-            best = np.full((len(q_rows), limit), np.inf)
-            held = np.full((len(q_rows), limit), -1)
+            if allowed is not None:
+                lower[~allowed] = np.inf
+            # No hit beyond it can be an answer; it lags behind the hits until they are merged.
+            bound = np.full(len(q_rows), np.inf) if worst is None else worst.copy()
             visited = ~np.isfinite(lower)
             first = lower.argmin(axis=1)
-            scored = 0
+            hits = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]  # rows, columns, distances
+            fresh = scored = 0
+
+            def merge() -> None:
+                nonlocal fresh
+                rows, columns, distances = (np.concatenate(part) for part in zip(*hits))
+                order = np.lexsort((columns, distances, rows))
+                place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+                order = order[place < limit]
+                hits[:] = [(rows[order], columns[order], distances[order])]
+                full = order[np.flatnonzero(place[place < limit] == limit - 1)]
+                bound[rows[full]] = np.minimum(bound[rows[full]], distances[full])
+                fresh = 0
 
             def visit(rows: np.ndarray, number: int) -> None:
+                nonlocal fresh, scored
                 leaf = leaves[number]
                 visited[rows, number] = True
+                scored += len(rows) * len(leaf)
                 for start in range(0, len(rows), _VISITORS):
                     some = rows[start : start + _VISITORS]
-                    values = np.hstack([best[some], compared(q_rows[some], q_units[some], p_rows[leaf], p_units[leaf])])
-                    columns = np.hstack([held[some], np.broadcast_to(leaf, (len(some), len(leaf)))])
-                    cut = np.partition(values, limit - 1, axis=1)[:, limit - 1 : limit]
-                    at, col = np.nonzero((values <= cut) & np.isfinite(values))
-                    order = np.lexsort((columns[at, col], values[at, col], at))
-                    at, col = at[order], col[order]
-                    place = np.arange(len(at)) - np.searchsorted(at, at)
-                    at, col, place = (x[place < limit] for x in (at, col, place))
-                    best[some], held[some] = np.inf, -1
-                    best[some[at], place], held[some[at], place] = values[at, col], columns[at, col]
-
-            for number, leaf in enumerate(leaves):
-                rows = np.flatnonzero((first == number) & ~visited[:, number])
-                visit(rows, number)
-                scored += len(rows) * len(leaf)
+                    values = compared(q_rows[some], q_units[some], p_rows[leaf], p_units[leaf])
+                    values[values > bound[some, None]] = np.inf
+                    at, col = np.nonzero(np.isfinite(values))
+                    if len(at) > limit * len(some):
+                        at, col = _smallest(values, limit)
+                    hits.append((some[at], leaf[col], values[at, col]))
+                    fresh += len(at)
+
+            for number in np.unique(first):
+                visit(np.flatnonzero((first == number) & ~visited[:, number]), number)
+            merge()
             for number in np.argsort(np.where(np.isfinite(lower), lower, 2.0).mean(axis=0), kind="stable"):
-                rows = np.flatnonzero(~visited[:, number] & (lower[:, number] <= best[:, -1]))
-                visit(rows, number)
-                scored += len(rows) * len(leaves[number])
-            at, place = np.nonzero(np.isfinite(best))
-            return at, held[at, place], best[at, place], scored
+                visit(np.flatnonzero(~visited[:, number] & (lower[:, number] <= bound)), number)
+                if fresh > limit * len(q_rows) / 2:
+                    merge()
+            merge()
+            return *hits[0], scored
 
         pairs = scored = 0
         for dim in np.unique(q_dims[q_dims > 0]) if mode != DISTANCE else ():
             p_rows, p_units = _unit_rows(p_vectors, np.flatnonzero(p_dims[by_id] == dim), dim, by_id)
             q_rows, q_units = _unit_rows(q_vectors, np.flatnonzero(q_dims == dim), dim)
             pairs += len(q_rows) * len(p_rows)
+            if reads is not None and len(q_rows) and len(p_rows):
+                cluster = _numbers(places, "cluster")[by_id][p_rows]
+                order = np.argsort(cluster, kind="stable")
+                own, first = np.unique(cluster[order], return_index=True)
+                leaves, number = [], []
+                for c, members in zip(own, np.split(order, first[1:])):
+                    parts = np.array_split(members, math.ceil(len(members) / _CLUSTER_ROWS))
+                    leaves += parts
+                    number += [c] * len(parts)
+                at, cols, distances, n = by_leaves(q_rows, q_units, p_rows, p_units, leaves, reads[q_rows][:, number],
+                                                   _numbers(requests, "worst")[q_rows])
+                found.append((q_rows[at], p_rows[cols], distances))
+                scored += n
+                continue
             small, large = [], []
             for part in alike(q_rows, p_rows):
                 (large if len(part[0]) * len(part[1]) > _LEAF_PAIRS and len(part[1]) > LEAF else small).append(part)
             for i, j in batches(small, q_rows, p_rows):
                 distances = compared(q_rows[i], q_units[i], p_rows[j], p_units if len(j) == len(p_units) else p_units[j])
                 at, cols = _smallest(distances, limit)
-                found.append((q_rows[i[at]], p_rows[j[cols]], distances[at, cols], np.ones(len(at), dtype=bool)))
+                found.append((q_rows[i[at]], p_rows[j[cols]], distances[at, cols]))
                 scored += distances.size
             leaves = _leaves(p_units, np.column_stack([p["p_lat"][p_rows], p["p_lon"][p_rows]]), LEAF) if large else []
             for i, j in large:
@@ -325,39 +363,82 @@ def group_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.T
                 wanted[j] = True
                 own = [leaf[wanted[leaf]] for leaf in leaves if wanted[leaf].any()]
                 at, cols, distances, n = by_leaves(q_rows[i], q_units[i], p_rows, p_units, own)
-                found.append((q_rows[i[at]], p_rows[cols], distances, np.ones(len(at), dtype=bool)))
+                found.append((q_rows[i[at]], p_rows[cols], distances))
                 scored += n
-            for rows, *_ in found:
-                by_distance[rows] = False
         if counted:
             return pa.table({"pairs": pa.array([pairs], pa.int64()), "scored": pa.array([scored], pa.int64())})
 
-        leftover = np.flatnonzero(by_distance) if mode != VECTOR else np.empty(0, dtype=int)
-        for i, j in batches(alike(leftover, near), leftover, near):
-            rows, columns = leftover[i], near[j]
+        every, near = (np.arange(n if mode == DISTANCE else 0) for n in (len(q_dims), len(by_id)))
+        for i, j in batches(alike(every, near), every, near):
+            rows, columns = every[i], near[j]
             mask = eligible(rows, columns)
             at, cols = np.nonzero(mask)
             distances = np.full(mask.shape, np.inf)
             distances[at, cols] = _kilometres(
                 q["q_lat"][rows[at]], q["q_lon"][rows[at]], p["p_lat"][columns[cols]], p["p_lon"][columns[cols]])
             at, cols = _smallest(distances, limit)
-            found.append((rows[at], columns[cols], np.full(len(at), np.nan), np.zeros(len(at), dtype=bool)))
+            found.append((rows[at], columns[cols], distances[at, cols]))
 
-        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64), np.empty(0, np.bool_))
-        q_index, p_index, cosines, semantic = (np.concatenate(part) for part in zip(empty, *found))
-        columns = {name: requests[name].take(pa.array(q_index)) for name in ("qid", "q_lat", "q_lon", "max_km")}
-        columns |= {name: places[name].take(pa.array(by_id[p_index])) for name in ("id", "p_lat", "p_lon")}
-        columns["cos_dist"] = pa.array(cosines, from_pandas=True)
-        columns["semantic"] = pa.array(semantic)
-        return pa.table(columns)
+        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
+        q_index, p_index, away = (np.concatenate(part) for part in zip(empty, *found))
+        hits = {"row": pa.array(q_index), "away": pa.array(away)}
+        return pa.table(hits | {name: places[name].take(pa.array(by_id[p_index])) for name in ("id", "p_lat", "p_lon")})
 
     return score
 
 
-def _in_blocks(rows: DataFrame, cells: Column, own: str, other: str, directory: DataFrame,
+def _best_rows(hits: pa.Table, limit: int) -> pa.Table:
+    """The ``limit`` nearest hits of every row, ties by id."""
+    row = _numbers(hits, "row")
+    order = np.lexsort((_numbers(hits, "id"), _numbers(hits, "away"), row))
+    row = row[order]
+    return hits.take(pa.array(order[np.arange(len(row)) - np.searchsorted(row, row) < limit]))
+
+
+def group_kernel(mode: str, limit: int, request_rows: int, place_rows: int, counted: bool = False,
+                 chosen: Chosen | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The scoring of one (request tile, place tile) group, block by block: the ``limit`` best of every request."""
+    score = block_kernel(mode, limit, counted)
+
+    def tile(requests: pa.Table, places: pa.Table) -> pa.Table:
+        # Requests of one filter and neighbouring ones share blocks, and so do the places of a cluster.
+        strip = np.floor(_numbers(requests, "q_lat") * 50)
+        requests = requests.take(pa.array(np.lexsort(
+            (_numbers(requests, "q_lon"), strip, _numbers(requests, "max_price"), _numbers(requests, "min_rating")))))
+        if chosen is not None:
+            places = places.take(pa.array(np.argsort(_numbers(places, "cluster"), kind="stable")))
+        found = []
+        for first in range(0, requests.num_rows, request_rows):
+            asked = requests.slice(first, request_rows).combine_chunks()
+            reads = chosen(asked) if chosen is not None else None
+            best = None
+            for start in range(0, places.num_rows, place_rows):
+                hits = score(asked, places.slice(start, place_rows).combine_chunks(), reads)
+                if counted:
+                    found.append(hits)
+                else:
+                    best = hits if best is None else _best_rows(pa.concat_tables([best, hits]), limit)
+            if counted or best is None:
+                continue
+            columns = {name: asked[name].take(best["row"]) for name in ("qid", "q_lat", "q_lon", "max_km")}
+            columns |= {name: best[name] for name in ("id", "p_lat", "p_lon")}
+            columns["cos_dist"] = best["away"] if mode == VECTOR else pa.nulls(best.num_rows, pa.float64())
+            columns["semantic"] = pa.array(np.full(best.num_rows, mode == VECTOR))
+            found.append(pa.table(columns))
+        if found:
+            return pa.concat_tables(found)
+        names = {"pairs": pa.int64(), "scored": pa.int64()} if counted else {
+            "qid": requests.schema.field("qid").type, "q_lat": pa.float64(), "q_lon": pa.float64(), "max_km": pa.float64(),
+            "id": pa.int64(), "p_lat": pa.float64(), "p_lon": pa.float64(), "cos_dist": pa.float64(), "semantic": pa.bool_()}
+        return pa.schema(names).empty_table()
+
+    return tile
+
+
+def _in_tiles(rows: DataFrame, cells: Column, own: str, other: str, directory: DataFrame,
                row_key: list[str], broadcast: bool) -> DataFrame:
-    """Key every row by cell and block, once per block of the other side."""
-    keys = [c for c in directory.columns if not c.endswith("_blocks") and c != "passed"]
+    """Key every row by cell and tile, once per tile of the other side."""
+    keys = [c for c in directory.columns if not c.endswith("_tiles") and c != "passed"]
 
     def in_cells(columns: list[str]) -> DataFrame:
         return rows.select(*columns, cells.alias("cell")).select(*columns, "cell.*")
@@ -367,55 +448,60 @@ def _in_blocks(rows: DataFrame, cells: Column, own: str, other: str, directory:
     else:
         # Too many cells to broadcast: look the cells up with bare keys, then fetch the rows.
         placed = rows.drop(*keys).join(in_cells(row_key).join(directory, keys), row_key)
-    placed = placed.withColumn(f"{own}_block", F.pmod(F.xxhash64(F.lit(own), *row_key), f"{own}_blocks"))
-    replicas = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))
-    return placed.withColumn(f"{other}_block", replicas).drop("request_blocks", "place_blocks")
+    placed = placed.withColumn(f"{own}_tile", F.pmod(F.xxhash64(F.lit(own), *row_key), f"{own}_tiles"))
+    replicas = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_tiles") - 1))
+    return placed.withColumn(f"{other}_tile", replicas).drop("request_tiles", "place_tiles")
 
 
-def _block_count(rows: Column, sizes: tuple[int, int]) -> Column:
-    size = F.least(F.greatest(rows / F.lit(_BLOCKS_PER_CELL), F.lit(float(sizes[0]))), F.lit(float(sizes[1])))
-    return F.ceil(rows / size)
+def _row_bytes(vector: str) -> Column:
+    return F.coalesce(F.size(vector), F.lit(0)) * 4 + _ROW_BYTES
 
 
 def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column, place_cells: Column, *,
                  mode: str, limit: int, request_block: tuple[int, int] = REQUEST_BLOCK,
                  place_block: tuple[int, int] = PLACE_BLOCK, broadcast_cells: int = BROADCAST_CELLS,
-                 counted: bool = False) -> DataFrame:
-    """Hits per request and block pair: at most ``limit`` rows of each pair, or with ``counted`` one row
-    per block pair: its ``pairs`` of vectors, and how many of them were ``scored``.
+                 counted: bool = False, chosen: Chosen | None = None) -> DataFrame:
+    """Hits per request and pair of tiles: at most ``limit`` rows of each pair, or with ``counted`` a row
+    per pair of blocks: its ``pairs`` of vectors, and how many of them were ``scored``.
 
     ``request_cells`` and ``place_cells`` are exploding expressions that yield one struct per
     cell. The directory of cells occupied on both sides is written once; it decides how
-    many blocks a cell needs, drops the cells in which no place passes a request's filter, and is
-    broadcast only when its row count allows it.
+    many tiles a cell needs, drops the cells in which no place passes a request's filter, and is
+    broadcast only when its row count allows it. ``chosen`` gives the clusters that a request reads; then
+    requests carry ``worst``, a distance beyond which they want no hits, and places their ``cluster``.
     """
-    cell_requests = requests.select(request_cells.alias("cell")).select("cell.*")
-    keys = cell_requests.columns
-    request_counts = cell_requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_requests"))
-    cell_places = places.withColumn("passed", passed_filters()).select("passed", place_cells.alias("cell"))
-    place_counts = cell_places.select("passed", "cell.*").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_places"), F.bit_or("passed").alias("passed"))
+    cell_requests = requests.select(_row_bytes("query_vector").alias("bytes"), request_cells.alias("cell"))
+    keys = cell_requests.select("cell.*").columns
+    request_counts = cell_requests.select("bytes", "cell.*").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_requests"), F.sum("bytes").alias("request_bytes"))
+    cell_places = places.withColumn("passed", passed_filters()).select(
+        "passed", _row_bytes("embedding").alias("bytes"), place_cells.alias("cell"))
+    place_counts = cell_places.select("passed", "bytes", "cell.*").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_places"), F.sum("bytes").alias("place_bytes"), F.bit_or("passed").alias("passed"))
     directory = materialize(request_counts.join(place_counts, keys), "cells")
+    several = F.least(F.ceil(F.col("n_requests") / F.lit(request_block[0])), F.lit(_TILES_PER_CELL))
     directory = directory.withColumns({
-        "request_blocks": _block_count(F.col("n_requests"), request_block),
-        "place_blocks": _block_count(F.col("n_places"), place_block)})
+        "request_tiles": F.greatest(several, F.ceil(F.col("request_bytes") / F.lit(REQUEST_TILE_BYTES))),
+        "place_tiles": F.ceil(F.col("place_bytes") / F.lit(PLACE_TILE_BYTES))})
     pairs = F.col("n_requests") * F.col("n_places").cast("double")
-    rows = F.col("n_requests").cast("double") * F.col("place_blocks") + F.col("n_places") * F.col("request_blocks")
-    size = directory.agg(F.count(F.lit(1)).alias("cells"), F.sum(pairs).alias("pairs"), F.sum(rows).alias("rows")).first()
+    rows = F.col("n_requests").cast("double") * F.col("place_tiles") + F.col("n_places") * F.col("request_tiles")
+    size = directory.agg(F.count(F.lit(1)).alias("cells"), F.sum(pairs).alias("pairs"), F.sum(rows).alias("rows"),
+                         F.sum(F.col("request_tiles") * F.col("place_tiles")).alias("groups")).first()
     small = size["cells"] <= broadcast_cells
-    directory = directory.drop("n_requests", "n_places")
+    directory = directory.drop("n_requests", "n_places", "request_bytes", "place_bytes")
     # Tasks are sized by the pairs they score and the rows they receive, with work for every core.
     wanted = math.ceil(max((size["pairs"] or 0.0) / TASK_PAIRS, (size["rows"] or 0.0) / TASK_ROWS))
-    tasks = max(requests.sparkSession.sparkContext.defaultParallelism, min(wanted, MAX_TASKS))
+    tasks = max(requests.sparkSession.sparkContext.defaultParallelism, min(wanted, 2 * (size["groups"] or 0), MAX_TASKS))
 
-    left = _in_blocks(requests, request_cells, "request", "place", directory, ["qid"], small)
+    left = _in_tiles(requests, request_cells, "request", "place", directory, ["qid"], small)
     possible = F.col("filter_number").isNull() | (F.getbit("passed", F.coalesce("filter_number", F.lit(0))) == 1)
     left = left.where(possible).drop("passed", "filter_number")
-    right = _in_blocks(places, place_cells, "place", "request", directory.drop("passed"), ["id", "for_distance"], small)
-    group = [*keys, "request_block", "place_block"]
+    right = _in_tiles(places, place_cells, "place", "request", directory.drop("passed"), ["id"], small)
+    group = [*keys, "request_tile", "place_tile"]
     left, right = (side.repartition(tasks, *group) for side in (left, right))
     qid_type = requests.schema["qid"].dataType.simpleString()
     schema = (f"qid {qid_type}, q_lat double, q_lon double, max_km double, id bigint, "
               "p_lat double, p_lon double, cos_dist double, semantic boolean")
     schema = "pairs bigint, scored bigint" if counted else schema
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(group_kernel(mode, limit, counted), schema)
+    kernel = group_kernel(mode, limit, request_block[1], place_block[1], counted, chosen)
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(kernel, schema)

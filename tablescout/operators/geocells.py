@@ -14,9 +14,9 @@ from tablescout.operators.blocks import FILTERS
 from tablescout.session import materialize
 
 LEVELS = 12
-#: Widest box per cell width. Scoring vectors is the dear part, so their cells follow the box
-#: closely; distances are cheap, so fewer cells and fewer groups win.
-_VECTOR_CELLS, _DISTANCE_CELLS = 4.0, 2.0
+#: Widest box per cell width. A request is sent to every cell of its box and has its hits from each, so
+#: a box meets at most four cells, mostly one or two; inside a group only the box's surrounding is scored.
+_BOX_CELLS = 0.5
 #: Grids on which qualifying places are counted when a distance search is narrowed.
 _COUNT_LEVELS = 9
 
@@ -25,12 +25,10 @@ def cell_size(level: int) -> float:
     return 2.0 ** (2 * level - 14)
 
 
-def box_level(most: float | None = None) -> Column:
-    """The finest grid on which the box is no wider than ``most`` cells; by default this depends on what is scored."""
+def box_level() -> Column:
+    """The finest grid on which the box is no wider than half a cell."""
     width = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"))
-    cells = F.when(F.col("query_vector").isNull(), F.lit(_DISTANCE_CELLS)).otherwise(F.lit(_VECTOR_CELLS))
-    cells = cells if most is None else F.lit(most)
-    fits = [F.when(width <= cells * F.lit(cell_size(j)), F.lit(j)) for j in range(LEVELS)]
+    fits = [F.when(width <= F.lit(_BOX_CELLS * cell_size(j)), F.lit(j)) for j in range(LEVELS)]
     return F.coalesce(*fits, F.lit(LEVELS - 1))
 
 
@@ -39,7 +37,7 @@ def _cell(level: Column, cy: Column, cx: Column) -> Column:
 
 
 def box_grid() -> Column:
-    """The cells the request box touches (two to five per axis below the last grid)."""
+    """The cells the request box touches (one or two per axis below the last grid)."""
     size = F.element_at(F.array(*(F.lit(cell_size(j)) for j in range(LEVELS))), F.col("level") + 1)
     rows = F.sequence(F.floor(F.col("lat_min") / size), F.floor(F.col("lat_max") / size))
     columns = F.sequence(F.floor(F.col("lon_min") / size), F.floor(F.col("lon_max") / size))

@@ -1,7 +1,8 @@
 """Vector search over k-means clusters inside geo cells: nearest clusters first, with a certificate.
 
-Requests and places meet where a cell of the request's box and one of its nearest clusters coincide,
-so neither a crowded metro nor a large cluster is searched as a whole.
+Requests and places meet in the cells of the request's box, tile by tile, so neither a crowded metro nor a
+large cluster is one task's input. A request travels once per cell and tile, not once per cluster: which
+clusters it reads, the tasks find from the centroids, and they compare it with the places of these alone.
 
 For each cluster the index keeps the smallest and the largest angle of a member to the centroid. By
 the triangle inequality of angles this bounds how near a member can be to a request. Clusters are read
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablescout import fixed_values as V
 from tablescout.operators import blocks, geocells
@@ -40,6 +41,8 @@ FIT_ROWS = 256
 _CHUNK = 512
 #: Angles and distances are rounded outwards by this much.
 _MARGIN = 1e-6
+#: Truth values of a block: which request reads which cluster.
+_READS = 2**25
 #: Clusters of a round that are listed in the filter of the index's scan.
 _LISTED = 1024
 
@@ -117,40 +120,50 @@ def lower_bounds(units: np.ndarray, index: VectorIndex) -> np.ndarray:
     return bounds
 
 
-def _with_clusters(df: DataFrame, index: VectorIndex, start: int, count: int) -> DataFrame:
-    """Add ``clusters``, the next ``count`` of a request from place ``start`` of its order on, and ``beyond``,
-    the least distance in what is left after them. A cluster that cannot beat ``worst`` is not listed."""
+def _without_table(index: VectorIndex) -> VectorIndex:
+    """What the tasks need."""
+    return VectorIndex(None, index.centroids, index.nearest, index.farthest, index.members)
+
+
+def _reads(vectors: pa.Array, worst: np.ndarray, index: VectorIndex, start: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which clusters each request reads, the next ``count`` from place ``start`` of its order on, and the least
+    distance in what is left after them. A cluster that cannot beat ``worst`` is not read."""
     last = len(index.members) - 1
-    # What the tasks need, without the table.
-    index = VectorIndex(None, index.centroids, index.nearest, index.farthest, index.members)
+    picked = np.zeros((len(worst), last + 1), dtype=bool)
+    beyond = np.full(len(worst), np.inf)
+    rows, units = _directed(vectors, index.centroids.shape[1])
+    if start == 0 and index.members[last]:
+        picked[np.setdiff1d(np.arange(len(worst)), rows), last] = True  # only places without a cluster can match
+    for part in range(0, len(rows), _CHUNK):
+        own = rows[part : part + _CHUNK]
+        bounds = lower_bounds(units[part : part + _CHUNK], index)
+        order = np.argsort(bounds, axis=1, kind="stable")
+        bounds = np.take_along_axis(bounds, order, axis=1)
+        useful = np.isfinite(bounds) & (bounds <= worst[own, None] + _MARGIN)
+        picked[own[:, None], order[:, start : start + count]] = useful[:, start : start + count]
+        if start + count < bounds.shape[1]:
+            beyond[own] = bounds[:, start + count]
+    return picked, beyond
+
+
+def _with_clusters(df: DataFrame, index: VectorIndex, start: int, count: int) -> DataFrame:
+    """Add ``n``, the number of clusters that a request reads in this round, ``beyond``, the least distance in
+    what is left after them, and ``clusters``: on the first of some rows those that any of them reads."""
+    index = _without_table(index)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            worst = batch.column("worst").to_numpy()
-            lists: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            beyond = np.full(batch.num_rows, np.inf)
-            rows, units = _directed(batch.column("query_vector"), index.centroids.shape[1])
-            other = np.setdiff1d(np.arange(batch.num_rows), rows)
-            if start == 0 and index.members[last]:
-                for row in other.tolist():  # only places without a cluster can match
-                    lists[row] = [last]
-            for part in range(0, len(rows), _CHUNK):
-                own = rows[part : part + _CHUNK]
-                bounds = lower_bounds(units[part : part + _CHUNK], index)
-                order = np.argsort(bounds, axis=1, kind="stable")
-                bounds = np.take_along_axis(bounds, order, axis=1)
-                useful = np.isfinite(bounds) & (bounds <= worst[own, None] + _MARGIN)
-                for i, row in enumerate(own.tolist()):
-                    some = np.flatnonzero(useful[i, start : start + count]) + start
-                    lists[row] = order[i, some].tolist()
-                if start + count < bounds.shape[1]:
-                    beyond[own] = bounds[:, start + count]
-            clusters = pa.array(lists, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, clusters, pa.array(beyond)],
-                                             names=[*batch.schema.names, "clusters", "beyond"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, _CHUNK):
+                batch = whole.slice(first, _CHUNK)
+                picked, beyond = _reads(batch.column("query_vector"), batch.column("worst").to_numpy(), index, start, count)
+                clusters = [np.flatnonzero(picked.any(axis=0)).tolist()] + [[]] * (batch.num_rows - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(picked.sum(axis=1)), pa.array(beyond), pa.array(clusters, pa.list_(pa.int32()))],
+                    names=[*batch.schema.names, "n", "beyond", "clusters"])
 
     schema = T.StructType(df.schema.fields + [
-        T.StructField("clusters", T.ArrayType(T.IntegerType())), T.StructField("beyond", T.DoubleType())])
+        T.StructField("n", T.LongType()), T.StructField("beyond", T.DoubleType()),
+        T.StructField("clusters", T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(nearest, schema)
 
 
@@ -209,24 +222,26 @@ def load_index(spark: SparkSession, path: str) -> VectorIndex:
                        nearest, farthest, members)
 
 
-def _probed_hits(probed: DataFrame, index: VectorIndex, limit: int, **block_options: int) -> DataFrame:
-    """Hits of requests with their ``clusters`` inside these clusters, at most ``limit`` per pair of blocks."""
-    # Coarse geo cells: a request has a row for each pair of a cell and a probed cluster.
-    q = blocks.prepare_requests(probed, True, "clusters").withColumn("level", geocells.box_level(1.0))
-    seen = q.agg(F.collect_set("level").alias("levels"), F.array_distinct(F.flatten(F.collect_set("clusters"))).alias("clusters")).first()
-    levels, clusters = sorted(seen["levels"]) or [0], sorted(seen["clusters"])
+def _probed_hits(probed: DataFrame, index: VectorIndex, start: int, count: int, limit: int, **block_options: int) -> DataFrame:
+    """Hits of requests inside the clusters they read in this round and no farther than ``worst``, at most
+    ``limit`` per pair of tiles."""
+    q = blocks.prepare_requests(probed, True, "worst").withColumn("level", geocells.box_level())
+    levels = sorted(q.agg(F.collect_set("level").alias("levels")).first()["levels"]) or [0]
+    read = probed.select(F.explode("clusters").alias("cluster")).distinct()  # no more than MOST_CLUSTERS and one
+    clusters = sorted(r["cluster"] for r in read.collect())
     places = index.places
     if len(clusters) < (index.members > 0).sum() and len(clusters) <= _LISTED:
         places = places.where(F.col("cluster").isin(clusters))  # partitions of the stored index that are not read
     p = blocks.vector_places(places, "cluster")
+    index = _without_table(index)
 
-    def inside(cell: Column, cluster: Column) -> Column:
-        return F.struct(cell["level"].alias("level"), cell["cy"].alias("cy"), cell["cx"].alias("cx"), cluster.alias("cluster"))
+    def chosen(asked: pa.Table) -> np.ndarray:
+        return _reads(asked["query_vector"].combine_chunks(), asked["worst"].to_numpy(), index, start, count)[0]
 
-    grid = F.transform(geocells.box_grid(), lambda cell: F.transform("clusters", lambda c: inside(cell, c)))
-    request_cells = F.explode(F.flatten(grid))
-    place_cells = F.explode(F.transform(geocells.place_grid(levels), lambda cell: inside(cell, F.col("cluster"))))
-    return blocks.blocked_hits(q, p, request_cells, place_cells, mode=blocks.VECTOR, limit=limit, **block_options)
+    rows, most = block_options.pop("request_block", blocks.REQUEST_BLOCK)
+    most = max(1, min(most, _READS // len(index.members)))
+    return blocks.blocked_hits(q, p, geocells.box_cells(), geocells.place_cells(levels), mode=blocks.VECTOR, limit=limit,
+                               chosen=chosen, request_block=(rows, most), **block_options)
 
 
 def certified_hits(requests: DataFrame, index: VectorIndex, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
@@ -251,15 +266,15 @@ def certified_hits(requests: DataFrame, index: VectorIndex, limit: int = V.RESUL
     while True:
         step = min(step, most - start)
         probed = materialize(_with_clusters(open_, index, start, step), "ivf-probed")
-        found = _probed_hits(probed, index, limit, **block_options)
+        found = _probed_hits(probed, index, start, step, limit, **block_options)
         if carried is not None:
             found = found.unionByName(carried.join(probed.select("qid"), "qid", "left_semi"))
         start += step
         carried = materialize(found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= limit), "ivf-best")
         last = carried.where(F.col("rn") == limit).select("qid", F.col("cos_dist").alias("_worst"))
         carried = carried.drop("rn")
-        state = materialize(probed.drop("worst").join(last, "qid", "left").withColumns({
-            "worst": F.coalesce("_worst", F.lit(float("inf"))), "n": F.size("clusters").cast("long")}).drop("_worst", "clusters"), "ivf-state")
+        state = materialize(probed.drop("worst", "clusters").join(last, "qid", "left").withColumn(
+            "worst", F.coalesce("_worst", F.lit(float("inf")))).drop("_worst"), "ivf-state")
         more = (F.col("beyond") < float("inf")) & (F.col("beyond") <= F.col("worst") + _MARGIN - slack)
         ended = start >= most or state.where(more).isEmpty()
         reads.append(state.select("qid", "n", (~more if ended else F.lit(True)).alias("certified")))
@@ -283,7 +298,7 @@ def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int =
     """
     asked = requests.where(F.col("query_vector").isNotNull())
     probed = _with_clusters(asked.select(*_REQUEST_COLUMNS, F.lit(float("inf")).alias("worst")), index, 0, n_probe)
-    found = best_hits(_probed_hits(materialize(probed, "ivf-probed"), index, limit, **block_options), limit)
+    found = best_hits(_probed_hits(materialize(probed, "ivf-probed"), index, 0, n_probe, limit, **block_options), limit)
     if not widen:
         return found
     found = materialize(found, "ivf-hits")  # at most ``limit`` rows per request, read three times

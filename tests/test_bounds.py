@@ -119,3 +119,43 @@ def test_odd_vectors_and_a_stored_index(spark, tmp_path):
     assert hits(ivf.certified_hits(q, index).hits) == exact and {h[2] for h in exact if h[0] == 100} == {900, 901}
     assert ivf.certified_hits(q.limit(0), index).hits.isEmpty()
     assert ivf.certified_hits(q, ivf.build_ivf(p.limit(0))).hits.isEmpty()
+
+
+def counted_hits(monkeypatch):
+    """Hits per request that each search merges afterwards, as it goes on."""
+    most, whole = [], blocks.blocked_hits
+
+    def watched(*args, **options):
+        found = whole(*args, **options)
+        most.append(max((r["count"] for r in found.groupBy("qid").count().collect()), default=0))
+        return found
+
+    monkeypatch.setattr(blocks, "blocked_hits", watched)
+    return most
+
+
+def test_hits_do_not_grow_with_the_blocks(spark, monkeypatch):
+    """However many blocks the places of a cell fill, a request has its best hits once per cell and tile."""
+    most = counted_hits(monkeypatch)
+    places, requests = clustered(8, 600, 20)
+    found = retrieve.retrieve(requests_df(spark, requests), places_df(spark, places), request_block=(4, 8), place_block=(8, 16))
+    assert answers(found) == expected_answers(requests, places)
+    assert most and max(most) <= 4 * 30
+
+
+def test_tiles_are_bounded_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "REQUEST_TILE_BYTES", 1000.0)
+    monkeypatch.setattr(blocks, "PLACE_TILE_BYTES", 4000.0)
+    places, requests = clustered(9, 300, 30)
+    found = retrieve.retrieve(requests_df(spark, requests), places_df(spark, places), narrow_pairs=0)
+    assert answers(found) == expected_answers(requests, places)
+
+
+def test_hits_do_not_grow_with_the_clusters_read(spark, monkeypatch):
+    places, requests = clustered(10, 900, 20, centres=30)
+    q, p = requests_df(spark, requests), places_df(spark, places)
+    exact = hits(retrieve.vector_hits(q, p))
+    index = ivf.build_ivf(p, n_cells=30)
+    most = counted_hits(monkeypatch)
+    assert hits(ivf.certified_hits(q, index, first=30).hits) == exact
+    assert most and max(most) <= 4 * 30
