@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tablescout import schemas
 from tablescout.functions import geo
 from tablescout.operators import blocks
+from tablescout.session import materialize
 
 BITS = 20
-#: Rows per file that the number of files aims at.
-FILE_ROWS = 1_000_000
+#: Rows and bytes (as text, before compression) per file that the number of files aims at; a file is one task's input.
+FILE_ROWS, FILE_BYTES = 1_000_000, 128e6
 #: Squares that cover all boxes together, and ranges they are merged into: both are held by the driver and the plan.
 MOST_SQUARES, MOST_RANGES = 4096, 128
 
@@ -55,13 +56,28 @@ def curve_key(lat: Column, lon: Column) -> Column:
     return F.when(geo.has_position(lat, lon), _interleaved(*_steps(lat, lon)))
 
 
+def _row_bytes(places: DataFrame) -> Column:
+    """About the bytes of a row: its texts, lists and vectors."""
+    width = F.lit(8 * len(places.columns))
+    for field in places.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            texts = isinstance(field.dataType.elementType, T.StringType)
+            one = F.octet_length(F.array_join(field.name, "  ")) if texts else 8 * F.size(field.name)
+            width = width + F.coalesce(one, F.lit(0))
+    return width
+
+
 def write_layout(places: DataFrame, path: str, files: int | None = None) -> int:
     """Write ``places`` along the curve, and the manifests below ``path`` (where readers of the data ignore them);
     returns the number of rows. The range key ends in the id, so a crowded point spreads over files."""
     spark = places.sparkSession
-    keyed = places.withColumn("curve", curve_key(F.col("latitude"), F.col("longitude")))
     if files is None:
-        files = max(1, math.ceil(places.count() / FILE_ROWS))
+        places = materialize(places, "unordered")  # read for its size, for samples of its keys, and for its rows
+        size = places.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_row_bytes(places)), F.lit(0)).alias("bytes")).first()
+        files = max(1, math.ceil(size["rows"] / FILE_ROWS), math.ceil(size["bytes"] / FILE_BYTES))
+    keyed = places.withColumn("curve", curve_key(F.col("latitude"), F.col("longitude")))
     keyed.repartitionByRange(files, "curve", "id").sortWithinPartitions("curve", "id").write.mode("overwrite").parquet(path)
     stored = spark.read.schema(keyed.schema).parquet(path)
     own = F.col("_metadata.file_name").alias("file")

@@ -232,3 +232,13 @@ def test_events_of_a_few_places(spark, tmp_path):
     assert "In(restaurant_id" in found._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         history.place_events(stored, list(range(11)))
+
+
+def test_files_are_bounded_by_their_bytes(spark, tmp_path, monkeypatch):
+    """A few places with long texts fill several files, so no task is given all of them."""
+    monkeypatch.setattr(layout, "FILE_BYTES", 50_000)
+    places = places_df(spark, [{"id": i, "latitude": 40.0 + i / 100, "longitude": -74.0, "description": "word " * 400,
+                                "embedding": [1.0] * 8} for i in range(100)])
+    assert layout.write_layout(places, str(tmp_path / "long")) == 100
+    rows = [r["rows"] for r in spark.read.parquet(str(tmp_path / "long" / "_files")).collect()]
+    assert len(rows) >= 4 and max(rows) < 50
