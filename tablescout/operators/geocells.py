@@ -16,7 +16,7 @@ from tablescout.session import materialize
 LEVELS = 12
 #: Widest box per cell width. A request is sent to every cell of its box and has its hits from each, so
 #: a box meets at most four cells, mostly one or two; inside a group only the box's surrounding is scored.
-_BOX_CELLS = 0.5
+BOX_CELLS = 0.5
 #: Grids on which qualifying places are counted when a distance search is narrowed.
 _COUNT_LEVELS = 9
 
@@ -25,10 +25,10 @@ def cell_size(level: int) -> float:
     return 2.0 ** (2 * level - 14)
 
 
-def box_level() -> Column:
-    """The finest grid on which the box is no wider than half a cell."""
+def box_level(most: float = BOX_CELLS) -> Column:
+    """The finest grid on which the box is no wider than ``most`` cells."""
     width = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"))
-    fits = [F.when(width <= F.lit(_BOX_CELLS * cell_size(j)), F.lit(j)) for j in range(LEVELS)]
+    fits = [F.when(width <= F.lit(most * cell_size(j)), F.lit(j)) for j in range(LEVELS)]
     return F.coalesce(*fits, F.lit(LEVELS - 1))
 
 

@@ -309,7 +309,7 @@ def ivf_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of vectors that meet in the blocks of the vector search, and those it compares."""
+    """Pairs of vectors that meet in the blocks of a vector search on small cells, and those it compares."""
     return retrieve.scored_pairs(_accepted(spark, sf), view(spark, sf, "places"))
 
 
