@@ -54,6 +54,10 @@ _VISITORS = 2048
 #: Places of a cluster compared at once.
 _CLUSTER_ROWS = 1024
 _ANGLE_MARGIN = 1e-6
+#: Pairs are compared one by one if no more than one in so many passes the rough test.
+_SPARSE = 16
+#: Rounding of a cosine of the distance on the sphere, taken in two ways.
+_COSINE_MARGIN = 1e-14
 
 #: The filters a valid request can set: whole stars, and a highest price or none.
 FILTERS = [(r, p) for r in range(V.MAX_RATING + 1) for p in (-1, *range(1, V.MAX_PRICE + 1))]
@@ -153,10 +157,34 @@ def _smallest(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = np.nonzero((values <= cut) & np.isfinite(values))
     else:
         rows, cols = np.nonzero(np.isfinite(values))
-    order = np.lexsort((cols, values[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    position = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    return rows[position < limit], cols[position < limit]
+    kept = _first(rows, cols, values[rows, cols], limit)
+    return rows[kept], cols[kept]
+
+
+def _first(rows: np.ndarray, ties: np.ndarray, values: np.ndarray, limit: int) -> np.ndarray:
+    """Positions of the ``limit`` smallest values of every row, row by row, in order."""
+    order = np.lexsort((ties, values, rows))
+    own = rows[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < limit]
+
+
+def _limits(rows: np.ndarray, values: np.ndarray, n: int, limit: int) -> np.ndarray:
+    """The ``limit``-th smallest value of each of ``n`` rows; infinite for rows that have fewer."""
+    counts = np.bincount(rows, minlength=n)
+    found = np.full(n, np.inf)
+    full = counts >= limit
+    widest = counts[full].max(initial=0)
+    if widest > 8 * limit:  # too uneven for a matrix
+        order = np.lexsort((values, rows))
+        found[full] = values[order][(np.cumsum(counts) - counts)[full] + limit - 1]
+    elif widest:
+        order = np.argsort(rows.astype(np.uint16) if n <= 2**16 else rows, kind="stable")
+        order = order[full[rows[order]]]
+        own, many = np.repeat(np.arange(full.sum()), counts[full]), counts[full]
+        table = np.full((len(many), widest), np.inf)
+        table[own, np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)] = values[order]
+        found[full] = np.partition(table, limit - 1, axis=1)[:, limit - 1]
+    return found
 
 
 def _leaves(units: np.ndarray, positions: np.ndarray, size: int) -> list[np.ndarray]:
@@ -192,20 +220,26 @@ def leaf_bounds(q_units: np.ndarray, p_units: np.ndarray, leaves: list[np.ndarra
     return 1.0 - np.cos(np.maximum(angle - radius - _ANGLE_MARGIN, 0.0))
 
 
+def _on_sphere(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    a, b = np.radians(lat), np.radians(lon)
+    return np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+
+
 def _kilometres(q_lat, q_lon, p_lat, p_lon) -> np.ndarray:
     a, b = np.radians(q_lat), np.radians(p_lat)
     cosine = np.cos(a) * np.cos(b) * np.cos(np.radians(p_lon) - np.radians(q_lon)) + np.sin(a) * np.sin(b)
     return V.EARTH_RADIUS_KM * np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
-def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.Table, pa.Table, np.ndarray | None], pa.Table]:
+def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[..., pa.Table]:
     """The scoring of one (request block, place block) pair; ``counted`` gives the number of pairs of
     vectors instead, and how many of them were compared.
 
     With a matrix of the clusters that each request reads, a place counts only for the requests that
-    read its ``cluster``, and only up to the distance ``worst`` of the request.
+    read its ``cluster``. Hits farther than ``worst``, a distance per request, are not wanted.
     """
-    def score(requests: pa.Table, places: pa.Table, reads: np.ndarray | None = None) -> pa.Table:
+    def score(requests: pa.Table, places: pa.Table, reads: np.ndarray | None = None, worst: np.ndarray | None = None) -> pa.Table:
+        worst = np.full(requests.num_rows, np.inf) if worst is None else worst
         q = {n: _numbers(requests, n) for n in
              ("q_lat", "q_lon", "lat_min", "lat_max", "lon_min", "lon_max", "min_rating", "max_price")}
         by_id = np.argsort(_numbers(places, "id"))  # column order is then the tie-break
@@ -231,6 +265,14 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.T
                 mask &= (most < 0) | (price <= most)
             return mask
 
+        def passes(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+            """Box and filters of single pairs."""
+            mask = np.ones(len(rows), dtype=bool)
+            for name, low, high in (("p_lat", "lat_min", "lat_max"), ("p_lon", "lon_min", "lon_max")):
+                mask &= (p[name][cols] >= q[low][rows]) & (p[name][cols] <= q[high][rows])
+            least, most = q["min_rating"][rows], q["max_price"][rows]
+            return mask & ((least <= 0) | (p["rating"][cols] >= least)) & ((most < 0) | (p["price"][cols] <= most))
+
         def alike(rows: np.ndarray, cols: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             """Positions in ``rows`` and ``cols`` to score together. A large group goes filter by filter,
             so that places a filter drops are not scored at all."""
@@ -278,17 +320,40 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.T
             distances[~eligible(q_rows, p_rows)] = np.inf
             return distances
 
-        def by_leaves(q_rows, q_units, p_rows, p_units, leaves: list[np.ndarray], allowed: np.ndarray | None = None,
-                      worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-            """The ``limit`` best of every request, as rows, columns and distances, and the pairs compared;
-            of its ``allowed`` leaves and no farther than ``worst``, if given."""
+        def close(q_rows, q_units, rows, p_rows, p_units, cols, farthest: np.ndarray, rough: tuple[np.ndarray, np.ndarray] | None = None
+                  ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Eligible pairs of ``rows`` and ``cols`` no farther than the row's ``farthest``, and their distances; of rows with
+            many such pairs only the ``limit`` best. With ``rough`` (the vectors in single precision) and every ``farthest``
+            known, pairs are told by a product with an error bound, and few are compared in double."""
+            if rough is not None and np.isfinite(farthest).all():
+                margin = (q_units.shape[1] + 8) * 2.0**-23  # more than the error of a sum of so many products of unit vectors
+                near = rough[0][rows] @ rough[1][cols].T >= (1.0 - farthest - margin).astype(np.float32)[:, None]
+                if np.count_nonzero(near) * _SPARSE <= near.size:
+                    at, col = np.divmod(np.flatnonzero(near), len(cols))
+                    kept = passes(q_rows[rows[at]], p_rows[cols[col]])
+                    at, col = at[kept], col[kept]
+                    distances = np.round(1.0 - np.einsum("ij,ij->i", q_units[rows[at]], p_units[cols[col]]), 12)
+                    kept = distances <= farthest[at]
+                    return rows[at[kept]], cols[col[kept]], distances[kept]
+            values = compared(q_rows[rows], q_units[rows], p_rows[cols], p_units if len(cols) == len(p_units) else p_units[cols])
+            values[values > farthest[:, None]] = np.inf
+            at, col = np.divmod(np.flatnonzero(np.isfinite(values)), len(cols))
+            if len(at) > limit * len(rows):
+                at, col = _smallest(values, limit)
+            return rows[at], cols[col], values[at, col]
+
+        def by_leaves(q_rows, q_units, p_rows, p_units, leaves: list[np.ndarray],
+                      allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+            """The ``limit`` best of every request and what ties with the last, as rows, columns and distances, and the
+            pairs compared; of its ``allowed`` leaves, if given."""
             leaves = [np.sort(leaf) for leaf in leaves]
             lower = leaf_bounds(q_units, p_units, leaves)
             lower[~reachable(q_rows, [p_rows[leaf] for leaf in leaves])] = np.inf
             if allowed is not None:
                 lower[~allowed] = np.inf
             # No hit beyond it can be an answer; it lags behind the hits until they are merged.
-            bound = np.full(len(q_rows), np.inf) if worst is None else worst.copy()
+            bound = worst[q_rows]
+            rough = q_units.astype(np.float32), p_units.astype(np.float32)
             visited = ~np.isfinite(lower)
             first = lower.argmin(axis=1)
             hits = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]  # rows, columns, distances
@@ -297,12 +362,11 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.T
             def merge() -> None:
                 nonlocal fresh
                 rows, columns, distances = (np.concatenate(part) for part in zip(*hits))
-                order = np.lexsort((columns, distances, rows))
-                place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
-                order = order[place < limit]
-                hits[:] = [(rows[order], columns[order], distances[order])]
-                full = order[np.flatnonzero(place[place < limit] == limit - 1)]
-                bound[rows[full]] = np.minimum(bound[rows[full]], distances[full])
+                np.minimum(bound, _limits(rows, distances, len(bound), limit), out=bound)
+                kept = np.flatnonzero(distances <= bound[rows])
+                if len(kept) > 2 * limit * len(bound):  # many at one distance
+                    kept = _first(rows, columns, distances, limit)
+                hits[:] = [(rows[kept], columns[kept], distances[kept])]
                 fresh = 0
 
             def visit(rows: np.ndarray, number: int) -> None:
@@ -310,15 +374,12 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.T
                 leaf = leaves[number]
                 visited[rows, number] = True
                 scored += len(rows) * len(leaf)
-                for start in range(0, len(rows), _VISITORS):
-                    some = rows[start : start + _VISITORS]
-                    values = compared(q_rows[some], q_units[some], p_rows[leaf], p_units[leaf])
-                    values[values > bound[some, None]] = np.inf
-                    at, col = np.nonzero(np.isfinite(values))
-                    if len(at) > limit * len(some):
-                        at, col = _smallest(values, limit)
-                    hits.append((some[at], leaf[col], values[at, col]))
-                    fresh += len(at)
+                bounded = np.isfinite(bound[rows])
+                for known in (rows[bounded], rows[~bounded]):
+                    for start in range(0, len(known), _VISITORS):
+                        some = known[start : start + _VISITORS]
+                        hits.append(close(q_rows, q_units, some, p_rows, p_units, leaf, bound[some], rough))
+                        fresh += len(hits[-1][0])
 
             for number in np.unique(first):
                 visit(np.flatnonzero((first == number) & ~visited[:, number]), number)
@@ -344,8 +405,7 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.T
                     parts = np.array_split(members, math.ceil(len(members) / _CLUSTER_ROWS))
                     leaves += parts
                     number += [c] * len(parts)
-                at, cols, distances, n = by_leaves(q_rows, q_units, p_rows, p_units, leaves, reads[q_rows][:, number],
-                                                   _numbers(requests, "worst")[q_rows])
+                at, cols, distances, n = by_leaves(q_rows, q_units, p_rows, p_units, leaves, reads[q_rows][:, number])
                 found.append((q_rows[at], p_rows[cols], distances))
                 scored += n
                 continue
@@ -353,10 +413,9 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.T
             for part in alike(q_rows, p_rows):
                 (large if len(part[0]) * len(part[1]) > _LEAF_PAIRS and len(part[1]) > LEAF else small).append(part)
             for i, j in batches(small, q_rows, p_rows):
-                distances = compared(q_rows[i], q_units[i], p_rows[j], p_units if len(j) == len(p_units) else p_units[j])
-                at, cols = _smallest(distances, limit)
-                found.append((q_rows[i[at]], p_rows[j[cols]], distances[at, cols]))
-                scored += distances.size
+                at, cols, distances = close(q_rows, q_units, i, p_rows, p_units, j, worst[q_rows[i]])
+                found.append((q_rows[at], p_rows[cols], distances))
+                scored += len(i) * len(j)
             leaves = _leaves(p_units, np.column_stack([p["p_lat"][p_rows], p["p_lon"][p_rows]]), LEAF) if large else []
             for i, j in large:
                 wanted = np.zeros(len(p_units), dtype=bool)
@@ -369,15 +428,25 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.T
             return pa.table({"pairs": pa.array([pairs], pa.int64()), "scored": pa.array([scored], pa.int64())})
 
         every, near = (np.arange(n if mode == DISTANCE else 0) for n in (len(q_dims), len(by_id)))
+        asked, offered = (_on_sphere(side[lat], side[lon]) if len(rows) else None for side, lat, lon, rows in (
+            (q, "q_lat", "q_lon", every), (p, "p_lat", "p_lon", near)))
         for i, j in batches(alike(every, near), every, near):
             rows, columns = every[i], near[j]
-            mask = eligible(rows, columns)
-            at, cols = np.nonzero(mask)
-            distances = np.full(mask.shape, np.inf)
-            distances[at, cols] = _kilometres(
-                q["q_lat"][rows[at]], q["q_lon"][rows[at]], p["p_lat"][columns[cols]], p["p_lon"][columns[cols]])
-            at, cols = _smallest(distances, limit)
-            found.append((rows[at], columns[cols], distances[at, cols]))
+            # The nearest by the cosine of the distance, with a margin; only these are measured in kilometres.
+            cosines = asked[rows] @ offered[columns].T
+            cut = np.cos(np.minimum(worst[rows] / V.EARTH_RADIUS_KM, np.pi))
+            if np.isfinite(worst[rows]).all():
+                at, cols = np.divmod(np.flatnonzero(cosines >= cut[:, None] - _COSINE_MARGIN), len(columns))
+                kept = passes(rows[at], columns[cols])
+                at, cols = at[kept], cols[kept]
+            else:
+                cosines[~eligible(rows, columns)] = -np.inf
+                if len(columns) > limit:
+                    cut = np.maximum(cut, np.partition(cosines, len(columns) - limit, axis=1)[:, len(columns) - limit])
+                at, cols = np.nonzero((cosines >= cut[:, None] - _COSINE_MARGIN) & np.isfinite(cosines))
+            kilometres = _kilometres(q["q_lat"][rows[at]], q["q_lon"][rows[at]], p["p_lat"][columns[cols]], p["p_lon"][columns[cols]])
+            kept = _first(at, cols, kilometres, limit)
+            found.append((rows[at[kept]], columns[cols[kept]], kilometres[kept]))
 
         empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
         q_index, p_index, away = (np.concatenate(part) for part in zip(empty, *found))
@@ -389,10 +458,7 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[[pa.T
 
 def _best_rows(hits: pa.Table, limit: int) -> pa.Table:
     """The ``limit`` nearest hits of every row, ties by id."""
-    row = _numbers(hits, "row")
-    order = np.lexsort((_numbers(hits, "id"), _numbers(hits, "away"), row))
-    row = row[order]
-    return hits.take(pa.array(order[np.arange(len(row)) - np.searchsorted(row, row) < limit]))
+    return hits.take(pa.array(_first(_numbers(hits, "row"), _numbers(hits, "id"), _numbers(hits, "away"), limit)))
 
 
 def group_kernel(mode: str, limit: int, request_rows: int, place_rows: int, counted: bool = False,
@@ -411,15 +477,22 @@ def group_kernel(mode: str, limit: int, request_rows: int, place_rows: int, coun
         for first in range(0, requests.num_rows, request_rows):
             asked = requests.slice(first, request_rows).combine_chunks()
             reads = chosen(asked) if chosen is not None else None
+            worst = _numbers(asked, "worst") if chosen is not None else np.full(asked.num_rows, np.inf)
             best = None
             for start in range(0, places.num_rows, place_rows):
-                hits = score(asked, places.slice(start, place_rows).combine_chunks(), reads)
+                hits = score(asked, places.slice(start, place_rows).combine_chunks(), reads, worst)
                 if counted:
                     found.append(hits)
                 else:
-                    best = hits if best is None else _best_rows(pa.concat_tables([best, hits]), limit)
+                    best = hits if best is None else pa.concat_tables([best, hits])
+                    # What is farther than the last of these is no hit, in later blocks neither.
+                    worst = np.minimum(worst, _limits(_numbers(best, "row"), _numbers(best, "away"), asked.num_rows, limit))
+                    best = best.filter(pa.array(_numbers(best, "away") <= worst[_numbers(best, "row")]))
+                    if best.num_rows > 2 * limit * asked.num_rows:  # many at one distance
+                        best = _best_rows(best, limit)
             if counted or best is None:
                 continue
+            best = _best_rows(best, limit)
             columns = {name: asked[name].take(best["row"]) for name in ("qid", "q_lat", "q_lon", "max_km")}
             columns |= {name: best[name] for name in ("id", "p_lat", "p_lon")}
             columns["cos_dist"] = best["away"] if mode == VECTOR else pa.nulls(best.num_rows, pa.float64())

@@ -159,3 +159,53 @@ def test_hits_do_not_grow_with_the_clusters_read(spark, monkeypatch):
     most = counted_hits(monkeypatch)
     assert hits(ivf.certified_hits(q, index, first=30).hits) == exact
     assert most and max(most) <= 4 * 30
+
+
+@pytest.mark.parametrize("mode", [blocks.VECTOR, blocks.DISTANCE])
+def test_later_blocks_give_only_hits_nearer_than_those_found(spark, monkeypatch, mode):
+    """A request knows its worst hit of the blocks before, so most blocks add hardly any."""
+    given, whole = [], blocks.block_kernel
+
+    def watched(*args, **options):
+        score = whole(*args, **options)
+
+        def kept(*tables):
+            hits = score(*tables)
+            given.append(hits.num_rows)
+            return hits
+        return kept
+
+    monkeypatch.setattr(blocks, "block_kernel", watched)
+    monkeypatch.setattr(blocks, "_LEAF_PAIRS", 0)
+    places, requests = clustered(11, 1600, 25)
+    requests = [dict(r, max_distance_km=9.0, minimum_rating=0, preferred_price_range=0) for r in requests]
+    asked = blocks.prepare_requests(requests_df(spark, requests), mode == blocks.VECTOR).toArrow()
+    offered = blocks.vector_places(places_df(spark, places)).toArrow()
+    found = blocks.group_kernel(mode, 30, 64, 64)(asked, offered)
+    assert found.num_rows == 30 * 25 and sum(given) < 30 * 25 * 8  # 25 blocks of places
+    in_one = blocks.group_kernel(mode, 30, 64, 4096)(asked, offered)
+    assert sorted(zip(*(found[c].to_pylist() for c in ("qid", "id")))) == sorted(zip(*(in_one[c].to_pylist() for c in ("qid", "id"))))
+
+
+def test_pairs_told_in_single_precision_are_exact(spark, monkeypatch):
+    """Vectors that single precision cannot tell apart, and more copies than an answer holds, in many blocks."""
+    monkeypatch.setattr(blocks, "_LEAF_PAIRS", 0)
+    monkeypatch.setattr(blocks, "LEAF", 24)
+    monkeypatch.setattr(blocks, "_SPARSE", 1)
+    places, requests = clustered(12, 700, 40)
+    places += [dict(places[7], id=2000 + i) for i in range(70)]
+    places += [dict(places[8], id=3000 + i, embedding=[float(np.float32(x * (1 + 1e-7 * (i % 5)))) for x in places[8]["embedding"]]) for i in range(70)]
+    found = retrieve.retrieve(requests_df(spark, requests), places_df(spark, places), request_block=(8, 64), place_block=(16, 64))
+    assert answers(found) == expected_answers(requests, places)
+
+
+def test_limits_of_even_and_uneven_rows():
+    rng = np.random.default_rng(13)
+    for n in (3, 70_000):
+        for counts in (rng.integers(0, 9, n), np.r_[rng.integers(0, 9, n - 1), 500]):
+            rows = rng.permutation(np.repeat(np.arange(n), counts))
+            values = rng.random(len(rows))
+            limits = blocks._limits(rows, values, n, 4)
+            for row in (0, 1, n - 1):
+                own = np.sort(values[rows == row])
+                assert limits[row] == (own[3] if len(own) >= 4 else np.inf)
