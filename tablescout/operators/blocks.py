@@ -462,9 +462,24 @@ def _best_rows(hits: pa.Table, limit: int) -> pa.Table:
 
 
 def group_kernel(mode: str, limit: int, request_rows: int, place_rows: int, counted: bool = False,
-                 chosen: Chosen | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The scoring of one (request tile, place tile) group, block by block: the ``limit`` best of every request."""
+                 chosen: Chosen | None = None, packed: bool = False) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The scoring of one (request tile, place tile) group, block by block: the ``limit`` best of every request.
+
+    They are a row each, or with ``packed`` the list ``hits`` of their request's one row.
+    """
     score = block_kernel(mode, limit, counted)
+    of_request = ["qid", "q_lat", "q_lon", "max_km"] + (["beyond"] if chosen is not None else [])
+
+    def rows(asked: pa.Table, best: pa.Table) -> pa.Table:
+        own = _numbers(best, "row")
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if packed and len(own) else np.arange(len(own))
+        columns = {name: asked[name].take(pa.array(own[first])) for name in of_request}
+        hits = {name: best[name].combine_chunks() for name in ("id", "p_lat", "p_lon")}
+        hits["cos_dist"] = best["away"].combine_chunks() if mode == VECTOR else pa.nulls(best.num_rows, pa.float64())
+        if packed:
+            listed = pa.StructArray.from_arrays(list(hits.values()), names=list(hits))
+            hits = {"hits": pa.ListArray.from_arrays(pa.array(np.r_[first, len(own)], pa.int32()), listed)}
+        return pa.table(columns | hits | {"semantic": pa.array(np.full(len(first), mode == VECTOR))})
 
     def tile(requests: pa.Table, places: pa.Table) -> pa.Table:
         # Requests of one filter and neighbouring ones share blocks, and so do the places of a cluster.
@@ -492,18 +507,13 @@ def group_kernel(mode: str, limit: int, request_rows: int, place_rows: int, coun
                         best = _best_rows(best, limit)
             if counted or best is None:
                 continue
-            best = _best_rows(best, limit)
-            columns = {name: asked[name].take(best["row"]) for name in ("qid", "q_lat", "q_lon", "max_km")}
-            columns |= {name: best[name] for name in ("id", "p_lat", "p_lon")}
-            columns["cos_dist"] = best["away"] if mode == VECTOR else pa.nulls(best.num_rows, pa.float64())
-            columns["semantic"] = pa.array(np.full(best.num_rows, mode == VECTOR))
-            found.append(pa.table(columns))
+            found.append(rows(asked, _best_rows(best, limit)))
         if found:
             return pa.concat_tables(found)
-        names = {"pairs": pa.int64(), "scored": pa.int64()} if counted else {
-            "qid": requests.schema.field("qid").type, "q_lat": pa.float64(), "q_lon": pa.float64(), "max_km": pa.float64(),
-            "id": pa.int64(), "p_lat": pa.float64(), "p_lon": pa.float64(), "cos_dist": pa.float64(), "semantic": pa.bool_()}
-        return pa.schema(names).empty_table()
+        if counted:
+            return pa.schema({"pairs": pa.int64(), "scored": pa.int64()}).empty_table()
+        nothing = pa.schema({"row": pa.int64(), "away": pa.float64(), "id": pa.int64(), "p_lat": pa.float64(), "p_lon": pa.float64()})
+        return rows(requests, nothing.empty_table())
 
     return tile
 
@@ -526,6 +536,12 @@ def _in_tiles(rows: DataFrame, cells: Column, own: str, other: str, directory: D
     return placed.withColumn(f"{other}_tile", replicas).drop("request_tiles", "place_tiles")
 
 
+def unpacked(found: DataFrame) -> DataFrame:
+    """A row per hit. The lists are brought together by request first, so what a hit has of its request is
+    moved once per list; what groups the rows by ``qid`` afterwards need not move them again."""
+    return found.repartition("qid").select(*(c for c in found.columns if c != "hits"), F.inline("hits"))
+
+
 def _row_bytes(vector: str) -> Column:
     return F.coalesce(F.size(vector), F.lit(0)) * 4 + _ROW_BYTES
 
@@ -533,15 +549,16 @@ def _row_bytes(vector: str) -> Column:
 def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column, place_cells: Column, *,
                  mode: str, limit: int, request_block: tuple[int, int] = REQUEST_BLOCK,
                  place_block: tuple[int, int] = PLACE_BLOCK, broadcast_cells: int = BROADCAST_CELLS,
-                 counted: bool = False, chosen: Chosen | None = None) -> DataFrame:
-    """Hits per request and pair of tiles: at most ``limit`` rows of each pair, or with ``counted`` a row
-    per pair of blocks: its ``pairs`` of vectors, and how many of them were ``scored``.
+                 counted: bool = False, chosen: Chosen | None = None, packed: bool = False) -> DataFrame:
+    """Hits per request and pair of tiles: at most ``limit`` rows of each pair, with ``packed`` one row with a
+    list, or with ``counted`` a row per pair of blocks: its ``pairs`` of vectors, and how many were ``scored``.
 
     ``request_cells`` and ``place_cells`` are exploding expressions that yield one struct per
     cell. The directory of cells occupied on both sides is written once; it decides how
     many tiles a cell needs, drops the cells in which no place passes a request's filter, and is
     broadcast only when its row count allows it. ``chosen`` gives the clusters that a request reads; then
-    requests carry ``worst``, a distance beyond which they want no hits, and places their ``cluster``.
+    requests carry ``worst``, a distance beyond which they want no hits, and ``beyond``, which their hits get,
+    and places their ``cluster``.
     """
     cell_requests = requests.select(_row_bytes("query_vector").alias("bytes"), request_cells.alias("cell"))
     keys = cell_requests.select("cell.*").columns
@@ -573,8 +590,10 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
     group = [*keys, "request_tile", "place_tile"]
     left, right = (side.repartition(tasks, *group) for side in (left, right))
     qid_type = requests.schema["qid"].dataType.simpleString()
-    schema = (f"qid {qid_type}, q_lat double, q_lon double, max_km double, id bigint, "
-              "p_lat double, p_lon double, cos_dist double, semantic boolean")
+    beyond = "" if chosen is None else "beyond double, "
+    schema = (f"qid {qid_type}, q_lat double, q_lon double, max_km double, {beyond}"
+              "hits array<struct<id:bigint,p_lat:double,p_lon:double,cos_dist:double>>, semantic boolean")
     schema = "pairs bigint, scored bigint" if counted else schema
-    kernel = group_kernel(mode, limit, request_block[1], place_block[1], counted, chosen)
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(kernel, schema)
+    kernel = group_kernel(mode, limit, request_block[1], place_block[1], counted, chosen, packed=not counted)
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(kernel, schema)
+    return found if counted or packed else unpacked(found)

@@ -222,10 +222,10 @@ def load_index(spark: SparkSession, path: str) -> VectorIndex:
                        nearest, farthest, members)
 
 
-def _probed_hits(probed: DataFrame, index: VectorIndex, start: int, count: int, limit: int, **block_options: int) -> DataFrame:
+def _probed_hits(probed: DataFrame, index: VectorIndex, start: int, count: int, limit: int, **block_options) -> DataFrame:
     """Hits of requests inside the clusters they read in this round and no farther than ``worst``, at most
     ``limit`` per pair of tiles."""
-    q = blocks.prepare_requests(probed, True, "worst").withColumn("level", geocells.box_level())
+    q = blocks.prepare_requests(probed, True, "worst", "beyond").withColumn("level", geocells.box_level())
     levels = sorted(q.agg(F.collect_set("level").alias("levels")).first()["levels"]) or [0]
     read = probed.select(F.explode("clusters").alias("cluster")).distinct()  # no more than MOST_CLUSTERS and one
     clusters = sorted(r["cluster"] for r in read.collect())
@@ -244,6 +244,16 @@ def _probed_hits(probed: DataFrame, index: VectorIndex, start: int, count: int,
                                chosen=chosen, request_block=(rows, most), **block_options)
 
 
+def _best_packed(found: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` nearest of each request again as a list, with its ``worst`` distance if there are so many."""
+    own = Window.partitionBy("qid")
+    best = blocks.unpacked(found).withColumn("rn", F.row_number().over(own.orderBy("cos_dist", "id"))).where(F.col("rn") <= limit)
+    last = F.max(F.when(F.col("rn") == limit, F.col("cos_dist"))).over(own)
+    best = best.withColumns({"worst": F.coalesce(last, F.lit(float("inf"))), "beyond": F.max("beyond").over(own)})
+    return best.groupBy("qid", "q_lat", "q_lon", "max_km", "semantic", "beyond", "worst").agg(
+        F.collect_list(F.struct("id", "p_lat", "p_lon", "cos_dist")).alias("hits"))
+
+
 def certified_hits(requests: DataFrame, index: VectorIndex, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
                    first: int | None = None, growth: int = 4, most: int | None = None, slack: float = 0.0,
                    **block_options: int) -> Certified:
@@ -262,29 +272,29 @@ def certified_hits(requests: DataFrame, index: VectorIndex, limit: int = V.RESUL
     open_ = requests.where(F.col("query_vector").isNotNull()).select(*_REQUEST_COLUMNS, F.lit(float("inf")).alias("worst"))
     carried, start = None, 0
     hits, reads = [], []
-    best = Window.partitionBy("qid").orderBy("cos_dist", "id")
     while True:
         step = min(step, most - start)
         probed = materialize(_with_clusters(open_, index, start, step), "ivf-probed")
-        found = _probed_hits(probed, index, start, step, limit, **block_options)
+        found = _probed_hits(probed, index, start, step, limit, packed=True, **block_options)
         if carried is not None:
-            found = found.unionByName(carried.join(probed.select("qid"), "qid", "left_semi"))
+            found = found.unionByName(carried)
         start += step
-        carried = materialize(found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= limit), "ivf-best")
-        last = carried.where(F.col("rn") == limit).select("qid", F.col("cos_dist").alias("_worst"))
-        carried = carried.drop("rn")
+        carried = materialize(_best_packed(found, limit), "ivf-best")
+        last = carried.groupBy("qid").agg(F.min("worst").alias("_worst"))
         state = materialize(probed.drop("worst", "clusters").join(last, "qid", "left").withColumn(
             "worst", F.coalesce("_worst", F.lit(float("inf")))).drop("_worst"), "ivf-state")
         more = (F.col("beyond") < float("inf")) & (F.col("beyond") <= F.col("worst") + _MARGIN - slack)
         ended = start >= most or state.where(more).isEmpty()
         reads.append(state.select("qid", "n", (~more if ended else F.lit(True)).alias("certified")))
         if ended:
-            hits.append(carried)
+            hits.append(carried.drop("worst"))
             break
         open_ = state.where(more).drop("beyond", "n")
-        hits.append(carried.join(open_.select("qid"), "qid", "left_anti"))
+        # The ``beyond`` of a list is that of the last round that added to it, so it may be kept longer than its request is open.
+        hits.append(carried.where(~more).drop("worst"))
+        carried = carried.where(more).drop("worst")
         step *= growth
-    every = best_hits(reduce(DataFrame.unionByName, hits), limit)
+    every = best_hits(blocks.unpacked(reduce(DataFrame.unionByName, hits)), limit)
     read = reduce(DataFrame.unionByName, reads).groupBy("qid").agg(F.sum("n").alias("clusters"), F.bool_and("certified").alias("certified"))
     return Certified(every, read)
 

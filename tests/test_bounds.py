@@ -1,11 +1,12 @@
 """Bounds that spare comparisons: leaves inside a block, clusters of the vector index."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from tablescout.operators import blocks, ivf, retrieve
+from tablescout.operators import blocks, geocells, ivf, retrieve
 
 from helpers import answers, expected_answers, places_df, requests_df
 
@@ -209,3 +210,42 @@ def test_limits_of_even_and_uneven_rows():
             for row in (0, 1, n - 1):
                 own = np.sort(values[rows == row])
                 assert limits[row] == (own[3] if len(own) >= 4 else np.inf)
+
+
+def test_hits_travel_as_one_row_per_request_and_tile(spark, monkeypatch):
+    """What a hit has of its request is moved once per list; a request met in several tiles has a list from each."""
+    monkeypatch.setattr(blocks, "PLACE_TILE_BYTES", 6000.0)
+    places, requests = clustered(14, 300, 12)
+    requests += [{"qid": 50, "latitude": 10.0, "longitude": 10.0, "query_vector": requests[0]["query_vector"]}]
+    q = blocks.prepare_requests(requests_df(spark, requests), True).withColumn("level", geocells.box_level())
+    levels = sorted({r["level"] for r in q.select("level").collect()})
+
+    def found(**options):
+        return blocks.blocked_hits(q, blocks.vector_places(places_df(spark, places)), geocells.box_cells(),
+                                   geocells.place_cells(levels), mode=blocks.VECTOR, limit=5, **options)
+
+    lists, rows = found(packed=True).collect(), found().collect()
+    assert max(len(r["hits"]) for r in lists) == 5 and len(lists) < len(rows) / 3
+    assert max(Counter(r["qid"] for r in lists).values()) > 1 and {r["qid"] for r in lists} <= set(range(12))
+    assert sorted((r["qid"], r["q_lat"], h["id"], h["cos_dist"], h["p_lon"]) for r in lists for h in r["hits"]) == sorted(
+        (r["qid"], r["q_lat"], r["id"], r["cos_dist"], r["p_lon"]) for r in rows)
+
+
+def test_hits_carried_through_rounds_are_moved_once_a_round(spark, monkeypatch):
+    """Between rounds hits are lists of their requests, at most one each; requests that end in an early round keep theirs."""
+    kept, whole = [], ivf.materialize
+
+    def watched(df, name):
+        written = whole(df, name)
+        if name == "ivf-best":
+            kept.append(written.groupBy("qid").count().collect())
+        return written
+
+    monkeypatch.setattr(ivf, "materialize", watched)
+    places, requests = clustered(15, 600, 20, centres=12)
+    requests += [{"qid": 60, "latitude": 10.0, "longitude": 10.0, "query_vector": requests[0]["query_vector"]},
+                 {"qid": 61, "latitude": 40.7, "longitude": -74.0, "query_vector": [0.0] * 12}]
+    q, p = requests_df(spark, requests), places_df(spark, places)
+    found = ivf.certified_hits(q, ivf.build_ivf(p, n_cells=12), first=1, growth=2)
+    assert hits(found.hits) == hits(retrieve.vector_hits(q, p))
+    assert len(kept) > 1 and all(r["count"] == 1 for of_round in kept for r in of_round)
