@@ -2,8 +2,8 @@
 
 Requests and places meet in geo cells. Neither the pairs of a cell nor a whole cell ever
 form one task's input: every cell is cut into request tiles and place tiles of bounded bytes,
-each (request tile, place tile) combination is one Arrow group, and a group emits at most
-``limit`` rows per request. A cell that holds a third of all rows therefore becomes many equal
+each (request tile, place tile) combination is one Arrow group, and a group emits a list of at most
+``limit`` hits per request. A cell that holds a third of all rows therefore becomes many equal
 groups instead of one hot one. A row travels once per tile of the other side, so tiles are as
 large as a task's memory allows; inside a group they are cut into blocks, and the best of a
 request's blocks are kept.
