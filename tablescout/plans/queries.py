@@ -38,8 +38,8 @@ def _accepted(spark: SparkSession, sf: str) -> DataFrame:
     return request_ops.validate_requests(view(spark, sf, "requests"))[0]
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.candidates(view(spark, sf, "requests"), view(spark, sf, "places"))
+def _candidates(spark: SparkSession, sf: str, described: bool = True) -> DataFrame:
+    return jobs.candidates(view(spark, sf, "requests"), view(spark, sf, "places"), described=described)
 
 
 def _generated(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +47,7 @@ def _generated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    found = materialize(_candidates(spark, sf).select(*ground.CANDIDATE_COLUMNS), "candidates")
+    found = materialize(_candidates(spark, sf, described=False).select(*ground.CANDIDATE_COLUMNS), "candidates")
     return ground.recommendations(found, _generated(spark, sf))
 
 
@@ -132,7 +132,7 @@ def prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grounding_match(spark: SparkSession, sf: str) -> DataFrame:
-    matched = ground.ground(_generated(spark, sf), _candidates(spark, sf))
+    matched = ground.ground(_generated(spark, sf), _candidates(spark, sf, described=False))
     return matched.select("qid", "pos", "id", "restaurant_name", "justification", km("distance"))
 
 

@@ -15,11 +15,12 @@ from tablescout.session import materialize
 
 
 def candidates(requests: DataFrame, places: DataFrame, embedder: backfill.Embedder | None = None,
-               k: int = V.RESULT_LIMIT, **options) -> DataFrame:
+               k: int = V.RESULT_LIMIT, described: bool = True, **options) -> DataFrame:
     """Ranked catalog rows of every valid request, with descriptions as a prompt shows them.
 
     With an embedder the query vectors are computed from the request texts; otherwise the
-    ``query_vector`` column is used as it is.
+    ``query_vector`` column is used as it is. Only prompts need the descriptions: unless ``described``
+    the rows have none, and the catalog's long texts are not moved.
     """
     accepted, _ = validate_requests(requests)
     if embedder is not None:
@@ -28,7 +29,8 @@ def candidates(requests: DataFrame, places: DataFrame, embedder: backfill.Embedd
 
     def shown(rows: DataFrame) -> DataFrame:
         """Descriptions at prompt size. The rows come from a broadcast join on the scan, so they are spread first."""
-        return rows.repartition("id").withColumn("description", text.short_description(F.col("description")))
+        rows = rows.repartition("id")
+        return rows.withColumn("description", text.short_description(F.col("description"))) if described else rows.drop("description")
 
     return attach_places(ranked, places, shown)
 
@@ -44,7 +46,7 @@ def recommend(requests: DataFrame, places: DataFrame, responses: DataFrame | Non
     ``ledger`` this holds across runs. The candidates feed prompts, grounding and template rows, so
     they are written once.
     """
-    found = candidates(requests, places, embedder, k)
+    found = candidates(requests, places, embedder, k, described=generator is not None)
     if generator is not None:
         found = materialize(found.select(*ground.CANDIDATE_COLUMNS, "description"), "candidates")
         prompts = ground.build_prompts(validate_requests(requests)[0], found, k, cut=False)
