@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,11 @@ _SPLIT_BY_FILTER = 1_000_000
 LEAF = 256
 _LEAF_PAIRS = 2_000_000
 _VISITORS = 2048
-#: Places of a cluster compared at once.
+#: Places of neighbouring clusters compared at once by the requests that read most of these clusters.
 _CLUSTER_ROWS = 1024
 _ANGLE_MARGIN = 1e-6
+#: Pairs of a request and a cluster whose bounds are held at once.
+_READS = 2**24
 #: Pairs are compared one by one if no more than one in so many passes the rough test.
 _SPARSE = 16
 #: Rounding of a cosine of the distance on the sphere, taken in two ways.
@@ -65,8 +68,70 @@ FILTERS = [(r, p) for r in range(V.MAX_RATING + 1) for p in (-1, *range(1, V.MAX
 VECTOR = "vector"
 DISTANCE = "distance"
 
-#: For a table of requests, which clusters each reads: a matrix of truth values.
-Chosen = Callable[[pa.Table], np.ndarray]
+
+class Chosen(Protocol):
+    """Which clusters the requests of a search read, and in which of its rounds."""
+
+    def until(self, requests: pa.Table) -> np.ndarray:
+        """Per request and round but the last: hits nearer than this are wanted if they are among the best of the
+        rounds up to it, although later rounds have better ones."""
+
+    def rounds(self, requests: pa.Table, rows: np.ndarray, units: np.ndarray, clusters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For some rows, given as unit vectors, and clusters: the round of each pair, -1 if the cluster is not read,
+        and the least angle of a member."""
+
+
+class Wanted:
+    """How far the hits of each request of a block may be; it shrinks as hits are found.
+
+    A hit is wanted if it is among the ``limit`` best of all rounds, or among those of the rounds up to one and
+    nearer than ``until`` says for it. Without rounds all hits are of one.
+    """
+
+    def __init__(self, worst: np.ndarray, limit: int, until: np.ndarray | None = None):
+        self.limit, self.until = limit, np.empty((len(worst), 0)) if until is None else until
+        self.limits = np.repeat(worst[:, None], self.until.shape[1] + 1, axis=1)
+        self._spread()
+
+    def _spread(self) -> None:
+        self.farthest = self.limits.copy()
+        for number in range(self.until.shape[1] - 1, -1, -1):
+            own = np.minimum(self.limits[:, number], self.until[:, number])
+            self.farthest[:, number] = np.maximum(self.farthest[:, number + 1], own)
+
+    def _asked(self, number: int, rows: np.ndarray, rounds: np.ndarray, away: np.ndarray) -> np.ndarray:
+        """Hits that the rounds up to this one may want although later ones have better."""
+        until = np.where(self.until[:, number] > self.limits[:, -1], self.until[:, number], -np.inf)
+        return np.flatnonzero((rounds <= number) & (away < until[rows]))
+
+    def of(self, rows: np.ndarray) -> Wanted:
+        """The same for some of the requests."""
+        some = Wanted(np.empty(0), self.limit)
+        some.until, some.limits, some.farthest = self.until[rows], self.limits[rows], self.farthest[rows]
+        return some
+
+    def update(self, rows: np.ndarray, rounds: np.ndarray, away: np.ndarray) -> None:
+        count = len(self.limits)
+        self.limits[:, -1] = np.minimum(self.limits[:, -1], _limits(rows, away, count, self.limit))
+        for number in range(self.until.shape[1]):
+            own = self._asked(number, rows, rounds, away)
+            if len(own):
+                found = _limits(rows[own], away[own], count, self.limit)
+                self.limits[:, number] = np.minimum(self.limits[:, number], found)
+        self._spread()
+
+    def near(self, rows: np.ndarray, rounds: np.ndarray, away: np.ndarray) -> np.ndarray:
+        return away <= self.farthest[rows, rounds]
+
+    def first(self, rows: np.ndarray, ties: np.ndarray, rounds: np.ndarray, away: np.ndarray) -> np.ndarray:
+        """Positions of the wanted hits, row by row; of all rounds in order."""
+        best = _first(rows, ties, away, self.limit)
+        others = [own[_first(rows[own], ties[own], away[own], self.limit)] for own in (
+            self._asked(number, rows, rounds, away) for number in range(self.until.shape[1]))]
+        if not any(map(len, others)):
+            return best
+        every = np.unique(np.concatenate([best, *others]))
+        return every[np.argsort(rows[every], kind="stable")]
 
 
 def filter_number(min_rating: Column, max_price: Column) -> Column:
@@ -235,18 +300,19 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[...,
     """The scoring of one (request block, place block) pair; ``counted`` gives the number of pairs of
     vectors instead, and how many of them were compared.
 
-    With a matrix of the clusters that each request reads, a place counts only for the requests that
-    read its ``cluster``. Hits farther than ``worst``, a distance per request, are not wanted.
+    With ``chosen`` a place counts only for the requests that read its ``cluster``. Hits farther than ``wanted``
+    says are not wanted.
     """
-    def score(requests: pa.Table, places: pa.Table, reads: np.ndarray | None = None, worst: np.ndarray | None = None) -> pa.Table:
-        worst = np.full(requests.num_rows, np.inf) if worst is None else worst
+    def score(requests: pa.Table, places: pa.Table, chosen: Chosen | None = None, wanted: Wanted | None = None) -> pa.Table:
+        wanted = Wanted(np.full(requests.num_rows, np.inf), limit) if wanted is None else wanted
+        worst = wanted.limits[:, -1]
         q = {n: _numbers(requests, n) for n in
              ("q_lat", "q_lon", "lat_min", "lat_max", "lon_min", "lon_max", "min_rating", "max_price")}
         by_id = np.argsort(_numbers(places, "id"))  # column order is then the tie-break
         p = {n: _numbers(places, n)[by_id] for n in ("p_lat", "p_lon", "rating", "price")}
         q_dims, q_vectors = _vectors(requests, "query_vector")
         p_dims, p_vectors = _vectors(places, "embedding")
-        found = []  # (request rows, place rows, cosine or other distances)
+        found = []  # (request rows, place rows, cosine or other distances, rounds)
 
         def eligible(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
             """Box and filters; a condition that all these rows and columns meet is not spelled out."""
@@ -342,15 +408,12 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[...,
                 at, col = _smallest(values, limit)
             return rows[at], cols[col], values[at, col]
 
-        def by_leaves(q_rows, q_units, p_rows, p_units, leaves: list[np.ndarray],
-                      allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        def by_leaves(q_rows, q_units, p_rows, p_units, leaves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
             """The ``limit`` best of every request and what ties with the last, as rows, columns and distances, and the
-            pairs compared; of its ``allowed`` leaves, if given."""
+            pairs compared."""
             leaves = [np.sort(leaf) for leaf in leaves]
             lower = leaf_bounds(q_units, p_units, leaves)
             lower[~reachable(q_rows, [p_rows[leaf] for leaf in leaves])] = np.inf
-            if allowed is not None:
-                lower[~allowed] = np.inf
             # No hit beyond it can be an answer; it lags behind the hits until they are merged.
             bound = worst[q_rows]
             rough = q_units.astype(np.float32), p_units.astype(np.float32)
@@ -391,22 +454,95 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[...,
             merge()
             return *hits[0], scored
 
+        def by_clusters(q_rows, q_units, p_rows, p_units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+            """What is wanted of the clusters that each request reads, as rows, columns, distances and rounds, and the
+            pairs compared."""
+            own, number = np.unique(_numbers(places, "cluster")[by_id][p_rows], return_inverse=True)
+            order = np.argsort(number, kind="stable")
+            rough = q_units.astype(np.float32), p_units.astype(np.float32)
+            step = max(1, _READS // len(own))
+            done = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+            scored = 0
+
+            def of_filter(rows: np.ndarray, cols: np.ndarray, when: np.ndarray, least: np.ndarray) -> None:
+                """Requests of one filter and the places that pass it, cluster by cluster; neighbouring clusters together
+                where most are wanted."""
+                nonlocal scored
+                bounds, hits, fresh = wanted.of(q_rows[rows]), done[:1], 0
+
+                def merged() -> list[tuple[np.ndarray, ...]]:
+                    own, columns, distances, rounds = (np.concatenate(part) for part in zip(*hits))
+                    bounds.update(own, rounds, distances)
+                    kept = np.flatnonzero(bounds.near(own, rounds, distances))
+                    if len(kept) > 2 * limit * bounds.limits.size:  # many at one distance
+                        kept = bounds.first(own, columns, rounds, distances)
+                    return [(own[kept], columns[kept], distances[kept], rounds[kept])]
+
+                def add(own: np.ndarray, columns: np.ndarray, distances: np.ndarray) -> None:
+                    nonlocal fresh
+                    rounds = when[own, number[columns]].astype(np.int64)
+                    kept = bounds.near(own, rounds, distances)
+                    hits.append((own[kept], columns[kept], distances[kept], rounds[kept]))
+                    fresh += len(hits[-1][0])
+
+                def visit(own: np.ndarray, columns: np.ndarray) -> None:
+                    nonlocal scored
+                    # Where the rounds want other hits than all of them, each round is cut to its best by itself.
+                    plain = np.isfinite(bounds.farthest[own, 0]) & (bounds.farthest[own, 0] == bounds.farthest[own, -1])
+                    some = own[plain]
+                    for start in range(0, len(some), _VISITORS):
+                        part = some[start : start + _VISITORS]
+                        scored += len(part) * len(columns)
+                        at, cols, distances = close(q_rows, q_units, rows[part], p_rows, p_units, columns, bounds.farthest[part, 0], rough)
+                        add(np.searchsorted(rows, at), cols, distances)
+                    if plain.all():
+                        return
+                    for part, inside in batches([(own[~plain], np.arange(len(columns)))], q_rows[rows], p_rows[columns]):
+                        near = columns[inside]
+                        scored += len(part) * len(near)
+                        values = compared(q_rows[rows[part]], q_units[rows[part]], p_rows[near], p_units[near])
+                        of = when[part[:, None], number[near]]
+                        for one in np.unique(of[of >= 0]):
+                            at, col = _smallest(np.where(of == one, values, np.inf), limit)
+                            add(part[at], near[col], values[at, col])
+
+                steps = [0, *range(min(LEAF, len(cols)), len(cols), _CLUSTER_ROWS), len(cols)]
+                every = np.arange(len(rows))
+                for columns in (cols[a:b] for a, b in zip(steps[:-1], steps[1:])):
+                    clusters = slice(number[columns[0]], number[columns[-1]] + 1)
+                    columns = np.sort(columns)  # the order of their ids
+                    of = when[:, clusters]
+                    reach = np.arccos(np.clip(1.0 - bounds.farthest, -1.0, 1.0)) + _ANGLE_MARGIN
+                    if of.min() >= 0 and (least[:, clusters].max(axis=1) <= reach[:, -1]).all():
+                        visit(every, columns)
+                    else:
+                        need = (of >= 0) & (least[:, clusters] <= np.take_along_axis(reach, np.maximum(of, 0).astype(np.int64), axis=1))
+                        some = need.any(axis=1)
+                        if need.mean() > 0.5 and of[some].min() >= 0:
+                            visit(every[some], columns)
+                        else:
+                            for n in np.flatnonzero(need.any(axis=0)):
+                                visit(np.flatnonzero(need[:, n]), columns[number[columns] == clusters.start + n])
+                    if fresh > limit * len(rows) / 2:
+                        hits, fresh = merged(), 0
+                for own, *found in merged() if fresh > limit * len(rows) / 4 else hits:
+                    done.append((rows[own], *found))
+
+            for first in range(0, len(q_rows), step):
+                asked = np.arange(first, min(first + step, len(q_rows)))
+                when, least = chosen.rounds(requests, q_rows[asked], q_units[asked], own)
+                for i, j in alike(q_rows[asked], p_rows[order]):
+                    of_filter(asked[i], order[j], when[i], least[i])
+            return *(np.concatenate(part) for part in zip(*done)), scored
+
         pairs = scored = 0
         for dim in np.unique(q_dims[q_dims > 0]) if mode != DISTANCE else ():
             p_rows, p_units = _unit_rows(p_vectors, np.flatnonzero(p_dims[by_id] == dim), dim, by_id)
             q_rows, q_units = _unit_rows(q_vectors, np.flatnonzero(q_dims == dim), dim)
             pairs += len(q_rows) * len(p_rows)
-            if reads is not None and len(q_rows) and len(p_rows):
-                cluster = _numbers(places, "cluster")[by_id][p_rows]
-                order = np.argsort(cluster, kind="stable")
-                own, first = np.unique(cluster[order], return_index=True)
-                leaves, number = [], []
-                for c, members in zip(own, np.split(order, first[1:])):
-                    parts = np.array_split(members, math.ceil(len(members) / _CLUSTER_ROWS))
-                    leaves += parts
-                    number += [c] * len(parts)
-                at, cols, distances, n = by_leaves(q_rows, q_units, p_rows, p_units, leaves, reads[q_rows][:, number])
-                found.append((q_rows[at], p_rows[cols], distances))
+            if chosen is not None and len(q_rows) and len(p_rows):
+                at, cols, distances, rounds, n = by_clusters(q_rows, q_units, p_rows, p_units)
+                found.append((q_rows[at], p_rows[cols], distances, rounds))
                 scored += n
                 continue
             small, large = [], []
@@ -414,7 +550,7 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[...,
                 (large if len(part[0]) * len(part[1]) > _LEAF_PAIRS and len(part[1]) > LEAF else small).append(part)
             for i, j in batches(small, q_rows, p_rows):
                 at, cols, distances = close(q_rows, q_units, i, p_rows, p_units, j, worst[q_rows[i]])
-                found.append((q_rows[at], p_rows[cols], distances))
+                found.append((q_rows[at], p_rows[cols], distances, np.zeros(len(at), np.int64)))
                 scored += len(i) * len(j)
             leaves = _leaves(p_units, np.column_stack([p["p_lat"][p_rows], p["p_lon"][p_rows]]), LEAF) if large else []
             for i, j in large:
@@ -422,7 +558,7 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[...,
                 wanted[j] = True
                 own = [leaf[wanted[leaf]] for leaf in leaves if wanted[leaf].any()]
                 at, cols, distances, n = by_leaves(q_rows[i], q_units[i], p_rows, p_units, own)
-                found.append((q_rows[i[at]], p_rows[cols], distances))
+                found.append((q_rows[i[at]], p_rows[cols], distances, np.zeros(len(at), np.int64)))
                 scored += n
         if counted:
             return pa.table({"pairs": pa.array([pairs], pa.int64()), "scored": pa.array([scored], pa.int64())})
@@ -446,24 +582,20 @@ def block_kernel(mode: str, limit: int, counted: bool = False) -> Callable[...,
                 at, cols = np.nonzero((cosines >= cut[:, None] - _COSINE_MARGIN) & np.isfinite(cosines))
             kilometres = _kilometres(q["q_lat"][rows[at]], q["q_lon"][rows[at]], p["p_lat"][columns[cols]], p["p_lon"][columns[cols]])
             kept = _first(at, cols, kilometres, limit)
-            found.append((rows[at[kept]], columns[cols[kept]], kilometres[kept]))
+            found.append((rows[at[kept]], columns[cols[kept]], kilometres[kept], np.zeros(len(kept), np.int64)))
 
-        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
-        q_index, p_index, away = (np.concatenate(part) for part in zip(empty, *found))
-        hits = {"row": pa.array(q_index), "away": pa.array(away)}
+        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64), np.empty(0, np.int64))
+        q_index, p_index, away, rounds = (np.concatenate(part) for part in zip(empty, *found))
+        hits = {"row": pa.array(q_index), "away": pa.array(away), "round": pa.array(rounds)}
         return pa.table(hits | {name: places[name].take(pa.array(by_id[p_index])) for name in ("id", "p_lat", "p_lon")})
 
     return score
 
 
-def _best_rows(hits: pa.Table, limit: int) -> pa.Table:
-    """The ``limit`` nearest hits of every row, ties by id."""
-    return hits.take(pa.array(_first(_numbers(hits, "row"), _numbers(hits, "id"), _numbers(hits, "away"), limit)))
-
-
 def group_kernel(mode: str, limit: int, request_rows: int, place_rows: int, counted: bool = False,
                  chosen: Chosen | None = None, packed: bool = False) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The scoring of one (request tile, place tile) group, block by block: the ``limit`` best of every request.
+    """The scoring of one (request tile, place tile) group, block by block: the ``limit`` best of every request, with
+    ``chosen`` also what is wanted of the rounds, and the round of each.
 
     They are a row each, or with ``packed`` the list ``hits`` of their request's one row.
     """
@@ -476,6 +608,8 @@ def group_kernel(mode: str, limit: int, request_rows: int, place_rows: int, coun
         columns = {name: asked[name].take(pa.array(own[first])) for name in of_request}
         hits = {name: best[name].combine_chunks() for name in ("id", "p_lat", "p_lon")}
         hits["cos_dist"] = best["away"].combine_chunks() if mode == VECTOR else pa.nulls(best.num_rows, pa.float64())
+        if chosen is not None:
+            hits["round"] = best["round"].combine_chunks().cast(pa.int32())
         if packed:
             listed = pa.StructArray.from_arrays(list(hits.values()), names=list(hits))
             hits = {"hits": pa.ListArray.from_arrays(pa.array(np.r_[first, len(own)], pa.int32()), listed)}
@@ -484,43 +618,43 @@ def group_kernel(mode: str, limit: int, request_rows: int, place_rows: int, coun
     def tile(requests: pa.Table, places: pa.Table) -> pa.Table:
         # Requests of one filter and neighbouring ones share blocks, and so do the places of a cluster.
         strip = np.floor(_numbers(requests, "q_lat") * 50)
-        requests = requests.take(pa.array(np.lexsort(
-            (_numbers(requests, "q_lon"), strip, _numbers(requests, "max_price"), _numbers(requests, "min_rating")))))
-        if chosen is not None:
-            places = places.take(pa.array(np.argsort(_numbers(places, "cluster"), kind="stable")))
+        order = np.lexsort((_numbers(requests, "q_lon"), strip, _numbers(requests, "max_price"), _numbers(requests, "min_rating")))
+        by_cluster = np.argsort(_numbers(places, "cluster"), kind="stable") if chosen is not None else None
         found = []
         for first in range(0, requests.num_rows, request_rows):
-            asked = requests.slice(first, request_rows).combine_chunks()
-            reads = chosen(asked) if chosen is not None else None
+            asked = requests.take(pa.array(order[first : first + request_rows])).combine_chunks()
             worst = _numbers(asked, "worst") if chosen is not None else np.full(asked.num_rows, np.inf)
+            wanted = Wanted(worst, limit, chosen.until(asked) if chosen is not None else None)
             best = None
             for start in range(0, places.num_rows, place_rows):
-                hits = score(asked, places.slice(start, place_rows).combine_chunks(), reads, worst)
+                part = places.slice(start, place_rows) if chosen is None else places.take(pa.array(by_cluster[start : start + place_rows]))
+                hits = score(asked, part.combine_chunks(), chosen, wanted)
                 if counted:
                     found.append(hits)
                 else:
                     best = hits if best is None else pa.concat_tables([best, hits])
                     # What is farther than the last of these is no hit, in later blocks neither.
-                    worst = np.minimum(worst, _limits(_numbers(best, "row"), _numbers(best, "away"), asked.num_rows, limit))
-                    best = best.filter(pa.array(_numbers(best, "away") <= worst[_numbers(best, "row")]))
-                    if best.num_rows > 2 * limit * asked.num_rows:  # many at one distance
-                        best = _best_rows(best, limit)
+                    wanted.update(*(_numbers(best, name) for name in ("row", "round", "away")))
+                    best = best.filter(pa.array(wanted.near(*(_numbers(best, name) for name in ("row", "round", "away")))))
+                    if best.num_rows > 2 * limit * wanted.limits.size:  # many at one distance
+                        best = best.take(pa.array(wanted.first(*(_numbers(best, name) for name in ("row", "id", "round", "away")))))
             if counted or best is None:
                 continue
-            found.append(rows(asked, _best_rows(best, limit)))
+            found.append(rows(asked, best.take(pa.array(wanted.first(*(_numbers(best, name) for name in ("row", "id", "round", "away")))))))
         if found:
             return pa.concat_tables(found)
         if counted:
             return pa.schema({"pairs": pa.int64(), "scored": pa.int64()}).empty_table()
-        nothing = pa.schema({"row": pa.int64(), "away": pa.float64(), "id": pa.int64(), "p_lat": pa.float64(), "p_lon": pa.float64()})
+        nothing = pa.schema({"row": pa.int64(), "away": pa.float64(), "round": pa.int64(), "id": pa.int64(),
+                             "p_lat": pa.float64(), "p_lon": pa.float64()})
         return rows(requests, nothing.empty_table())
 
     return tile
 
 
 def _in_tiles(rows: DataFrame, cells: Column, own: str, other: str, directory: DataFrame,
-               row_key: list[str], broadcast: bool) -> DataFrame:
-    """Key every row by cell and tile, once per tile of the other side."""
+               row_key: list[str], broadcast: bool, tile_key: list[Column | str] | None = None) -> DataFrame:
+    """Key every row by cell and tile, once per tile of the other side; rows of one ``tile_key`` share a tile."""
     keys = [c for c in directory.columns if not c.endswith("_tiles") and c != "passed"]
 
     def in_cells(columns: list[str]) -> DataFrame:
@@ -531,7 +665,7 @@ def _in_tiles(rows: DataFrame, cells: Column, own: str, other: str, directory: D
     else:
         # Too many cells to broadcast: look the cells up with bare keys, then fetch the rows.
         placed = rows.drop(*keys).join(in_cells(row_key).join(directory, keys), row_key)
-    placed = placed.withColumn(f"{own}_tile", F.pmod(F.xxhash64(F.lit(own), *row_key), f"{own}_tiles"))
+    placed = placed.withColumn(f"{own}_tile", F.pmod(F.xxhash64(F.lit(own), *(tile_key or row_key)), f"{own}_tiles"))
     replicas = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_tiles") - 1))
     return placed.withColumn(f"{other}_tile", replicas).drop("request_tiles", "place_tiles")
 
@@ -549,7 +683,8 @@ def _row_bytes(vector: str) -> Column:
 def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column, place_cells: Column, *,
                  mode: str, limit: int, request_block: tuple[int, int] = REQUEST_BLOCK,
                  place_block: tuple[int, int] = PLACE_BLOCK, broadcast_cells: int = BROADCAST_CELLS,
-                 counted: bool = False, chosen: Chosen | None = None, packed: bool = False) -> DataFrame:
+                 counted: bool = False, chosen: Chosen | None = None, packed: bool = False,
+                 together: list[Column | str] | None = None) -> DataFrame:
     """Hits per request and pair of tiles: at most ``limit`` rows of each pair, with ``packed`` one row with a
     list, or with ``counted`` a row per pair of blocks: its ``pairs`` of vectors, and how many were ``scored``.
 
@@ -558,7 +693,7 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
     many tiles a cell needs, drops the cells in which no place passes a request's filter, and is
     broadcast only when its row count allows it. ``chosen`` gives the clusters that a request reads; then
     requests carry ``worst``, a distance beyond which they want no hits, and ``beyond``, which their hits get,
-    and places their ``cluster``.
+    and places their ``cluster``. Places alike in ``together``, which must be few, go to one tile.
     """
     cell_requests = requests.select(_row_bytes("query_vector").alias("bytes"), request_cells.alias("cell"))
     keys = cell_requests.select("cell.*").columns
@@ -586,13 +721,13 @@ def blocked_hits(requests: DataFrame, places: DataFrame, request_cells: Column,
     left = _in_tiles(requests, request_cells, "request", "place", directory, ["qid"], small)
     possible = F.col("filter_number").isNull() | (F.getbit("passed", F.coalesce("filter_number", F.lit(0))) == 1)
     left = left.where(possible).drop("passed", "filter_number")
-    right = _in_tiles(places, place_cells, "place", "request", directory.drop("passed"), ["id"], small)
+    right = _in_tiles(places, place_cells, "place", "request", directory.drop("passed"), ["id"], small, together)
     group = [*keys, "request_tile", "place_tile"]
     left, right = (side.repartition(tasks, *group) for side in (left, right))
     qid_type = requests.schema["qid"].dataType.simpleString()
-    beyond = "" if chosen is None else "beyond double, "
+    beyond, number = ("", "") if chosen is None else ("beyond array<double>, ", ",round:int")
     schema = (f"qid {qid_type}, q_lat double, q_lon double, max_km double, {beyond}"
-              "hits array<struct<id:bigint,p_lat:double,p_lon:double,cos_dist:double>>, semantic boolean")
+              f"hits array<struct<id:bigint,p_lat:double,p_lon:double,cos_dist:double{number}>>, semantic boolean")
     schema = "pairs bigint, scored bigint" if counted else schema
     kernel = group_kernel(mode, limit, request_block[1], place_block[1], counted, chosen, packed=not counted)
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(kernel, schema)

@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablescout import fixed_values as V
-from tablescout.operators import blocks, geocells
+from tablescout.operators import blocks, geocells, kmeans
 from tablescout.operators.retrieve import best_hits, vector_hits
 from tablescout.session import materialize
 
@@ -37,12 +37,20 @@ CLUSTER_ROWS = 2048
 MOST_CLUSTERS = 16_384
 #: Centroids are fitted to a sample of at most so many places per cluster; all places are assigned.
 FIT_ROWS = 256
+#: Up to so many clusters are fitted by MLlib, which compares vector by vector.
+MLLIB_CLUSTERS = 1024
 #: Vectors scored against all centroids at once.
 _CHUNK = 512
 #: Angles and distances are rounded outwards by this much.
 _MARGIN = 1e-6
-#: Truth values of a block: which request reads which cluster.
-_READS = 2**25
+#: Requests whose clusters are put in order at once.
+_ROUND_ROWS = 64
+#: Up to so many requests move once per round, more only once.
+ROUND_REQUESTS = 16_384
+#: Places of a cluster that share a tile; requests, and places and their numbers, of blocks that are compared cluster by cluster.
+_TOGETHER = 4096
+_REQUEST_ROWS = 8192
+_PLACE_ROWS, _PLACE_NUMBERS = 32_768, 2**21
 #: Clusters of a round that are listed in the filter of the index's scan.
 _LISTED = 1024
 
@@ -112,59 +120,153 @@ def _assigned(df: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 def lower_bounds(units: np.ndarray, index: VectorIndex) -> np.ndarray:
     """The least cosine distance of any member of each cluster to each unit vector; infinite for empty clusters."""
-    bounds = np.zeros((len(units), len(index.members)))
-    for part, angles in _angles(units, index.centroids):
-        gap = np.maximum(angles - index.farthest[:-1], index.nearest[:-1] - angles)
-        bounds[part, :-1] = 1.0 - np.cos(np.maximum(gap - _MARGIN, 0.0))
+    bounds = 1.0 - np.cos(_gaps(units, index, np.arange(len(index.members))))
     bounds[:, index.members == 0] = np.inf
     return bounds
 
 
+def _gaps(units: np.ndarray, index: VectorIndex, clusters: np.ndarray) -> np.ndarray:
+    """The least angle of any member of the given clusters to each unit vector, rounded downwards."""
+    last = len(index.members) - 1
+    inside = clusters[clusters < last]
+    whole = len(inside) == last
+    centroids, nearest, farthest = ((x if whole else x[inside]) for x in (index.centroids, index.nearest[:-1], index.farthest[:-1]))
+    gaps = np.zeros((len(units), len(clusters)))
+    # Places without a cluster, the last, may be at any angle.
+    for part, angles in _angles(units, centroids):
+        gap = np.maximum(angles - farthest, nearest - angles)
+        gap -= _MARGIN
+        np.maximum(gap, 0.0, out=gaps[part, : len(inside)])
+    return gaps
+
+
 def _without_table(index: VectorIndex) -> VectorIndex:
     """What the tasks need."""
     return VectorIndex(None, index.centroids, index.nearest, index.farthest, index.members)
 
 
-def _reads(vectors: pa.Array, worst: np.ndarray, index: VectorIndex, start: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which clusters each request reads, the next ``count`` from place ``start`` of its order on, and the least
-    distance in what is left after them. A cluster that cannot beat ``worst`` is not read."""
-    last = len(index.members) - 1
-    picked = np.zeros((len(worst), last + 1), dtype=bool)
-    beyond = np.full(len(worst), np.inf)
-    rows, units = _directed(vectors, index.centroids.shape[1])
-    if start == 0 and index.members[last]:
-        picked[np.setdiff1d(np.arange(len(worst)), rows), last] = True  # only places without a cluster can match
-    for part in range(0, len(rows), _CHUNK):
-        own = rows[part : part + _CHUNK]
-        bounds = lower_bounds(units[part : part + _CHUNK], index)
-        order = np.argsort(bounds, axis=1, kind="stable")
-        bounds = np.take_along_axis(bounds, order, axis=1)
-        useful = np.isfinite(bounds) & (bounds <= worst[own, None] + _MARGIN)
-        picked[own[:, None], order[:, start : start + count]] = useful[:, start : start + count]
-        if start + count < bounds.shape[1]:
-            beyond[own] = bounds[:, start + count]
-    return picked, beyond
-
-
-def _with_clusters(df: DataFrame, index: VectorIndex, start: int, count: int) -> DataFrame:
-    """Add ``n``, the number of clusters that a request reads in this round, ``beyond``, the least distance in
-    what is left after them, and ``clusters``: on the first of some rows those that any of them reads."""
+def _numbers(column: pa.ChunkedArray | pa.Array, count: int) -> np.ndarray:
+    """Lists of ``count`` numbers as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), count)
+
+
+def _round_ends(total: int, first: int | None, growth: int, most: int | None) -> list[int]:
+    """How many clusters a request has read after each round if it stays open."""
+    most = total if most is None else min(most, total)
+    step, ends = first or max(1, math.isqrt(total)), [0]
+    while ends[-1] < most:
+        step = min(step, most - ends[-1])
+        ends.append(ends[-1] + step)
+        step *= growth
+    return ends[1:]
+
+
+def _with_rounds(df: DataFrame, index: VectorIndex, ends: list[int]) -> DataFrame:
+    """Add what tells in which round a request reads a cluster, and what the rounds can find.
+
+    A request reads the clusters in the order of their gaps (``_gaps``), equal ones in that of their numbers.
+    ``edges`` has for each round an angle: clusters with a larger gap come later, and of those that have
+    just this gap the ones from number ``ties`` on, where that is not 0. ``tops`` is the least distance in the
+    last cluster of the round, ``beyond`` that in the first one after it, ``readable`` the number of clusters there are.
+    """
     index = _without_table(index)
+    last, occupied = len(index.members) - 1, int((index.members > 0).sum())
+
+    def added(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shape = (batch.num_rows, len(ends))
+        edges, tops, beyond = np.full(shape, np.inf), np.zeros(shape), np.full(shape, np.inf)
+        ties = np.zeros(shape, dtype=np.int32)
+        readable = np.full(batch.num_rows, int(index.members[last] > 0), dtype=np.int64)  # only places without a cluster can match
+        rows, units = _directed(batch.column("query_vector"), index.centroids.shape[1])
+        readable[rows] = occupied
+        for start in range(0, len(rows), _ROUND_ROWS):
+            own = rows[start : start + _ROUND_ROWS]
+            gaps = _gaps(units[start : start + _ROUND_ROWS], index, np.arange(last + 1))
+            gaps[:, index.members == 0] = np.inf
+            ordered = np.sort(gaps, axis=1)
+            for number, end in enumerate(ends):
+                before = ordered[:, min(end, occupied) - 1] if occupied else np.zeros(len(own))
+                tops[own, number] = 1.0 - np.cos(before)
+                if end < occupied:
+                    after = ordered[:, end]
+                    beyond[own, number] = 1.0 - np.cos(after)
+                    edges[own, number] = (before + after) / 2
+                    for row in np.flatnonzero(before == after):
+                        equal = np.flatnonzero(gaps[row] == after[row])
+                        ties[own[row], number] = equal[end - np.searchsorted(ordered[row], after[row])]
+        columns = {"readable": pa.array(readable)}
+        for name, values in (("edges", edges), ("ties", ties), ("tops", tops), ("beyond", beyond)):
+            at = pa.array(np.arange(shape[0] + 1) * shape[1], pa.int32())
+            columns[name] = pa.ListArray.from_arrays(at, pa.array(values.ravel()))
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(added, batches)
+
+    schema = T.StructType(df.schema.fields + [T.StructField("readable", T.LongType())] + [
+        T.StructField(name, T.ArrayType(T.IntegerType() if name == "ties" else T.DoubleType())) for name in ("edges", "ties", "tops", "beyond")])
+    return df.mapInArrow(ranked, schema)
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, _CHUNK):
-                batch = whole.slice(first, _CHUNK)
-                picked, beyond = _reads(batch.column("query_vector"), batch.column("worst").to_numpy(), index, start, count)
-                clusters = [np.flatnonzero(picked.any(axis=0)).tolist()] + [[]] * (batch.num_rows - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(picked.sum(axis=1)), pa.array(beyond), pa.array(clusters, pa.list_(pa.int32()))],
-                    names=[*batch.schema.names, "n", "beyond", "clusters"])
-
-    schema = T.StructType(df.schema.fields + [
-        T.StructField("n", T.LongType()), T.StructField("beyond", T.DoubleType()),
-        T.StructField("clusters", T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(nearest, schema)
+
+@dataclass(frozen=True)
+class _Pass:
+    """The rounds ``first`` to ``stop`` (exclusive) of a search, in which its requests move once."""
+
+    index: VectorIndex
+    ends: list[int]
+    first: int
+    stop: int
+    slack: float
+
+    def until(self, requests: pa.Table) -> np.ndarray:
+        """Whether a request goes on after a round depends on hits nearer than the next clusters can be, and which of these it
+        reads, on hits nearer than the last of them."""
+        tops = _numbers(requests["tops"], len(self.ends))[:, self.first + 1 : self.stop]
+        return tops + max(self.slack, 0.0) + 2 * _MARGIN
+
+    def rounds(self, requests: pa.Table, rows: np.ndarray, units: np.ndarray, clusters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        last = len(self.index.members) - 1
+        when = np.full((len(rows), len(clusters)), -1, dtype=np.int16)
+        least = np.zeros((len(rows), len(clusters)), dtype=np.float32)
+        directed = np.flatnonzero(np.isfinite(units).all(axis=1)) if units.shape[1] == self.index.centroids.shape[1] else rows[:0]
+        if self.first == 0:
+            when[:, clusters == last] = 0  # all that a vector without direction among these clusters reads
+        edges, ties = (_numbers(requests[name], len(self.ends)) for name in ("edges", "ties"))
+        for start in range(0, len(directed), _ROUND_ROWS):
+            some = directed[start : start + _ROUND_ROWS]
+            gaps = _gaps(units[some], self.index, clusters)
+            number = np.zeros(gaps.shape, dtype=np.int16)
+            for edge, tie in zip(edges[rows[some]].T, ties[rows[some]].T):
+                number += gaps > edge[:, None]
+                tied = np.flatnonzero(tie)
+                if len(tied):
+                    number[tied] += (gaps[tied] == edge[tied, None]) & (clusters >= tie[tied, None])
+            number[number >= self.stop] = -1
+            number[number >= 0] -= self.first
+            when[some] = np.maximum(number, -1)
+            least[some] = gaps - _MARGIN  # more than what rounding to single precision adds
+        return when, least
+
+    def read(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The clusters that any of these requests reads."""
+        picked = np.zeros(len(self.index.members), dtype=bool)
+        rows, units = _directed(batch.column("query_vector"), self.index.centroids.shape[1])
+        if self.first == 0 and len(rows) < batch.num_rows:
+            picked[-1] = True
+        table = pa.Table.from_batches([batch])
+        worst = batch.column("worst").to_numpy()
+        for start in range(0, len(rows), _ROUND_ROWS):
+            some = rows[start : start + _ROUND_ROWS]
+            when, least = self.rounds(table, some, units[start : start + _ROUND_ROWS], np.arange(len(picked)))
+            reach = np.arccos(np.clip(1.0 - worst[some] - _MARGIN, -1.0, 1.0))
+            picked |= ((when >= 0) & (least <= reach[:, None])).any(axis=0)
+        return np.flatnonzero(picked & (self.index.members > 0))
+
+    def closed(self, worst: np.ndarray, beyond: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of matrices over the rounds of this pass: the last round that each request takes part in, and whether it is open after it."""
+        more = np.isfinite(beyond) & (beyond <= worst + _MARGIN - self.slack)
+        return np.where(more.all(axis=1), more.shape[1] - 1, more.argmin(axis=1)), more.all(axis=1)
 
 
 def build_ivf(places: DataFrame, n_cells: int | None = None, max_iter: int = 10, seed: int = V.SAMPLE_SEED,
@@ -183,10 +285,15 @@ def build_ivf(places: DataFrame, n_cells: int | None = None, max_iter: int = 10,
         n_cells = min(MOST_CLUSTERS, max(2, math.ceil(rows / cluster_rows)))
     fitting = embedded.where(F.size("embedding") == dims).where(F.exists("embedding", lambda x: x != 0))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") * 2.0**-53
-    sample = fitting.where(chance < FIT_ROWS * n_cells / max(rows, 1)).select(array_to_vector("embedding").alias("features"))
-    centers = np.zeros((0, dims))
+    sample = fitting.where(chance < FIT_ROWS * n_cells / max(rows, 1))
+    if n_cells > MLLIB_CLUSTERS:
+        sample = sample.where(F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
     if not sample.isEmpty():
-        centers = np.array(KMeans(k=n_cells, distanceMeasure="cosine", maxIter=max_iter, seed=seed).fit(sample).clusterCenters())
+        if n_cells > MLLIB_CLUSTERS:
+            centers = kmeans.fit(sample, n_cells, max_iter, seed)
+        else:
+            features = sample.select(array_to_vector("embedding").alias("features"))
+            centers = np.array(KMeans(k=n_cells, distanceMeasure="cosine", maxIter=max_iter, seed=seed).fit(features).clusterCenters())
         centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
     else:
         centers = np.eye(1, dims)
@@ -222,36 +329,107 @@ def load_index(spark: SparkSession, path: str) -> VectorIndex:
                        nearest, farthest, members)
 
 
-def _probed_hits(probed: DataFrame, index: VectorIndex, start: int, count: int, limit: int, **block_options) -> DataFrame:
-    """Hits of requests inside the clusters they read in this round and no farther than ``worst``, at most
-    ``limit`` per pair of tiles."""
-    q = blocks.prepare_requests(probed, True, "worst", "beyond").withColumn("level", geocells.box_level())
-    levels = sorted(q.agg(F.collect_set("level").alias("levels")).first()["levels"]) or [0]
-    read = probed.select(F.explode("clusters").alias("cluster")).distinct()  # no more than MOST_CLUSTERS and one
-    clusters = sorted(r["cluster"] for r in read.collect())
-    places = index.places
-    if len(clusters) < (index.members > 0).sum() and len(clusters) <= _LISTED:
-        places = places.where(F.col("cluster").isin(clusters))  # partitions of the stored index that are not read
-    p = blocks.vector_places(places, "cluster")
-    index = _without_table(index)
+def _listed_clusters(open_: DataFrame, step: _Pass) -> list[int]:
+    """The clusters that the requests read in a pass; no more than ``MOST_CLUSTERS`` and one."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(step.read(batch), pa.int32())], names=["cluster"])
+
+    columns = open_.select("query_vector", "worst", "edges", "ties")
+    return sorted(r["cluster"] for r in columns.mapInArrow(read, "cluster int").distinct().collect())
 
-    def chosen(asked: pa.Table) -> np.ndarray:
-        return _reads(asked["query_vector"].combine_chunks(), asked["worst"].to_numpy(), index, start, count)[0]
 
-    rows, most = block_options.pop("request_block", blocks.REQUEST_BLOCK)
-    most = max(1, min(most, _READS // len(index.members)))
+def _probed_hits(open_: DataFrame, places: DataFrame, step: _Pass, limit: int, listed: bool, **block_options) -> DataFrame:
+    """Hits of requests inside the clusters they read in a pass and no farther than ``worst``, a list per request and pair of
+    tiles. With ``listed`` only the clusters that any of them reads are fetched."""
+    q = blocks.prepare_requests(open_, True, "worst", "edges", "ties", "tops", "beyond").withColumn("level", geocells.box_level())
+    levels = sorted(q.agg(F.collect_set("level").alias("levels")).first()["levels"]) or [0]
+    if listed:
+        clusters = _listed_clusters(open_, step)
+        if len(clusters) < (step.index.members > 0).sum() and len(clusters) <= _LISTED:
+            places = places.where(F.col("cluster").isin(clusters))  # partitions of the stored index that are not read
+    p = blocks.vector_places(places, "cluster")
+    # A cluster's places share a tile, so that a request meets a cluster once; parts of them where one is large.
+    pieces = max(1, math.ceil(int(step.index.members.max(initial=1)) / _TOGETHER))
+    together = ["cluster", F.pmod(F.xxhash64("id"), F.lit(pieces))]
+    most = max(blocks.PLACE_BLOCK[1], min(_PLACE_ROWS, _PLACE_NUMBERS // step.index.centroids.shape[1]))
+    block_options = {"request_block": (blocks.REQUEST_BLOCK[0], _REQUEST_ROWS), "place_block": (blocks.PLACE_BLOCK[0], most)} | block_options
     return blocks.blocked_hits(q, p, geocells.box_cells(), geocells.place_cells(levels), mode=blocks.VECTOR, limit=limit,
-                               chosen=chosen, request_block=(rows, most), **block_options)
+                               chosen=step, packed=True, together=together, **block_options)
+
 
+def _best_packed(found: DataFrame, step: _Pass, limit: int) -> DataFrame:
+    """The ``limit`` nearest of each request again as a list, of the rounds it takes part in, with the distance of the last
+    after each round (``worsts``; infinite if there are not so many), and whether the request is ``open`` after the pass."""
+    rounds = range(step.first, step.stop)
+    lists = found.repartition("qid").groupBy("qid", "q_lat", "q_lon", "max_km", "semantic").agg(
+        F.flatten(F.collect_list("hits")).alias("hits"), F.array(*(F.max(F.col("beyond")[r]) for r in rounds)).alias("_beyond"),
+        F.max("beyond").alias("beyond"))
+    schema = T.StructType(lists.drop("_beyond").schema.fields + [
+        T.StructField("worsts", T.ArrayType(T.DoubleType())), T.StructField("open", T.BooleanType())])
+    kept = [f.name for f in schema.fields if f.name not in ("hits", "worsts", "open")]
 
-def _best_packed(found: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` nearest of each request again as a list, with its ``worst`` distance if there are so many."""
-    own = Window.partitionBy("qid")
-    best = blocks.unpacked(found).withColumn("rn", F.row_number().over(own.orderBy("cos_dist", "id"))).where(F.col("rn") <= limit)
-    last = F.max(F.when(F.col("rn") == limit, F.col("cos_dist"))).over(own)
-    best = best.withColumns({"worst": F.coalesce(last, F.lit(float("inf"))), "beyond": F.max("beyond").over(own)})
-    return best.groupBy("qid", "q_lat", "q_lon", "max_km", "semantic", "beyond", "worst").agg(
-        F.collect_list(F.struct("id", "p_lat", "p_lon", "cos_dist")).alias("hits"))
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, hits = batch.column("hits"), batch.column("hits").flatten()
+            rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            away, ids, number = (hits.field(n).to_numpy(zero_copy_only=False) for n in ("cos_dist", "id", "round"))
+            number = number.astype(np.int64)
+            worst = np.stack([blocks._limits(rows[number <= r], away[number <= r], batch.num_rows, limit) for r in range(len(rounds))], axis=1)
+            last, open_ = step.closed(worst, _numbers(batch.column("_beyond"), len(rounds)))
+            mine = np.flatnonzero(number <= last[rows])
+            mine = mine[blocks._first(rows[mine], ids[mine], away[mine], limit)]
+            at = np.searchsorted(rows[mine], np.arange(batch.num_rows + 1))
+            taken = hits.take(pa.array(mine))
+            # In the passes to come these are hits of rounds before.
+            taken = pa.StructArray.from_arrays([taken.field(f.name) if f.name != "round" else pa.array(np.full(len(mine), -1, np.int32))
+                                                for f in hits.type], names=[f.name for f in hits.type])
+            columns = {name: batch.column(name) for name in kept} | {
+                "hits": pa.ListArray.from_arrays(pa.array(at, pa.int32()), taken),
+                "worsts": pa.ListArray.from_arrays(pa.array(np.arange(len(worst) + 1) * len(rounds), pa.int32()), pa.array(worst.ravel())),
+                "open": pa.array(open_)}
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=schema.names)
+
+    return lists.mapInArrow(best, schema)
+
+
+def _after(asked: DataFrame, step: _Pass) -> DataFrame:
+    """Add ``n``, the number of clusters that a request reads in a pass, and whether it is ``open`` after it, and its new
+    ``worst``. In each round it reads what can beat the ``worsts`` before."""
+    ends, count = [0, *step.ends], step.stop - step.first
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            readable, before = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("readable", "worst"))
+            worst = np.full((batch.num_rows, count), np.inf)
+            known = np.flatnonzero(batch.column("worsts").is_valid().to_numpy(zero_copy_only=False))
+            worst[known] = _numbers(batch.column("worsts"), count) if len(known) == batch.num_rows else _numbers(
+                batch.column("worsts").take(pa.array(known)), count)
+            tops, beyond = (_numbers(batch.column(n), len(step.ends))[:, step.first : step.stop] for n in ("tops", "beyond"))
+            last, open_ = step.closed(worst, beyond)
+            bound = np.column_stack([before, worst[:, :-1]]) + _MARGIN
+            low, high = (np.array(ends[step.first + a : step.stop + a]) for a in (0, 1))
+            part = np.maximum(np.minimum(high, readable[:, None]) - low, 0)
+            taken = np.arange(count) <= last[:, None]
+            # Where not all clusters of a round can beat it, those that can are counted.
+            fewer = np.flatnonzero((taken & (part > 0) & (bound < tops)).any(axis=1))
+            rows, units = _directed(batch.column("query_vector").take(pa.array(fewer)), step.index.centroids.shape[1])
+            for start in range(0, len(rows), _ROUND_ROWS):
+                own = fewer[rows[start : start + _ROUND_ROWS]]
+                gaps = _gaps(units[start : start + _ROUND_ROWS], step.index, np.arange(len(step.index.members)))
+                gaps[:, step.index.members == 0] = np.inf
+                for r in range(count):
+                    reach = np.arccos(np.clip(1.0 - bound[own, r], -1.0, 1.0))
+                    able = (gaps <= reach[:, None]).sum(axis=1)
+                    part[own, r] = np.maximum(np.minimum(high[r], able) - low[r], 0)
+            n = np.where(taken, part, 0).sum(axis=1)
+            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name not in ("worst", "worsts")]
+            names = [name for name in batch.schema.names if name not in ("worst", "worsts")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(open_), pa.array(worst[:, -1])], names=[*names, "n", "open", "worst"])
+
+    schema = T.StructType([f for f in asked.schema.fields if f.name not in ("worst", "worsts")] + [
+        T.StructField("n", T.LongType()), T.StructField("open", T.BooleanType()), T.StructField("worst", T.DoubleType())])
+    return asked.mapInArrow(read, schema)
 
 
 def certified_hits(requests: DataFrame, index: VectorIndex, limit: int = V.RESULT_LIMIT * V.OVERFETCH,
@@ -265,35 +443,34 @@ def certified_hits(requests: DataFrame, index: VectorIndex, limit: int = V.RESUL
     With ``slack`` it is closed as soon as nothing unread can be nearer by more than that: what is missed is
     then at most so much nearer than what was returned in its place. ``most`` bounds the clusters read per
     request; what is then still open is not certified.
+
+    Few requests move once per round, and what they do not read is not fetched. Many would read every cluster in the
+    first round already; they move once, and the tasks find hits of all rounds, each cluster only for requests
+    that it can still give a hit. From these it is told in which round a request is closed, and what it reads until then.
     """
-    total = len(index.members)
-    most = total if most is None else min(most, total)
-    step = first or max(1, math.isqrt(total))
-    open_ = requests.where(F.col("query_vector").isNotNull()).select(*_REQUEST_COLUMNS, F.lit(float("inf")).alias("worst"))
-    carried, start = None, 0
+    ends = _round_ends(len(index.members), first, growth, most)
+    asked = requests.where(F.col("query_vector").isNotNull()).select(*_REQUEST_COLUMNS, F.lit(float("inf")).alias("worst"))
+    open_ = materialize(_with_rounds(asked, index, ends), "ivf-probed")
+    few = open_.count() <= ROUND_REQUESTS
+    carried, done = None, 0
     hits, reads = [], []
     while True:
-        step = min(step, most - start)
-        probed = materialize(_with_clusters(open_, index, start, step), "ivf-probed")
-        found = _probed_hits(probed, index, start, step, limit, packed=True, **block_options)
+        step = _Pass(_without_table(index), ends, done, done + 1 if few else len(ends), slack)
+        done = step.stop
+        found = _probed_hits(open_, index.places, step, limit, few, **block_options)
         if carried is not None:
             found = found.unionByName(carried)
-        start += step
-        carried = materialize(_best_packed(found, limit), "ivf-best")
-        last = carried.groupBy("qid").agg(F.min("worst").alias("_worst"))
-        state = materialize(probed.drop("worst", "clusters").join(last, "qid", "left").withColumn(
-            "worst", F.coalesce("_worst", F.lit(float("inf")))).drop("_worst"), "ivf-state")
-        more = (F.col("beyond") < float("inf")) & (F.col("beyond") <= F.col("worst") + _MARGIN - slack)
-        ended = start >= most or state.where(more).isEmpty()
-        reads.append(state.select("qid", "n", (~more if ended else F.lit(True)).alias("certified")))
+        carried = materialize(_best_packed(found, step, limit), "ivf-best")
+        worsts = carried.groupBy("qid").agg(F.min("worsts").alias("worsts"))
+        state = materialize(_after(open_.join(worsts, "qid", "left"), step), "ivf-state")
+        ended = done == len(ends) or state.where("open").isEmpty()
+        reads.append(state.select("qid", "n", (~F.col("open") if ended else F.lit(True)).alias("certified")))
         if ended:
-            hits.append(carried.drop("worst"))
+            hits.append(carried.drop("worsts", "open"))
             break
-        open_ = state.where(more).drop("beyond", "n")
-        # The ``beyond`` of a list is that of the last round that added to it, so it may be kept longer than its request is open.
-        hits.append(carried.where(~more).drop("worst"))
-        carried = carried.where(more).drop("worst")
-        step *= growth
+        open_ = state.where("open").drop("n", "open")
+        hits.append(carried.where(~F.col("open")).drop("worsts", "open"))
+        carried = carried.where("open").drop("worsts", "open")
     every = best_hits(blocks.unpacked(reduce(DataFrame.unionByName, hits)), limit)
     read = reduce(DataFrame.unionByName, reads).groupBy("qid").agg(F.sum("n").alias("clusters"), F.bool_and("certified").alias("certified"))
     return Certified(every, read)
@@ -307,8 +484,11 @@ def ivf_hits(requests: DataFrame, index: VectorIndex, n_probe: int, limit: int =
     is short because its filters left too little in the probed clusters.
     """
     asked = requests.where(F.col("query_vector").isNotNull())
-    probed = _with_clusters(asked.select(*_REQUEST_COLUMNS, F.lit(float("inf")).alias("worst")), index, 0, n_probe)
-    found = best_hits(_probed_hits(materialize(probed, "ivf-probed"), index, 0, n_probe, limit, **block_options), limit)
+    ends = _round_ends(len(index.members), n_probe, 1, n_probe)
+    probed = _with_rounds(asked.select(*_REQUEST_COLUMNS, F.lit(float("inf")).alias("worst")), index, ends)
+    step = _Pass(_without_table(index), ends, 0, 1, 0.0)
+    lists = _probed_hits(materialize(probed, "ivf-probed"), index.places, step, limit, True, **block_options)
+    found = best_hits(blocks.unpacked(lists), limit)
     if not widen:
         return found
     found = materialize(found, "ivf-hits")  # at most ``limit`` rows per request, read three times

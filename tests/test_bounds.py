@@ -249,3 +249,94 @@ def test_hits_carried_through_rounds_are_moved_once_a_round(spark, monkeypatch):
     found = ivf.certified_hits(q, ivf.build_ivf(p, n_cells=12), first=1, growth=2)
     assert hits(found.hits) == hits(retrieve.vector_hits(q, p))
     assert len(kept) > 1 and all(r["count"] == 1 for of_round in kept for r in of_round)
+
+
+def odd_requests(requests):
+    return requests + [{"qid": 60, "latitude": 10.0, "longitude": 10.0, "query_vector": requests[0]["query_vector"]},
+                       {"qid": 61, "latitude": 40.7, "longitude": -74.0, "query_vector": [0.0] * 12},
+                       {"qid": 62, "latitude": 40.7, "longitude": -74.0, "query_vector": [1.0, 1.0]}]
+
+
+@pytest.mark.parametrize("options", [{}, {"slack": 0.1}, {"most": 5}])
+@pytest.mark.parametrize("noise", [0.15, 3.0])
+def test_many_requests_move_once_and_read_the_same(spark, monkeypatch, noise, options):
+    """However many rounds there are, a large table of requests meets the places once; hits, and what is read until
+    the certificate, are those of the search round by round."""
+    for name, value in (("LEAF", 16), ("_CLUSTER_ROWS", 48), ("_SPLIT_BY_FILTER", 0), ("_VISITORS", 8), ("_CHUNK", 8)):
+        monkeypatch.setattr(blocks, name, value)
+    places, requests = clustered(16, 700, 40, centres=12, noise=noise)
+    places += [dict(places[7], id=1000 + i) for i in range(40)]  # ties, more than the answer holds
+    places += [{"id": 900 + i, "latitude": 40.7, "longitude": -74.0, "embedding": v} for i, v in enumerate([[1.0, 2.0], [0.0] * 12])]
+    q, p = requests_df(spark, odd_requests(requests)), places_df(spark, places)
+    index = ivf.build_ivf(p, n_cells=20)
+    searches, whole = [], blocks.blocked_hits
+
+    def watched(*args, **kinds):
+        searches.append(1)
+        return whole(*args, **kinds)
+
+    monkeypatch.setattr(blocks, "blocked_hits", watched)
+    found = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(ivf, "ROUND_REQUESTS", most, raising=False)
+        searches.clear()
+        result = ivf.certified_hits(q, index, first=1, growth=2, request_block=(4, 16), place_block=(8, 64), **options)
+        found.append((hits(result.hits), sorted(map(tuple, result.reads.collect()))))
+        assert (len(searches) > 1) == (most > 0)
+    assert found[0] == found[1]
+    if not options:
+        assert found[0][0] == hits(retrieve.vector_hits(q, p)) and len({n for _, n, _ in found[0][1]}) > 2
+
+
+def test_clusters_are_read_in_the_order_of_their_bounds(spark):
+    """Each cluster once, equal bounds in the order of the clusters, empty ones never."""
+    rng = np.random.default_rng(17)
+    centroids = rng.standard_normal((30, 4))
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    members = np.r_[rng.integers(0, 3, 30), 2]
+    index = ivf.VectorIndex(None, centroids, np.r_[rng.uniform(0.0, 0.2, 30), 0.0], np.r_[rng.uniform(0.3, 1.5, 30), np.pi], members)
+    vectors = rng.standard_normal((50, 4)).astype(np.float32)
+    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "qid long, query_vector array<float>")
+    ends = ivf._round_ends(31, 2, 2, None)
+    ranked = ivf._with_rounds(asked.coalesce(1), index, ends).toArrow()
+    units = np.array(ranked["query_vector"].to_pylist())
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    bounds = ivf.lower_bounds(units, index)
+    order = np.argsort(bounds, axis=1, kind="stable")
+    assert (np.sort(bounds, axis=1)[:, 1] == 0).all()  # there are equal ones
+    rounds = ivf._Pass(index, ends, 0, len(ends), 0.0).rounds(ranked, np.arange(50), units, np.arange(31))[0]
+    middle = ivf._Pass(index, ends, 1, 3, 0.0).rounds(ranked, np.arange(50), units, np.arange(31))[0]
+    for row in range(50):
+        for place, cluster in enumerate(order[row]):
+            if members[cluster]:
+                number = np.searchsorted(ends, place, side="right")
+                assert rounds[row, cluster] == number and middle[row, cluster] == (number - 1 if 1 <= number < 3 else -1)
+
+
+def test_thousands_of_clusters_are_fitted_by_products(spark, monkeypatch):
+    """Beyond a number of clusters MLlib is not asked; the clusters are nearly as tight as the planted ones, the hits exact."""
+    places, requests = clustered(18, 900, 20, centres=40)
+    places += [dict(places[7], id=1000 + i) for i in range(40)]
+    places += [{"id": 2000, "latitude": 40.7, "longitude": -74.0, "embedding": [0.0] * 12}]
+    odd = [{"id": 2001, "latitude": 40.7, "longitude": -74.0, "embedding": [float("nan")] * 12}]  # MLlib does not take it
+    q, p = requests_df(spark, requests), places_df(spark, places + odd)
+    known = [r for r in places if r["embedding"] and any(r["embedding"])]
+    vectors = np.array([r["embedding"] for r in known])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+
+    def spread(centres):
+        return (1 - (vectors @ centres.T).max(axis=1)).sum()
+
+    def unused(**_):
+        raise AssertionError("compares vector by vector")
+
+    monkeypatch.setattr(ivf, "KMeans", unused)
+    monkeypatch.setattr(ivf, "MLLIB_CLUSTERS", 10, raising=False)
+    index = ivf.build_ivf(p, n_cells=40)
+    assert index.centroids.shape == (40, 12) and np.allclose(np.linalg.norm(index.centroids, axis=1), 1.0)
+    of_centre = [np.mean([vectors[n] for n, r in enumerate(known) if r["id"] % 40 == i], axis=0) for i in range(40)]
+    planted = spread(np.array(of_centre) / np.linalg.norm(of_centre, axis=1, keepdims=True))
+    assert spread(index.centroids) < 1.5 * planted and index.members.sum() == len(known) + 2
+    assert hits(ivf.certified_hits(q, index).hits) == hits(retrieve.vector_hits(q, p))
+    same = places_df(spark, [dict(places[7], id=i) for i in range(60)])  # fewer different vectors than clusters
+    assert ivf.build_ivf(same, n_cells=40).members.sum() == 60
